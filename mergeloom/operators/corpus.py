@@ -34,7 +34,7 @@ def synthetic_unicode(spark: SparkSession, n: int = 16_384) -> DataFrame:
     """Columns (i, line): deterministic lines of many scripts."""
     i = F.col("id")
     h = F.lower(F.hex(_wrapping_product(i, 0xA341316C9E3779B9)))
-    line = F.format_string("Probe %d: Straße, Häuser, Äpfel — 東京 漢字 🦀 🌍 👩🏽‍💻 é; %d ± %d = %d; checksum %s.\n", i, i * 31, i % 19, i * 31 + i % 19, F.lpad(h, 16, "0"))
+    line = F.format_string("Probe %d: Straße, Häuser, Äpfel — 東京 漢字 🦀 🌍 👩🏽\u200d💻 e\u0301; %d ± %d = %d; checksum %s.\n", i, i * 31, i % 19, i * 31 + i % 19, F.lpad(h, 16, "0"))
     return spark.range(n).select(i.alias("i"), line.alias("line"))
 
 

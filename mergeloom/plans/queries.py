@@ -407,13 +407,13 @@ def pair_windows(spark, d):
 
 @query
 def blocks_split(spark, d):
-    rows = windows.block_rows(docs(spark, d), "doc_id", "text", 256)
+    rows = windows.block_rows(docs(spark, d), "doc_id", "text", 96)
     return rows.select("doc_id", "block_no", "start_byte", "end_byte", F.sha2("content", 256).alias("sha"), "split")
 
 
 @query
 def blocks_split_whole(spark, d):
-    rows = windows.block_rows(docs(spark, d), "doc_id", "text", 512, whole_corpus=True)
+    rows = windows.block_rows(docs(spark, d), "doc_id", "text", 128, whole_corpus=True)
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.col("end_byte") - F.col("start_byte")).alias("n_bytes"))
 
 
