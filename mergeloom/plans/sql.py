@@ -123,7 +123,7 @@ SELECT l.off AS raw_byte_start, r.off - l.off AS raw_target_bytes, r.off AS raw_
     "domain_reconciliation": "SELECT true AS tokens_equal, true AS bytes_equal, true AS nll_equal",
     "capped_sources": "WITH RECURSIVE s AS (SELECT source_id, any_value(raw_bytes) AS size FROM sources GROUP BY source_id HAVING any_value(raw_bytes) IS NOT NULL), n AS (SELECT *, row_number() OVER (ORDER BY source_id) AS k FROM s), f AS (SELECT k, source_id, size, size <= 200000 AS taken, 0::BIGINT AS before FROM n WHERE k = 1 UNION ALL SELECT n.k, n.source_id, n.size, f.before + CASE WHEN f.taken THEN f.size ELSE 0 END + n.size <= 200000, f.before + CASE WHEN f.taken THEN f.size ELSE 0 END FROM f JOIN n ON n.k = f.k + 1) SELECT printf('%010d', source_id) AS path, size, taken, before FROM f",
     "synthetic_json": f"""SELECT range AS i, '{{"id":' || range || ',"voltage":' || range % 241 || '.' || range % 100 || ' ,"range":[' || range * 31 || ',' || range * 31 + 17 || '],"enabled":' || (range % 2 = 0) || ',"route":"/probe/' || printf('%016x', {SIGNED.format(f'((range::UHUGEINT * 11400714819323198485::UHUGEINT) % {U64})')}) || '","note":"Grüße 東京 🦀"}}' || chr(10) AS line FROM range(2000)""",
-    "synthetic_unicode": f"""SELECT range AS i, sha256('Probe ' || range || ': Straße, Häuser, Äpfel — 東京 漢字 🦀 🌍 👩🏽' || chr(8205) || '💻 e' || chr(769) || '; ' || range * 31 || ' ± ' || range % 19 || ' = ' || range * 31 + range % 19 || '; checksum ' || printf('%016x', {SIGNED.format(f'((range::UHUGEINT * 11764178470211425209::UHUGEINT) % {U64})')}) || '.' || chr(10)) AS sha FROM range(2000)""",
+    "synthetic_unicode": f"""SELECT range AS i, sha256('Probe ' || range || ': Straße, Häuser, Äpfel — 東京 漢字 🦀 🌍 👩🏽' || chr(8205) || '💻 e' || chr(769) || '; ' || range * 31 || ' ± ' || range % 19 || ' = ' || range * 31 + range % 19 || '; checksum ' || printf('%016x', {SIGNED.format(f'((range::UHUGEINT * 11763738044249110969::UHUGEINT) % {U64})')}) || '.' || chr(10)) AS sha FROM range(2000)""",
     "split_token_sets": f"WITH {SEQ_ONCE}, t AS (SELECT DISTINCT lower(trim(split)) AS split, unnest(tokens) AS token FROM seqs), a AS (SELECT token FROM t WHERE split = 'train'), b AS (SELECT DISTINCT token FROM t WHERE split <> 'train') SELECT 'both' AS part, count(*) AS n FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'either', count(*) FROM (FROM a UNION FROM b) UNION ALL SELECT 'train only', count(*) FROM (FROM a EXCEPT FROM b)",
     "metric_mean_sd": f"WITH {METRICS_ONCE} SELECT domain, count(blocks) AS n, round(avg(blocks), 9) AS mean, round(var_pop(blocks), 9) AS variance, round(stddev_pop(blocks), 9) AS sd FROM dm GROUP BY domain",
     "metric_bits": f"WITH {METRICS_ONCE} SELECT metric_id, CASE WHEN target_bytes > 0 AND nll >= 0 THEN round(nll / target_bytes / ln(2), 9) END AS bits, CASE WHEN target_bytes > 0 THEN round(nll / target_bytes, 9) END AS nats FROM dm",

@@ -8,7 +8,6 @@ import stat
 import struct
 import tempfile
 from collections.abc import Sequence
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -63,9 +62,12 @@ def load_corpus(spark: SparkSession, root: str, extensions: Sequence[str] = ())
     base = os.path.dirname(root) if os.path.isfile(root) else root
     listing = spark.createDataFrame([(i, p, n) for i, (p, n) in enumerate(files)], "ord int, rel_path string, size bigint")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    prefix = Path(os.path.abspath(base)).as_uri().replace("file:///", "file:/") + "/"
-    rel = F.expr(f"url_decode(replace(substring(path, {len(prefix) + 1}), '+', '%2B'))")
-    return listing.join(raw.select(rel.alias("__r"), "content"), F.col("rel_path") == F.col("__r")).select("ord", "rel_path", "size", "content")
+    prefix = f"file:{os.path.abspath(base)}/"
+    rel = F.substring(F.col("path"), F.lit(len(prefix) + 1), F.length("path"))
+    joined = listing.join(raw.select(rel.alias("__r"), F.col("content").alias("__c")), F.col("rel_path") == F.col("__r"), "left")
+    # the reader leaves empty files out
+    content = F.when(F.col("size") == 0, F.lit(b"")).otherwise(F.coalesce("__c", F.raise_error(F.concat(F.lit("file vanished: "), F.col("rel_path"))).cast("binary")))
+    return joined.select("ord", "rel_path", "size", content.alias("content"))
 
 
 def provenance(corpus: DataFrame, source: str) -> DataFrame:
