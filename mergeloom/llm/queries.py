@@ -55,7 +55,11 @@ WANTED = {"median": 50, "p95": 95}
 
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """By day, and with rec_date NULL by run and tokenizer as a whole, from the days' sketches put together."""
-    days = cut(quantiles.sketch(_records(spark, d), ["run_id", "tokenizer", "rec_date"], "rec_len"))
+    return _percentiles(_records(spark, d))
+
+
+def _percentiles(records: DataFrame) -> DataFrame:
+    days = cut(quantiles.sketch(records, ["run_id", "tokenizer", "rec_date"], "rec_len"))
     whole = quantiles.merge(days, ["run_id", "tokenizer"]).withColumn("rec_date", F.lit(None).cast("date"))
     by_day = quantiles.percentiles(days, ["run_id", "tokenizer", "rec_date"], WANTED).withColumn("whole", F.lit(False))
     return by_day.unionByName(quantiles.percentiles(whole, ["run_id", "tokenizer", "rec_date"], WANTED).withColumn("whole", F.lit(True)))
@@ -63,7 +67,8 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows that the sketch's bounds decide, and the others after an exact look into the buckets in question."""
-    got = p4_percentiles(spark, d)
+    records = cut(_records(spark, d))
+    got = _percentiles(records)
     stated = first_arrival(_t(spark, d, "sequence_lengths"), ["summary_id"], ["run_id", "tokenizer", "rec_date", "median", "p95"], ["written_at"]).where("median is not null")
     stated = stated.select("summary_id", F.col("run_id").alias("r"), F.col("tokenizer").alias("t"), F.col("rec_date").alias("day"), F.col("median").alias("said_median"), F.col("p95").alias("said_p95"))
     same = (F.col("r") == got.run_id) & (F.col("t") == got.tokenizer) & F.col("day").eqNullSafe(got.rec_date) & (F.col("day").isNull() == got.whole)
@@ -79,7 +84,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
         for groups, here in ((["run_id", "tokenizer", "rec_date"], "rec_date is not null"), (["run_id", "tokenizer"], "rec_date is null")):
             asked = open_rows.where(here).select("summary_id", *[F.col(g).alias(f"q{i}") for i, g in enumerate(groups)], F.col("bucket").alias("qb"), F.col("place").alias("qp"), "said")
             places = open_rows.where(here).select(*groups, "bucket", "place")
-            exact = quantiles.exact_in_buckets(_records(spark, d), places, groups, "rec_len")
+            exact = quantiles.exact_in_buckets(records, places, groups, "rec_len")
             on = (F.col("qb") == F.col("bucket")) & (F.col("qp") == F.col("place"))
             for i, g in enumerate(groups):
                 on = on & (F.col(f"q{i}") == F.col(g))
