@@ -46,9 +46,9 @@ def _members(units: DataFrame) -> DataFrame:
 
 
 def _classes(members: DataFrame) -> DataFrame:
-    """(key, has_train, has_held, corpus, body), one row per distinct record."""
+    """(key, cls, has_train, has_held, corpus, body), one row per distinct record; cls is the least unit_id."""
     one = members.groupBy("key").agg(F.max("train").alias("has_train"), F.max(~F.col("train")).alias("has_held"), F.min(F.struct("unit_id", "corpus_id", "body")).alias("kept"))
-    return one.select("key", "has_train", "has_held", F.col("kept.corpus_id").alias("corpus"), F.col("kept.body").alias("body"))
+    return one.select("key", F.col("kept.unit_id").alias("cls"), "has_train", "has_held", F.col("kept.corpus_id").alias("corpus"), F.col("kept.body").alias("body"))
 
 
 def overlap_pairs(units: DataFrame, share: Fraction = SHARE) -> DataFrame:
@@ -66,25 +66,26 @@ def overlap_pairs(units: DataFrame, share: Fraction = SHARE) -> DataFrame:
     members = cut(_members(units))
     classes = _classes(members)
     hashed = _let(words(F.col("body")), lambda w: F.array_distinct(_windows(F.col("corpus"), w)))
-    classes = cut(classes.select("key", "has_train", "has_held", hashed.alias("windows")))
-    exploded = classes.select("key", "has_train", "has_held", F.size("windows").alias("n"), F.explode("windows").alias("w"))
+    classes = cut(classes.select("key", "cls", "has_train", "has_held", hashed.alias("windows")))
+    exploded = classes.select("cls", "has_train", "has_held", F.size("windows").alias("n"), F.explode("windows").alias("w"))
     both = exploded.groupBy("w").agg(F.sum(F.col("has_train").cast("bigint")).alias("t"), F.sum(F.col("has_held").cast("bigint")).alias("h")).where("t > 0 and h > 0")
     shared = exploded.join(both.select("w", (F.col("t") * F.col("h")).alias("weight")), "w")
-    own = Window.partitionBy("key")
+    own = Window.partitionBy("cls")
     cuts = F.col("n") - F.ceil(F.col("n") * share.numerator / F.lit(share.denominator)) + 1
     ranked = shared.withColumn("place", F.row_number().over(own.orderBy("weight", "w"))).withColumn("k", F.count(F.lit(1)).over(own))
-    kept = cut(ranked.where(F.col("place") + F.col("n") - F.col("k") <= cuts).select("key", "has_train", "has_held", "n", "w"))
-    t = kept.where("has_train").select("w", F.col("key").alias("kt"), F.col("n").alias("nt"))
-    h = kept.where("has_held").select("w", F.col("key").alias("kh"), F.col("n").alias("nh"))
+    kept = cut(ranked.where(F.col("place") + F.col("n") - F.col("k") <= cuts).select("cls", "has_train", "has_held", "n", "w"))
+    t = kept.where("has_train").select("w", F.col("cls").alias("ct"), F.col("n").alias("nt"))
+    h = kept.where("has_held").select("w", F.col("cls").alias("ch"), F.col("n").alias("nh"))
     fits = F.least("nt", "nh") * share.denominator >= F.greatest("nt", "nh") * share.numerator
-    candidates = t.join(h, "w").where((F.col("kt") != F.col("kh")) & fits).select("kt", "kh").distinct()
-    wt, wh = classes.select(F.col("key").alias("kt"), F.col("windows").alias("wt")), classes.select(F.col("key").alias("kh"), F.col("windows").alias("wh"))
+    candidates = t.join(h, "w").where((F.col("ct") != F.col("ch")) & fits).select("ct", "ch").distinct()
+    wt, wh = classes.select(F.col("cls").alias("ct"), F.col("windows").alias("wt")), classes.select(F.col("cls").alias("ch"), F.col("windows").alias("wh"))
     common = F.size(F.array_intersect("wt", "wh")).cast("bigint")
-    near = candidates.join(wt, "kt").join(wh, "kh").where(common * share.denominator >= (F.size("wt") + F.size("wh") - common) * share.numerator).select("kt", "kh")
-    same = classes.where("has_train and has_held").select(F.col("key").alias("kt"), F.col("key").alias("kh"))
-    mt = members.where("train").select(F.col("key").alias("kt"), F.col("unit_id").alias("ut"))
-    mh = members.where("not train").select(F.col("key").alias("kh"), F.col("unit_id").alias("uh"))
-    found = near.unionByName(same).join(mt, "kt").join(mh, "kh")
+    near = candidates.join(wt, "ct").join(wh, "ch").where(common * share.denominator >= (F.size("wt") + F.size("wh") - common) * share.numerator).select("ct", "ch")
+    same = classes.where("has_train and has_held").select(F.col("cls").alias("ct"), F.col("cls").alias("ch"))
+    named = members.select("key", "unit_id", "train").join(classes.select("key", "cls"), "key")
+    mt = named.where("train").select(F.col("cls").alias("ct"), F.col("unit_id").alias("ut"))
+    mh = named.where("not train").select(F.col("cls").alias("ch"), F.col("unit_id").alias("uh"))
+    found = near.unionByName(same).join(mt, "ct").join(mh, "ch")
     return found.select(F.least("ut", "uh").alias("unit_id_a"), F.greatest("ut", "uh").alias("unit_id_b"))
 
 
