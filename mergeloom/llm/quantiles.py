@@ -47,11 +47,11 @@ def merge(sketches: DataFrame, groups: Sequence[str]) -> DataFrame:
     return sketches.groupBy(*groups, "bucket").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
 
 
-def percentiles(sketches: DataFrame, groups: Sequence[str], wanted: Mapping[str, int]) -> DataFrame:
+def percentiles(sketches: DataFrame, groups: Sequence[str], wanted: Mapping[str, int], alpha: float = ALPHA) -> DataFrame:
     """Columns (groups, n, and per wanted percentile p: p, p_low, p_high, p_bucket, p_below).
 
     The nearest rank of percent q among n values is ceil(q n / 100), in integers. `p` is within
-    alpha of the exact value, which lies between `p_low` and `p_high`, the least and the greatest
+    alpha (that of the sketch) of the exact value, which lies between `p_low` and `p_high`, the least and the greatest
     value counted in its bucket; `p_below` values lie in lower buckets. A group has at most about
     2 * log(range) / (2 alpha) buckets, whatever the number of values.
     """
@@ -66,7 +66,7 @@ def percentiles(sketches: DataFrame, groups: Sequence[str], wanted: Mapping[str,
         out.append(F.max(F.when(here, F.col("upto") - F.col("n"))).alias(f"{name}_below"))
     got = rows.groupBy(*groups).agg(F.first("all_n").alias("n"), *out)
     for name in wanted:
-        got = got.withColumn(name, F.least(F.col(f"{name}_high"), F.greatest(F.col(f"{name}_low"), value_of(F.col(f"{name}_bucket")))))
+        got = got.withColumn(name, F.least(F.col(f"{name}_high"), F.greatest(F.col(f"{name}_low"), value_of(F.col(f"{name}_bucket"), alpha))))
     return got
 
 
