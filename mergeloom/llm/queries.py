@@ -16,16 +16,21 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+def _shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_shares(_t(spark, d, "sources"), _t(spark, d, "mix_targets"))
 
 
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares rounded, since sums of weights depend on their order in the last digit."""
+    return _shares(spark, d).withColumn("target_bytes", F.round("target_bytes", 3)).withColumn("target_share", F.round("target_share", 9))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_shares(spark, d).where("short").select("mix_id", "category")
+    return _shares(spark, d).where("short").select("mix_id", "category")
 
 
 def p1_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_blocks(_t(spark, d, "sources"), cut(p1_shares(spark, d)))
+    return mixing.mix_blocks(_t(spark, d, "sources"), cut(_shares(spark, d)))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

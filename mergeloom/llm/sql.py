@@ -76,7 +76,7 @@ found AS (SELECT DISTINCT least(ua, ub) AS unit_id_a, greatest(ua, ub) AS unit_i
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_BASE + "SELECT mix_id, category FROM t WHERE capacity_bytes < target_bytes",
-        "p1_shares": P1_BASE + """SELECT mix_id, category, corpus_id, target_share, target_bytes, available_bytes, capacity_bytes, block_bytes, fair_blocks, blocks, given_bytes,
+        "p1_shares": P1_BASE + """SELECT mix_id, category, corpus_id, round(target_share, 9) AS target_share, round(target_bytes, 3) AS target_bytes, available_bytes, capacity_bytes, block_bytes, fair_blocks, blocks, given_bytes,
   CASE WHEN available_bytes > 0 THEN given_bytes / available_bytes END AS repeats, given_bytes / sum(given_bytes) OVER (PARTITION BY mix_id) AS reached_share, capacity_bytes < target_bytes AS short FROM given""",
         "p2_found": rf"""WITH RECURSIVE {SOURCES_ONCE},
 key AS (
