@@ -74,6 +74,7 @@ class MergeAutomaton:
             raise ValueError(f"{len(spelled)} ids; at most {MAX_VOCABULARY} are supported")
         self.ids = np.array(sorted(spelled), np.int32)
         at = {int(t): i for i, t in enumerate(self.ids)}
+        self.byte_index = np.array([at[b] for b in range(256)], np.int32)
         texts = [spelled[int(t)] for t in self.ids]
         self.lengths = np.array([len(x) for x in texts] + [0], np.int32)
         own = np.array([len(rank_passes(np.frombuffer(x, np.uint8), m)) == 1 and int(rank_passes(np.frombuffer(x, np.uint8), m)[0]) == int(t) for x, t in zip(texts, self.ids)])
@@ -176,10 +177,28 @@ class MergeAutomaton:
             got = np.searchsorted(self.ids, rank_passes(data[a:b], self.merges))
             at = a + np.cumsum(self.lengths[got]) - 1
             last[at], ends[at] = got, True
-        short = lens <= LONG_LANE
-        starts, lens = starts[short], lens[short]
+        single = lens == 1
+        last[starts[single]], ends[starts[single]] = self.byte_index[data[starts[single]]], True
+        middle = (lens > 8) & (lens <= LONG_LANE)
+        self._advance(data, starts[middle], lens[middle], last, ends)
+        for size in range(2, 9):  # short stretches recur: each distinct one is walked once
+            at = starts[lens == size]
+            if not len(at):
+                continue
+            spelled = np.zeros(len(at), np.uint64)
+            for j in range(size):
+                spelled = spelled << np.uint64(8) | data[at + j].astype(np.uint64)
+            _, one, which = np.unique(spelled, return_index=True, return_inverse=True)
+            own = at[one]
+            self._advance(data, own, np.full(len(own), size), last, ends)
+            for j in range(size):
+                last[at + j], ends[at + j] = last[own + j][which], ends[own + j][which]
+        return last, ends
+
+    def _advance(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray, last: np.ndarray, ends: np.ndarray) -> None:
+        """Fill `last` and `ends` for the given stretches, all advancing together."""
         if not len(starts):
-            return last, ends
+            return
         order = np.argsort(-lens, kind="stable")
         starts, lens = starts[order], lens[order]
         active = np.searchsorted(-lens, -np.arange(1, lens[0] + 1), side="right")
@@ -189,7 +208,7 @@ class MergeAutomaton:
             k = int(active[t])
             at = starts[:k] + t
             node = self.goto[node[:k], data[at]]
-            rest, where, seen = np.arange(k), node, at
+            where, seen = node, at
             for d in range(self.emit.shape[1]):
                 token = self.emit[where, d]
                 size = self.lengths[token]
@@ -199,15 +218,13 @@ class MergeAutomaton:
                 if good.all():
                     break
                 bad = ~good
-                rest, where, seen = rest[bad], where[bad], seen[bad]
-        at = starts + lens - 1
-        first = starts
+                where, seen = where[bad], seen[bad]
+        at, first = starts + lens - 1, starts
         while len(at):
             ends[at] = True
             at = at - self.lengths[last[at]]
             more = at >= first
             at, first = at[more], first[more]
-        return last, ends
 
 
 def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterable[tuple[int, int]]:
