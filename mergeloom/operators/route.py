@@ -94,3 +94,45 @@ def pack_totals(df: DataFrame, text: str) -> DataFrame:
 def all_packs(df: DataFrame) -> DataFrame:
     """The four packs as a dimension (pack_id, pack_name)."""
     return df.sparkSession.createDataFrame(list(PACK_NAMES.items()), "pack_id int, pack_name string")
+
+
+_ROUTERS: dict[str, object] = {ROUTER: routed}
+
+
+def register_router(policy: str, function) -> None:
+    """Make a router known: a column function from texts to ARRAY<STRUCT<pack, start, end>>. An id is given once."""
+    if policy in _ROUTERS:
+        raise ValueError(f"router {policy} exists")
+    _ROUTERS[policy] = function
+
+
+def router(policy: str):
+    """The router of an artifact's policy id; unknown ids are refused."""
+    if policy not in _ROUTERS:
+        raise ValueError(f"unknown router {policy}")
+    return _ROUTERS[policy]
+
+
+def registry_problems(packs: DataFrame, specials: DataFrame, fallback: int = 65535) -> DataFrame:
+    """Columns (problem, item) of rules that packs (pack_id, name, local_token_count) and specials (pack, local, name) break."""
+    p, s = packs.select("pack_id", "name", "local_token_count"), specials.select("pack", "local", "name")
+    say = lambda df, what, item: df.select(F.lit(what).alias("problem"), item.cast("string").alias("item"))
+    home = s.join(p.select("pack_id", F.col("local_token_count").alias("n")), F.col("pack") == F.col("pack_id"), "left")
+    sizes = p.where(F.col("pack_id") == fallback)
+    parts = [
+        say(p.groupBy("pack_id").count().where("count > 1"), "duplicate pack id", F.col("pack_id")),
+        say(p.groupBy("name").count().where("count > 1"), "duplicate pack name", F.col("name")),
+        say(p.where("name = ''"), "empty pack name", F.col("pack_id")),
+        say(p.where("local_token_count < 1"), "empty pack", F.col("pack_id")),
+        say(sizes.agg(F.max("local_token_count").alias("n")).where("n is null or n <> 256"), "byte fallback", F.coalesce("n", F.lit(0))),
+        say(s.groupBy("pack", "local").count().where("count > 1"), "duplicate special id", F.concat_ws(":", "pack", "local")),
+        say(s.groupBy("name").count().where("count > 1"), "duplicate special name", F.col("name")),
+        say(s.where("name = ''"), "empty special name", F.concat_ws(":", "pack", "local")),
+        say(s.where(F.col("pack") == fallback), "special token in byte fallback", F.col("local")),
+        say(home.where("pack_id is null"), "special token of unknown pack", F.col("pack")),
+        say(home.where("local >= n"), "special token out of range", F.concat_ws(":", "pack", "local")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -15,6 +15,7 @@ from mergeloom.functions.merge_columns import token_ids, load_automaton
 from mergeloom.functions.routing import PACK_OF_BYTE
 from mergeloom.operators import corpus, encode, lm, mapping, route, stats, train, windows
 from mergeloom.operators.ranking import first_arrival
+from mergeloom.plans import experiments
 from mergeloom.session import cut
 from mergeloom.sources import files
 
@@ -610,6 +611,30 @@ def softmax_ce(spark, d):
     return t(spark, d, "embeddings").select("vec_id", F.round(V.softmax_loss(F.col("embedding"), target), 6).alias("loss"), V.argmax(F.col("embedding")).alias("best"))
 
 
+@query
+def evaluation_plan(spark, d):
+    return experiments.evaluation_plan(once_sequences(spark, d), "seq_id", "n_bytes", 16)
+
+
+@query
+def byte_regime(spark, d):
+    return experiments.byte_regime(once_sequences(spark, d), "seq_id", "tokens", 1, 40, 16, 2)
+
+
+@query
+def source_identities(spark, d):
+    rows = first_arrival(t(spark, d, "sources"), ["source_id"], ["name", "raw_sha256"], ["registered_at"])
+    return rows.select("source_id", experiments.identity(F.col("name"), F.col("raw_sha256")).alias("identity"))
+
+
+@query
+def registry_problems(spark, d):
+    """Packs of the id map without the byte fallback's 256 ids, and special tokens that break rules."""
+    packs = t(spark, d, "id_map").groupBy("pack_id").agg(F.count(F.lit(1)).alias("local_token_count")).where("pack_id <> 65535").withColumn("name", F.lit("same"))
+    specials = spark.createDataFrame([(0, 0, "a"), (0, 0, "a"), (0, 99999, ""), (77, 1, "u")], "pack int, local int, name string")
+    return route.registry_problems(packs, specials)
+
+
 # --- the small language model
 
 

@@ -137,6 +137,10 @@ SELECT l.off AS raw_byte_start, r.off - l.off AS raw_target_bytes, r.off AS raw_
     "xorshift_states": f"WITH s0 AS (SELECT range AS seed, (range * 6364136223846793)::UHUGEINT AS s FROM range(1000)), {STEPS}, y1 AS (SELECT seed, x, xor(x, (x * 8192::UHUGEINT) % {U64}) AS y FROM x3), y2 AS (SELECT seed, x, xor(y, y // 128::UHUGEINT) AS y FROM y1), y3 AS (SELECT seed, x, xor(y, (y * 131072::UHUGEINT) % {U64}) AS y FROM y2) SELECT seed, {SIGNED.format('x')} AS x1, {SIGNED.format('y')} AS x2, (x % 1009::UHUGEINT)::BIGINT AS pick FROM y3",
     "parameter_counts": "SELECT v, d, 2 * v * d + c * d + d * d + d + v AS flat, 2 * v * d + c * d + d * d + d + p * d + p + v AS factorized, 40 + 6 + 4 * (2 * v * d + c * d + d * d + d + v) AS flat_bytes, 40 + 6 * p + 4 * (2 * v * d + c * d + d * d + d + p * d + p + v) AS factorized_bytes, v * 384 + 256 * 384 + 8 * (4 * (384 * 384 + 384) + 2 * 384 * 1536 + 1536 + 3 * 384) + 384 + v * 384 + v AS transformer FROM (VALUES (512::BIGINT, 16::BIGINT, 16::BIGINT, 4::BIGINT), (512, 64, 32, 4), (340, 8, 16, 3)) t(v, d, c, p)",
     "mac_estimate": "SELECT pack_id, (47 * 256 + 3 * 16 * 512 * 16)::BIGINT AS flat, (47 * 256 + 3 * 16 * (count(*) + 4) * 16)::BIGINT AS packed FROM id_map GROUP BY pack_id",
+    "evaluation_plan": f"WITH {SEQ_ONCE} SELECT seq_id, len(n_bytes)::INT AS tokens, greatest(len(n_bytes) - 1, 0)::INT AS targets, coalesce(list_sum(n_bytes[2:]), 0)::BIGINT AS target_bytes, ((greatest(len(n_bytes) - 1, 0) + 15) // 16)::INT AS windows FROM seqs",
+    "byte_regime": f"WITH {SEQ_ONCE}, c AS (SELECT seq_id, least(len(tokens), 41) - 1 AS n FROM seqs WHERE len(tokens) > 1) SELECT seq_id, ((n + 31) // 32)::INT AS batches, n::BIGINT AS positions, ((n + 15) // 16 * 16 - n)::BIGINT AS padded FROM c",
+    "source_identities": "SELECT source_id, sha256(any_value(name) || any_value(raw_sha256)) AS identity FROM sources GROUP BY source_id",
+    "registry_problems": "WITH p AS (SELECT pack_id, count(*) AS n FROM id_map WHERE pack_id <> 65535 GROUP BY pack_id) SELECT 'duplicate pack name' AS problem, 'same' AS item FROM p HAVING count(*) > 1 UNION ALL SELECT * FROM (VALUES ('byte fallback', '0'), ('duplicate special id', '0:0'), ('duplicate special name', 'a'), ('empty special name', '0:99999'), ('special token of unknown pack', '77'), ('special token out of range', '0:99999'))",
     "softmax_ce": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS z, label % len(embedding) AS k FROM embeddings) SELECT vec_id, round(list_max(z) - z[k + 1] + ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))), 6) AS loss, (list_position(z, list_max(z)) - 1)::INT AS best FROM e",
 }
 #: blocks of at least n bytes, extended through the next line feed, on strings of one character per byte.

@@ -393,3 +393,45 @@ def test_command_line(tmp_path, capsysbinary):
     assert run("stats", a)[1] == "m2.x=1\n" and run("validate", a)[1] == "valid\n" and run("inspect-pack", a, "TEXT")[1] == "0 TEXT 2\n"
     assert run("init", str(tmp_path / "b"))[0] == 0 and run("init", str(tmp_path / "b"))[0] == 1
     assert issubclass(DecodeError, MergeloomError)
+
+
+def test_experiment_plans(spark):
+    from mergeloom.plans import experiments as E
+
+    n_bytes = [3, 1, 4, 1, 5, 9, 2, 6]
+    rng, want = V.Xorshift(11), 0
+    for _ in range(6):
+        a = rng.below(5)
+        want += sum(n_bytes[a + 1 : a + 4])
+    assert E.sampled_bytes(n_bytes, 11, 3, 3, 2) == want
+    with pytest.raises(ValueError):
+        E.sampled_bytes([1, 2], 1, 1, 2, 1)
+    assert E.frozen_problems({"a": 1, "b": {"c": 2, "d": 3}}, {"a": 1, "b": {"c": 5}, "e": 0}) == ["b.c", "b.d", "e"]
+    assert E.schedule_plan(spark, 1000, 2, 10, 5).head().positions == 100 and E.peak_memory() > 0 and "spark" in E.environment(spark)
+    assert [r[0] for r in spark.createDataFrame([(1.0, 1.0005), (1.0, 1.1)], "a double, b double").select(E.close(F.col("a"), F.col("b"))).collect()] == [True, False]
+
+
+def test_manifest_round_trip(spark, tmp_path):
+    from mergeloom.plans.experiments import write_manifest
+
+    units = spark.createDataFrame([("s", 0, 5, "train", True), ("s", 5, 9, "test", False)], "source string, start bigint, end bigint, proposed string, kept boolean")
+    sources = spark.createDataFrame([("s", "code")], "name string, category string")
+    write_manifest(units, sources, str(tmp_path))
+    assert spark.read.json(str(tmp_path / "units")).count() == 2
+    manifest = spark.createDataFrame([([("s", 0, 5, "train", True)], [("s", "code")])], "units array<struct<source:string,start:bigint,end:bigint,proposed:string,kept:boolean>>, sources array<struct<name:string,category:string>>")
+    u, s = files.units_of_manifest(manifest)
+    assert [tuple(r) for r in corpus.unit_spans(u, s, "train").collect()] == [(0, 5, "code")]
+
+
+def test_routers_are_registered_once():
+    assert route.router("lexical-v1") is route.routed
+    with pytest.raises(ValueError):
+        route.router("other")
+    with pytest.raises(ValueError):
+        route.register_router("lexical-v1", route.routed)
+
+
+def test_parameter_counts_of_published_configurations(spark):
+    r = spark.range(1).select(V.transformer_parameters(*(F.lit(x) for x in (512, 384, 8, 1536, 256))), V.flat_parameters(*(F.lit(x) for x in (512, 16, 16)))).head()
+    assert tuple(r) == (14_681_984, 17_424)
+    assert 120 * 4 * (47 * 256 + 3 * 16 * 512 * 16) == 194_519_040
