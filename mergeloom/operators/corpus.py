@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mergeloom.functions.values import MASK, rolling
+from mergeloom.operators.ranking import running_sum
 from mergeloom.session import cut
 
 # Fixed values of the filters: bytes of a leaked passage, of a shingle, and the stride of the shingles.
@@ -163,13 +164,12 @@ def composition(units: DataFrame, source: str, split: str, size: str, kept: str)
 def unit_spans(units: DataFrame, sources: DataFrame, split: str) -> DataFrame:
     """Columns (start_byte, end_byte, category): places of a split's kept units in the joined split, in unit order.
 
-    `units` has (ord, source, start, end, proposed, kept), `sources` (name, category). Offsets sum
-    unit lengths of one corpus split; lengths, not texts, meet in the ordered sum.
+    `units` has (ord, source, start, end, proposed, kept), `sources` (name, category). The ordered
+    sum of lengths runs over ranges of `ord` (see running_sum).
     """
     mine = units.where(F.col("kept") & (F.col("proposed") == split)).select("ord", "source", (F.col("end") - F.col("start")).alias("size"))
     named = mine.join(sources.select(F.col("name").alias("source"), "category"), "source", "left")
-    upto = F.sum("size").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    return named.withColumn("end_byte", upto).select((F.col("end_byte") - F.col("size")).alias("start_byte"), "end_byte", "category")
+    return running_sum(named, ["ord"], "size", "end_byte").select((F.col("end_byte") - F.col("size")).alias("start_byte"), "end_byte", "category")
 
 
 def token_domains(tokens: DataFrame, spans: DataFrame, width: int = 8192) -> DataFrame:

@@ -227,7 +227,8 @@ class RecurrentModel:
         b1, b2 = F32(opt.beta1), F32(opt.beta2)
         new_m = {k: b1 * m[k] + (1 - b1) * g for k, g in grads.items()}
         new_v = {k: b2 * v[k] + (1 - b2) * g * g for k, g in grads.items()}
-        new_w = {k: self.weights[k] - F32(opt.learning_rate) * (new_m[k] / (1 - b1**s)) / (np.sqrt(new_v[k] / (1 - b2**s)) + F32(opt.epsilon)) for k in grads}
+        with np.errstate(all="ignore"):  # what isn't finite is refused below
+            new_w = {k: self.weights[k] - F32(opt.learning_rate) * (new_m[k] / (1 - b1**s)) / (np.sqrt(new_v[k] / (1 - b2**s)) + F32(opt.epsilon)) for k in grads}
         if not all(np.isfinite(x).all() for part in (new_m, new_v, new_w) for x in part.values()):
             raise LanguageModelError("not finite", what="optimizer step")
         self.weights, self.moments, self.step = new_w, (new_m, new_v), self.step + 1

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mergeloom.session import cut
+
 #: Bits of the hash that name a bin of `distributed_rank`; a group of n rows has bins of about n / 4096.
 BIN_BITS = 12
 
@@ -41,6 +43,21 @@ def distributed_rank(df: DataFrame, groups: Sequence[str], ident: Sequence[str],
     return joined.select(*df.columns, name)
 
 
+def running_sum(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add the sum of `value` up to and with each row in the order of `order`, over the whole table.
+
+    Rows are put into ranges of the order; sums of whole ranges, one row per partition, are added
+    up first, and only rows of one range are sorted together. `order` should be unique.
+    """
+    placed = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sums = placed.groupBy("__part").agg(F.sum(value).alias("__s"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("__part", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__off"))
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.join(offsets, "__part").withColumn(name, F.col("__off") + F.sum(value).over(inside))
+    return joined.select(*df.columns, name)
+
+
 def unsigned_mod(hashed: Column, n: int) -> Column:
     """A hash as a bucket number from 0 to n - 1."""
     return F.pmod(hashed, F.lit(n))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergeloom.functions.values import unsigned_modulo, xorshift
+from mergeloom.operators.ranking import running_sum
 
 
 def adjacent_pairs(tokens: Column) -> Column:
@@ -83,7 +84,7 @@ def block_rows(df: DataFrame, ident: str, content: str, size: int = 4096, whole_
     index = F.col("block_no")
     if whole_corpus:
         per = rows.groupBy(F.col(ident).alias("__i")).agg(F.count(F.lit(1)).alias("__c"))
-        before = per.select("__i", F.coalesce(F.sum("__c").over(Window.orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+        before = running_sum(per, ["__i"], "__c", "__upto").select("__i", (F.col("__upto") - F.col("__c")).alias("__before"))
         rows = rows.join(before, F.col(ident) == F.col("__i"))
         index = F.col("block_no") + F.col("__before")
     return rows.select(ident, index.cast("bigint").alias("block_no"), "start_byte", "end_byte", F.encode("b", "ISO-8859-1").alias("content"), split_of(index).alias("split"))

@@ -14,7 +14,7 @@ from mergeloom.functions.automaton import expansions
 from mergeloom.functions.merge_columns import token_ids, load_automaton
 from mergeloom.functions.routing import PACK_OF_BYTE
 from mergeloom.operators import corpus, encode, lm, mapping, route, stats, train, windows
-from mergeloom.operators.ranking import first_arrival
+from mergeloom.operators.ranking import first_arrival, running_sum
 from mergeloom.plans import experiments
 from mergeloom.session import cut
 from mergeloom.sources import files
@@ -453,15 +453,8 @@ def unit_spans(spark, d):
 
 
 def _doc_spans(spark, d):
-    upto = F.sum("n").over(_by_doc())
     rows = t(spark, d, "documents").select("doc_id", "domain", F.octet_length("text").cast("bigint").alias("n")).where("n > 0")
-    return rows.withColumn("end_byte", upto).select((F.col("end_byte") - F.col("n")).alias("start_byte"), "end_byte", "domain")
-
-
-def _by_doc():
-    from pyspark.sql import Window
-
-    return Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return running_sum(rows, ["doc_id"], "n", "end_byte").select((F.col("end_byte") - F.col("n")).alias("start_byte"), "end_byte", "domain")
 
 
 @query

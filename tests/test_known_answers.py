@@ -14,7 +14,7 @@ from mergeloom.artifact import Artifact, FlatModel, Pack, PackedModel, PackModel
 from mergeloom.errors import ArtifactError, CorpusError, DecodeError, FlatModelError, LanguageModelError, MergeloomError, PackModelError, RegistryError, TrainingError
 from mergeloom.functions import values as V
 from mergeloom.operators import corpus, encode, lm, mapping, route, stats, train, windows
-from mergeloom.operators.ranking import distributed_rank, first_arrival
+from mergeloom.operators.ranking import distributed_rank, first_arrival, running_sum
 from mergeloom.sources import files
 from mergeloom.streaming.encode import pack_counts_stream
 from tests.test_automaton import by_definition
@@ -361,6 +361,8 @@ def test_ranking(spark):
     df = spark.createDataFrame([(i % 2, i) for i in range(500)], "g int, i int")
     for g in (0, 1):
         assert sorted(r["rank"] for r in distributed_rank(df, ["g"], ["i"], 3).where(f"g = {g}").collect()) == list(range(250))
+    sums = running_sum(spark.createDataFrame([(i * 7 % 300, i * 7 % 300 + 1) for i in range(300)], "i int, v int"), ["i"], "v", "s").collect()
+    assert {r.i: r.s for r in sums} == {i: (i + 1) * (i + 2) // 2 for i in range(300)}
     kept = first_arrival(spark.createDataFrame([(1, "b", 2), (1, "a", 1), (2, None, None)], "k int, v string, t int"), ["k"], ["v"], ["t"])
     assert {tuple(r) for r in kept.collect()} == {(1, "a"), (2, None)}
 
