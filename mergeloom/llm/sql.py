@@ -72,6 +72,23 @@ same AS (SELECT a.unit_id AS ua, b.unit_id AS ub FROM k a JOIN k b ON a.corpus_i
 found AS (SELECT DISTINCT least(ua, ub) AS unit_id_a, greatest(ua, ub) AS unit_id_b FROM (FROM near UNION ALL FROM same))
 """
 
+# Characters that look like the one below them, apart from full-width forms, which follow by rule.
+LOOKS = "\u00a0\u2007\u2009\u202f\u3000\u2011ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοЅІАВЕКМНОРСТХЈаеорсухѕіјόΌёЁїЇ"
+LIKE = "     -ABEZHIKMNOPTYXoSIABEKMHOPCTXJaeopcyxsijóÓëËïÏ"
+
+
+def look(text: str) -> str:
+    """One form of a text, for the characters that occur in the given tables."""
+    wide = "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F))
+    flat = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+    emoji = r"[\x{1F000}-\x{1FFFF}]"
+    joined = f"regexp_replace({text}, '({emoji})\\x{{200D}}({emoji})', '\\1' || chr(57344) || '\\2', 'g')"
+    seen = f"regexp_replace({joined}, '[\\x{{AD}}\\x{{200B}}-\\x{{200D}}\\x{{2060}}\\x{{FEFF}}]', '', 'g')"
+    return f"nfc_normalize(translate(replace(replace({seen}, chr(64257), 'fi'), chr(64258), 'fl'), '{LOOKS}{wide}', '{LIKE}{flat}'))"
+
+
+GRAMS = "SELECT {0} AS id, array_to_string(ws[i:i + 11], ' ') AS g FROM (SELECT {0}, ws, unnest(range(1, len(ws) - 10)) AS i FROM (SELECT {0}, regexp_extract_all(lower({1}), '[\\p{{L}}\\p{{N}}]+') AS ws FROM {2}))"
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -97,5 +114,7 @@ SELECT source_id FROM grp JOIN apart USING (group_id)""",
         "p5_found": P5 + "SELECT metric_id FROM budget WHERE off",
         "p6_found": P6 + "SELECT * FROM found",
         "p6_counts": P6 + "SELECT corpus_id, split, source, count(DISTINCT unit_id) AS units FROM k JOIN found ON unit_id IN (unit_id_a, unit_id_b) WHERE split <> 'train' GROUP BY ALL",
+        "p8_found": f"WITH d AS ({GRAMS.format('doc_id', look('text'), 'documents')}), e AS ({GRAMS.format('item_id', look('text'), 'eval_items')}) SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM d JOIN e USING (g)",
+        "p9_found": f"WITH d AS (SELECT DISTINCT doc_id, text, {look('text')} AS c FROM documents WHERE text IS NOT NULL) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b USING (c) WHERE a.text <> b.text AND a.doc_id < b.doc_id",
         "p7_found": f"WITH {COUNTED} SELECT context_name, doc_id FROM (SELECT DISTINCT doc_id, tokens FROM counted), context_sizes WHERE tokens > capacity_tokens",
     }
