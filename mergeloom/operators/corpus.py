@@ -96,62 +96,78 @@ def shingle_sets(df: DataFrame, ident: str, content: str, k: int = SHINGLE, stri
     return df.select(F.col(ident), rolling(k, stride, distinct=True)(F.col(content)).alias("shingles"))
 
 
-def near_duplicate_pairs(df: DataFrame, ident: str, content: str, k: int = SHINGLE, stride: int = STRIDE) -> DataFrame:
-    """Columns (id_a, id_b, common, total), a < b: pairs whose shingle sets have a Jaccard similarity of 0.8 or more.
+def near_classes(df: DataFrame, ident: str, content: str, k: int = SHINGLE, stride: int = STRIDE) -> tuple[DataFrame, DataFrame]:
+    """(members, near): rows (id, cls, n) with the class of equal shingle sets, named by its least id, and pairs (a, b, common, total), a < b, of classes with a Jaccard similarity of 0.8 or more.
 
-    Equal sets are one class until the end. Sets of classes are joined on a prefix of their rarest
-    shingles, n - ceil(0.8 n) + 1 of n, one of which any such pair shares.
+    Classes are joined on a prefix of their rarest shingles, n - ceil(0.8 n) + 1 of n, one of which
+    any such pair shares, and checked exactly. Contents without a shingle are in no class.
     """
-    sets = shingle_sets(df, ident, content, k, stride).where(F.size("shingles") > 0).select(F.col(ident).alias("id"), "shingles", F.xxhash64("shingles").alias("key"))
-    sets = cut(sets)
-    classes = cut(sets.groupBy("key").agg(F.min_by("shingles", "id").alias("shingles")))
-    one = classes.select("key", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    sets = shingle_sets(df, ident, content, k, stride).where(F.size("shingles") > 0).select(F.col(ident).alias("id"), "shingles")
+    sets = cut(sets.withColumn("key", F.unhex(F.md5(F.array_join("shingles", ",").cast("binary")))))
+    named = sets.groupBy("key").agg(F.min("id").alias("cls"))
+    members = sets.select("id", "key", F.size("shingles").alias("n")).join(named, "key").select("id", "cls", "n")
+    classes = cut(sets.join(named, "key").where("id = cls").select("cls", "shingles").dropDuplicates(["cls"]))
+    one = classes.select("cls", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     counts = one.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    own = Window.partitionBy("key")
+    own = Window.partitionBy("cls")
     hits = one.join(counts, "s").withColumn("place", F.row_number().over(own.orderBy("c", "s"))).withColumn("k", F.count(F.lit(1)).over(own))
-    prefix = cut(hits.where(F.col("place") + F.col("n") - F.col("k") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1).select("key", "n", "s"))
-    b = prefix.select(F.col("key").alias("kb"), F.col("n").alias("nb"), "s")
-    candidates = prefix.join(b, "s").where((F.col("key") < F.col("kb")) & (F.least("n", "nb") * 5 >= F.greatest("n", "nb") * 4)).select(F.col("key").alias("ka"), "kb").distinct()
-    sa, sb = classes.select(F.col("key").alias("ka"), F.col("shingles").alias("sa")), classes.select(F.col("key").alias("kb"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    near = candidates.join(sa, "ka").join(sb, "kb").withColumn("common", common).withColumn("total", F.size("sa") + F.size("sb") - F.col("common")).where("common * 5 >= total * 4").select("ka", "kb", "common", "total")
-    same = classes.select(F.col("key").alias("ka"), F.col("key").alias("kb"), F.size("shingles").alias("common"), F.size("shingles").alias("total"))
-    ma, mb = sets.select(F.col("key").alias("ka"), F.col("id").alias("x")), sets.select(F.col("key").alias("kb"), F.col("id").alias("y"))
-    pairs = near.join(ma, "ka").join(mb, "kb").unionByName(same.join(ma, "ka").join(mb, "kb").where("x < y"))
-    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "common", "total")
+    prefix = cut(hits.where(F.col("place") + F.col("n") - F.col("k") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1).select("cls", "n", "s"))
+    other = prefix.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "s")
+    candidates = prefix.join(other, "s").where((F.col("cls") < F.col("b")) & (F.least("n", "nb") * 5 >= F.greatest("n", "nb") * 4)).select(F.col("cls").alias("a"), "b").distinct()
+    sa, sb = classes.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), classes.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
+    scored = candidates.join(sa, "a").join(sb, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    near = scored.withColumn("total", F.size("sa") + F.size("sb") - F.col("common")).where("common * 5 >= total * 4").select("a", "b", "common", "total")
+    return members, near
+
+
+def near_duplicate_pairs(df: DataFrame, ident: str, content: str, k: int = SHINGLE, stride: int = STRIDE) -> DataFrame:
+    """Columns (id_a, id_b, common, total), id_a < id_b: near-duplicate pairs between class representatives, and each other member of a class with its representative.
+
+    Representatives are the least ids of equal shingle sets, so copies are never expanded into all pairs.
+    """
+    members, near = near_classes(df, ident, content, k, stride)
+    copies = members.where("id > cls").select(F.col("cls").alias("a"), F.col("id").alias("b"), F.col("n").alias("common"), F.col("n").alias("total"))
+    return near.unionByName(copies).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "common", "total")
 
 
 def accept_blocks(blocks: DataFrame, ident: str, split: str, content: str, long: int = PASSAGE) -> DataFrame:
     """Columns (ident, split, kept, reason): train blocks are accepted; a validation or test block in order of `ident` is not
     if it shares a `long`-byte passage with an accepted block before it, or is a near-duplicate of one. Test blocks are compared with train and validation only.
 
-    Acceptance depends on order, so it runs over the links between held-out blocks: each round
-    decides the blocks whose earlier neighbours are all decided.
+    Acceptance depends on order. Each round decides the blocks whose earlier neighbours are all
+    decided, from the least accepted and the least undecided validation block of every passage and
+    of every class of equal shingle sets; blocks are never paired with each other. Rounds are as
+    many as the longest chain of neighbours.
     """
     b = cut(blocks.select(F.col(ident).alias("id"), F.col(split).alias("s"), F.col(content).alias("c")))
     h = b.select("id", "s", F.explode(rolling(long, distinct=True)(F.col("c"))).alias("h"))
     train = h.where("s = 'train'").select("h").distinct()
-    by_train = h.where("s <> 'train'").join(train, "h", "left_semi").select("id").distinct()
-    val = h.where("s = 'validation'")
-    shared = h.where("s <> 'train'").select(F.col("id").alias("y"), F.col("s").alias("sy"), "h").join(val.select(F.col("id").alias("x"), "h"), "h").where("(sy = 'validation' and x < y) or sy = 'test'").select("x", "y").distinct()
-    near = near_duplicate_pairs(b.select("id", "c"), "id", "c").select("id_a", "id_b")
-    both = near.union(near.select("id_b", "id_a")).toDF("x", "y")
-    named = both.join(b.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(b.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y").where("sy <> 'train'")
-    near_train = named.where("sx = 'train'").select(F.col("y").alias("id")).distinct()
-    near_val = named.where("sx = 'validation' and ((sy = 'validation' and x < y) or sy = 'test')").select("x", "y")
-    links = cut(shared.withColumn("why", F.lit(0)).union(near_val.withColumn("why", F.lit(1))))
+    passages = cut(h.where("s <> 'train'"))
+    by_train = passages.join(train, "h", "left_semi").select("id").distinct()
+    members, near = near_classes(b.select("id", "c"), "id", "c")
+    classed = cut(members.join(b.select("id", "s"), "id").select("id", "s", "cls"))
+    links = cut(near.select("a", "b").union(near.select("b", "a")).union(members.select(F.col("cls").alias("a"), F.col("cls").alias("b"))).distinct().toDF("k", "cls"))
+    trained = classed.where("s = 'train'").select(F.col("cls").alias("k")).distinct()
+    near_train = classed.where("s <> 'train'").join(links.join(trained, "k", "left_semi").select("cls").distinct(), "cls", "left_semi").select("id").distinct()
     state = b.where("s <> 'train'").select("id", "s").join(by_train.withColumn("p", F.lit(True)), "id", "left").join(near_train.withColumn("q", F.lit(True)), "id", "left")
-    state = cut(state.select("id", "s", "p", "q", F.when(F.col("p"), "shared-128-byte").alias("reason")))
+    state = cut(state.select("id", "s", "q", F.when(F.col("p"), "shared-128-byte").alias("reason")))
+
+    def seen(rows: DataFrame, key: str, least: DataFrame, name: str) -> DataFrame:
+        before = lambda c: F.max((F.col(c).isNotNull() & ((F.col("s") == "test") | (F.col(c) < F.col("id")))))
+        return rows.join(least, key).groupBy("id").agg(before("acc").alias(f"a{name}"), before("und").alias(f"o{name}"))
+
     while True:
-        known = state.select(F.col("id").alias("x"), F.col("reason").alias("rx"))
-        seen = links.join(known, "x").groupBy(F.col("y").alias("id")).agg(F.max((F.col("rx") == "accepted") & (F.col("why") == 0)).alias("a0"), F.max((F.col("rx") == "accepted") & (F.col("why") == 1)).alias("a1"), F.max((F.col("rx").isNull() & (F.col("why") == 0))).alias("o0"), F.max(F.col("rx").isNull()).alias("o"))
-        f = lambda c: F.coalesce(F.col(c), F.lit(False))
-        reason = F.coalesce("reason", F.when(f("a0"), "shared-128-byte").when(f("o0"), None).when(f("q") | f("a1"), "near-duplicate-jaccard80").when(~f("o"), "accepted"))
-        state = cut(state.join(seen, "id", "left").select("id", "s", "p", "q", reason.alias("reason")))
+        val = state.where("s = 'validation'").select(F.col("id").alias("v"), "reason")
+        least = [F.min(F.when(F.col("reason") == "accepted", F.col("v"))).alias("acc"), F.min(F.when(F.col("reason").isNull(), F.col("v"))).alias("und")]
+        by_passage = passages.join(val, F.col("id") == F.col("v")).groupBy("h").agg(*least)
+        by_class = classed.join(val, F.col("id") == F.col("v")).select(F.col("cls").alias("k"), "v", "reason").join(links, "k").groupBy("cls").agg(*least)
+        first, second = seen(passages, "h", by_passage, "0"), seen(classed.where("s <> 'train'"), "cls", by_class, "1")
+        is_true = lambda c: F.coalesce(F.col(c), F.lit(False))
+        decided = F.when(is_true("a0"), "shared-128-byte").when(is_true("o0"), None).when(is_true("q") | is_true("a1"), "near-duplicate-jaccard80").when(~is_true("o1"), "accepted")
+        state = cut(state.join(first, "id", "left").join(second, "id", "left").select("id", "s", "q", F.coalesce("reason", decided).alias("reason")))
         if state.where("reason is null").isEmpty():
             break
-    done = state.select("id", "reason")
-    out = b.join(done, "id", "left").select(F.col("id").alias(ident), F.col("s").alias(split), F.coalesce("reason", F.lit("accepted")).alias("reason"))
+    out = b.join(state.select("id", "reason"), "id", "left").select(F.col("id").alias(ident), F.col("s").alias(split), F.coalesce("reason", F.lit("accepted")).alias("reason"))
     return out.select(ident, split, (F.col("reason") == "accepted").alias("kept"), "reason")
 
 

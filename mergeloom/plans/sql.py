@@ -115,7 +115,11 @@ SELECT l.off AS raw_byte_start, r.off - l.off AS raw_target_bytes, r.off AS raw_
     "split_composition": f"WITH {UNITS} SELECT source, sum(CASE WHEN kept AND split = 'train' THEN strlen(body) ELSE 0 END)::BIGINT AS train, sum(CASE WHEN kept AND split = 'validation' THEN strlen(body) ELSE 0 END)::BIGINT AS validation, sum(CASE WHEN kept AND split = 'test' THEN strlen(body) ELSE 0 END)::BIGINT AS test, sum(CASE WHEN NOT kept THEN strlen(body) ELSE 0 END)::BIGINT AS removed FROM un GROUP BY source",
     "shared_passages": f"WITH {UNIT_GRAMS.format(32)}, g AS (SELECT DISTINCT split, g FROM grams) SELECT a.split AS split_a, b.split AS split_b, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.split < b.split GROUP BY ALL",
     "drop_leaky_blocks": f"WITH {UNIT_GRAMS.format(128)}, bad AS (SELECT DISTINCT h.unit_id FROM grams h JOIN grams t ON h.g = t.g AND t.split = 'train' AND h.split <> 'train'), bad2 AS (SELECT DISTINCT h.unit_id FROM grams h JOIN grams v ON h.g = v.g AND v.split = 'validation' AND h.split = 'test' WHERE v.unit_id NOT IN (SELECT unit_id FROM bad)) SELECT unit_id, split, unit_id NOT IN (SELECT unit_id FROM bad) AND unit_id NOT IN (SELECT unit_id FROM bad2) AS kept FROM un",
-    "near_dup_pairs": f"WITH {HEXED}, s AS (SELECT DISTINCT doc_id, substr(h, 32 * i + 1, 64) AS g FROM (SELECT doc_id, h, unnest(range((length(h) // 2 - 32) // 16 + 1)) AS i FROM hexed WHERE length(h) >= 64)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), c AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL) SELECT id_a, id_b, common::INT AS common, (x.n + y.n - common)::INT AS total FROM c JOIN n x ON x.doc_id = id_a JOIN n y ON y.doc_id = id_b WHERE common * 5 >= (x.n + y.n - common) * 4",
+    "near_dup_pairs": f"""WITH {HEXED}, s AS (SELECT DISTINCT doc_id, substr(h, 32 * i + 1, 64) AS g FROM (SELECT doc_id, h, unnest(range((length(h) // 2 - 32) // 16 + 1)) AS i FROM hexed WHERE length(h) >= 64)),
+k AS (SELECT doc_id, count(*) AS n, sha256(string_agg(g, ',' ORDER BY g)) AS k FROM s GROUP BY doc_id), r AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY k) AS cls FROM k), q AS (SELECT s.* FROM s JOIN r USING (doc_id) WHERE doc_id = cls),
+c AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) AS common FROM q a JOIN q b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT id_a, id_b, common::INT AS common, (x.n + y.n - common)::INT AS total FROM c JOIN r x ON x.doc_id = id_a JOIN r y ON y.doc_id = id_b WHERE common * 5 >= (x.n + y.n - common) * 4
+UNION ALL SELECT cls, doc_id, n::INT, n::INT FROM r WHERE doc_id > cls""",
     "unit_spans": f"WITH {UNITS}, k AS (SELECT unit_id, source, end_byte - start_byte AS n FROM un WHERE corpus_id = 1 AND kept AND split = 'train'), s AS (SELECT name, category FROM sources QUALIFY row_number() OVER (PARTITION BY name ORDER BY corpus_id, source_id) = 1), p AS (SELECT source, n, sum(n) OVER (ORDER BY unit_id)::BIGINT AS e FROM k) SELECT e - n AS start_byte, e AS end_byte, category, CASE category WHEN 'english-drama' THEN 'english-literature' WHEN 'english-prose' THEN 'english-literature' WHEN 'german-prose' THEN 'german-prose' WHEN 'code' THEN 'rust-source' WHEN 'synthetic-json' THEN 'synthetic-json' WHEN 'synthetic-unicode' THEN 'synthetic-unicode' END AS domain FROM p LEFT JOIN s ON source = name",
     "domain_of_token": f"WITH {TOKEN_DOMAINS} SELECT pos, start_byte, end_byte, domain FROM td",
     "domain_rollup": f"WITH {GRAINS} SELECT * FROM gr",

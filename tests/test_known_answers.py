@@ -217,11 +217,48 @@ def test_near_duplicates_against_brute_force(spark):
         t = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 900)))
         texts += [t, t, t[:-40] + "x" * 40 if len(t) > 40 else t, t[: len(t) // 2]]
     sets = [set(V.rolling_hashes(t.encode(), 32)[::16].tolist()) for t in texts]
-    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if sets[a] | sets[b] and len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4}
+    first = {}
+    for i, x in enumerate(sets):
+        first.setdefault(frozenset(x), i)
+    reps = sorted(i for x, i in first.items() if x)
+    want = {(a, b) for a in reps for b in reps if a < b and len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4}
+    want |= {(first[frozenset(x)], i) for i, x in enumerate(sets) if x and first[frozenset(x)] < i}
     got = corpus.near_duplicate_pairs(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "i", "t").collect()
     assert {(r.id_a, r.id_b) for r in got} == want and len(got) == len(want)
 
 
+def slow_acceptance(rows):
+    """Blocks (id, split, bytes) in order of split and id, by the rules as they read."""
+    kept, out = [], {}
+    for split in ("train", "validation", "test"):
+        for i, s, data in sorted(r for r in rows if r[1] == split):
+            longs, shingles = set(V.rolling_hashes(data, 128).tolist()), set(V.rolling_hashes(data, 32)[::16].tolist())
+            reason = "accepted"
+            if split != "train":
+                if any(longs & k[0] for k in kept):
+                    reason = "shared-128-byte"
+                elif any(shingles | k[1] and len(shingles & k[1]) * 5 >= len(shingles | k[1]) * 4 for k in kept):
+                    reason = "near-duplicate-jaccard80"
+            out[i] = reason
+            if reason == "accepted" and split != "test":
+                kept.append((longs, shingles))
+    return out
+
+
+def test_acceptance_against_the_sequential_rule(spark):
+    rng = random.Random(12)
+    base = [bytes(rng.randrange(97, 123) for _ in range(260)) for _ in range(5)]
+    rows = []
+    for i in range(60):
+        t = bytearray(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(len(t))] = 35 + rng.randrange(3)
+        rows.append((i, rng.choice(["train", "validation", "validation", "test"]), bytes(t[: rng.choice([120, 200, 260])])))
+    rows = [r for r in rows if r[1] != "train" or r[0] % 4 == 0]
+    got = {r.i: r.reason for r in corpus.accept_blocks(spark.createDataFrame(rows, "i int, s string, c binary"), "i", "s", "c").collect()}
+    assert got == slow_acceptance(rows) and len(set(got.values())) == 3
+
+
 def test_model_gradients_and_files():
     rng = np.random.default_rng(0)
     for packs, rows in (((), 20), (((0, 8), (65535, 12)), 0)):
