@@ -227,10 +227,14 @@ def look_pairs(documents: DataFrame, rewriter: Rewriter | None = None) -> DataFr
     """Columns (doc_id_a, doc_id_b), a < b: texts that are not identical but look the same.
 
     Digests are joined, no texts. Looks with one spelling only, however many copies there are,
-    leave before the join.
+    leave before the join; the others are paired by spelling, and only pairs of different spellings
+    are expanded to documents, so the work follows the result.
     """
     rows = cut(look_classes_of(documents, rewriter))
-    spelled = rows.groupBy("look", "raw").agg(F.count(F.lit(1)).alias("n")).groupBy("look").agg(F.count(F.lit(1)).alias("spellings")).where("spellings > 1").select("look")
-    some = cut(rows.join(spelled, "look", "left_semi"))
-    a, b = some.select("look", F.col("raw").alias("ra"), F.col("doc_id").alias("doc_id_a")), some.select("look", F.col("raw").alias("rb"), F.col("doc_id").alias("doc_id_b"))
-    return a.join(b, "look").where("ra <> rb and doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
+    spellings = rows.groupBy("look", "raw").agg(F.count(F.lit(1)).alias("n"))
+    several = spellings.groupBy("look").agg(F.count(F.lit(1)).alias("spellings")).where("spellings > 1").select("look")
+    some = cut(spellings.join(several, "look", "left_semi").select("look", "raw"))
+    pairs = some.select("look", F.col("raw").alias("ra")).join(some.select("look", F.col("raw").alias("rb")), "look").where("ra < rb").select("ra", "rb")
+    a, b = rows.select(F.col("raw").alias("ra"), F.col("doc_id").alias("x")), rows.select(F.col("raw").alias("rb"), F.col("doc_id").alias("y"))
+    found = pairs.join(a, "ra").join(b, "rb").where("x <> y")
+    return found.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
