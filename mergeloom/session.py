@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +40,23 @@ def cut(df: DataFrame) -> DataFrame:
         given = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="mergeloom-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python workers can import it.
+
+    The archive is served by the driver; where the package is installed on the workers it changes nothing.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_mergeloom_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="mergeloom-package-"), "mergeloom.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(home):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(home)))
+    sc.addPyFile(archive)
+    sc._mergeloom_shipped = True
