@@ -148,17 +148,38 @@ class MergeAutomaton:
 
         `offsets` has one more entry than there are texts. Empty texts have no tokens.
         """
+        if len(offsets) == 2 and len(data) > 2 * CHUNK_BYTES:
+            walked = (self._walk(x, np.array([0, len(x)])) for x in self._segments(data))
+            ids = np.concatenate([self.ids[last[ends]] for last, ends in walked])
+            return ids, np.array([0, len(ids)])
         last, ends = self._walk(data, offsets)
         places = np.flatnonzero(ends)
         return self.ids[last[places]], np.searchsorted(places, offsets)
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of every text."""
+        if len(offsets) == 2 and len(data) > 2 * CHUNK_BYTES:
+            return np.array([sum(int(self._walk(x, np.array([0, len(x)]))[1].sum()) for x in self._segments(data))], np.int64)
         _, ends = self._walk(data, offsets)
         total = np.zeros(len(data) + 1, np.int64)
         np.cumsum(ends, out=total[1:])
         return total[offsets[1:]] - total[offsets[:-1]]
 
+    def _segments(self, data: np.ndarray) -> Iterable[np.ndarray]:
+        """A very long text in parts of about CHUNK_BYTES, cut where a token ends in any case, so that memory doesn't grow with the text."""
+        a, n = 0, len(data)
+        while a < n:
+            b = a + CHUNK_BYTES
+            while b < n:
+                step = min(n, b + CHUNK_BYTES)
+                hit = np.flatnonzero(self.apart[data[b - 1 : step - 1], data[b:step]])
+                if len(hit):
+                    b += int(hit[0])
+                    break
+                b = step
+            yield data[a : min(b, n)]
+            a = min(b, n)
+
     def _walk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The last token of every prefix of every lane, and where the tokens of the result end."""
         n = len(data)

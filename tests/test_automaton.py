@@ -70,6 +70,19 @@ def test_long_stretch_takes_the_other_way():
     assert ids.tolist() == by_definition(text, m)
 
 
+def test_very_long_texts_are_cut_where_tokens_end(monkeypatch):
+    import mergeloom.functions.automaton as A
+
+    m = [(97, 98, 256), (256, 256, 257), (98, 97, 258)]
+    for text in (b"abbaababcab" * 40, b"ab" * 200, b"c" * 300):
+        automaton = MergeAutomaton(np.array(m))
+        want = by_definition(text, m)
+        monkeypatch.setattr(A, "CHUNK_BYTES", 16)
+        ids, begin = automaton.tokens(*joined([text]))
+        assert ids.tolist() == want and begin.tolist() == [0, len(want)] and automaton.counts(*joined([text])).tolist() == [len(want)]
+        monkeypatch.undo()
+
+
 def test_bad_tables():
     with pytest.raises(ValueError):
         expansions([(300, 1, 256)])
