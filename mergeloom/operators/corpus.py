@@ -16,6 +16,12 @@ PASSAGE, SHINGLE, STRIDE = 128, 32, 16
 HELD_OUT = ("validation", "test")
 
 
+def split_name(proposed: Column) -> Column:
+    """Split names without case and outer blanks of any kind; val is validation."""
+    name = F.lower(F.regexp_replace(proposed, r"(?U)^\s+|\s+$", ""))
+    return F.when(name == "val", "validation").otherwise(name)
+
+
 def marked_body(text: Column) -> Column:
     """The part between the line with `*** START OF ` and `*** END OF `; an error if there is none."""
     got = F.regexp_extract(text, r"(?s)\*\*\* START OF [^\n]*\n(.*?)\*\*\* END OF ", 1)

@@ -46,8 +46,9 @@ def once_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def once_units(spark: SparkSession, d: str) -> DataFrame:
+    """Units by id, once, with a body and a split (spelled in any way that TESTDATA.md allows)."""
     rows = first_arrival(t(spark, d, "units"), ["unit_id"], ["corpus_id", "source", "start_byte", "end_byte", "proposed", "kept", "body"], ["ingested_at"])
-    return rows.where("body is not null and unit_id is not null").withColumn("split", F.lower(F.trim("proposed"))).where("split in ('train', 'validation', 'test')")
+    return rows.where("body is not null and unit_id is not null").withColumn("split", corpus.split_name(F.col("proposed"))).where("split in ('train', 'validation', 'test')")
 
 
 def flat_merges(spark: SparkSession, d: str) -> list[tuple[int, int, int]]:
