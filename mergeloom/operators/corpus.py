@@ -183,15 +183,21 @@ def composition(units: DataFrame, source: str, split: str, size: str, kept: str)
     return units.groupBy(source).agg(*[at(s) for s in ("train", *HELD_OUT)], F.sum(F.when(~F.col(kept), F.col(size)).otherwise(0)).alias("removed"))
 
 
-def unit_spans(units: DataFrame, sources: DataFrame, split: str) -> DataFrame:
+def unit_spans(units: DataFrame, sources: DataFrame, split: str, corpus: str | None = None) -> DataFrame:
     """Columns (start_byte, end_byte, category): places of a split's kept units in the joined split, in unit order.
 
-    `units` has (ord, source, start, end, proposed, kept), `sources` (name, category). The ordered
-    sum of lengths runs over ranges of `ord` (see running_sum).
+    `units` has (ord, source, start, end, proposed, kept), `sources` (name, category). With `corpus`,
+    a column of both that comes first in the result, every corpus has a joined split of its own and
+    its own sources. The ordered sum of lengths runs over ranges of `ord` (see running_sum).
     """
-    mine = units.where(F.col("kept") & (F.col("proposed") == split)).select("ord", "source", (F.col("end") - F.col("start")).alias("size"))
-    named = mine.join(sources.select(F.col("name").alias("source"), "category"), "source", "left")
-    return running_sum(named, ["ord"], "size", "end_byte").select((F.col("end_byte") - F.col("size")).alias("start_byte"), "end_byte", "category")
+    own = [corpus] if corpus else []
+    mine = units.where(F.col("kept") & (F.col("proposed") == split)).select(*own, "ord", "source", (F.col("end") - F.col("start")).alias("size"))
+    names = sources.select(*[F.col(c).alias("__c") for c in own], F.col("name").alias("__name"), "category")
+    same = F.col("source") == F.col("__name")
+    for c in own:
+        same = same & F.col(c).eqNullSafe(F.col("__c"))
+    named = mine.join(names, same, "left").select(*own, "ord", "size", "category")
+    return running_sum(named, ["ord"], "size", "end_byte", own).select(*own, (F.col("end_byte") - F.col("size")).alias("start_byte"), "end_byte", "category")
 
 
 def token_domains(tokens: DataFrame, spans: DataFrame, width: int = 8192) -> DataFrame:

@@ -43,18 +43,21 @@ def distributed_rank(df: DataFrame, groups: Sequence[str], ident: Sequence[str],
     return joined.select(*df.columns, name)
 
 
-def running_sum(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
-    """Add the sum of `value` up to and with each row in the order of `order`, over the whole table.
+def running_sum(df: DataFrame, order: Sequence[str], value: str, name: str, groups: Sequence[str] = ()) -> DataFrame:
+    """Add the sum of `value` up to and with each row in the order of `order`, over the whole table or within each group.
 
-    Rows are put into ranges of the order; sums of whole ranges, one row per partition, are added
-    up first, and only rows of one range are sorted together. `order` should be unique.
+    Rows are put into ranges of the order; sums of whole ranges, one row per partition and group,
+    are added up first, and only rows of one range are sorted together. `order` should be unique.
     """
-    placed = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    sums = placed.groupBy("__part").agg(F.sum(value).alias("__s"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("__part", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__off"))
-    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = placed.join(offsets, "__part").withColumn(name, F.col("__off") + F.sum(value).over(inside))
+    placed = cut(df.repartitionByRange(*groups, *order).withColumn("__part", F.spark_partition_id()))
+    sums = placed.groupBy(*groups, "__part").agg(F.sum(value).alias("__s"))
+    before = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__part").alias("__p"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__off"))
+    same = F.col("__part") == F.col("__p")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    inside = Window.partitionBy(*groups, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.join(offsets, same).withColumn(name, F.col("__off") + F.sum(value).over(inside))
     return joined.select(*df.columns, name)
 
 

@@ -447,10 +447,10 @@ def accept_blocks(spark, d):
 
 @query
 def unit_spans(spark, d):
-    units = once_units(spark, d).where("corpus_id = 1").select(F.col("unit_id").alias("ord"), "source", F.col("start_byte").alias("start"), F.col("end_byte").alias("end"), F.col("split").alias("proposed"), "kept")
-    sources = first_arrival(t(spark, d, "sources"), ["name"], ["category"], ["corpus_id", "source_id"])
-    rows = corpus.unit_spans(units, sources, "train")
-    return rows.select("start_byte", "end_byte", "category", V.domain_of(F.col("category")).alias("domain"))
+    units = once_units(spark, d).select("corpus_id", F.col("unit_id").alias("ord"), "source", F.col("start_byte").alias("start"), F.col("end_byte").alias("end"), F.col("split").alias("proposed"), "kept")
+    sources = first_arrival(t(spark, d, "sources"), ["corpus_id", "name"], ["category"], ["source_id"])
+    rows = corpus.unit_spans(units, sources, "train", "corpus_id")
+    return rows.select("corpus_id", "start_byte", "end_byte", "category", V.domain_of(F.col("category")).alias("domain"))
 
 
 def _doc_spans(spark, d):

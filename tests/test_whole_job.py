@@ -28,3 +28,11 @@ def test_val_is_validation(spark, tmp_path):
     assert sorted(r[:3] for r in run(spark, tmp_path, "accept_blocks")) == kept
     assert {r[:2] for r in run(spark, tmp_path, "shared_passages")} == {("train", "validation"), ("test", "validation")}
     assert run(spark, tmp_path, "split_composition") == [("a.txt", len(body(1)), 2 * len(body(1)), 2 * len(body(1)), 0)]
+
+
+def test_unit_spans_of_every_corpus(spark, tmp_path):
+    units = [unit(i, "train", "x" * n, corpus_id=c) for i, c, n in ((1, 1, 5), (2, 2, 7), (3, 1, 3), (4, 2, 2), (5, None, 4), (6, 2, 6))]
+    sources = [dict(source_id=1, corpus_id=1, name="a.txt", category="code"), dict(source_id=2, corpus_id=2, name="a.txt", category="german-prose")]
+    got = run(spark, tmp_path, "unit_spans", units=units, sources=sources)
+    one, two = ("code", "rust-source"), ("german-prose", "german-prose")
+    assert set(got) == {(1, 0, 5, *one), (1, 5, 8, *one), (2, 0, 7, *two), (2, 7, 9, *two), (2, 9, 15, *two), (None, 0, 4, None, None)} and len(got) == 6
