@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from mergeloom.session import cut
 
 #: Author names that say nothing, as sorted words.
 FILLERS = frozenset({"", "unknown", "anonymous", "a n"})
-#: Bits of a subset-sum set; larger totals are measured in a coarser unit and evened out with small groups.
+#: Bits of a subset-sum set up to which all of them are kept; of larger ones only some are, and the rest are made again. Results are the same.
 SUM_BITS = 1 << 18
 
 
@@ -108,34 +109,35 @@ def _nearest(sizes: list[tuple[int, int]], goal: int) -> dict[int, int]:
     """How many groups of each size to take so that their total comes closest to `goal`; sizes are (size, multiplicity).
 
     A bitset has bit s set where a subset of total s exists; a size's multiplicity is taken in
-    powers of two. With totals above SUM_BITS, sizes are counted in a coarser unit, and groups
-    smaller than that unit fill the rest.
+    powers of two. Sums are exact at every size. Above SUM_BITS bits, one set in about sqrt(items)
+    is kept, and the sets of one such stretch at a time are made again to read the subset off.
     """
-    total = sum(s * m for s, m in sizes)
-    goal = max(0, min(goal, total))
-    unit = max(1, -(-total // SUM_BITS))
-    items = [(s, 1 << j, k) for s, m in sizes if s >= unit for j, k in _powers(m)]
-    top = goal // unit + max([max(1, round(s / unit)) for s, _ in sizes], default=0)
-    mask, sets = (1 << (top + 1)) - 1, [1]
-    for s, _, k in items:
-        sets.append((sets[-1] | sets[-1] << (max(1, round(s / unit)) * k)) & mask)
-    got, want = sets[-1], goal // unit
-    below = (got & ((1 << (want + 1)) - 1)).bit_length() - 1
-    above = got >> want
-    up = want + (above & -above).bit_length() - 1 if above else None
-    at = below if up is None or want - below <= up - want else up
+    goal = max(0, min(goal, sum(s * m for s, m in sizes)))
+    items = [(s, k) for s, m in sizes if s for _, k in _powers(m)]
+    top = goal + max([s for s, _ in sizes], default=0)
+    mask = (1 << (top + 1)) - 1
+    step = 1 if top < SUM_BITS else math.isqrt(len(items)) + 1
+    got, kept, used = 1, [1], 0
+    for s, k in items:
+        if got >> goal & 1:
+            break
+        got, used = (got | got << s * k) & mask, used + 1
+        if used % step == 0:
+            kept.append(got)
+    below = (got & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    above = got >> goal
+    up = goal + (above & -above).bit_length() - 1 if above else None
+    at = below if up is None or goal - below <= up - goal else up
     taken: dict[int, int] = {}
-    for i in range(len(items) - 1, -1, -1):
-        if not sets[i] >> at & 1:
-            s, _, k = items[i]
-            taken[s] = taken.get(s, 0) + k
-            at -= max(1, round(s / unit)) * k
-    gap = goal - sum(s * k for s, k in taken.items())
-    for s, m in sorted((x for x in sizes if x[0] < unit), reverse=True):
-        k = max(0, min(m, gap // s)) if s else m
-        if k:
-            taken[s] = k
-            gap -= s * k
+    for first in range((used - 1) // step * step, -1, -step):
+        sets = [kept[first // step]]
+        for s, k in items[first : min(first + step, used) - 1]:
+            sets.append((sets[-1] | sets[-1] << s * k) & mask)
+        for i in range(min(first + step, used) - 1, first - 1, -1):
+            if not sets[i - first] >> at & 1:
+                s, k = items[i]
+                taken[s] = taken.get(s, 0) + k
+                at -= s * k
     return taken
 
 
