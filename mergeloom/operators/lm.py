@@ -341,13 +341,23 @@ def training_runs(runs: DataFrame, model: RecurrentModel, train: np.ndarray, upd
 
 
 def generate(df: DataFrame, model: RecurrentModel, ident: str, prompt: str, count: int) -> DataFrame:
-    """Columns (ident, tokens ARRAY<STRUCT<pack, local>>): greedy continuations of prompts."""
+    """Columns (ident, tokens ARRAY<STRUCT<pack, local>>): greedy continuations of prompts.
+
+    Prompts may have any length: every token must be known, and the last `context` of them decide,
+    as in RecurrentModel.generate, whose limit holds for these and `count` together.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[ident].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
         for pdf in parts:
-            got = [shared.value.generate([(int(t["pack"]), int(t["local"])) for t in p], count) for p in pdf[prompt]]
+            got = []
+            for p in pdf[prompt]:
+                seq = [(int(t["pack"]), int(t["local"])) for t in p]
+                if seq:
+                    m.row(*np.array(seq).T)
+                got.append(m.generate(seq[-m.context :], count))
             yield pd.DataFrame({ident: pdf[ident], "tokens": [[{"pack": p, "local": loc} for p, loc in g] for g in got]})
 
     return df.select(ident, prompt).mapInPandas(run, f"{ident} {kind}, tokens array<struct<pack:int,local:bigint>>")

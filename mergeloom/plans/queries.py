@@ -670,5 +670,5 @@ def rnn_train_runs(spark, d):
 @query
 def rnn_generate(spark, d):
     model, _ = _lm(spark, d)
-    prompts = _packed_sequences(spark, d).where("size(tokens) > 0").select("seq_id", F.slice("tokens", 1, 16).alias("tokens"))
+    prompts = _packed_sequences(spark, d).where("size(tokens) > 0").select("seq_id", "tokens")
     return lm.generate(prompts, model, "seq_id", "tokens", 4)

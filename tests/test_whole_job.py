@@ -6,6 +6,7 @@ import random
 
 import __spark_entry__ as entry_point
 from mergeloom.llm import splits
+from mergeloom.operators import lm
 
 from tests.llm.tables import NOW, frame
 
@@ -54,3 +55,12 @@ def test_large_split_totals_are_exact(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(splits, "SUM_BITS", 1)
             assert splits._nearest(sizes, goal) == whole
+
+
+def test_generation_continues_the_whole_sequence(spark, tmp_path):
+    spark.createDataFrame([(i, i % 3, i // 3, 1) for i in range(512)], "global_id int, pack_id int, local_id int, n_bytes int").write.parquet(f"{tmp_path}/id_map.parquet")
+    rng = random.Random(7)
+    tokens = {1: [rng.randrange(512) for _ in range(40)], 2: [rng.randrange(512) for _ in range(16)], 3: [rng.randrange(512) for _ in range(5000)], 4: [9]}
+    got = dict(run(spark, tmp_path, "rnn_generate", sequences=[dict(seq_id=i, corpus_id=1, split="train", tokens=x, n_bytes=[1] * len(x), encoded_at=NOW) for i, x in tokens.items()]))
+    model = lm.RecurrentModel(16, 16, ((0, 171), (1, 171), (2, 170)), seed=17)
+    assert {i: [tuple(t) for t in x] for i, x in got.items()} == {i: model.generate([(t % 3, t // 3) for t in x[-16:]], 4) for i, x in tokens.items()}
