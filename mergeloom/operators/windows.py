@@ -90,9 +90,13 @@ def block_rows(df: DataFrame, ident: str, content: str, size: int = 4096, whole_
     return rows.select(ident, index.cast("bigint").alias("block_no"), "start_byte", "end_byte", F.encode("b", "ISO-8859-1").alias("content"), split_of(index).alias("split"))
 
 
-def padded_batches(df: DataFrame, ident: str, tokens: str, first: int, targets: int, width: int = 256, rows: int = 8, pad: int = 0) -> DataFrame:
-    """Columns (ident, batch, row, inputs, targets, length): consecutive windows of a range of `targets` targets from token `first`, padded to `width`, `rows` to a batch."""
-    windows = tumbling_windows(df.select(F.col(ident), F.slice(tokens, first, targets + 1).alias("__r")), ident, "__r", width)
+def padded_batches(df: DataFrame, ident: str, tokens: str, first: int | Column = 1, targets: int | Column | None = None, width: int = 256, rows: int = 8, pad: int = 0) -> DataFrame:
+    """Columns (ident, batch, row, inputs, targets, length): consecutive windows of a range of `targets` targets from token `first`, padded to `width`, `rows` to a batch.
+
+    Columns give every sequence a range of its own; without `targets` it reaches to the sequence's end.
+    """
+    size = F.greatest(F.size(tokens), F.lit(0)) if targets is None else targets + 1
+    windows = tumbling_windows(df.select(F.col(ident), F.slice(tokens, first, size).alias("__r")), ident, "__r", width)
     fill = lambda c: F.concat(c, F.array_repeat(F.lit(pad), F.lit(width) - F.size(c)))
     return windows.select(ident, F.floor(F.col("window_no") / rows).cast("int").alias("batch"), (F.col("window_no") % rows).alias("row"), fill(F.col("inputs")).alias("inputs"), fill(F.col("targets")).alias("targets"), F.size("targets").alias("length"))
 

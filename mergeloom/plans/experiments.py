@@ -32,8 +32,8 @@ def schedule_plan(spark: SparkSession, tokens: int, steps: int, context: int = A
     return spark.range(1).select(F.lit(steps).cast("bigint").alias("steps"), F.lit(steps * rows * context).cast("bigint").alias("positions"), F.lit(steps * rows * context / max(tokens, 1)).alias("passes"))
 
 
-def byte_regime(sequences: DataFrame, ident: str, tokens: str, first: int, targets: int, width: int = ARCHITECTURE["context"], rows: int = ROWS) -> DataFrame:
-    """Columns (batches, positions, padded): size of the padded batches over a matched range of targets."""
+def byte_regime(sequences: DataFrame, ident: str, tokens: str, first: int | Column = 1, targets: int | Column | None = None, width: int = ARCHITECTURE["context"], rows: int = ROWS) -> DataFrame:
+    """Columns (batches, positions, padded): size of the padded batches over a range of targets, as in padded_batches."""
     b = padded_batches(sequences, ident, tokens, first, targets, width, rows)
     return b.groupBy(ident).agg((F.max("batch") + 1).alias("batches"), F.sum("length").alias("positions"), F.sum(F.lit(width) - F.col("length")).alias("padded"))
 

@@ -362,7 +362,7 @@ def random_windows(spark, d):
 
 @query
 def padded_batches(spark, d):
-    rows = windows.padded_batches(once_sequences(spark, d), "seq_id", "tokens", 1, 40, 16, 2)
+    rows = windows.padded_batches(once_sequences(spark, d), "seq_id", "tokens", width=16, rows=2)
     return rows.select("seq_id", "batch", "row", F.size("inputs").alias("width"), _sum(F.col("targets")).alias("targets"), "length")
 
 
@@ -612,7 +612,7 @@ def evaluation_plan(spark, d):
 
 @query
 def byte_regime(spark, d):
-    return experiments.byte_regime(once_sequences(spark, d), "seq_id", "tokens", 1, 40, 16, 2)
+    return experiments.byte_regime(once_sequences(spark, d), "seq_id", "tokens", width=16, rows=2)
 
 
 @query

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry_point
 from mergeloom.llm import splits
-from mergeloom.operators import lm
+from mergeloom.operators import lm, windows
 
 from tests.llm.tables import NOW, frame
 
@@ -64,3 +66,14 @@ def test_generation_continues_the_whole_sequence(spark, tmp_path):
     got = dict(run(spark, tmp_path, "rnn_generate", sequences=[dict(seq_id=i, corpus_id=1, split="train", tokens=x, n_bytes=[1] * len(x), encoded_at=NOW) for i, x in tokens.items()]))
     model = lm.RecurrentModel(16, 16, ((0, 171), (1, 171), (2, 170)), seed=17)
     assert {i: [tuple(t) for t in x] for i, x in got.items()} == {i: model.generate([(t % 3, t // 3) for t in x[-16:]], 4) for i, x in tokens.items()}
+
+
+def test_batches_hold_every_target(spark, tmp_path):
+    sizes = {1: 100, 2: 41, 3: 42, 4: 2, 5: 1, 6: 0}
+    got = run(spark, tmp_path, "padded_batches", sequences=[dict(seq_id=i, corpus_id=1, split="train", tokens=list(range(n)), n_bytes=[1] * n, encoded_at=NOW) for i, n in sizes.items()])
+    want = [(i, k // 2, k % 2, 16, sum(range(16 * k + 1, min(16 * k + 17, n))), min(16, n - 1 - 16 * k)) for i, n in sizes.items() for k in range((n + 14) // 16) if n > 1]
+    assert sorted(got) == sorted(want) and sum(r[-1] for r in got) == 99 + 40 + 41 + 1
+    assert sorted(run(spark, tmp_path, "byte_regime")) == [(1, 4, 99, 13), (2, 2, 40, 8), (3, 2, 41, 7), (4, 1, 1, 15)]
+    rows = spark.createDataFrame([(1, list(range(50)), 11, 3), (2, list(range(50)), 1, 20)], "seq_id int, tokens array<int>, first int, n int")
+    own = windows.padded_batches(rows, "seq_id", "tokens", F.col("first"), F.col("n"), 16, 2).select("seq_id", "targets", "length").collect()
+    assert sorted((r.seq_id, r.targets[0], r.length) for r in own) == [(1, 11, 3), (2, 1, 16), (2, 17, 4)]
