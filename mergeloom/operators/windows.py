@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergeloom.functions.values import unsigned_modulo, xorshift
 from mergeloom.operators.ranking import running_sum
 
+#: What byte_match gives.
+MATCH = "raw_byte_start bigint, raw_target_bytes bigint, raw_byte_end bigint, a_start_token int, a_end_token int, c_start_token int, c_end_token int"
+MATCH_ARROW = pa.struct([(n, pa.int64() if kind == "bigint" else pa.int32()) for n, kind in (c.split(" ") for c in MATCH.split(", "))])
+
 
 def adjacent_pairs(tokens: Column) -> Column:
     """Neighbours of an array as ARRAY<STRUCT<l, r>>."""
@@ -101,17 +107,35 @@ def padded_batches(df: DataFrame, ident: str, tokens: str, first: int | Column =
     return windows.select(ident, F.floor(F.col("window_no") / rows).cast("int").alias("batch"), (F.col("window_no") % rows).alias("row"), fill(F.col("inputs")).alias("inputs"), fill(F.col("targets")).alias("targets"), F.size("targets").alias("length"))
 
 
-def byte_match(a: DataFrame, c: DataFrame, limit: int) -> DataFrame:
-    """One row: the longest interval between byte borders that both encodings share, of at most `limit` bytes, the earliest of equals.
+def byte_match(a: Column, c: Column, limit: int) -> Column:
+    """STRUCT of the longest interval between byte borders that two encodings of one text share, of at most `limit` bytes, the earliest of equals.
 
-    `a` and `c` have (tokens_before, offset) of one sequence each. The first border is never used.
+    `a` and `c` are the encodings' ARRAY<INT> of bytes per token. The first border is never used.
+    NULL where there is no such interval or an encoding is NULL. Borders are met within the row,
+    without a shuffle.
     """
-    shared = a.select("offset", F.col("tokens_before").alias("a")).join(c.select(F.col("offset").alias("__o"), F.col("tokens_before").alias("c")), F.col("offset") == F.col("__o")).where("a > 0 and c > 0")
-    ahead = Window.orderBy("offset").rangeBetween(0, limit)
-    best = F.max(F.struct("offset", "a", "c")).over(ahead)
-    rows = shared.withColumn("e", best).withColumn("size", F.col("e.offset") - F.col("offset")).where("size > 0")
-    top = rows.orderBy(F.desc("size"), "offset").limit(1)
-    return top.select(F.col("offset").alias("raw_byte_start"), F.col("size").alias("raw_target_bytes"), F.col("e.offset").alias("raw_byte_end"), F.col("a").alias("a_start_token"), F.col("e.a").alias("a_end_token"), F.col("c").alias("c_start_token"), F.col("e.c").alias("c_end_token"))
+
+    @F.arrow_udf(MATCH)
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array([_match(x, y, limit) for x, y in zip(left, right)], MATCH_ARROW)
+
+    return run(a, c)
+
+
+def _match(left: pa.ListScalar, right: pa.ListScalar, limit: int) -> dict[str, int] | None:
+    if not (left.is_valid and right.is_valid):
+        return None
+    upto = [np.cumsum(np.asarray(x.values, np.int64)) for x in (left, right)]
+    shared, i, j = np.intersect1d(*upto, assume_unique=True, return_indices=True)
+    if len(shared) < 2:
+        return None
+    end = np.searchsorted(shared, shared + limit, side="right") - 1
+    at = int((shared[end] - shared).argmax())
+    to = int(end[at])
+    if to == at:
+        return None
+    values = (shared[at], shared[to] - shared[at], shared[to], i[at] + 1, i[to] + 1, j[at] + 1, j[to] + 1)
+    return {f.name: int(v) for f, v in zip(MATCH_ARROW, values)}
 
 
 def checkpoint_steps(steps: DataFrame, every: int, total: int) -> DataFrame:

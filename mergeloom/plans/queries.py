@@ -385,12 +385,22 @@ def head_targets(spark, d):
 
 @query
 def byte_match(spark, d):
-    """Shared borders of the two longest sequences of one corpus, at most 64 bytes apart."""
-    borders = windows.prefix_offsets(once_sequences(spark, d).where("corpus_id = 1").orderBy(F.desc(F.size("tokens")), "seq_id").limit(2), "seq_id", "n_bytes")
-    first, second = F.broadcast(borders.agg(F.min("seq_id").alias("k"))), F.broadcast(borders.agg(F.max("seq_id").alias("k")))
-    a = borders.join(first, F.col("seq_id") == F.col("k")).select("tokens_before", "offset")
-    c = borders.join(second, F.col("seq_id") == F.col("k")).select("tokens_before", "offset")
-    return windows.byte_match(a, c, 64)
+    """Of every document, the longest stretch of at most 64 bytes between borders that its flat and its pack-local tokens share; NULLs if there is none."""
+    merges, packs = flat_merges(spark, d), packs_of(spark, d)
+    flat = F.array(*[F.lit(len(x)) for _, x in sorted(expansions(merges).items())])
+    local = {p: F.array(*[F.lit(len(x)) for i, x in sorted(expansions(m).items()) if i >= 256]) for p, m in packs.items()}
+
+    def packed_bytes(token):
+        n = F.lit(1)  # byte fallback
+        for p, lengths in local.items():
+            n = F.when(token["pack"] == p, F.get(lengths, token["local"].cast("int"))).otherwise(n)
+        return n
+
+    tokens = token_ids(spark.sparkContext, load_automaton(t(spark, d, "merges")))(F.col("text"))
+    both = encode.encode_packed(docs(spark, d).select(F.struct("doc_id", tokens.alias("flat")).alias("doc"), "text"), "doc", "text", packs)
+    a = F.transform(F.col("doc.flat"), lambda x: F.get(flat, x))
+    rows = both.select(F.col("doc.doc_id").alias("doc_id"), windows.byte_match(a, F.transform("tokens", packed_bytes), 64).alias("m"))
+    return rows.select("doc_id", "m.*")
 
 
 @query

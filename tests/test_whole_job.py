@@ -77,3 +77,32 @@ def test_batches_hold_every_target(spark, tmp_path):
     rows = spark.createDataFrame([(1, list(range(50)), 11, 3), (2, list(range(50)), 1, 20)], "seq_id int, tokens array<int>, first int, n int")
     own = windows.padded_batches(rows, "seq_id", "tokens", F.col("first"), F.col("n"), 16, 2).select("seq_id", "targets", "length").collect()
     assert sorted((r.seq_id, r.targets[0], r.length) for r in own) == [(1, 11, 3), (2, 1, 16), (2, 17, 4)]
+
+
+def slow_match(a, c, limit):
+    borders = lambda x: {sum(x[:k]): k for k in range(len(x) + 1)}
+    pa, pc = borders(a), borders(c)
+    shared = [(o, pa[o], pc[o]) for o in sorted(pa) if o in pc][1:]
+    found = [(r[0] - s[0], -s[0], s, r) for k, s in enumerate(shared) for r in shared[k + 1 :] if r[0] - s[0] <= limit]
+    if not found:
+        return (None,) * 7
+    size, _, s, r = max(found)
+    return s[0], size, r[0], s[1], r[1], s[2], r[2]
+
+
+def test_byte_match_of_every_row(spark):
+    rng = random.Random(3)
+    cases = [([rng.randint(1, 5) for _ in range(rng.randint(0, 30))], [rng.randint(1, 5) for _ in range(rng.randint(0, 30))]) for _ in range(300)] + [(None, [1]), ([1, 2], [1, 2]), ([100, 1], [100, 1]), ([1, 100], [1, 100])]
+    df = spark.createDataFrame([(i, a, c) for i, (a, c) in enumerate(cases)], "i int, a array<int>, c array<int>")
+    got = {r.i: tuple(r)[1:] for r in df.select("i", windows.byte_match(F.col("a"), F.col("c"), 12).alias("m")).select("i", "m.*").collect()}
+    assert got == {i: slow_match(a or [], c or [], 12) for i, (a, c) in enumerate(cases)}
+
+
+def test_byte_match_reads_every_document(spark, tmp_path):
+    merges = [dict(merge_rank=0, left_id=97, right_id=98, result_id=256), dict(merge_rank=1, left_id=256, right_id=49, result_id=257)]
+    texts = {1: "abab1ab", 2: "x" * 100, 3: "", 4: None, 5: "ab1", 6: "1ab1a"}
+    documents = [dict(doc_id=i, text=x, corpus_id=1 + i % 2, added_at=NOW) for i, x in texts.items()]
+    got = {r[0]: r[1:] for r in run(spark, tmp_path, "byte_match", documents=documents, merges=merges)}
+    none = (None,) * 7
+    # flat: ab|ab1|ab, x..., -, -, ab1, 1|ab1|a; by packs: ab|ab|1|ab, x..., -, -, ab|1, 1|ab|1|a
+    assert got == {1: (2, 5, 7, 1, 3, 1, 4), 2: (1, 64, 65, 1, 65, 1, 65), 3: none, 4: none, 5: none, 6: (1, 4, 5, 1, 3, 1, 4)}
