@@ -106,3 +106,12 @@ def test_byte_match_reads_every_document(spark, tmp_path):
     none = (None,) * 7
     # flat: ab|ab1|ab, x..., -, -, ab1, 1|ab1|a; by packs: ab|ab|1|ab, x..., -, -, ab|1, 1|ab|1|a
     assert got == {1: (2, 5, 7, 1, 3, 1, 4), 2: (1, 64, 65, 1, 65, 1, 65), 3: none, 4: none, 5: none, 6: (1, 4, 5, 1, 3, 1, 4)}
+
+
+def test_training_reads_the_train_split(spark, tmp_path):
+    spark.createDataFrame([(i, i % 3, i // 3, 1) for i in range(512)], "global_id int, pack_id int, local_id int, n_bytes int").write.parquet(f"{tmp_path}/id_map.parquet")
+    row = lambda i, split, x: dict(seq_id=i, corpus_id=1, split=split, tokens=x, n_bytes=[1] * len(x), encoded_at=NOW)
+    got = run(spark, tmp_path, "rnn_train_runs", sequences=[row(1, "Train ", [5, 8] * 20), row(2, "test", list(range(400))), row(3, "train", [5, 8] * 20), row(4, "train", [])])
+    model, train = lm.RecurrentModel(16, 16, ((0, 171), (1, 171), (2, 170)), seed=17), [(t % 3, t // 3) for t in [5, 8] * 40]
+    want = lm.training_runs(spark.createDataFrame([(17,), (29,), (43,)], "seed bigint"), model, train, 20).collect()
+    assert sorted(got) == sorted(map(tuple, want))
