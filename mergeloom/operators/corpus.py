@@ -130,6 +130,8 @@ def near_duplicate_pairs(df: DataFrame, ident: str, content: str, k: int = SHING
     """Columns (id_a, id_b, common, total), id_a < id_b: near-duplicate pairs between class representatives, and each other member of a class with its representative.
 
     Representatives are the least ids of equal shingle sets, so copies are never expanded into all pairs.
+    Shingles are counted from the start of the content: a copy shifted by a number of bytes that is
+    no multiple of `stride` shares hardly any of them and is not found.
     """
     members, near = near_classes(df, ident, content, k, stride)
     copies = members.where("id > cls").select(F.col("cls").alias("a"), F.col("id").alias("b"), F.col("n").alias("common"), F.col("n").alias("total"))
@@ -140,6 +142,7 @@ def accept_blocks(blocks: DataFrame, ident: str, split: str, content: str, long:
     """Columns (ident, split, kept, reason): train blocks are accepted; a validation or test block in order of `ident` is not
     if it shares a `long`-byte passage with an accepted block before it, or is a near-duplicate of one. Test blocks are compared with train and validation only.
 
+    Near-duplicates are those of near_duplicate_pairs, without copies shifted by no multiple of the stride.
     Acceptance depends on order. Each round decides the blocks whose earlier neighbours are all
     decided, from the least accepted and the least undecided validation block of every passage and
     of every class of equal shingle sets; blocks are never paired with each other. Rounds are as
