@@ -1,114 +1,300 @@
-"""Same or near-same records across splits, by content-defined cuts of the normalised words."""
+"""Same or near-same records across splits: content-defined chunks, and an exact completion for what they leave open."""
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
 from fractions import Fraction
+from hashlib import blake2b
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergeloom.llm.splits import split_key
 from mergeloom.operators.ranking import first_arrival
-from mergeloom.session import cut
+from mergeloom.session import cut, stored
 
 #: Words of a rolling-hash window, and the share of two records' distinct windows that both must hold.
 WINDOW, SHARE = 3, Fraction(60, 100)
-#: One window in so many begins a chunk of the overlap report.
-CHUNK = 4
+#: One window in so many begins a chunk.
+CHUNK = 8
+#: Counters of the window sketch are 2^SKETCH_BITS for each side: 8 MB in the driver, whatever the input; ranges of 2^RANGE_BITS are summed by one task.
+SKETCH_BITS, RANGE_BITS = 20, 16
+#: Chunks in counters so many times above the mean are left to the completion.
+HOT_CHUNK = 16
+#: Candidate records up to this number (8 bytes each) are broadcast to fetch their bodies; beyond it the bodies are joined by merging.
+BROADCAST_IDS = 100_000
 
+WORD = re.compile(r"[^\W_]+")
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
-def words(text: Column) -> Column:
-    """Runs of letters or digits, case ignored."""
-    return F.regexp_extract_all(F.lower(F.upper(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Hashes spread over all 64 bits."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
 
-def _windows(corpus: Column, ws: Column) -> Column:
-    """Rolling hashes, in order, of all runs of WINDOW words; the corpus is hashed in."""
-    n = F.size(ws)
-    return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(corpus, *[F.element_at(ws, i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
 
+def _word_hashes(words: list[str]) -> np.ndarray:
+    """A 64-bit hash of every word; each distinct word of the batch is hashed once."""
+    coded = pa.array(words, pa.string()).dictionary_encode()
+    own = np.frombuffer(b"".join(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in coded.dictionary.to_pylist()), np.uint64)
+    return own[np.asarray(coded.indices)] if words else np.zeros(0, np.uint64)
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+
+class Rolled:
+    """Rolling hashes of the windows of a batch of texts, record after record.
+
+    `rec` and `h` are the record and the hash of every window; `words` counts the words of a record.
+    A word is a run of letters or digits, case ignored. The salt of a record (its corpus) is hashed in.
+    """
+
+    def __init__(self, texts: list[str | None], salts: list[int | None]):
+        found = [WORD.findall(t.upper().lower()) if t else [] for t in texts]
+        self.words = np.array([len(w) for w in found], np.int64)
+        hashes = _word_hashes([w for ws in found for w in ws])
+        first = np.cumsum(self.words) - self.words
+        salt = _mixed(np.array([0 if s is None else 2 * s + 1 for s in salts], np.int64).view(np.uint64))
+        many = np.maximum(self.words - (WINDOW - 1), 0)
+        self.rec = np.repeat(np.arange(len(texts)), many)
+        self.place = np.arange(len(self.rec)) - np.repeat(np.cumsum(many) - many, many)
+        at = first[self.rec] + self.place
+        h = salt[self.rec]
+        for k in range(WINDOW):
+            h = _mixed(h * MIX + hashes[at + k])
+        self.h = h
+        #: Records too short for a window: one chunk of all their words.
+        self.short = np.flatnonzero((self.words > 0) & (many == 0))
+        self.short_hash = np.array([int(np.bitwise_xor.reduce(_mixed(hashes[first[r] : first[r] + self.words[r]] + np.arange(self.words[r], dtype=np.uint64)) ^ salt[r])) for r in self.short], np.uint64)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rec, h, windows of the record, whether each original window is the only one of its kind in the record)."""
+        order = np.lexsort((self.h, self.rec))
+        r, h = self.rec[order], self.h[order]
+        new = np.ones(len(r), bool)
+        new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
+        group = np.cumsum(new) - 1
+        once = np.zeros(len(r), bool)
+        once[order] = np.bincount(group)[group] == 1 if len(r) else np.zeros(0, bool)
+        return r[new], h[new], np.bincount(r[new], minlength=len(self.words)), once
+
+    def chunks(self, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rec, digest, first window, windows) of chunks: one begins at every window whose hash is 0 modulo `chunk`."""
+        begins = (self.place == 0) | (self.h % np.uint64(chunk) == 0)
+        at = np.flatnonzero(begins)
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), at, at
+        size = np.diff(np.append(at, len(self.h)))
+        inside = np.arange(len(self.h)) - np.repeat(at, size)
+        power = np.full(int(size.max()) + 1, MIX, np.uint64)
+        power[0] = 1
+        digest = np.add.reduceat(self.h * np.cumprod(power)[inside], at)
+        return self.rec[at], _mixed(digest + size.astype(np.uint64)), at, size
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
 def _members(units: DataFrame) -> DataFrame:
-    """(unit_id, corpus_id, source, split, train, key, body): train and held-out rows; equal keys are equal records.
+    """(unit_id, corpus_id, source, split, train, key): train and held-out rows, once; equal keys are equal bodies of one corpus."""
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("corpus_id").cast("string"), F.lit("")), F.lit(" "), F.col("body")).cast("binary")))
+    rows = units.select("unit_id", "corpus_id", "source", "proposed", key.alias("key"), "ingested_at")
+    rows = first_arrival(rows, ["unit_id"], ["corpus_id", "source", "proposed", "key"], ["ingested_at"])
+    rows = rows.where("unit_id is not null and key is not null").withColumn("split", split_key("proposed")).where("split in ('train', 'validation', 'test')")
+    return rows.select("unit_id", "corpus_id", "source", "split", (F.col("split") == "train").alias("train"), "key")
+
+
+def _classes(units: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, cls, has_train, has_held, corpus, body), one row per distinct record; cls is the least unit_id.
+
+    A body is sent once per task that reads it, however many copies there are.
+    """
+    one = members.groupBy("key").agg(F.min("unit_id").alias("cls"), F.max("train").alias("has_train"), F.max(~F.col("train")).alias("has_held"))
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("corpus_id").cast("string"), F.lit("")), F.lit(" "), F.col("body")).cast("binary")))
+    bodies = units.where("body is not null").select(key.alias("bkey"), F.col("corpus_id").alias("corpus"), "body").groupBy("bkey").agg(F.first("corpus").alias("corpus"), F.first("body").alias("body"))
+    return one.join(bodies.hint("merge"), F.col("key") == F.col("bkey")).select("key", "cls", "has_train", "has_held", "corpus", "body")
+
+
+def _sketch(classes: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
+    """For every counter, train windows times held-out windows that fall into it: the order in which records are cut.
 
-    The key digests the words, or the body itself where there are too few for a window.
+    Tasks count into arrays of fixed size and send them in packed ranges; ranges are summed apart.
     """
-    rows = first_arrival(units.select("unit_id", "corpus_id", "source", "proposed", "body", "ingested_at"), ["unit_id"], ["corpus_id", "source", "proposed", "body"], ["ingested_at"])
-    rows = rows.where("unit_id is not null and body is not null").withColumn("split", split_key("proposed")).where("split in ('train', 'validation', 'test')")
-    corpus = F.coalesce(F.col("corpus_id").cast("string"), F.lit(""))
-    key = _let(words(F.col("body")), lambda w: F.md5(F.when(F.size(w) >= WINDOW, F.concat_ws(" ", F.lit("w"), corpus, F.array_join(w, " "))).otherwise(F.concat(F.lit("b"), corpus, F.lit(" "), F.col("body"))).cast("binary")))
-    return rows.select("unit_id", "corpus_id", "source", "split", (F.col("split") == "train").alias("train"), F.unhex(key).alias("key"), "body")
+    span = 1 << min(RANGE_BITS, bits)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 1 << bits), np.int32)
+        for b in batches:
+            rolled = Rolled(b.column("body").to_pylist(), b.column("corpus").to_pylist())
+            rec, h, _, _ = rolled.distinct()
+            for side, name in enumerate(("has_train", "has_held")):
+                total[side] += np.bincount((h[np.asarray(b.column(name).to_numpy(zero_copy_only=False), bool)[rec]] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
+        parts = [(i // span, zlib.compress(total[:, i : i + span].tobytes(), 1)) for i in range(0, 1 << bits, span) if total[:, i : i + span].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["part", "packed"])
 
-def _classes(members: DataFrame) -> DataFrame:
-    """(key, cls, has_train, has_held, corpus, body), one row per distinct record; cls is the least unit_id."""
-    one = members.groupBy("key").agg(F.max("train").alias("has_train"), F.max(~F.col("train")).alias("has_held"), F.min(F.struct("unit_id", "corpus_id", "body")).alias("kept"))
-    return one.select("key", F.col("kept.unit_id").alias("cls"), "has_train", "has_held", F.col("kept.corpus_id").alias("corpus"), F.col("kept.body").alias("body"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                sums[p] = sums.get(p, 0) + np.frombuffer(zlib.decompress(x), np.int32).reshape(2, span).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(s[0].astype(np.float32) * s[1].astype(np.float32)).tobytes() for s in sums.values()], pa.binary())], names=["part", "packed"])
 
+    weights = np.zeros(1 << bits, np.float32)
+    packed = classes.select("body", "corpus", "has_train", "has_held").mapInArrow(count, "part int, packed binary")
+    for r in packed.repartition((1 << bits) // span, "part").mapInArrow(add, "part int, packed binary").collect():
+        weights[r.part * span : (r.part + 1) * span] = np.frombuffer(r.packed, np.float32)
+    return weights
 
-def overlap_pairs(units: DataFrame, share: Fraction = SHARE) -> DataFrame:
-    """Columns (unit_id_a, unit_id_b), a < b: pairs of one corpus, one in train, one held out, that are the same or nearly.
 
-    The same: equal bodies or equal words. Nearly: of the distinct windows of three words in either,
-    at least `share` stand in both, counted exactly.
+CUTS = "x bigint, cls bigint, n int, place int, low int"
+
 
-    Records are cut at their least windows in one order for all, those that stand in the fewest
-    train and held-out records first, then by rolling hash: n - ceil(share n) + 1 cuts of n windows.
-    If two records reach the share, one of the cuts of each is the same window, so joining the cut
-    digests finds every pair. Windows on one side only take up cuts but are not joined. Copies are
-    one record until the end. NULL bodies match nothing.
+def _cuts(classes: DataFrame, weights, share: Fraction, chunk: int) -> DataFrame:
+    """Columns (x, cls, n, place, low): where records may meet. n counts a record's distinct windows.
+
+    Chunks have place 0 and `low`, the number of their windows that the record holds only once. The
+    first n - ceil(share n) + 1 windows in the sketch's order have their place, from 1, and low 0.
     """
-    members = cut(_members(units))
-    classes = _classes(members)
-    hashed = _let(words(F.col("body")), lambda w: F.array_distinct(_windows(F.col("corpus"), w)))
-    classes = cut(classes.select("key", "cls", "has_train", "has_held", hashed.alias("windows")))
-    exploded = classes.select("cls", "has_train", "has_held", F.size("windows").alias("n"), F.explode("windows").alias("w"))
-    both = exploded.groupBy("w").agg(F.sum(F.col("has_train").cast("bigint")).alias("t"), F.sum(F.col("has_held").cast("bigint")).alias("h")).where("t > 0 and h > 0")
-    shared = exploded.join(both.select("w", (F.col("t") * F.col("h")).alias("weight")), "w")
-    own = Window.partitionBy("cls")
-    cuts = F.col("n") - F.ceil(F.col("n") * share.numerator / F.lit(share.denominator)) + 1
-    ranked = shared.withColumn("place", F.row_number().over(own.orderBy("weight", "w"))).withColumn("k", F.count(F.lit(1)).over(own))
-    kept = cut(ranked.where(F.col("place") + F.col("n") - F.col("k") <= cuts).select("cls", "has_train", "has_held", "n", "w"))
-    t = kept.where("has_train").select("w", F.col("cls").alias("ct"), F.col("n").alias("nt"))
-    h = kept.where("has_held").select("w", F.col("cls").alias("ch"), F.col("n").alias("nh"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = weights.value
+        bits, limit = len(w).bit_length() - 1, HOT_CHUNK * max(float(w.mean()), 4.0)
+        for b in batches:
+            cls = np.asarray(b.column("cls"), np.int64)
+            rolled = Rolled(b.column("body").to_pylist(), b.column("corpus").to_pylist())
+            rec, h, n, once = rolled.distinct()
+            weight = w[(h >> np.uint64(64 - bits)).astype(np.int64)]
+            order = np.lexsort((h, weight, rec))
+            place = np.arange(len(order)) - (np.cumsum(n) - n)[rec] + 1
+            few = n - -(-n * share.numerator // share.denominator) + 1
+            kept = order[place <= few[rec]]  # rec is in order, so places hold for the sorted windows too
+            place = place[place <= few[rec]]
+            crec, digest, at, size = rolled.chunks(chunk)
+            low = np.add.reduceat(once.astype(np.int64), at) if len(at) else at
+            least = np.minimum.reduceat(w[(rolled.h >> np.uint64(64 - bits)).astype(np.int64)], at) if len(at) else at
+            good = (low > 0) & (least > 0) & (least <= limit)  # a chunk is in no more pairs than its rarest window
+            crec, digest, low = crec[good], digest[good], low[good]
+            r = np.concatenate((crec, rec[kept]))
+            yield pa.RecordBatch.from_arrays(
+                [_signed(np.concatenate((digest, h[kept]))), pa.array(cls[r]), pa.array(n[r].astype(np.int32)), pa.array(np.concatenate((np.zeros(len(crec), np.int32), place.astype(np.int32)))), pa.array(np.concatenate((low, np.zeros(len(kept), np.int64))).astype(np.int32))],
+                names=["x", "cls", "n", "place", "low"],
+            )
+
+    return classes.select("cls", "corpus", "body").mapInArrow(run, CUTS)
+
+
+def _exact(pairs: DataFrame, share: Fraction) -> DataFrame:
+    """The rows (ct, ch, by) of (ct, ch, by, corpus, bt, bh) whose bodies share enough distinct windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = len(b)
+            corpus = b.column("corpus").to_pylist()
+            rec, h, n, _ = Rolled(b.column("bt").to_pylist() + b.column("bh").to_pylist(), corpus + corpus).distinct()
+            order = np.lexsort((h, rec % k)) if k else rec
+            r, h = rec[order] % k, h[order]
+            twice = (r[1:] == r[:-1]) & (h[1:] == h[:-1])
+            common = np.bincount(r[1:][twice], minlength=k)
+            near = common * share.denominator >= (n[:k] + n[k:] - common) * share.numerator
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(near & (n[:k] > 0))) for c in ("ct", "ch", "by")], names=["ct", "ch", "by"])
+
+    return pairs.mapInArrow(run, "ct bigint, ch bigint, by string")
+
+
+def class_pairs(classes: DataFrame, share: Fraction = SHARE, chunk: int = CHUNK) -> DataFrame:
+    """Columns (ct, ch, by): pairs of different records, ct in train and ch held out, that share enough windows.
+
+    Records are cut by rolling hash into chunks, and chunk digests are joined across splits. For
+    every pair that meets, the lengths of its shared chunks are summed, counting only windows that
+    the record holds once, so the sum is a lower bound of the common windows: a pair whose sum
+    reaches the share is found, of other pairs with a shared chunk the bodies are compared (`by` =
+    chunks). The same join carries the least windows of every
+    record in one order for all, n - ceil(share n) + 1 of n. Two records that reach the share have
+    one of these in common, so no pair is lost that chunks leave open; of those that can still reach
+    it by the places at which they meet, the bodies are compared too (`by` = windows).
+
+    The order takes windows first that are in few train-held-out pairs, by a sketch of fixed size;
+    any order is exact. Chunks in crowded counters are not joined; the windows find their pairs.
+    """
+    spark = classes.sparkSession
+    weights = spark.sparkContext.broadcast(_sketch(classes))
+    train = _cuts(classes.where("has_train"), weights, share, chunk).select("x", F.col("cls").alias("ct"), F.col("n").alias("nt"), F.col("place").alias("pt"), F.col("low").alias("lt"))
+    held = _cuts(classes.where("has_held"), weights, share, chunk).select("x", F.col("cls").alias("ch"), F.col("n").alias("nh"), F.col("place").alias("ph"), F.col("low").alias("lh"))
     fits = F.least("nt", "nh") * share.denominator >= F.greatest("nt", "nh") * share.numerator
-    candidates = t.join(h, "w").where((F.col("ct") != F.col("ch")) & fits).select("ct", "ch").distinct()
-    wt, wh = classes.select(F.col("cls").alias("ct"), F.col("windows").alias("wt")), classes.select(F.col("cls").alias("ch"), F.col("windows").alias("wh"))
-    common = F.size(F.array_intersect("wt", "wh")).cast("bigint")
-    near = candidates.join(wt, "ct").join(wh, "ch").where(common * share.denominator >= (F.size("wt") + F.size("wh") - common) * share.numerator).select("ct", "ch")
-    same = classes.where("has_train and has_held").select(F.col("cls").alias("ct"), F.col("cls").alias("ch"))
-    named = members.select("key", "unit_id", "train").join(classes.select("key", "cls"), "key")
+    met = train.join(held.hint("merge"), "x").where((F.col("ct") != F.col("ch")) & fits & ((F.col("pt") > 0) == (F.col("ph") > 0)))
+    sums = met.groupBy("ct", "ch", "nt", "nh").agg(F.greatest(F.sum("lt"), F.sum("lh")).alias("low"), F.sum((F.col("pt") > 0).cast("bigint")).alias("seen"), F.max("pt").alias("pt"), F.max("ph").alias("ph"))
+    enough = lambda c: c * share.denominator >= (F.col("nt") + F.col("nh") - c) * share.numerator
+    most = F.col("seen") + F.least(F.col("nt") - F.col("pt"), F.col("nh") - F.col("ph"))
+    sums = cut(sums.withColumn("sure", enough(F.col("low"))).where(F.col("sure") | ((F.col("seen") > 0) & enough(most))).select("ct", "ch", "sure", F.when(F.col("low") > 0, "chunks").otherwise("windows").alias("by")))
+    open_pairs = sums.where("not sure").select("ct", "ch", "by")
+    ids = cut(open_pairs.select(F.col("ct").alias("cls")).union(open_pairs.select("ch")).distinct())
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids.hint("merge")
+    texts = classes.join(ids, "cls", "left_semi").select("cls", "corpus", "body")
+    bt, bh = texts.select(F.col("cls").alias("ct"), "corpus", F.col("body").alias("bt")), texts.select(F.col("cls").alias("ch"), F.col("body").alias("bh"))
+    near = _exact(open_pairs.join(bt.hint("merge"), "ct").join(bh.hint("merge"), "ch").select("ct", "ch", "by", "corpus", "bt", "bh"), share)
+    return sums.where("sure").select("ct", "ch", "by").unionByName(near)
+
+
+def overlap_links(units: DataFrame, share: Fraction = SHARE, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """Pairs of distinct records and who holds them: (ct, ch, by) and (cls, unit_id, train).
+
+    Copies of a body in one corpus are one record; a record in both splits is paired with itself
+    (`by` = copies). Nothing here grows with the number of pairs of copies.
+    """
+    members = cut(_members(units))
+    classes = stored(_classes(units, members))
+    same = classes.where("has_train and has_held").select(F.col("cls").alias("ct"), F.col("cls").alias("ch"), F.lit("copies").alias("by"))
+    named = members.select("key", "unit_id", "train").join(classes.select("key", "cls").hint("merge"), "key").select("cls", "unit_id", "train")
+    return class_pairs(classes, share, chunk).unionByName(same), named
+
+
+def overlap_pairs(units: DataFrame, share: Fraction = SHARE) -> DataFrame:
+    """Columns (unit_id_a, unit_id_b), a < b: pairs of one corpus, one in train, one held out, that are the same or nearly.
+
+    The same: equal bodies. Nearly: of the distinct windows of three words in either, at least
+    `share` stand in both, counted exactly (so records of equal words are found too). NULL bodies
+    match nothing, bodies without three words only their copies. The links of overlap_links,
+    expanded to units, since that is what is asked.
+    """
+    links, named = overlap_links(units, share)
     mt = named.where("train").select(F.col("cls").alias("ct"), F.col("unit_id").alias("ut"))
     mh = named.where("not train").select(F.col("cls").alias("ch"), F.col("unit_id").alias("uh"))
-    found = near.unionByName(same).join(mt, "ct").join(mh, "ch")
+    found = links.select("ct", "ch").join(mt.hint("merge"), "ct").join(mh.hint("merge"), "ch")
     return found.select(F.least("ut", "uh").alias("unit_id_a"), F.greatest("ut", "uh").alias("unit_id_b"))
 
 
-def overlap_fractions(units: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def overlap_fractions(units: DataFrame, chunk: int = CHUNK // 2) -> DataFrame:
     """Columns (unit_id, corpus_id, source, split, n_words, shared_words, overlap) for every held-out unit.
 
     Records are cut before every word whose rolling hash is 0 modulo `chunk`; `shared_words` sums
     the lengths of the chunks whose digest also occurs in a train record of the corpus, `overlap` is
-    their share. A record without words has overlap 0.
+    their share. A chunk counts the words at which its windows begin, the last one all to the end.
+    A record without words has overlap 0.
     """
     members = cut(_members(units))
-    classes = _classes(members)
-
-    def chunks(w: Column) -> Column:
-        inner = F.filter(F.transform(_windows(F.col("corpus"), w), lambda x, i: F.when((i > 0) & (F.pmod(x, F.lit(chunk)) == 0), i)), lambda i: i.isNotNull())
-        edges = F.concat(F.array(F.lit(0)), inner, F.array(F.size(w)))
-        return _let(edges, lambda e: F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda j: F.struct(F.xxhash64(F.col("corpus"), F.array_join(F.slice(w, F.element_at(e, j) + 1, F.element_at(e, j + 1) - F.element_at(e, j)), " ")).alias("digest"), (F.element_at(e, j + 1) - F.element_at(e, j)).alias("size"))))
-
-    cutted = classes.select("key", "has_train", "has_held", F.explode(_let(words(F.col("body")), chunks)).alias("c")).select("key", "has_train", "has_held", "c.*").where("size > 0")
-    train = cutted.where("has_train").select("digest", "size").distinct().withColumn("hit", F.lit(True))
-    held = cutted.where("has_held").join(train, ["digest", "size"], "left")
-    sums = held.groupBy("key").agg(F.sum("size").alias("n_words"), F.sum(F.when(F.col("hit"), F.col("size")).otherwise(0)).alias("shared_words"))
-    out = members.where("not train").join(sums, "key", "left")
+    classes = stored(_classes(units, members))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rolled = Rolled(b.column("body").to_pylist(), b.column("corpus").to_pylist())
+            rec, digest, _, size = rolled.chunks(chunk)
+            last = np.append(rec[1:] != rec[:-1], True) if len(rec) else np.zeros(0, bool)
+            rec, digest = np.concatenate((rec, rolled.short)), np.concatenate((digest, rolled.short_hash))
+            size = np.concatenate((size + (WINDOW - 1) * last, rolled.words[rolled.short]))
+            cls = np.asarray(b.column("cls"), np.int64)[rec]
+            yield pa.RecordBatch.from_arrays([pa.array(cls), _signed(digest), pa.array(size.astype(np.int64))], names=["cls", "digest", "size"])
+
+    cutted = lambda side: classes.where(side).select("cls", "corpus", "body").mapInArrow(run, "cls bigint, digest bigint, size bigint")
+    train = cutted("has_train").select("digest", "size").distinct().withColumn("hit", F.lit(True))
+    held = cutted("has_held").join(train.hint("merge"), ["digest", "size"], "left")
+    sums = held.groupBy("cls").agg(F.sum("size").alias("n_words"), F.sum(F.when(F.col("hit"), F.col("size")).otherwise(0)).alias("shared_words"))
+    named = members.where("not train").join(classes.select("key", "cls").hint("merge"), "key")
+    out = named.join(sums.hint("merge"), "cls", "left")
     n, s = F.coalesce("n_words", F.lit(0)), F.coalesce("shared_words", F.lit(0))
     return out.select("unit_id", "corpus_id", "source", "split", n.alias("n_words"), s.alias("shared_words"), F.when(n > 0, s / n).otherwise(0.0).alias("overlap"))
 
@@ -117,4 +303,4 @@ def overlap_counts(units: DataFrame, pairs: DataFrame) -> DataFrame:
     """Columns (corpus_id, split, source, units): held-out units in a pair, by split and source as proposed."""
     rows = _members(units).where("not train").select("unit_id", "corpus_id", "split", "source")
     ids = pairs.select(F.col("unit_id_a").alias("unit_id")).union(pairs.select("unit_id_b")).distinct()
-    return rows.join(ids, "unit_id").groupBy("corpus_id", "split", "source").agg(F.count(F.lit(1)).alias("units"))
+    return rows.join(ids.hint("merge"), "unit_id").groupBy("corpus_id", "split", "source").agg(F.count(F.lit(1)).alias("units"))
