@@ -2,98 +2,34 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mergeloom.llm.rolling import WINDOW, Rolled, by_record, word_hashes
 from mergeloom.llm.splits import split_key
 from mergeloom.operators.ranking import first_arrival
 from mergeloom.session import cut, stored
 
-#: Words of a rolling-hash window, and the share of two records' distinct windows that both must hold.
-WINDOW, SHARE = 3, Fraction(60, 100)
+#: The share of two records' distinct windows of three words that both must hold.
+SHARE = Fraction(60, 100)
 #: One window in so many begins a chunk.
 CHUNK = 8
-#: Counters of the window sketch are 2^SKETCH_BITS for each side: 8 MB in the driver, whatever the input; ranges of 2^RANGE_BITS are summed by one task.
-SKETCH_BITS, RANGE_BITS = 20, 16
-#: Chunks in counters so many times above the mean are left to the completion.
+#: Counters of the window sketch are 2^SKETCH_BITS for each side, sent as levels of one byte: 4 MB, whatever the input; ranges of 2^RANGE_BITS are summed by one task.
+SKETCH_BITS, RANGE_BITS = 22, 18
+#: Chunks all of whose windows are in counters so many times above the mean level are left to the completion.
 HOT_CHUNK = 16
 #: Candidate records up to this number (8 bytes each) are broadcast to fetch their bodies; beyond it the bodies are joined by merging.
 BROADCAST_IDS = 100_000
 
-WORD = re.compile(r"[^\W_]+")
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Hashes spread over all 64 bits."""
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
-def _word_hashes(words: list[str]) -> np.ndarray:
-    """A 64-bit hash of every word; each distinct word of the batch is hashed once."""
-    coded = pa.array(words, pa.string()).dictionary_encode()
-    own = np.frombuffer(b"".join(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in coded.dictionary.to_pylist()), np.uint64)
-    return own[np.asarray(coded.indices)] if words else np.zeros(0, np.uint64)
-
-
-class Rolled:
-    """Rolling hashes of the windows of a batch of texts, record after record.
-
-    `rec` and `h` are the record and the hash of every window; `words` counts the words of a record.
-    A word is a run of letters or digits, case ignored. The salt of a record (its corpus) is hashed in.
-    """
-
-    def __init__(self, texts: list[str | None], salts: list[int | None]):
-        found = [WORD.findall(t.upper().lower()) if t else [] for t in texts]
-        self.words = np.array([len(w) for w in found], np.int64)
-        hashes = _word_hashes([w for ws in found for w in ws])
-        first = np.cumsum(self.words) - self.words
-        salt = _mixed(np.array([0 if s is None else 2 * s + 1 for s in salts], np.int64).view(np.uint64))
-        many = np.maximum(self.words - (WINDOW - 1), 0)
-        self.rec = np.repeat(np.arange(len(texts)), many)
-        self.place = np.arange(len(self.rec)) - np.repeat(np.cumsum(many) - many, many)
-        at = first[self.rec] + self.place
-        h = salt[self.rec]
-        for k in range(WINDOW):
-            h = _mixed(h * MIX + hashes[at + k])
-        self.h = h
-        #: Records too short for a window: one chunk of all their words.
-        self.short = np.flatnonzero((self.words > 0) & (many == 0))
-        self.short_hash = np.array([int(np.bitwise_xor.reduce(_mixed(hashes[first[r] : first[r] + self.words[r]] + np.arange(self.words[r], dtype=np.uint64)) ^ salt[r])) for r in self.short], np.uint64)
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(rec, h, windows of the record, whether each original window is the only one of its kind in the record)."""
-        order = np.lexsort((self.h, self.rec))
-        r, h = self.rec[order], self.h[order]
-        new = np.ones(len(r), bool)
-        new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
-        group = np.cumsum(new) - 1
-        once = np.zeros(len(r), bool)
-        once[order] = np.bincount(group)[group] == 1 if len(r) else np.zeros(0, bool)
-        return r[new], h[new], np.bincount(r[new], minlength=len(self.words)), once
-
-    def chunks(self, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(rec, digest, first window, windows) of chunks: one begins at every window whose hash is 0 modulo `chunk`."""
-        begins = (self.place == 0) | (self.h % np.uint64(chunk) == 0)
-        at = np.flatnonzero(begins)
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), at, at
-        size = np.diff(np.append(at, len(self.h)))
-        inside = np.arange(len(self.h)) - np.repeat(at, size)
-        power = np.full(int(size.max()) + 1, MIX, np.uint64)
-        power[0] = 1
-        digest = np.add.reduceat(self.h * np.cumprod(power)[inside], at)
-        return self.rec[at], _mixed(digest + size.astype(np.uint64)), at, size
+def _rolled(bodies: pa.Array, corpora: pa.Array) -> Rolled:
+    salts = corpora.cast(pa.int64())
+    return Rolled(*word_hashes(bodies), np.where(np.asarray(salts.is_null()), 0, 2 * np.asarray(salts.fill_null(0)) + 1))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -121,7 +57,7 @@ def _classes(units: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def _sketch(classes: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
-    """For every counter, train windows times held-out windows that fall into it: the order in which records are cut.
+    """For every counter, the level of train windows times held-out windows that fall into it, 8 levels to a doubling: the order in which records are cut.
 
     Tasks count into arrays of fixed size and send them in packed ranges; ranges are summed apart.
     """
@@ -130,7 +66,7 @@ def _sketch(classes: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << bits), np.int32)
         for b in batches:
-            rolled = Rolled(b.column("body").to_pylist(), b.column("corpus").to_pylist())
+            rolled = _rolled(b.column("body"), b.column("corpus"))
             rec, h, _, _ = rolled.distinct()
             for side, name in enumerate(("has_train", "has_held")):
                 total[side] += np.bincount((h[np.asarray(b.column(name).to_numpy(zero_copy_only=False), bool)[rec]] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
@@ -142,19 +78,23 @@ def _sketch(classes: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
         for b in batches:
             for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 sums[p] = sums.get(p, 0) + np.frombuffer(zlib.decompress(x), np.int32).reshape(2, span).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(s[0].astype(np.float32) * s[1].astype(np.float32)).tobytes() for s in sums.values()], pa.binary())], names=["part", "packed"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_levels(s).tobytes() for s in sums.values()], pa.binary())], names=["part", "packed"])
 
-    weights = np.zeros(1 << bits, np.float32)
+    levels = np.zeros(1 << bits, np.uint8)
     packed = classes.select("body", "corpus", "has_train", "has_held").mapInArrow(count, "part int, packed binary")
     for r in packed.repartition((1 << bits) // span, "part").mapInArrow(add, "part int, packed binary").collect():
-        weights[r.part * span : (r.part + 1) * span] = np.frombuffer(r.packed, np.float32)
-    return weights
+        levels[r.part * span : (r.part + 1) * span] = np.frombuffer(r.packed, np.uint8)
+    return levels
+
+
+def _levels(sums: np.ndarray) -> np.ndarray:
+    return np.minimum(np.ceil(8 * np.log2(1.0 + sums[0].astype(np.float64) * sums[1])), 255).astype(np.uint8)
 
 
 CUTS = "x bigint, cls bigint, n int, place int, low int"
 
 
-def _cuts(classes: DataFrame, weights, share: Fraction, chunk: int) -> DataFrame:
+def _cuts(classes: DataFrame, shared, share: Fraction, chunk: int) -> DataFrame:
     """Columns (x, cls, n, place, low): where records may meet. n counts a record's distinct windows.
 
     Chunks have place 0 and `low`, the number of their windows that the record holds only once. The
@@ -162,21 +102,21 @@ def _cuts(classes: DataFrame, weights, share: Fraction, chunk: int) -> DataFrame
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
-        bits, limit = len(w).bit_length() - 1, HOT_CHUNK * max(float(w.mean()), 4.0)
+        levels = shared.value
+        down = np.uint64(65 - len(levels).bit_length())
+        limit = np.log2(HOT_CHUNK) * 8 + max(float(levels.mean()), 16.0)
         for b in batches:
             cls = np.asarray(b.column("cls"), np.int64)
-            rolled = Rolled(b.column("body").to_pylist(), b.column("corpus").to_pylist())
+            rolled = _rolled(b.column("body"), b.column("corpus"))
             rec, h, n, once = rolled.distinct()
-            weight = w[(h >> np.uint64(64 - bits)).astype(np.int64)]
-            order = np.lexsort((h, weight, rec))
+            order = by_record(rec, h, levels[(h >> down).astype(np.int64)])
             place = np.arange(len(order)) - (np.cumsum(n) - n)[rec] + 1
             few = n - -(-n * share.numerator // share.denominator) + 1
             kept = order[place <= few[rec]]  # rec is in order, so places hold for the sorted windows too
             place = place[place <= few[rec]]
             crec, digest, at, size = rolled.chunks(chunk)
             low = np.add.reduceat(once.astype(np.int64), at) if len(at) else at
-            least = np.minimum.reduceat(w[(rolled.h >> np.uint64(64 - bits)).astype(np.int64)], at) if len(at) else at
+            least = np.minimum.reduceat(levels[(rolled.h >> down).astype(np.int64)], at) if len(at) else at
             good = (low > 0) & (least > 0) & (least <= limit)  # a chunk is in no more pairs than its rarest window
             crec, digest, low = crec[good], digest[good], low[good]
             r = np.concatenate((crec, rec[kept]))
@@ -194,10 +134,10 @@ def _exact(pairs: DataFrame, share: Fraction) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = len(b)
-            corpus = b.column("corpus").to_pylist()
-            rec, h, n, _ = Rolled(b.column("bt").to_pylist() + b.column("bh").to_pylist(), corpus + corpus).distinct()
-            order = np.lexsort((h, rec % k)) if k else rec
-            r, h = rec[order] % k, h[order]
+            rec, h, n, _ = _rolled(pa.concat_arrays([b.column("bt"), b.column("bh")]), pa.concat_arrays([b.column("corpus")] * 2)).distinct()
+            r = rec % max(k, 1)
+            order = by_record(r, h)
+            r, h = r[order], h[order]
             twice = (r[1:] == r[:-1]) & (h[1:] == h[:-1])
             common = np.bincount(r[1:][twice], minlength=k)
             near = common * share.denominator >= (n[:k] + n[k:] - common) * share.numerator
@@ -222,9 +162,9 @@ def class_pairs(classes: DataFrame, share: Fraction = SHARE, chunk: int = CHUNK)
     any order is exact. Chunks in crowded counters are not joined; the windows find their pairs.
     """
     spark = classes.sparkSession
-    weights = spark.sparkContext.broadcast(_sketch(classes))
-    train = _cuts(classes.where("has_train"), weights, share, chunk).select("x", F.col("cls").alias("ct"), F.col("n").alias("nt"), F.col("place").alias("pt"), F.col("low").alias("lt"))
-    held = _cuts(classes.where("has_held"), weights, share, chunk).select("x", F.col("cls").alias("ch"), F.col("n").alias("nh"), F.col("place").alias("ph"), F.col("low").alias("lh"))
+    levels = spark.sparkContext.broadcast(_sketch(classes))
+    train = _cuts(classes.where("has_train"), levels, share, chunk).select("x", F.col("cls").alias("ct"), F.col("n").alias("nt"), F.col("place").alias("pt"), F.col("low").alias("lt"))
+    held = _cuts(classes.where("has_held"), levels, share, chunk).select("x", F.col("cls").alias("ch"), F.col("n").alias("nh"), F.col("place").alias("ph"), F.col("low").alias("lh"))
     fits = F.least("nt", "nh") * share.denominator >= F.greatest("nt", "nh") * share.numerator
     met = train.join(held.hint("merge"), "x").where((F.col("ct") != F.col("ch")) & fits & ((F.col("pt") > 0) == (F.col("ph") > 0)))
     sums = met.groupBy("ct", "ch", "nt", "nh").agg(F.greatest(F.sum("lt"), F.sum("lh")).alias("low"), F.sum((F.col("pt") > 0).cast("bigint")).alias("seen"), F.max("pt").alias("pt"), F.max("ph").alias("ph"))
@@ -281,7 +221,7 @@ def overlap_fractions(units: DataFrame, chunk: int = CHUNK // 2) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rolled = Rolled(b.column("body").to_pylist(), b.column("corpus").to_pylist())
+            rolled = _rolled(b.column("body"), b.column("corpus"))
             rec, digest, _, size = rolled.chunks(chunk)
             last = np.append(rec[1:] != rec[:-1], True) if len(rec) else np.zeros(0, bool)
             rec, digest = np.concatenate((rec, rolled.short)), np.concatenate((digest, rolled.short_hash))
