@@ -4,12 +4,16 @@ A merge table defines the tokens of a text by passes: for each rank upward, adja
 become result, left to right without overlap. Two facts give the same tokens in one pass:
 
 * a token sequence is the result for its text exactly if every two neighbours, taken alone, stay
-  as they are (`stays[a, b]`), and each token alone is the result for its own bytes;
+  as they are, and each token alone is the result for its own bytes;
 * so the last token of every prefix is unique: the token that ends there and stays beside the
   last token of what is before it.
 
 The automaton walks a whole batch of texts in step, one numpy operation per byte position for all
 lanes. A lane is a stretch between byte pairs that no token contains, where a token always ends.
+
+Whether two neighbours stay follows from their outer symbols: the parts at a token's edge, each with
+the pass that uses it up. No table of all pairs is kept, so vocabularies of some hundred thousand
+ids fit; answers and transitions are remembered in tables of bounded size.
 """
 
 from __future__ import annotations
@@ -19,10 +23,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-#: Vocabularies up to this size get the pair matrix (V x V bytes, at most 16 MB); the reference's limit of one byte pair table is far below.
-MAX_VOCABULARY = 4096
-#: Stretches longer than this are tokenized by rank passes; both ways give the same tokens.
+#: A merge table is a vocabulary and lives in the driver and every worker; more merges raise an error.
+MAX_MERGES = 1 << 19
+#: Entries of a memory of answers, 8 bytes each; smaller sets of questions are answered beforehand.
+MEMORY = 1 << 21
+#: Stretches longer than this advance alone, byte by byte, since no others are left to advance with them.
 LONG_LANE = 4096
+#: A rank beyond all.
+NEVER = np.int32(np.iinfo(np.int32).max)
 #: Texts are worked on in chunks of about so many bytes.
 CHUNK_BYTES = 1 << 21
 
@@ -59,6 +67,29 @@ def rank_passes(symbols: np.ndarray, merges: np.ndarray) -> np.ndarray:
     return s
 
 
+class Memory:
+    """Answers of a function from codes in range(space) to numbers from 0 to 2^24 - 1, batch by batch.
+
+    Few codes are all answered beforehand. Of many, the last answer of each place of a table is
+    kept, and others are worked out again.
+    """
+
+    def __init__(self, space: int, answer):
+        self.answer, self.full = answer, space <= MEMORY
+        self.table = answer(np.arange(space, dtype=np.int64)).astype(np.int32) if self.full else np.full(MEMORY, -1, np.int64)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        if self.full:
+            return self.table[codes]
+        place = (codes * 0x9E3779B1 >> 7) % MEMORY
+        kept = self.table[place]
+        miss = np.flatnonzero(kept >> 24 != codes)
+        if len(miss):
+            kept[miss] = codes[miss] << 24 | self.answer(codes[miss])
+            self.table[place[miss]] = kept[miss]
+        return kept & 0xFFFFFF
+
+
 @dataclass
 class MergeAutomaton:
     """Tables for one merge list, given by rank as (left, right, result). Safe to broadcast."""
@@ -69,79 +100,120 @@ class MergeAutomaton:
 
     def __post_init__(self) -> None:
         m = self.merges = np.asarray(self.merges, np.int32).reshape(-1, 3)
+        if len(m) > MAX_MERGES:
+            raise ValueError(f"{len(m)} merges; at most {MAX_MERGES} are supported")
         spelled = expansions(map(tuple, m.tolist()))
-        if len(spelled) > MAX_VOCABULARY:
-            raise ValueError(f"{len(spelled)} ids; at most {MAX_VOCABULARY} are supported")
         self.ids = np.array(sorted(spelled), np.int32)
-        at = {int(t): i for i, t in enumerate(self.ids)}
-        self.byte_index = np.array([at[b] for b in range(256)], np.int32)
+        self.byte_index = np.searchsorted(self.ids, np.arange(256)).astype(np.int32)
         texts = [spelled[int(t)] for t in self.ids]
         self.lengths = np.array([len(x) for x in texts] + [0], np.int32)
-        own = np.array([len(rank_passes(np.frombuffer(x, np.uint8), m)) == 1 and int(rank_passes(np.frombuffer(x, np.uint8), m)[0]) == int(t) for x, t in zip(texts, self.ids)])
-        self._pairs(m, at, own)
+        v = len(self.ids)
+        left, right, result = (np.searchsorted(self.ids, m[:, c]) for c in range(3))
+        self.made, self.part = np.full(v, -1, np.int32), np.full((2, v), -1, np.int32)
+        self.made[result], self.part[0][result], self.part[1][result] = np.arange(len(m)), left, right
+        codes = left.astype(np.int64) * v + right
+        self.pairs, first = np.unique(codes, return_index=True)  # of a pair given twice the first rank holds
+        self.pair_rank = first.astype(np.int32)
+        own = self.made < 0
+        # a token is the result for its own bytes if its parts are, and nothing joins them before its own pass
+        whole = self._first_break(left, right) == self.made[result]
+        for r, ok, x, y in zip(result.tolist(), whole.tolist(), left.tolist(), right.tolist()):
+            own[r] = ok and own[x] and own[y]
         self._trie(texts, own)
         joint = np.zeros((256, 256), bool)
         for x, ok in zip(texts, own):
             if ok:
-                for a, b in zip(x, x[1:]):
-                    joint[a, b] = True
+                b = np.frombuffer(x, np.uint8)
+                joint[b[:-1], b[1:]] = True
         self.apart = ~joint
+        self._ready()
+
+    def _ready(self) -> None:
+        v = len(self.ids)
+        self._breaks = Memory(v * v, lambda c: (self._first_break(c // v, c % v) != NEVER).astype(np.int64))
+        self._next = Memory(len(self.fail) << 8, self._step)
+
+    def __getstate__(self) -> dict:
+        return {k: x for k, x in self.__dict__.items() if k not in ("_breaks", "_next")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._ready()
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The pass that merges two symbols, NEVER if none does."""
+        if not len(self.pairs):
+            return np.full(len(a), NEVER, np.int32)
+        code = a.astype(np.int64) * len(self.ids) + b
+        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == code, self.pair_rank[at], NEVER)
 
-    def _pairs(self, m: np.ndarray, at: dict[int, int], own: np.ndarray) -> None:
-        """stays[a, b]: no pass merges across the border of a and b. Row V stands for the start of a text."""
-        v, n = len(self.ids), len(m)
-        right = np.empty((n + 1, v), np.int32)
-        left = np.empty((n + 1, v), np.int32)
-        right[:], left[:] = self.ids, self.ids
-        made = {int(r): (i, int(a), int(b)) for i, (a, b, r) in enumerate(m)}
-        for t, i in at.items():  # the outer symbols of t before the pass of each rank
-            for table, side in ((right, 2), (left, 1)):
-                x = t
-                while x in made:
-                    k, part = made[x][0], made[x][side]
-                    table[: k + 1, i] = part
-                    x = part
-        stays = np.ones((v + 1, v), bool)
-        for k, (a, b, _) in enumerate(m.tolist()):
-            ends = np.flatnonzero((right[k] == a) & (right[k + 1] == a) & own)
-            begins = np.flatnonzero((left[k] == b) & own)
-            stays[np.ix_(ends, begins)] = False
-        self.stays = stays
+    def _first_break(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The first pass that merges across the border of neighbours a and b, NEVER if none does.
+
+        Before pass k the border has the outer symbols that were made before k and are used up at k
+        or later. They are walked through from the last passes to the first. In one pass a symbol on
+        the left is used up by its own left neighbour before the border is reached.
+        """
+        n = len(a)
+        out = np.full(n, NEVER, np.int32)
+        s, t = a.astype(np.int32), b.astype(np.int32)
+        until_s, until_t = np.full(n, NEVER, np.int32), np.full(n, NEVER, np.int32)
+        live = np.arange(n)
+        while len(live):
+            k = self._rank(s, t)
+            hit = (k < until_s) & (k <= until_t)
+            out[live[hit]] = np.minimum(out[live[hit]], k[hit])
+            ms, mt = self.made[s], self.made[t]
+            more = np.maximum(ms, mt) >= 0
+            live, s, t, until_s, until_t, ms, mt = (x[more] for x in (live, s, t, until_s, until_t, ms, mt))
+            down = ms >= mt
+            until_s, until_t = np.where(down, ms, until_s), np.where(down, until_t, mt)
+            s, t = np.where(down, self.part[1][s], s), np.where(down, t, self.part[0][t])
+        return out
 
     def _trie(self, texts: list[bytes], own: np.ndarray) -> None:
+        """Trie of own tokens with failure links: `longest` own token that ends at each node, `shorter` the next that ends at the same place."""
         goto: list[dict[int, int]] = [{}]
-        token, depth_of = [-1], [0]
-        for i, x in enumerate(texts):
-            if not own[i]:
-                continue
+        token = [-1]
+        for i in np.flatnonzero(own).tolist():
             node = 0
-            for b in x:
+            for b in texts[i]:
                 nxt = goto[node].get(b)
                 if nxt is None:
                     nxt = goto[node][b] = len(goto)
                     goto.append({})
                     token.append(-1)
-                    depth_of.append(depth_of[node] + 1)
                 node = nxt
             token[node] = i
-        table = np.zeros((len(goto), 256), np.int32)
-        emitted: list[list[int]] = [[] for _ in goto]
-        fail = [0] * len(goto)
+        fail, longest = [0] * len(goto), [-1] * len(goto)
+        self.shorter = np.full(len(self.ids) + 1, -1, np.int32)
         queue = list(goto[0].values())
-        for b, c in goto[0].items():
-            table[0, b] = c
         for node in queue:  # breadth first: a failure link leads to a shorter suffix
-            emitted[node] = ([token[node]] if token[node] >= 0 else []) + emitted[fail[node]]
-            row = table[fail[node]].copy()
+            longest[node] = token[node] if token[node] >= 0 else longest[fail[node]]
+            if token[node] >= 0:
+                self.shorter[token[node]] = longest[fail[node]]
             for b, c in goto[node].items():
-                fail[c] = int(table[fail[node], b])
-                row[b] = c
+                at = fail[node]
+                while at and b not in goto[at]:
+                    at = fail[at]
+                fail[c] = goto[at].get(b, 0)
                 queue.append(c)
-            table[node] = row
-        self.goto = table
-        self.emit = np.full((len(goto), max(map(len, emitted))), -1, np.int32)
-        for node, e in enumerate(emitted):
-            self.emit[node, : len(e)] = e
+        self.fail, self.longest = np.array(fail, np.int32), np.array(longest, np.int32)
+        edges = sorted((node << 8 | b, c) for node, kids in enumerate(goto) for b, c in kids.items())
+        self.edge, self.edge_to = np.array([e for e, _ in edges], np.int64), np.array([c for _, c in edges], np.int32)
+
+    def _step(self, codes: np.ndarray) -> np.ndarray:
+        """The node after (node << 8 | byte), by failure links."""
+        out = np.zeros(len(codes), np.int64)
+        live, node, byte = np.arange(len(codes)), codes >> 8, codes & 255
+        while len(live):
+            at = np.minimum(np.searchsorted(self.edge, node << 8 | byte), len(self.edge) - 1)
+            found = self.edge[at] == (node << 8 | byte)
+            out[live[found]] = self.edge_to[at[found]]
+            more = ~found & (node > 0)
+            live, node, byte = live[more], self.fail[node[more]].astype(np.int64), byte[more]
+        return out
 
     def tokens(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of texts lying one after another in `data`, and where each text's tokens begin.
@@ -194,10 +266,7 @@ class MergeAutomaton:
         starts = np.flatnonzero(border)
         lens = np.diff(np.append(starts, n))
         for i in np.flatnonzero(lens > LONG_LANE):
-            a, b = starts[i], starts[i] + lens[i]
-            got = np.searchsorted(self.ids, rank_passes(data[a:b], self.merges))
-            at = a + np.cumsum(self.lengths[got]) - 1
-            last[at], ends[at] = got, True
+            self._alone(data, int(starts[i]), int(lens[i]), last, ends)
         single = lens == 1
         last[starts[single]], ends[starts[single]] = self.byte_index[data[starts[single]]], True
         middle = (lens > 8) & (lens <= LONG_LANE)
@@ -223,23 +292,21 @@ class MergeAutomaton:
         order = np.argsort(-lens, kind="stable")
         starts, lens = starts[order], lens[order]
         active = np.searchsorted(-lens, -np.arange(1, lens[0] + 1), side="right")
-        none = len(self.ids)
-        node = np.zeros(len(starts), np.int32)
+        v = len(self.ids)
+        node = np.zeros(len(starts), np.int64)
         for t in range(int(lens[0])):
             k = int(active[t])
             at = starts[:k] + t
-            node = self.goto[node[:k], data[at]]
-            where, seen = node, at
-            for d in range(self.emit.shape[1]):
-                token = self.emit[where, d]
+            node = self._next(node[:k] << 8 | data[at])
+            token = self.longest[node]
+            while len(at):  # the longest token that stays beside the one before it; a byte does at the least
                 size = self.lengths[token]
-                before = np.where(size > t, none, last[seen - np.minimum(size, seen)])
-                good = self.stays[before, token] & (token >= 0)
-                last[seen[good]] = token[good]
-                if good.all():
-                    break
+                inner = size <= t
+                good = np.ones(len(at), bool)
+                good[inner] = self._breaks(last[at[inner] - size[inner]].astype(np.int64) * v + token[inner]) == 0
+                last[at[good]] = token[good]
                 bad = ~good
-                where, seen = where[bad], seen[bad]
+                at, token = at[bad], self.shorter[token[bad]]
         at, first = starts + lens - 1, starts
         while len(at):
             ends[at] = True
@@ -247,6 +314,44 @@ class MergeAutomaton:
             more = at >= first
             at, first = at[more], first[more]
 
+    def _alone(self, data: np.ndarray, start: int, size: int, last: np.ndarray, ends: np.ndarray) -> None:
+        """The same for one long stretch, in linear time.
+
+        Nodes depend on as many bytes as the longest token has, so they are found for many parts at
+        once, each begun so much earlier; answers for the longest tokens at every place come first.
+        """
+        v, lengths, shorter = len(self.ids), self.lengths.tolist(), self.shorter.tolist()
+        text, ahead = data[start : start + size], int(self.lengths.max())
+        part = max(256, ahead)
+        begins = np.arange(0, size, part) - ahead
+        node, nodes = np.zeros(len(begins), np.int64), np.zeros(size, np.int64)
+        for t in range(part + ahead):
+            at = begins + t
+            here = np.flatnonzero((at >= 0) & (at < size))
+            node[here] = self._next(node[here] << 8 | text[at[here]])
+            if t >= ahead:
+                nodes[at[here]] = node[here]
+        best = self.longest[nodes]
+        back = np.arange(size) - self.lengths[best]
+        likely = np.unique(best[back[back >= 0]].astype(np.int64) * v + best[back >= 0])
+        breaks = dict(zip(likely.tolist(), self._breaks(likely).tolist()))
+        done = [0] * size
+        for t, token in enumerate(best.tolist()):
+            while (n := lengths[token]) <= t:
+                code = done[t - n] * v + token
+                broken = breaks.get(code)
+                if broken is None:
+                    broken = breaks[code] = int(self._breaks(np.array([code]))[0])
+                if not broken:
+                    break
+                token = shorter[token]
+            done[t] = token
+        last[start : start + size] = done
+        at = size - 1
+        while at >= 0:
+            ends[start + at] = True
+            at -= lengths[done[at]]
+
 
 def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterable[tuple[int, int]]:
     """Row ranges of about `limit` bytes; a longer text is a range of its own."""

@@ -9,17 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mergeloom.functions.automaton import MAX_VOCABULARY, MergeAutomaton, chunks
+from mergeloom.functions.automaton import MAX_MERGES, MergeAutomaton, chunks
 
 
 def load_automaton(merges: DataFrame, rank: str = "merge_rank", left: str = "left_id", right: str = "right_id", result: str = "result_id") -> MergeAutomaton:
     """The automaton of a merge table. Repeated rows count once.
 
-    The table is a vocabulary, so its size is bounded: more than MAX_VOCABULARY merges raise ValueError.
+    The table is a vocabulary, so its size is bounded: more than MAX_MERGES merges raise ValueError.
     """
-    rows = merges.select(F.col(rank).alias("r"), F.col(left).alias("a"), F.col(right).alias("b"), F.col(result).alias("x")).where("r is not null and a is not null and b is not null and x is not null").distinct().limit(MAX_VOCABULARY + 1).collect()
-    if len(rows) > MAX_VOCABULARY:
-        raise ValueError(f"more than {MAX_VOCABULARY} merges")
+    rows = merges.select(F.col(rank).alias("r"), F.col(left).alias("a"), F.col(right).alias("b"), F.col(result).alias("x")).where("r is not null and a is not null and b is not null and x is not null").distinct().limit(MAX_MERGES + 1).collect()
+    if len(rows) > MAX_MERGES:
+        raise ValueError(f"more than {MAX_MERGES} merges")
     rows.sort(key=lambda r: (r.r, r.a, r.b))
     return MergeAutomaton(np.array([(r.a, r.b, r.x) for r in rows], np.int32).reshape(-1, 3))
 

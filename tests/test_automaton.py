@@ -63,13 +63,47 @@ def test_exhaustive_small_texts():
             assert ids[begin[i] : begin[i + 1]].tolist() == by_definition(t, m)
 
 
-def test_long_stretch_takes_the_other_way():
+def test_long_stretch_advances_alone():
     m = [(97, 97, 256), (256, 256, 257), (257, 97, 258)]
     text = b"a" * (LONG_LANE + 3)
     ids, _ = MergeAutomaton(np.array(m)).tokens(*joined([text]))
     assert ids.tolist() == by_definition(text, m)
 
 
+@settings(max_examples=60, deadline=None)
+@given(tables(), st.text("abcx", max_size=60).map(str.encode))
+def test_bounded_memory_and_lone_stretches_change_nothing(merges, text):
+    import mergeloom.functions.automaton as A
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(A, "MEMORY", 64)
+        patch.setattr(A, "LONG_LANE", 3)
+        automaton = MergeAutomaton(np.array(merges).reshape(-1, 3))
+        assert not automaton._breaks.full
+        ids, _ = automaton.tokens(*joined([text]))
+    assert ids.tolist() == by_definition(text, merges)
+
+
+def test_a_vocabulary_of_fifty_thousand_ids_equals_the_rank_passes():
+    rng = np.random.default_rng(5)
+    merges, seen, size = [], set(), [1] * 256
+    while len(merges) < 50_000:
+        top = 256 + len(merges)
+        a, b = (int(rng.integers(97, 123)) if rng.random() < 0.4 else int(rng.integers(256, top)) if top > 256 else 97 for _ in range(2))
+        if (a, b) in seen or size[a] + size[b] > 24:
+            continue
+        seen.add((a, b))
+        size.append(size[a] + size[b])
+        merges.append((a, b, top))
+    m = np.array(merges)
+    automaton = MergeAutomaton(m)
+    spelled = expansions(merges)
+    texts = [bytes(rng.integers(97, 123, 60, dtype=np.uint8)) for _ in range(8)] + [b"".join(spelled[int(i)] for i in rng.integers(256, 50_256, 12)) for _ in range(12)]
+    ids, begin = automaton.tokens(*joined(texts))
+    for i, x in enumerate(texts):
+        assert ids[begin[i] : begin[i + 1]].tolist() == rank_passes(np.frombuffer(x, np.uint8), m).tolist()
+
+
 def test_very_long_texts_are_cut_where_tokens_end(monkeypatch):
     import mergeloom.functions.automaton as A
 
