@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterable, Iterator, Mapping
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,21 +14,27 @@ from pyspark.sql import functions as F
 
 from mergeloom.session import cut
 
-# Letters of other scripts with the shape of a Latin letter, as (Latin, the others).
+# Characters of other scripts with the shape of a Latin letter, as (Latin, the others): Greek, Cyrillic, Armenian, Cherokee, Coptic, Lisu, phonetic.
 SAME_SHAPE = (
-    ("A", "ΑА"), ("B", "ΒВ"), ("C", "СϹ"), ("E", "ΕЕ"), ("F", "Ϝ"), ("G", "Ԍ"), ("H", "ΗН"), ("I", "ΙІӀ"), ("J", "ЈͿ"), ("K", "ΚК"),
-    ("M", "ΜМ"), ("N", "Ν"), ("O", "ΟОՕ"), ("P", "ΡР"), ("Q", "Ԛ"), ("S", "ЅՏ"), ("T", "ΤТ"), ("W", "Ԝ"), ("X", "ΧХ"), ("Y", "ΥУҮ"), ("Z", "Ζ"),
-    ("a", "а"), ("c", "сϲ"), ("d", "ԁ"), ("e", "е"), ("h", "һ"), ("i", "і"), ("j", "јϳ"), ("l", "ӏ"), ("o", "оοօ"), ("p", "р"), ("q", "ԛ"), ("s", "ѕ"),
-    ("w", "ԝ"), ("x", "х"), ("y", "у"), ("Æ", "Ӕ"), ("æ", "ӕ"), ("Ə", "Ә"), ("ə", "ә"),
-    # punctuation: hyphens, the Greek question mark and ano teleia, fraction and division slashes are kept apart
-    ("-", "‐‑"), (";", ";"), ("·", "·"),
+    ("A", "ΑАᎪꓮ"), ("B", "ΒВᏴⲂꓐ"), ("C", "СϹᏟⲤꓚ"), ("D", "Ꭰꓓ"), ("E", "ΕЕᎬꓰ"), ("F", "Ϝꓝ"), ("G", "ԌᏀꓖ"), ("H", "ΗНᎻⲎꓧ"), ("I", "ΙІӀⲒꓲ"), ("J", "ЈͿᎫꓙ"), ("K", "ΚКᏦⲔꓗ"),
+    ("L", "ԼᏞꓡ"), ("M", "ΜМᎷⲘꓟ"), ("N", "ΝⲚꓠ"), ("O", "ΟОՕⲞꓳ"), ("P", "ΡРᏢⲢꓑ"), ("Q", "Ԛ"), ("R", "Ꭱꓣ"), ("S", "ЅՏᏚꓢ"), ("T", "ΤТᎢⲦꓔ"), ("U", "Սꓴ"), ("V", "ѴᏙꓦ"), ("W", "ԜᎳᏔꓪ"),
+    ("X", "ΧХⲬꓫ"), ("Y", "ΥУҮⲨꓬ"), ("Z", "ΖᏃꓜ"),
+    ("a", "а"), ("c", "сϲⲥᴄ"), ("d", "ԁ"), ("e", "е"), ("g", "ց"), ("h", "һհ"), ("i", "іᎥ"), ("j", "јϳյ"), ("l", "ӏ"), ("n", "ո"), ("o", "оοօⲟᴏ"), ("p", "рⲣ"), ("q", "ԛզ"), ("s", "ѕꜱ"),
+    ("u", "υս"), ("v", "νѵᴠ"), ("w", "ԝᴡ"), ("x", "х"), ("y", "у"), ("z", "ᴢ"), ("Æ", "Ӕ"), ("æ", "ӕ"), ("Ə", "Ә"), ("ə", "ә"),
+    # punctuation and blanks; dashes, the fraction and the division slash are kept apart
+    ("-", "‐‑"), (";", ";"), ("·", "·ꞏ⸱"), ("!", "ǃ"), ("|", "ǀ∣"), (":", "։׃꞉∶"), (",", "‚"), ("’", "ʼ՚"), ("′", "ʹ"), (" ", "\u3164\uffa0\u2800"),
 )
-# Characters without width or ink, besides the joiners.
-INVISIBLE = "­͏؜᠎​‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
+# Strings of several characters with the look of another string, besides those that follow by rule from the character database.
+SAME_STRINGS = (("||", "ǁ"), ("Оу", "Ѹ"), ("оу", "ѹ"), ("וו", "װ"), ("וי", "ױ"), ("יי", "ײ"))
+# Characters without width or ink, besides the joiners and variation selectors.
+INVISIBLE = "\u00ad\u034f\u061c\u17b4\u17b5\u180e\u200b\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
 #: Joiners are invisible too, but between emoji or in scripts that join letters they change what is seen.
-JOINERS = "‌‍"
-# A letter whose two cases look like letters of different names.
-CASELESS = "Ӏ"
+JOINERS = "\u200c\u200d"
+#: Variation selectors change nothing after letters of these kinds of names, but may after others (ideographs, symbols, emoji).
+SELECTORS = "".join(map(chr, range(0xFE00, 0xFE10)))
+PLAIN_SCRIPTS = ("LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "HEBREW", "ARABIC", "CHEROKEE", "COPTIC", "LISU", "GEORGIAN")
+# Letters that look like a letter of another name in one of their cases only; where case is ignored they would join two Latin letters.
+CASELESS = "Ӏνυ"
 # Letter variants that the database calls compatible but a reader tells apart.
 VARIANTS = "ſϐϑϒϓϔϕϖϰϱϲϴϵϹ"
 #: Kinds of compatibility decomposition that leave the look as it is.
@@ -67,7 +73,9 @@ def pairs(fold_case: bool = False) -> Iterator[tuple[str, str]]:
     """Strings that look the same, by rule from the character database and from the fixed values."""
     for latin, others in SAME_SHAPE:
         for o in others:
-            yield latin, o
+            if not (fold_case and o in CASELESS and o.islower()):
+                yield latin, o
+    yield from SAME_STRINGS
     for cp in range(0x80, 0x110000):
         c = chr(cp)
         kind, _, _ = unicodedata.decomposition(c).partition(" ")
@@ -91,7 +99,7 @@ def _alike(c: str, flat: str) -> bool:
         return flat == " "
     if cat[0] == "L" or cat == "Nl":
         return all(unicodedata.category(x)[0] in "LM" for x in flat)
-    return set(flat) == {"."}
+    return set(flat) <= set(".!?")  # leaders and double marks
 
 
 @lru_cache(4)
@@ -114,20 +122,25 @@ class Rewriter:
     def __init__(self, counts: Mapping[str, int] | None = None, fold_case: bool = False):
         counts = counts or {}
         self.fold_case = fold_case
-        self.single: dict[int, str | None] = {ord(c): None for c in INVISIBLE}
-        several: dict[str, str] = {}
+        self.to: dict[str, str] = dict.fromkeys(INVISIBLE, "")
         for members in look_classes(fold_case):
             best = min(members, key=lambda m: (-counts.get(m, 0), not m.isascii(), m != m.casefold() if fold_case else False, m))
-            for m in members:
-                if m != best:
-                    if len(m) == 1:
-                        self.single[ord(m)] = best
-                    else:
-                        several[m] = best
-        self.several = several
-        self.pattern = re.compile("|".join(map(re.escape, sorted(several, key=lambda s: (-len(s), s))))) if several else None
+            self.to |= {m: best for m in members if m != best}
         #: Whether texts of ASCII characters only are in their one form already.
-        self.plain_ascii = not any(k < 128 and not (fold_case and chr(k).isupper()) for k in self.single) and not any(s.isascii() and not (fold_case and s != s.casefold()) for s in several)
+        self.plain_ascii = not any(m.isascii() and not (fold_case and m != m.casefold()) for m in self.to)
+        self._machine = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_machine": None}
+
+    def machine(self) -> ahocorasick.Automaton:
+        """The automaton of all members that are rewritten; made once per process, some thousand patterns."""
+        if self._machine is None:
+            self._machine = ahocorasick.Automaton()
+            for m, best in self.to.items():
+                self._machine.add_word(m, (len(m), best))
+            self._machine.make_automaton()
+        return self._machine
 
     def __call__(self, text: str) -> str:
         if text.isascii() and self.plain_ascii:
@@ -135,12 +148,29 @@ class Rewriter:
         if self.fold_case:
             text = text.casefold()
         t = unicodedata.normalize("NFD", text)
-        if JOINERS[0] in t or JOINERS[1] in t:
+        if any(c in t for c in JOINERS):
             t = _drop_joiners(t)
-        t = t.translate(self.single)
-        if self.pattern:
-            t = self.pattern.sub(lambda m: self.several[m[0]], t)
-        return unicodedata.normalize("NFC", t)
+        if not t.isascii() and any(c in t for c in SELECTORS):
+            t = _drop_selectors(t)
+        out, at = [], 0
+        for end, (size, best) in self.machine().iter_long(t):  # leftmost, longest, without overlap
+            out.append(t[at : end + 1 - size])
+            out.append(best)
+            at = end + 1
+        out.append(t[at:])
+        return unicodedata.normalize("NFC", "".join(out))
+
+
+def _drop_selectors(t: str) -> str:
+    """Without variation selectors after letters, marks and blanks whose look they don't change, and at the start."""
+    out: list[str] = []
+    for c in t:
+        if c in SELECTORS:
+            before = out[-1] if out else ""
+            if not before or before.isspace() or unicodedata.category(before)[0] == "M" or (before.isalpha() and unicodedata.name(before, "").startswith(PLAIN_SCRIPTS)):
+                continue
+        out.append(c)
+    return "".join(out)
 
 
 def _drop_joiners(t: str) -> str:
@@ -223,18 +253,32 @@ def look_classes_of(documents: DataFrame, rewriter: Rewriter | None = None) -> D
     return documents.where("text is not null and doc_id is not null").select("doc_id", _digest(form(F.col("text"))).alias("look"), _digest(F.col("text")).alias("raw")).distinct()
 
 
+def look_groups(rows: DataFrame) -> DataFrame:
+    """Columns (look, spellings, documents) over rows of look_classes_of; counted by spelling first, so no look or spelling needs one task."""
+    spelled = rows.groupBy("look", "raw").agg(F.count(F.lit(1)).alias("n"))
+    return spelled.groupBy("look").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("documents"))
+
+
+def look_members(documents: DataFrame, rewriter: Rewriter | None = None) -> DataFrame:
+    """Columns (doc_id, look, raw, spellings, documents): every document with its class, and how many spellings and documents the class has.
+
+    Digests are joined, no texts and no pairs of documents. NULL texts are in no class.
+    """
+    rows = cut(look_classes_of(documents, rewriter))
+    return rows.join(look_groups(rows), "look")
+
+
 def look_pairs(documents: DataFrame, rewriter: Rewriter | None = None) -> DataFrame:
     """Columns (doc_id_a, doc_id_b), a < b: texts that are not identical but look the same.
 
-    Digests are joined, no texts. Looks with one spelling only, however many copies there are,
-    leave before the join; the others are paired by spelling, and only pairs of different spellings
-    are expanded to documents, so the work follows the result.
+    Documents whose class has one spelling only, however many copies there are, leave first. Pairs
+    of spellings are expanded to documents, since pairs are what is asked, so the work follows the
+    result; look_members has the same classes without pairs.
     """
     rows = cut(look_classes_of(documents, rewriter))
-    spellings = rows.groupBy("look", "raw").agg(F.count(F.lit(1)).alias("n"))
-    several = spellings.groupBy("look").agg(F.count(F.lit(1)).alias("spellings")).where("spellings > 1").select("look")
-    some = cut(spellings.join(several, "look", "left_semi").select("look", "raw"))
-    pairs = some.select("look", F.col("raw").alias("ra")).join(some.select("look", F.col("raw").alias("rb")), "look").where("ra < rb").select("ra", "rb")
-    a, b = rows.select(F.col("raw").alias("ra"), F.col("doc_id").alias("x")), rows.select(F.col("raw").alias("rb"), F.col("doc_id").alias("y"))
+    some = cut(rows.join(look_groups(rows).where("spellings > 1").select("look"), "look", "left_semi"))
+    spelled = some.select("look", "raw").distinct()
+    pairs = spelled.select("look", F.col("raw").alias("ra")).join(spelled.select("look", F.col("raw").alias("rb")), "look").where("ra < rb").select("ra", "rb")
+    a, b = some.select(F.col("raw").alias("ra"), F.col("doc_id").alias("x")), some.select(F.col("raw").alias("rb"), F.col("doc_id").alias("y"))
     found = pairs.join(a, "ra").join(b, "rb").where("x <> y")
     return found.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
