@@ -28,33 +28,50 @@ class SumOfSquares:
     def __init__(self, capacity: int, first: int = 0):
         self.capacity, self.next = capacity, first
         self.open = np.zeros(capacity + 1, np.int64)
+        #: Gaps that some open container has, in order; only these are looked at, so an item costs as much as there are different gaps, whatever the capacity.
+        self.gaps, self.many = np.zeros(64, np.int64), 0
         self.stacks: dict[int, list[int]] = {}
-        self.top = 0
+
+    def _add(self, gap: int, name: int) -> None:
+        self.open[gap] += 1
+        self.stacks.setdefault(gap, []).append(name)
+        if self.open[gap] == 1:
+            if self.many == len(self.gaps):
+                self.gaps = np.concatenate((self.gaps, np.zeros_like(self.gaps)))
+            i = int(np.searchsorted(self.gaps[: self.many], gap))
+            self.gaps[i + 1 : self.many + 1] = self.gaps[i : self.many].copy()
+            self.gaps[i] = gap
+            self.many += 1
+
+    def _take(self, gap: int) -> int:
+        name = self.stacks[gap].pop()
+        self.open[gap] -= 1
+        if self.open[gap] == 0:
+            del self.stacks[gap]
+            i = int(np.searchsorted(self.gaps[: self.many], gap))
+            self.gaps[i : self.many - 1] = self.gaps[i + 1 : self.many].copy()
+            self.many -= 1
+        return name
 
     def place(self, size: int) -> int:
         """The container of an item with 0 <= size <= capacity."""
         c, counts = self.capacity, self.open
-        best, gap = None, None
-        if size < c and self.top >= size:
-            at = counts[size : self.top + 1]
-            delta = 2 * (counts[: self.top + 1 - size] - at + 1)
-            delta[0] = 1 - 2 * at[0] if size else 0
-            if size == 0:
-                delta = np.zeros_like(at)
-            some = at > 0
-            if some.any():
-                delta = np.where(some, delta, np.iinfo(np.int64).max)
-                i = int(delta.argmin())
-                best, gap = int(delta[i]), size + i
+        best, gap = None, 0
+        at = self.gaps[int(np.searchsorted(self.gaps[: self.many], size)) : self.many]
+        if size == 0 and len(at):
+            best, gap = 0, int(at[0])
+        elif size < c and len(at):
+            delta = 2 * (counts[at - size] - counts[at] + 1)
+            if at[0] == size:
+                delta[0] = 1 - 2 * counts[size]
+            i = int(delta.argmin())
+            best, gap = int(delta[i]), int(at[i])
         if best is None or 2 * int(counts[c - size]) + 1 < best:
             name, self.next, left = self.next, self.next + 1, c - size
         else:
-            name, left = self.stacks[gap].pop(), gap - size
-            counts[gap] -= 1
+            name, left = self._take(gap), gap - size
         if left:
-            counts[left] += 1
-            self.stacks.setdefault(left, []).append(name)
-            self.top = max(self.top, left)
+            self._add(left, name)
         return name
 
 
