@@ -62,7 +62,8 @@ def mix_shares(sources: DataFrame, mix_targets: DataFrame, blocks: int = BLOCKS)
     Available bytes are the train part of `contribution` over the corpus's sources of the category;
     a source that is listed twice under one id counts once, NULL counts as 0. A category may give
     `available * max_repeats` bytes at most. The mix is `blocks` equal blocks; they are apportioned
-    by Sainte-Laguë, first without that limit (`fair_blocks`), then with it (`blocks`).
+    by Sainte-Laguë, first without that limit (`fair_blocks`), then with it (`blocks`). A category
+    is `short` if it is granted fewer seats than are fair; see below for the last block's rest.
 
     NULL or negative weights and repeats count as 0; a category without a source gives nothing; a
     mix without weights has NULL shares. The repeats are passes over the category's bytes.
@@ -89,13 +90,16 @@ def mix_shares(sources: DataFrame, mix_targets: DataFrame, blocks: int = BLOCKS)
     out = out.withColumn("fair_blocks", F.coalesce("fair_blocks", F.lit(0))).withColumn("blocks", F.coalesce("blocks", F.lit(0)))
     out = out.withColumn("given_bytes", F.least(F.col("blocks") * F.coalesce("block_bytes", F.lit(1)), F.greatest("capacity_bytes", F.lit(0))))
     all_given = F.sum("given_bytes").over(mix)
-    # Sainte-Laguë without limits stays within (categories + 1) / 2 blocks of the exact share, so every category that misses its share is among these.
-    near = (F.col("fair_blocks") + F.count(F.lit(1)).over(mix) / 2 + 1) * F.col("block_bytes") >= F.col("capacity_bytes")
+    # A divisor's rounding moves every category by half a block at most, so fair seats are within (categories + 1) / 2 blocks of the exact share,
+    # and blocks that don't divide the mix add one. Seats further apart than that decide; only a limit inside the last blocks is settled in bytes.
+    slack = F.count(F.lit(1)).over(mix) / 2 + 2
+    whole = F.floor(F.col("capacity_bytes") / F.coalesce("block_bytes", F.lit(1)))
+    short = F.when(F.col("blocks") + slack < F.col("fair_blocks"), True).when(whole > F.col("fair_blocks") + slack, False).otherwise(F.col("capacity_bytes") < F.col("target_bytes"))
     return out.select(
         "mix_id", "category", "corpus_id", "target_share", "target_bytes", "available_bytes", "capacity_bytes", "block_bytes", "fair_blocks", "blocks", "given_bytes",
         F.when(F.col("available_bytes") > 0, F.col("given_bytes") / F.col("available_bytes")).alias("repeats"),
         F.when(all_given > 0, F.col("given_bytes") / all_given).alias("reached_share"),
-        F.coalesce(near & (F.col("capacity_bytes") < F.col("target_bytes")), F.lit(False)).alias("short"),
+        F.coalesce(short, F.lit(False)).alias("short"),
     )
 
 
