@@ -117,6 +117,29 @@ def _train(args, packs: bool) -> int:
     return 0
 
 
+def _corpus(args) -> int:
+    from mergeloom.plans import corpus_build
+    from mergeloom.session import local_session
+    from mergeloom.sources.files import load_corpus
+
+    spark = local_session()
+    if args.command == "corpus":
+        got = corpus_build.write_corpus(load_corpus(spark, args.files).withColumnRenamed("rel_path", "name"), args.folder, args.mode, args.block_bytes)
+        print("\n".join(f"{s}: {v['blocks']} blocks, {v['bytes']} bytes, {v['dropped']} dropped" for s, v in sorted(got["splits"].items())))
+        return 0
+    if args.command == "prepare":
+        rows = corpus_build.prepare(spark, args.folder, read_artifact(args.artifact))
+        print(f"sequences: {rows.count()}")
+        return 0
+    if args.command == "verify-prepared":
+        bad = corpus_build.verify_prepared(spark, args.folder).limit(SHOWN).collect()
+        print("\n".join(f"{r.path}: {r.problem}" for r in bad) or "verified")
+        return int(bool(bad))
+    for r in corpus_build.plan(spark, args.folder).orderBy("split").collect():  # three rows
+        print(" ".join(f"{k}={v}" for k, v in r.asDict().items()))
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="mergeloom", description=__doc__)
     sub = top.add_subparsers(dest="command", required=True)
@@ -142,6 +165,16 @@ def main(argv: list[str] | None = None) -> int:
     c = sub.add_parser("inspect-merges")
     c.add_argument("artifact")
     c.add_argument("--limit", type=int, default=SHOWN)
+    c = sub.add_parser("corpus")
+    c.add_argument("files")
+    c.add_argument("folder")
+    c.add_argument("--mode", choices=("near", "passages"), default="near")
+    c.add_argument("--block-bytes", type=int)
+    c = sub.add_parser("prepare")
+    c.add_argument("folder")
+    c.add_argument("artifact")
+    for name in ("verify-prepared", "plan"):
+        sub.add_parser(name).add_argument("folder")
     args = top.parse_args(argv)
     try:
         return _run(args)
@@ -168,6 +201,8 @@ def _run(args) -> int:
         write_new(args.artifact, Artifact.bytes_only().to_bytes())
     elif args.command in ("train-bpe", "train-packs"):
         return _train(args, args.command == "train-packs")
+    elif args.command in ("corpus", "prepare", "verify-prepared", "plan"):
+        return _corpus(args)
     else:
         a = read_artifact(args.artifact)
         if args.command == "validate":

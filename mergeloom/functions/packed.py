@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import numpy as np
 
 from mergeloom.artifact import BYTE_FALLBACK
-from mergeloom.errors import DecodeError
+from mergeloom.errors import DecodeError, EncodeError
 from mergeloom.functions.automaton import MergeAutomaton, expansions
 from mergeloom.functions.routing import span_borders
 
 
 class PackedAutomaton:
-    """One automaton per pack; merges never cross a span."""
+    """One automaton per pack; merges never cross a span.
 
-    def __init__(self, merges: Mapping[int, list[tuple[int, int, int]]]):
-        self.packs = {int(p): MergeAutomaton(np.array(m, np.int32)) for p, m in merges.items() if len(m)}
+    `router` gives the pack of every byte and the bytes that begin a span; it must name known packs,
+    never the byte fallback, and begin a span wherever the pack changes or a text begins.
+    """
 
-    def tokens(self, data: np.ndarray, offsets: np.ndarray, valid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(pack, local, begin): a byte left alone is (fallback, byte), a learned token (pack, id - 256).
+    def __init__(self, merges: Mapping[int, list[tuple[int, int, int]]], router: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] = span_borders):
+        if BYTE_FALLBACK in merges:
+            raise EncodeError("byte fallback as a pack", pack=BYTE_FALLBACK)
+        self.router = router
+        self.packs = {int(p): MergeAutomaton(np.array(m, np.int32)) for p, m in merges.items() if len(m)}
 
-        Texts whose `valid` is False are bytes throughout.
-        """
-        packs, border = span_borders(data, offsets)
+    def coded(self, data: np.ndarray, offsets: np.ndarray, valid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(pack, local, last byte) of every token, and the router's (packs, borders) of every byte."""
+        packs, border = self.router(data, offsets)
+        if self.router is not span_borders:
+            _check_routing(packs, border, offsets)
         ids, ends, home = data.astype(np.int32), np.ones(len(data), bool), packs
         usable = np.ones(len(data), bool)
         if valid is not None and not valid.all():
@@ -39,8 +45,34 @@ class PackedAutomaton:
         places = np.flatnonzero(ends)
         token = ids[places]
         learned = token >= 256
-        pack = np.where(learned, home[places], BYTE_FALLBACK)
-        return pack, np.where(learned, token - 256, token), np.searchsorted(places, offsets)
+        return np.where(learned, home[places], BYTE_FALLBACK), np.where(learned, token - 256, token), places, packs, border
+
+    def tokens(self, data: np.ndarray, offsets: np.ndarray, valid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pack, local, begin): a byte left alone is (fallback, byte), a learned token (pack, id - 256).
+
+        Texts whose `valid` is False are bytes throughout.
+        """
+        pack, local, places, _, _ = self.coded(data, offsets, valid)
+        return pack, local, np.searchsorted(places, offsets)
+
+    def sums(self, data: np.ndarray, offsets: np.ndarray, valid: np.ndarray | None = None) -> dict[int, np.ndarray]:
+        """Pack -> (routed bytes, spans, tokens, token bytes) over all texts."""
+        pack, _, places, packs, border = self.coded(data, offsets, valid)
+        size = np.diff(np.concatenate(([-1], places)))
+        out: dict[int, np.ndarray] = {}
+        for column, (keys, weights) in enumerate(((packs, None), (packs[border], None), (pack, None), (pack, size))):
+            kinds, which = np.unique(keys, return_inverse=True)
+            for k, n in zip(kinds.tolist(), np.bincount(which, weights, len(kinds)).tolist()):
+                out.setdefault(k, np.zeros(4, np.int64))[column] = int(n)
+        return out
+
+
+def _check_routing(packs: np.ndarray, border: np.ndarray, offsets: np.ndarray) -> None:
+    begins = offsets[:-1][offsets[:-1] < len(packs)]
+    if len(packs) and (not border[begins].all() or not border[1:][packs[1:] != packs[:-1]].all()):
+        raise EncodeError("router leaves a span open")
+    if (packs == BYTE_FALLBACK).any() or (packs < 0).any():
+        raise EncodeError("router names no pack", byte=int(np.flatnonzero((packs == BYTE_FALLBACK) | (packs < 0))[0]))
 
 
 class Expander:

@@ -21,3 +21,10 @@ def span_borders(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         border[1:] = packs[1:] != packs[:-1]
         border[offsets[(offsets >= 0) & (offsets < len(data))]] = True
     return packs, border
+
+
+def whole_text(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A router with one span a text, in the pack TEXT."""
+    border = np.zeros(len(data), bool)
+    border[offsets[:-1][offsets[:-1] < len(data)]] = True
+    return np.full(len(data), TEXT), border

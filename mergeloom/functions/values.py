@@ -61,6 +61,51 @@ def rolling_hashes(data: bytes, k: int) -> np.ndarray:
     return out
 
 
+def lists_of(parts: list[np.ndarray]) -> pa.Array:
+    """ARRAY<BIGINT> of numpy arrays."""
+    begins = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(begins), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+
+
+def window_anchors(data: bytes, k: int) -> np.ndarray:
+    """For every k-byte window, the least mixed hash of the windows of half that length inside it; equal windows have equal anchors."""
+    t = k // 2
+    h = rolling_hashes(data, t) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    want, have = k - t + 1, 1
+    if len(h) < want:
+        return np.zeros(0, np.int64)
+    n = len(h) - want + 1
+    while have * 2 <= want:
+        h = np.minimum(h[:-have], h[have:])
+        have *= 2
+    return np.minimum(h[:n], h[want - have : want - have + n]).view(np.int64)
+
+
+def anchors(k: int):
+    """A column function: the distinct anchors of a STRING's or BINARY's k-byte windows as ARRAY<BIGINT>, about one for k / 4 bytes."""
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def run(values: pa.Array) -> pa.Array:
+        return lists_of([np.unique(window_anchors(v or b"", k)) for v in values.cast(pa.binary()).to_pylist()])
+
+    return run
+
+
+def anchored(k: int):
+    """A column function: the distinct hashes of those k-byte windows of a STRING or BINARY whose anchor is in an ARRAY<BIGINT>."""
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def run(values: pa.Array, wanted: pa.Array) -> pa.Array:
+        out = []
+        for v, w in zip(values.cast(pa.binary()).to_pylist(), wanted):
+            here = np.isin(window_anchors(v or b"", k), np.asarray(w.values)) if w.is_valid else np.zeros(0, bool)
+            out.append(np.unique(rolling_hashes(v or b"", k).view(np.int64)[here]) if here.any() else np.zeros(0, np.int64))
+        return lists_of(out)
+
+    return run
+
+
 def rolling(k: int, stride: int = 1, distinct: bool = False):
     """A column function: window hashes of STRING or BINARY as ARRAY<BIGINT>, every `stride`-th, once each if `distinct`."""
 
@@ -70,7 +115,7 @@ def rolling(k: int, stride: int = 1, distinct: bool = False):
         for v in values.cast(pa.binary()).to_pylist():
             h = rolling_hashes(v or b"", k)[::stride].view(np.int64)
             out.append(np.unique(h) if distinct else h)
-        return pa.array([x.tolist() for x in out], pa.list_(pa.int64()))
+        return lists_of(out)
 
     return run
 

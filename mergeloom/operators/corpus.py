@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mergeloom.functions.values import MASK, rolling
+from mergeloom.errors import CorpusError
+from mergeloom.functions.values import MASK, anchored, anchors, rolling
 from mergeloom.operators.ranking import running_sum
 from mergeloom.session import cut
 
@@ -57,29 +60,43 @@ def _wrapping_product(i: Column, k: int) -> Column:
 def capped_files(files: DataFrame, path: str, size: str, limit: int = 20 * 1024 * 1024) -> DataFrame:
     """Columns (path, size, taken, before): files in path order while they fit; one too large is skipped and the next is tried.
 
-    Skipped files don't add, so the sum is a fold over (path, size) pairs of one listing, which is
-    bounded by the number of files a corpus may have (65,000).
+    Skipped files don't add, so the sum is a fold in order. One task streams the (path, size) pairs
+    of one listing, bounded by the number of files a corpus may have (65,000); no contents.
     """
     listing = files.select(F.col(path).alias("path"), F.col(size).cast("bigint").alias("size"))
-    ordered = listing.agg(F.array_sort(F.collect_list(F.struct("path", "size"))).alias("all"))
-    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<struct<path:string,size:bigint,taken:boolean,before:bigint>>").alias("out"))
 
-    def step(acc: Column, f: Column) -> Column:
-        fits = acc["sum"] + f["size"] <= limit
-        row = F.struct(f["path"].alias("path"), f["size"].alias("size"), fits.alias("taken"), acc["sum"].alias("before"))
-        return F.struct((acc["sum"] + F.when(fits, f["size"]).otherwise(F.lit(0).cast("bigint"))).alias("sum"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for b in batches:
+            taken, before = [], []
+            for n in b.column("size").to_pylist():
+                fits = n is not None and total + n <= limit
+                before.append(total)
+                taken.append(fits)
+                total += n if fits else 0
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("size"), pa.array(taken, pa.bool_()), pa.array(before, pa.int64())], names=["path", "size", "taken", "before"])
 
-    return ordered.select(F.inline(F.aggregate("all", start, step)["out"]))
+    return listing.repartition(1).sortWithinPartitions("path", "size").mapInArrow(fold, "path string, size bigint, taken boolean, before bigint")
 
 
-def passage_hashes(blocks: DataFrame, ident: str, content: str, k: int = PASSAGE) -> DataFrame:
-    """Columns (ident, h): rolling hashes of all k-byte windows, once each."""
-    return blocks.select(F.col(ident), F.explode(rolling(k, distinct=True)(F.col(content))).alias("h"))
+def repeated_windows(blocks: DataFrame, ident: str, split: str, content: str, k: int, across: bool = True) -> DataFrame:
+    """Columns (i, s, h): blocks with the hashes of those k-byte windows whose anchor also stands in another split, or with across=False in another block.
+
+    A window's anchor is the least hash of the half as long windows inside it, so equal windows have
+    equal anchors: no window that repeats is missing, and only about one row for k / 4 bytes is
+    shuffled to find where there are any. Anchors are counted before they are joined.
+    """
+    b = blocks.select(F.col(ident).alias("i"), F.col(split).alias("s"), F.col(content).alias("c"))
+    own = b.select("i", "s", F.explode(anchors(k)(F.col("c"))).alias("a"))
+    apart = (lambda c: F.min(c) != F.max(c))("s" if across else "i")
+    shared = own.groupBy("a").agg(apart.alias("apart")).where("apart").select("a")
+    wanted = cut(own.join(shared.hint("merge"), "a").groupBy("i").agg(F.collect_list("a").alias("wanted")))  # at most a block's own anchors
+    return b.join(wanted.hint("merge"), "i").select("i", "s", F.explode(anchored(k)(F.col("c"), F.col("wanted"))).alias("h"))
 
 
-def splits_share_passage(blocks: DataFrame, split: str, content: str, k: int = 32) -> DataFrame:
+def splits_share_passage(blocks: DataFrame, split: str, content: str, k: int = 32, ident: str = "unit_id") -> DataFrame:
     """Columns (split_a, split_b, shared): pairs of splits with the number of distinct k-byte passages in both."""
-    h = blocks.select(F.col(split).alias("s"), F.explode(rolling(k, distinct=True)(F.col(content))).alias("h")).distinct()
+    h = repeated_windows(blocks, ident, split, content, k).select("s", "h").distinct()
     by = h.groupBy("h").agg(F.array_sort(F.collect_set("s")).alias("in_")).where(F.size("in_") > 1)  # as many entries as there are splits
     pair = by.select(F.explode(F.flatten(F.transform("in_", lambda a: F.transform(F.filter("in_", lambda b: b > a), lambda b: F.struct(a.alias("split_a"), b.alias("split_b")))))).alias("p"))
     return pair.select("p.*").groupBy("split_a", "split_b").agg(F.count(F.lit(1)).alias("shared"))
@@ -87,7 +104,7 @@ def splits_share_passage(blocks: DataFrame, split: str, content: str, k: int = 3
 
 def drop_leaky_blocks(blocks: DataFrame, ident: str, split: str, content: str, k: int = PASSAGE) -> DataFrame:
     """Columns (ident, split, kept): held-out blocks with a k-byte passage of train, then test blocks with one of a kept validation block."""
-    h = blocks.select(F.col(ident).alias("i"), F.col(split).alias("s"), F.explode(rolling(k, distinct=True)(F.col(content))).alias("h"))
+    h = cut(repeated_windows(blocks, ident, split, content, k))
     train = h.where("s = 'train'").select("h").distinct()
     bad = h.where(F.col("s").isin(*HELD_OUT)).join(train, "h", "left_semi").select("i").distinct()
     validation = h.where("s = 'validation'").join(bad, "i", "left_anti").select("h").distinct()
@@ -149,7 +166,7 @@ def accept_blocks(blocks: DataFrame, ident: str, split: str, content: str, long:
     many as the longest chain of neighbours.
     """
     b = cut(blocks.select(F.col(ident).alias("id"), F.col(split).alias("s"), F.col(content).alias("c")))
-    h = b.select("id", "s", F.explode(rolling(long, distinct=True)(F.col("c"))).alias("h"))
+    h = cut(repeated_windows(b, "id", "s", "c", long, across=False).withColumnRenamed("i", "id"))
     train = h.where("s = 'train'").select("h").distinct()
     passages = cut(h.where("s <> 'train'"))
     by_train = passages.join(train, "h", "left_semi").select("id").distinct()
@@ -203,6 +220,38 @@ def unit_spans(units: DataFrame, sources: DataFrame, split: str, corpus: str | N
     return running_sum(named, ["ord"], "size", "end_byte", own).select(*own, (F.col("end_byte") - F.col("size")).alias("start_byte"), "end_byte", "category")
 
 
+def span_report(units: DataFrame, sources: DataFrame, stated: DataFrame, corpus: str) -> DataFrame:
+    """Columns (corpus, split, units, unit_bytes, empty_units, unknown_sources, stated_bytes, covered), a row for every corpus and split in either input.
+
+    Kept units (corpus, source, start, end, proposed, kept) are held against sources (corpus, name)
+    and the stated sizes (corpus, split, size): a unit without bytes, a source that isn't listed, or
+    a sum other than the split's size keeps a split from being covered.
+    """
+    names = sources.select(F.col(corpus).alias("__c"), F.col("name").alias("__n")).distinct().withColumn("__known", F.lit(True))
+    mine = units.where("kept").select(F.col(corpus).alias("c"), F.col("proposed").alias("s"), "source", (F.col("end") - F.col("start")).alias("size"))
+    sums = mine.join(names, F.col("c").eqNullSafe(F.col("__c")) & (F.col("source") == F.col("__n")), "left").groupBy("c", "s").agg(
+        F.count(F.lit(1)).alias("units"), F.sum("size").alias("unit_bytes"), F.sum((F.col("size") <= 0).cast("bigint")).alias("empty_units"), F.sum(F.col("__known").isNull().cast("bigint")).alias("unknown_sources")
+    )
+    given = stated.select(F.col(corpus).alias("d"), F.col("split").alias("t"), F.col("size").cast("bigint").alias("stated_bytes"))
+    both = sums.join(given, F.col("c").eqNullSafe(F.col("d")) & F.col("s").eqNullSafe(F.col("t")), "full_outer")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    rows = both.select(F.coalesce("c", "d").alias(corpus), F.coalesce("s", "t").alias("split"), *[zero(c) for c in ("units", "unit_bytes", "empty_units", "unknown_sources", "stated_bytes")])
+    return rows.withColumn("covered", (F.col("empty_units") == 0) & (F.col("unknown_sources") == 0) & (F.col("unit_bytes") == F.col("stated_bytes")))
+
+
+def require_covered(report: DataFrame) -> None:
+    """Raises CorpusError with the first split of a span_report that isn't covered."""
+    bad = report.where("not covered").orderBy(*report.columns[:2]).limit(1).collect()
+    if bad:
+        raise CorpusError("spans don't cover the split", **bad[0].asDict())
+
+
+def require_mapped(domains: DataFrame) -> DataFrame:
+    """Rows of token_domains; one with a gap in the spans below it fails when it is read."""
+    gap = F.raise_error(F.concat(F.lit("no span at byte "), F.col("start_byte").cast("string")))
+    return domains.withColumn("domain", F.coalesce("domain", gap.cast("string")))
+
+
 def token_domains(tokens: DataFrame, spans: DataFrame, width: int = 8192) -> DataFrame:
     """Columns (pos, start_byte, end_byte, domain): the domain of every token's byte range; mixed-domain across two, NULL with a gap.
 

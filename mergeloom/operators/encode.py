@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mergeloom.artifact import BYTE_FALLBACK, Artifact
+from mergeloom.artifact import BYTE_FALLBACK, ROUTER, Artifact
+from mergeloom.errors import DecodeError, EncodeError
 from mergeloom.functions.automaton import expansions
 from mergeloom.functions.merge_columns import _pieces, load_automaton, token_ids
 from mergeloom.functions.packed import Expander, PackedAutomaton
-from mergeloom.operators.route import all_packs, spans, pack_of
+from mergeloom.operators.mapping import MAX_IDS, bounded, vocabulary
+from mergeloom.operators.route import all_packs, router
 
 TOKEN = "struct<pack:int,local:bigint>"
+STATS = ("routed_bytes", "spans", "tokens", "token_bytes")
 PackMerges = Mapping[int, list[tuple[int, int, int]]]
 
 
@@ -75,13 +78,14 @@ def artifact_merges(artifact: Artifact) -> dict[int, list[tuple[int, int, int]]]
     return {p.pack_id: [(a, b, 256 + r) for r, (a, b) in enumerate(p.merges)] for p in artifact.packed.packs}
 
 
-def encode_packed(df: DataFrame, ident: str, text: str, merges: PackMerges) -> DataFrame:
+def encode_packed(df: DataFrame, ident: str, text: str, merges: PackMerges, policy: str = ROUTER) -> DataFrame:
     """Columns (ident, tokens ARRAY<STRUCT<pack, local>>).
 
-    A STRING or BINARY column; merges stay inside spans, a byte left alone is (65535, byte). Bytes
-    that are no UTF-8 go through the byte fallback as a whole. NULL gives no tokens.
+    A STRING or BINARY column; merges stay inside spans of the router with that policy id, a byte
+    left alone is (65535, byte). Bytes that are no UTF-8 go through the byte fallback as a whole.
+    NULL gives no tokens. A router that names no pack or leaves a span open raises EncodeError.
     """
-    shared = df.sparkSession.sparkContext.broadcast(PackedAutomaton(merges))
+    shared = df.sparkSession.sparkContext.broadcast(PackedAutomaton(merges, router(policy)))
 
     @F.arrow_udf(f"array<{TOKEN}>")
     def run(values: pa.Array, valid: pa.Array) -> pa.Array:
@@ -101,6 +105,15 @@ def encode_packed(df: DataFrame, ident: str, text: str, merges: PackMerges) -> D
     return df.select(F.col(ident), run(value, F.is_valid_utf8(value.cast("string"))).alias("tokens"))
 
 
+def encode_artifact(df: DataFrame, ident: str, text: str, artifact: Artifact, policy: str = ROUTER) -> DataFrame:
+    """encode_packed with an artifact's merges; a router other than the artifact's raises EncodeError."""
+    if not artifact.packed:
+        raise EncodeError("no pack model")
+    if policy != artifact.packed.router:
+        raise EncodeError("router differs from the artifact's", policy=policy, artifact=artifact.packed.router)
+    return encode_packed(df, ident, text, artifact_merges(artifact), policy)
+
+
 def _flat_lists(arrays: pa.Array) -> tuple[pa.Array, np.ndarray]:
     if isinstance(arrays, pa.ChunkedArray):
         arrays = arrays.combine_chunks()
@@ -138,6 +151,65 @@ def decode_packed(sc, merges: PackMerges):
     return run
 
 
+def decode_flat_or_error(sc, merges: list[tuple[int, int, int]]):
+    """A column function: STRUCT<bytes BINARY, error STRING, error_index INT> of flat token ids.
+
+    A row with an unknown id has no bytes but the error and the place of the first such token, from
+    0; other rows are not touched by it. NULL gives no bytes and no error.
+    """
+    shared = sc.broadcast(Expander.flat(merges))
+
+    @F.arrow_udf("struct<bytes:binary,error:string,error_index:int>")
+    def run(tokens: pa.Array) -> pa.Array:
+        table, out = shared.value, []
+        for t in tokens:
+            ids = np.asarray(t.values.fill_null(-1), np.int64) if t.is_valid else np.zeros(0, np.int64)
+            try:
+                raw = table.expand(table.codes(np.zeros(len(ids), np.int64), ids), np.array([0, len(ids)]))[0].tobytes()
+                out.append({"bytes": raw, "error": None, "error_index": None})
+            except DecodeError as e:
+                out.append({"bytes": None, "error": e.kind, "error_index": e.details["index"]})
+        return pa.array(out, pa.struct([("bytes", pa.binary()), ("error", pa.string()), ("error_index", pa.int32())]))
+
+    return run
+
+
+def adapt(df: DataFrame, ident: str, text: str, merges: PackMerges, mapping: DataFrame) -> DataFrame:
+    """Columns (ident, tokens ARRAY<INT> global ids, n_bytes ARRAY<INT>, same, covered): encode, check, number and measure in one pass.
+
+    `mapping` (global_id, pack_id, local_id) is a vocabulary of at most a million ids; a token it
+    lacks is NULL. `same` is whether the tokens decode to the text, `covered` whether their lengths
+    add up to its bytes. NULL has no tokens and counts as the empty text.
+    """
+    known = {(r.pack_id, r.local_id): r.global_id for r in bounded(mapping.select("pack_id", "local_id", "global_id"), MAX_IDS).collect()}
+    expander = Expander.packed(merges)
+    ids = np.array([known.get(k, -1) for k in sorted(expander.code)], np.int32)
+    shared = df.sparkSession.sparkContext.broadcast((PackedAutomaton(merges), expander, ids))
+
+    @F.arrow_udf("struct<tokens:array<int>,n_bytes:array<int>,same:boolean,covered:boolean>")
+    def run(values: pa.Array, valid: pa.Array) -> pa.Array:
+        automaton, table, numbers = shared.value
+        ok, row = np.asarray(valid.fill_null(True)), 0
+        parts = []
+        for data, offsets in _pieces(values):
+            n = len(offsets) - 1
+            pack, local, begin = automaton.tokens(data, offsets, ok[row : row + n])
+            row += n
+            codes = table.codes(pack, local)
+            back, at = table.expand(codes, begin)
+            size = np.concatenate(([0], np.cumsum(table.size[codes])))
+            same = [back[at[i] : at[i + 1]].tobytes() == data[offsets[i] : offsets[i + 1]].tobytes() for i in range(n)]
+            given = numbers[codes]
+            token = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(given, mask=given < 0))
+            length = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(table.size[codes].astype(np.int32)))
+            parts.append(pa.StructArray.from_arrays([token, length, pa.array(same, pa.bool_()), pa.array(size[begin[1:]] - size[begin[:-1]] == np.diff(offsets))], names=["tokens", "n_bytes", "same", "covered"]))
+        kind = pa.struct([("tokens", pa.list_(pa.int32())), ("n_bytes", pa.list_(pa.int32())), ("same", pa.bool_()), ("covered", pa.bool_())])
+        return pa.concat_arrays(parts).cast(kind) if parts else pa.array([], kind)
+
+    value = F.col(text)
+    return df.select(F.col(ident), run(value, F.is_valid_utf8(value.cast("string"))).alias("__a")).select(ident, "__a.*")
+
+
 def length_frame(spark, merges: PackMerges, flat: bool = False) -> DataFrame:
     """Bytes of every token: (token, n_bytes, hex) for a flat table, else (pack_id, local_id, n_bytes, hex)."""
     if flat:
@@ -151,21 +223,33 @@ def length_frame(spark, merges: PackMerges, flat: bool = False) -> DataFrame:
 def token_rows(encoded: DataFrame, ident: str, lengths: DataFrame, key: str = "token") -> DataFrame:
     """Columns (ident, pos, token, n_bytes) of flat encodings; an id without a length has NULL there."""
     rows = encoded.select(F.col(ident), F.posexplode("tokens").alias("pos", "token"))
-    return rows.join(F.broadcast(lengths.select(F.col(key).alias("__t"), "n_bytes")), F.col("token") == F.col("__t"), "left").select(ident, F.col("pos").cast("bigint").alias("pos"), "token", "n_bytes")
+    return rows.join(vocabulary(lengths.select(F.col(key).alias("__t"), "n_bytes")), F.col("token") == F.col("__t"), "left").select(ident, F.col("pos").cast("bigint").alias("pos"), "token", "n_bytes")
 
 
-def encode_stats(df: DataFrame, ident: str, text: str, merges: PackMerges) -> DataFrame:
-    """Columns (pack_id, pack_name, routed_bytes, spans, tokens, token_bytes), four rows.
+def encode_stats(df: DataFrame, ident: str, text: str, merges: PackMerges, policy: str = ROUTER) -> DataFrame:
+    """Columns (pack_id, pack_name, routed_bytes, spans, tokens, token_bytes), one row for each of the four packs.
 
     Spans and routed bytes count under the pack they were routed to, tokens and their bytes under
-    the pack they came out in.
+    the pack they came out in. Texts are read once; a task sends one row per pack.
     """
-    routed = df.select(F.explode(spans(F.col(text))).alias("s")).select(pack_of(F.col("s")).alias("p"), F.octet_length("s").alias("b")).groupBy("p").agg(F.sum("b").alias("routed_bytes"), F.count(F.lit(1)).alias("spans"))
-    lengths = length_frame(df.sparkSession, merges)
-    out = encode_packed(df, ident, text, merges).select(F.explode("tokens").alias("t")).groupBy(F.col("t.pack").alias("q"), F.col("t.local").alias("l")).agg(F.count(F.lit(1)).alias("c"))
-    sized = out.join(F.broadcast(lengths), (F.col("q") == F.col("pack_id")) & (F.col("l") == F.col("local_id"))).groupBy("q").agg(F.sum("c").alias("tokens"), F.sum(F.col("c") * F.col("n_bytes")).alias("token_bytes"))
-    joined = all_packs(df).join(routed, F.col("pack_id") == F.col("p"), "left").join(sized, F.col("pack_id") == F.col("q"), "left")
-    return joined.select("pack_id", "pack_name", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("routed_bytes", "spans", "tokens", "token_bytes")])
+    shared = df.sparkSession.sparkContext.broadcast(PackedAutomaton(merges, router(policy)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            ok, row = np.asarray(b.column(1).fill_null(True)), 0
+            for data, offsets in _pieces(b.column(0)):
+                n = len(offsets) - 1
+                for p, sums in shared.value.sums(data, offsets, ok[row : row + n]).items():
+                    total[p] = total.get(p, 0) + sums
+                row += n
+        columns = [pa.array(list(total), pa.int32()), *[pa.array([int(s[i]) for s in total.values()], pa.int64()) for i in range(4)]]
+        yield pa.RecordBatch.from_arrays(columns, names=["p", *STATS])
+
+    value = F.col(text)
+    parts = df.select(value.alias("v"), F.is_valid_utf8(value.cast("string")).alias("ok")).mapInArrow(count, "p int, " + ", ".join(f"{c} bigint" for c in STATS))
+    sums = parts.groupBy("p").agg(*[F.sum(c).alias(c) for c in STATS])
+    return all_packs(df).join(sums, F.col("pack_id") == F.col("p"), "left").select("pack_id", "pack_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in STATS])
 
 
 def pack_transitions(tokens: Column) -> Column:
@@ -176,7 +260,7 @@ def pack_transitions(tokens: Column) -> Column:
 
 
 def roundtrip_failures(df: DataFrame, ident: str, text: str, merges: PackMerges) -> DataFrame:
-    """Rows (ident) whose text is not what its own tokens decode to; none if all is well."""
-    sc = df.sparkSession.sparkContext
-    coded = encode_packed(df, ident, text, merges).select(F.col(ident).alias("__i"), decode_packed(sc, merges)(F.col("tokens")).alias("__back"))
-    return df.select(ident, F.col(text).cast("binary").alias("__raw")).join(coded, F.col(ident) == F.col("__i")).where("coalesce(__raw, X'') <> __back").select(ident)
+    """Rows (ident) whose text is not what its own tokens decode to; none if all is well. Compared row by row, without a join."""
+    both = encode_packed(df.select(F.struct(F.col(ident).alias("i"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw")).alias("__row"), text), "__row", text, merges)
+    back = decode_packed(df.sparkSession.sparkContext, merges)(F.col("tokens"))
+    return both.where(F.col("__row.raw") != back).select(F.col("__row.i").alias(ident))

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,6 +149,17 @@ class RecurrentModel:
             local[at] = (h[at] @ w["local_out"][s].T + w["local_bias"][s]).argmax(1)
         return np.array([p for p, _ in self.packs])[k], local
 
+    def right_locals(self, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Whether the best token of the target's own pack is the target; for a flat head, of all tokens."""
+        w, packs = self.weights, self.packs or ((0, self.rows),)
+        out, bias = (w["local_out"], w["local_bias"]) if self.packs else (w["out"], w["out_bias"])
+        right = np.zeros(len(rows), bool)
+        for p, n in packs:
+            a = self.first.get(p, 0)
+            at = np.flatnonzero((rows >= a) & (rows < a + n))
+            right[at] = (h[at] @ out[a : a + n].T + bias[a : a + n]).argmax(1) == rows[at] - a
+        return right
+
     def generate(self, prompt: Sequence[tuple[int, int]], count: int) -> list[tuple[int, int]]:
         """Greedy continuation; the last `context` tokens are the window of every step."""
         if not prompt:
@@ -278,42 +290,62 @@ def _loss(z: np.ndarray, target: np.ndarray) -> np.ndarray:
     return (top - d[np.arange(len(d)), target]) + np.log(np.exp(d - top[:, None]).sum(1))
 
 
+#: Positions that are scored together.
+SCORED = 8192
+SCORES = "pos bigint, pack int, local bigint, active int, pack_nll double, token_nll double, nll double, pack_right boolean, local_right boolean, right boolean"
+
+
 def score(df: DataFrame, model: RecurrentModel, ident: str, tokens: str) -> DataFrame:
-    """Columns (ident, pos, pack, local, pack_nll, token_nll, nll, pack_right, right): every token but the first, given at most `context` before it.
+    """Columns (ident, pos, pack, local, active, pack_nll, token_nll, nll, pack_right, local_right, right): every token but the first, given at most `context` before it.
 
-    `tokens` is ARRAY<STRUCT<pack, local>>. Batches of windows are scored together; nothing is shuffled.
+    `tokens` is ARRAY<STRUCT<pack, local>>. Windows of all sequences of a batch are scored together;
+    nothing is shuffled. `active` is the size of the head that the target's pack has.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[ident].dataType.simpleString()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for pdf in parts:
-            for i, seq in zip(pdf[ident], pdf[tokens]):
-                seq = [] if seq is None else seq
-                pack, local = (np.array([t[k] for t in seq], np.int64) for k in ("pack", "local"))
-                rows = m.row(pack, local)
-                for a in range(1, len(rows), 4096):
-                    at = np.arange(a, min(a + 4096, len(rows)))
-                    n = np.minimum(at, m.context)
-                    offset = at[:, None] - n[:, None] + np.arange(m.context)
-                    h = m.states(rows[np.minimum(offset, len(rows) - 1)], n)[np.arange(len(at)), n]
-                    pl, tl = m.losses(h, rows[at])
-                    pp, lp = m.predict(h)
-                    yield pd.DataFrame({ident: i, "pos": at, "pack": pack[at], "local": local[at], "pack_nll": pl, "token_nll": tl, "nll": pl + tl, "pack_right": pp == pack[at], "right": (pp == pack[at]) & (lp == local[at])})
-
-    return df.select(ident, tokens).mapInPandas(run, f"{ident} {kind}, pos bigint, pack int, local bigint, pack_nll double, token_nll double, nll double, pack_right boolean, right boolean")
-
-
-def evaluation(scored: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
-    """One row of metrics over scored tokens: targets, losses per token and head, accuracies."""
-    n = F.greatest(F.count(F.lit(1)), F.lit(1))
-    return scored.agg(F.count(F.lit(1)).alias("targets"), (F.sum("nll") / n).alias("loss_per_token"), (F.sum("pack_nll") / n).alias("pack_loss"), (F.sum("token_nll") / n).alias("token_loss"), (F.sum(F.col("pack_right").cast("bigint")) / n).alias("pack_accuracy"), (F.sum(F.col("right").cast("bigint")) / n).alias("accuracy"))
+        sizes = dict(m.packs or ((0, m.rows),))
+        for b in batches:
+            lists = b.column(1).fill_null([]) if b.column(1).null_count else b.column(1)
+            begin = np.asarray(lists.offsets, np.int64)
+            values = lists.values.slice(begin[0], begin[-1] - begin[0])
+            begin = begin - begin[0]
+            pack, local = (np.asarray(values.field(i), np.int64) for i in (0, 1))
+            rows = m.row(pack, local)
+            owner = np.repeat(np.arange(len(b)), np.diff(begin))
+            pos = np.arange(len(rows)) - begin[owner]
+            every = np.flatnonzero(pos > 0)
+            for a in range(0, len(every), SCORED):
+                at = every[a : a + SCORED]
+                n = np.minimum(pos[at], m.context)
+                offset = at[:, None] - n[:, None] + np.arange(m.context)
+                h = m.states(rows[np.minimum(offset, len(rows) - 1)], n)[np.arange(len(at)), n]
+                pl, tl = m.losses(h, rows[at])
+                pp, lp = m.predict(h)
+                active = np.array([sizes[p] for p in pack[at].tolist()], np.int32)
+                columns = [b.column(0).take(pa.array(owner[at])), pos[at], pack[at].astype(np.int32), local[at], active, pl, tl, pl + tl, pp == pack[at], m.right_locals(h, rows[at]), (pp == pack[at]) & (lp == local[at])]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[ident, *[c.split(" ")[0] for c in SCORES.split(", ")]])
+
+    return df.select(ident, tokens).mapInArrow(run, f"{ident} {kind}, {SCORES}")
+
+
+def evaluation(scored: DataFrame, packs: int = 0) -> DataFrame:
+    """One row of metrics over scored tokens: targets, losses per token and head, accuracies, and for a model of `packs` packs the mean size of the active head and the pack head's share of all logits.
+
+    Without targets all but their number are NULL.
+    """
+    n, k = F.count(F.lit(1)), F.lit(packs)
+    mean = lambda c: F.avg(F.col(c).cast("double"))
+    got = scored.agg(n.alias("targets"), mean("nll").alias("loss_per_token"), mean("pack_nll").alias("pack_loss"), mean("token_nll").alias("token_loss"), mean("pack_right").alias("pack_accuracy"), mean("local_right").alias("local_accuracy"), mean("right").alias("accuracy"), mean("active").alias("active_head_mean"))
+    return got.withColumn("pack_logit_share", F.when(k > 0, k / (k + F.col("active_head_mean"))))
 
 
 def pack_accuracy(scored: DataFrame) -> DataFrame:
-    """Columns (pack, targets, pack_accuracy, accuracy)."""
-    return scored.groupBy("pack").agg(F.count(F.lit(1)).alias("targets"), F.avg(F.col("pack_right").cast("int")).alias("pack_accuracy"), F.avg(F.col("right").cast("int")).alias("accuracy"))
+    """Columns (pack, targets, head_size, pack_accuracy, local_accuracy, accuracy)."""
+    mean = lambda c: F.avg(F.col(c).cast("int")).alias(c.replace("right", "accuracy"))
+    return scored.groupBy("pack").agg(F.count(F.lit(1)).alias("targets"), F.max("active").alias("head_size"), mean("pack_right"), mean("local_right"), mean("right"))
 
 
 def training_runs(runs: DataFrame, model: RecurrentModel, train: np.ndarray, updates: int, batch: int = 4, opt: Optimizer = Optimizer()) -> DataFrame:

@@ -6,6 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ids of a vocabulary.
+MAX_IDS = 1_000_000
+
+
+def bounded(rows: DataFrame, limit: int) -> DataFrame:
+    """The rows, after a check that there are at most `limit`."""
+    n = rows.limit(limit + 1).count()
+    if n > limit:
+        raise ValueError(f"more than {limit} rows")
+    return rows
+
+
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """A vocabulary's table, broadcast after its size was checked."""
+    return F.broadcast(bounded(rows, MAX_IDS))
+
+
 def flatten(packs: DataFrame) -> DataFrame:
     """Columns (global_id, pack_id, local_id): all ids of packs (pack_id, local_token_count) in (pack, local) order.
 
@@ -42,20 +59,20 @@ def mapping_problems(mapping: DataFrame) -> DataFrame:
 
 
 def to_packed(tokens: DataFrame, mapping: DataFrame, token: str = "token") -> DataFrame:
-    """Add (pack_id, local_id) to rows with a global id; both NULL for an unknown one. The mapping is a bounded vocabulary."""
-    m = F.broadcast(mapping.select(F.col("global_id").alias("__g"), F.col("pack_id"), F.col("local_id")))
+    """Add (pack_id, local_id) to rows with a global id; both NULL for an unknown one."""
+    m = vocabulary(mapping.select(F.col("global_id").alias("__g"), F.col("pack_id"), F.col("local_id")))
     return tokens.join(m, F.col(token) == F.col("__g"), "left").drop("__g")
 
 
 def to_global(tokens: DataFrame, mapping: DataFrame, pack: str = "pack_id", local: str = "local_id") -> DataFrame:
     """Add global_id to rows with (pack, local); NULL for an unknown pair."""
-    m = F.broadcast(mapping.select(F.col("pack_id").alias("__p"), F.col("local_id").alias("__l"), "global_id"))
+    m = vocabulary(mapping.select(F.col("pack_id").alias("__p"), F.col("local_id").alias("__l"), "global_id"))
     return tokens.join(m, (F.col(pack) == F.col("__p")) & (F.col(local) == F.col("__l")), "left").drop("__p", "__l")
 
 
 def unknown_tokens(tokens: DataFrame, mapping: DataFrame, token: str = "token") -> DataFrame:
     """Rows whose id the mapping doesn't have."""
-    return tokens.join(F.broadcast(mapping.select(F.col("global_id").alias("__g"))), F.col(token) == F.col("__g"), "left_anti")
+    return tokens.join(vocabulary(mapping.select(F.col("global_id").alias("__g"))), F.col(token) == F.col("__g"), "left_anti")
 
 
 def embedding_order(mapping: DataFrame) -> DataFrame:
@@ -72,10 +89,10 @@ def remap(tokens: DataFrame, mapping: DataFrame, variant: str) -> DataFrame:
     if variant not in ("A", "B", "C", "D"):
         raise ValueError(f"unknown variant {variant}")
     if variant == "B":
-        m = F.broadcast(mapping.select(F.col("global_id").alias("__g"), F.col("pack_id").alias("mapped_pack"), F.col("local_id").alias("mapped_local")))
+        m = vocabulary(mapping.select(F.col("global_id").alias("__g"), F.col("pack_id").alias("mapped_pack"), F.col("local_id").alias("mapped_local")))
         return tokens.join(m, F.col("local") == F.col("__g"), "left").drop("__g")
     if variant == "C":
-        m = F.broadcast(mapping.select(F.col("pack_id").alias("__p"), F.col("local_id").alias("__l"), F.col("global_id").alias("mapped_local")))
+        m = vocabulary(mapping.select(F.col("pack_id").alias("__p"), F.col("local_id").alias("__l"), F.col("global_id").alias("mapped_local")))
         joined = tokens.join(m, (F.col("pack") == F.col("__p")) & (F.col("local") == F.col("__l")), "left").drop("__p", "__l")
         return joined.withColumn("mapped_pack", F.when(F.col("mapped_local").isNotNull(), 0)).select(*tokens.columns, "mapped_pack", "mapped_local")
     return tokens.withColumn("mapped_pack", F.col("pack")).withColumn("mapped_local", F.col("local"))

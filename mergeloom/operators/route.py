@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from mergeloom.artifact import NUMBER, PACK_NAMES, ROUTER, STRUCTURE, TEXT
+from mergeloom.errors import EncodeError
 from mergeloom.functions.merge_columns import _pieces
 from mergeloom.functions.routing import span_borders
 
@@ -34,10 +35,6 @@ def pack_name(pack: Column) -> Column:
     return F.when(pack.isNotNull(), F.coalesce(F.try_element_at(known, pack.cast("int")), F.lit("UNKNOWN_PACK")))
 
 
-def policy_id() -> Column:
-    return F.lit(ROUTER)
-
-
 def span_rows(df: DataFrame, ident: str, text: str) -> DataFrame:
     """Columns (ident, span_no, pack_id, span), one row per span; empty and NULL texts have none."""
     rows = df.select(F.col(ident), F.posexplode(spans(F.col(text))).alias("span_no", "span"))
@@ -96,20 +93,21 @@ def all_packs(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(list(PACK_NAMES.items()), "pack_id int, pack_name string")
 
 
-_ROUTERS: dict[str, object] = {ROUTER: routed}
+#: Routers by policy id: functions of (bytes, offsets of texts) to (pack of every byte, whether a span begins there).
+_ROUTERS = {ROUTER: span_borders}
 
 
 def register_router(policy: str, function) -> None:
-    """Make a router known: a column function from texts to ARRAY<STRUCT<pack, start, end>>. An id is given once."""
+    """Make a router known to encoders by its policy id. An id is given once."""
     if policy in _ROUTERS:
         raise ValueError(f"router {policy} exists")
     _ROUTERS[policy] = function
 
 
 def router(policy: str):
-    """The router of an artifact's policy id; unknown ids are refused."""
+    """The router of a policy id; unknown ids are refused."""
     if policy not in _ROUTERS:
-        raise ValueError(f"unknown router {policy}")
+        raise EncodeError("unknown router", policy=policy)
     return _ROUTERS[policy]
 
 

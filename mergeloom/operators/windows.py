@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from mergeloom.functions.values import unsigned_modulo, xorshift
+from mergeloom.functions.values import lists_of, unsigned_modulo, xorshift
 from mergeloom.operators.ranking import running_sum
 
 #: What byte_match gives.
@@ -50,10 +51,11 @@ def random_windows(df: DataFrame, ident: str, tokens: str, n_bytes: str, seeds:
     return rows.select(ident, "draw", "start", F.slice("__t", F.col("start") + 1, width).alias("inputs"), F.slice("__t", F.col("start") + 2, width).alias("targets"), F.aggregate(targets, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("target_bytes"))
 
 
-def passages(value: Column, k: int) -> Column:
-    """All k-byte windows of BINARY as an array; none if it is shorter."""
-    n = F.octet_length(value)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k, F.lit(0)) + 1), lambda i: F.substring(value, i, F.lit(k)))).otherwise(F.array().cast("array<binary>"))
+@F.arrow_udf(ArrayType(LongType()))
+def _borders(lengths: pa.Array) -> pa.Array:
+    """0 and the running sums of every array; NULL counts as empty."""
+    out = [np.concatenate(([0], np.cumsum(np.asarray(x.values, np.int64)))) if x.is_valid else np.zeros(1, np.int64) for x in lengths]
+    return lists_of(out)
 
 
 def prefix_offsets(df: DataFrame, ident: str, n_bytes: str) -> DataFrame:
@@ -61,10 +63,7 @@ def prefix_offsets(df: DataFrame, ident: str, n_bytes: str) -> DataFrame:
 
     Sums run inside each row's array, without a shuffle.
     """
-    b = F.transform(F.coalesce(F.col(n_bytes), F.array().cast("array<int>")), lambda x: x.cast("bigint"))
-    rows = df.select(F.col(ident), b.alias("__b")).select(ident, "__b", F.posexplode(F.concat(F.array(F.lit(0).cast("bigint")), "__b")).alias("tokens_before", "__x"))
-    order = Window.partitionBy(ident).orderBy("tokens_before").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(ident, "tokens_before", F.sum("__x").over(order).alias("offset"))
+    return df.select(F.col(ident), F.posexplode(_borders(F.col(n_bytes))).alias("tokens_before", "offset"))
 
 
 def blocks(value: Column, size: int = 4096) -> Column:
@@ -84,9 +83,10 @@ def block_rows(df: DataFrame, ident: str, content: str, size: int = 4096, whole_
     Blocks count per source, or over the whole corpus in order of `ident`; then the counts of the
     sources before are summed over one row per source.
     """
-    rows = df.select(F.col(ident), F.posexplode(blocks(F.col(content).cast("binary"), size)).alias("block_no", "b"))
-    order = Window.partitionBy(ident).orderBy("block_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("end_byte", F.sum(F.length("b").cast("bigint")).over(order)).withColumn("start_byte", F.col("end_byte") - F.length("b"))
+    cuts = blocks(F.col(content).cast("binary"), size)
+    sums = df.select(F.col(ident), cuts.alias("__b")).withColumn("__e", _borders(F.transform("__b", lambda b: F.length(b))))
+    rows = sums.select(ident, "__e", F.posexplode("__b").alias("block_no", "b"))
+    rows = rows.select(ident, "block_no", "b", F.get("__e", F.col("block_no")).alias("start_byte"), F.get("__e", F.col("block_no") + 1).alias("end_byte"))
     index = F.col("block_no")
     if whole_corpus:
         per = rows.groupBy(F.col(ident).alias("__i")).agg(F.count(F.lit(1)).alias("__c"))

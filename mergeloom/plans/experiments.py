@@ -6,11 +6,13 @@ import os
 import platform
 import resource
 
+import numpy as np
+import pyarrow as pa
 import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeloom.functions.values import Xorshift
+from mergeloom.functions.values import Xorshift, lists_of
 from mergeloom.operators.windows import padded_batches
 
 # Fixed values of the architecture and the two regimes' rows per batch.
@@ -38,18 +40,31 @@ def byte_regime(sequences: DataFrame, ident: str, tokens: str, first: int | Colu
     return b.groupBy(ident).agg((F.max("batch") + 1).alias("batches"), F.sum("length").alias("positions"), F.sum(F.lit(width) - F.col("length")).alias("padded"))
 
 
-def sampled_bytes(n_bytes: list[int], seed: int, steps: int, context: int, rows: int) -> int:
-    """Target bytes of the windows that a seed draws, by replaying its generator over prefix sums."""
-    upto = [0]
-    for b in n_bytes:
-        upto.append(upto[-1] + b)
-    rng, choices, total = Xorshift(seed), len(n_bytes) - context, 0
-    if choices < 1:
-        raise ValueError("sequence is not longer than the context")
-    for _ in range(steps * rows):
-        start = rng.below(choices)
-        total += upto[start + context + 1] - upto[start + 1]
-    return total
+#: Added to a seed for the generator of the sampled windows (a fixed value).
+SAMPLE_SALT = 0xA341316C9E3779B9
+
+
+def sampled_windows(lengths: DataFrame, ident: str, n_bytes: str, seeds: list[int], steps: int, context: int, rows: int) -> DataFrame:
+    """Columns (ident, seed, draws, target_bytes): bytes of the windows that each seed draws from a sequence in `steps` batches of `rows`.
+
+    The generator is replayed for every sequence and seed over the running sums of the sequence's
+    own token lengths, inside the row; sequences of `context` tokens or fewer have no row.
+    """
+
+    @F.arrow_udf("array<bigint>")
+    def drawn(values: pa.Array) -> pa.Array:
+        starts = [Xorshift(s ^ SAMPLE_SALT) for s in seeds]
+        draws = np.array([[g.next() for _ in range(steps * rows)] for g in starts], np.uint64).reshape(len(seeds), steps * rows)
+        out = []
+        for v in values:
+            upto = np.concatenate(([0], np.cumsum(np.asarray(v.values, np.int64))))
+            at = (draws % np.uint64(len(upto) - 1 - context)).astype(np.int64)
+            out.append((upto[at + context + 1] - upto[at + 1]).sum(1).astype(np.int64))
+        return lists_of(out)
+
+    long = lengths.where(F.size(n_bytes) > context).select(F.col(ident), drawn(F.col(n_bytes)).alias("__s"))
+    given = F.array(*[F.lit(s).cast("bigint") for s in seeds])
+    return long.select(ident, F.posexplode("__s").alias("__k", "target_bytes")).select(ident, F.get(given, F.col("__k")).alias("seed"), F.lit(steps * rows).alias("draws"), "target_bytes")
 
 
 def identity(*parts: Column) -> Column:

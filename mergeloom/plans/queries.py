@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from mergeloom.artifact import NUMBER, STRUCTURE, TEXT
 from mergeloom.functions import values as V
 from mergeloom.functions.automaton import expansions
-from mergeloom.functions.merge_columns import token_ids, load_automaton
-from mergeloom.functions.routing import PACK_OF_BYTE
+from mergeloom.functions.merge_columns import load_automaton, token_count, token_ids
+from mergeloom.functions.routing import PACK_OF_BYTE, whole_text
 from mergeloom.operators import corpus, encode, lm, mapping, route, stats, train, windows
 from mergeloom.operators.ranking import first_arrival, running_sum
-from mergeloom.plans import experiments
+from mergeloom.plans import corpus_build, experiments
 from mergeloom.session import cut
 from mergeloom.sources import files
 
@@ -223,6 +223,35 @@ def pack_encode_stats(spark, d):
     return encode.encode_stats(docs(spark, d), "doc_id", "text", packs_of(spark, d))
 
 
+route.register_router("whole-text", whole_text)
+
+
+@query
+def pack_encode_router(spark, d):
+    """With another router and all merges in one pack the tokens are those of the flat table."""
+    coded = encode.encode_packed(docs(spark, d), "doc_id", "text", {TEXT: flat_merges(spark, d)}, "whole-text")
+    local = lambda x, i: (x["local"] + F.when(x["pack"] == TEXT, 256).otherwise(0)) * (i + 1)
+    return coded.select("doc_id", F.size("tokens").cast("bigint").alias("n"), F.aggregate(F.transform("tokens", local), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("checksum"))
+
+
+@query
+def adapter_sequences(spark, d):
+    """Documents as checked sequences of global ids with their lengths."""
+    merges = packs_of(spark, d)
+    counts = spark.createDataFrame([(p, len(m)) for p, m in merges.items() if m] + [(65535, 256)], "pack_id int, local_token_count bigint")
+    rows = encode.adapt(docs(spark, d), "doc_id", "text", merges, mapping.flatten(counts))
+    ids = F.aggregate(F.transform("tokens", lambda x, i: x.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return rows.select("doc_id", F.size("tokens").cast("bigint").alias("n"), ids.alias("checksum"), _sum(F.col("n_bytes")).alias("n_bytes"), "same", "covered")
+
+
+@query
+def decode_errors(spark, d):
+    """All sequences decoded under `merges`; rows with an unknown id have the place of the first one."""
+    rows = first_arrival(t(spark, d, "sequences"), ["seq_id"], ["tokens"], ["encoded_at"])
+    got = rows.select("seq_id", encode.decode_flat_or_error(spark.sparkContext, flat_merges(spark, d))(F.col("tokens")).alias("r"))
+    return got.select("seq_id", F.octet_length("r.bytes").alias("n_bytes"), "r.error", "r.error_index")
+
+
 @query
 def pack_decode_roundtrip(spark, d):
     return encode.roundtrip_failures(docs(spark, d), "doc_id", "text", packs_of(spark, d)).groupBy().agg(F.count(F.lit(1)).alias("failures"))
@@ -235,11 +264,11 @@ def token_lengths(spark, d):
 
 @query
 def encoding_ratios(spark, d):
-    a = encode.encode_flat(docs(spark, d), "doc_id", "text", t(spark, d, "merges")).select("doc_id", F.size("tokens").cast("bigint").alias("flat"))
-    b = encode.encode_packed(docs(spark, d), "doc_id", "text", packs_of(spark, d))
-    c = b.select(F.col("doc_id").alias("i"), F.size("tokens").cast("bigint").alias("packed"), F.size(F.filter("tokens", lambda x: x["pack"] == 65535)).cast("bigint").alias("fallback"))
-    raw = docs(spark, d).select(F.col("doc_id").alias("j"), F.octet_length("text").cast("bigint").alias("raw"))
-    return stats.encoding_ratios(a.join(c, F.col("doc_id") == F.col("i")).join(raw, F.col("doc_id") == F.col("j")), "raw", "packed", "flat", "fallback")
+    flat = token_count(spark.sparkContext, load_automaton(t(spark, d, "merges")))(F.col("text"))
+    rows = docs(spark, d).select(F.struct(flat.alias("flat"), F.octet_length("text").cast("bigint").alias("raw")).alias("own"), "text")
+    both = encode.encode_packed(rows, "own", "text", packs_of(spark, d))
+    fallback = F.size(F.filter("tokens", lambda x: x["pack"] == 65535)).cast("bigint")
+    return stats.encoding_ratios(both.select("own.*", F.size("tokens").cast("bigint").alias("packed"), fallback.alias("fallback")), "raw", "packed", "flat", "fallback")
 
 
 @query
@@ -463,6 +492,52 @@ def unit_spans(spark, d):
     return rows.select("corpus_id", "start_byte", "end_byte", "category", V.domain_of(F.col("category")).alias("domain"))
 
 
+@query
+def unit_span_report(spark, d):
+    """Kept units of every corpus and split against the contributions that the sources state."""
+    units = once_units(spark, d).select("corpus_id", "source", F.col("start_byte").alias("start"), F.col("end_byte").alias("end"), F.col("split").alias("proposed"), "kept")
+    sources = first_arrival(t(spark, d, "sources"), ["source_id"], ["corpus_id", "name", "contribution"], ["registered_at"])
+    given = sources.select("corpus_id", F.posexplode("contribution").alias("k", "size")).where("k < 3").groupBy("corpus_id", "k").agg(F.sum("size").alias("size"))
+    stated = given.select("corpus_id", F.get(F.array(*map(F.lit, ("train", "validation", "test"))), F.col("k")).alias("split"), F.coalesce("size", F.lit(0)).alias("size"))
+    return corpus.span_report(units, sources, stated, "corpus_id")
+
+
+def _files(spark, d):
+    return docs(spark, d).select(F.format_string("%012d", "doc_id").alias("name"), F.col("text").cast("binary").alias("content"))
+
+
+@query
+def corpus_build_units(spark, d):
+    """Documents as the files of a corpus, in blocks of 96 bytes, leaked ones marked."""
+    units = corpus_build.build_units(_files(spark, d), "passages", 96)
+    return units.select("source", "start", "end", "proposed", "kept", "sha256")
+
+
+@query
+def corpus_build_splits(spark, d):
+    """The near-duplicate builder over all documents in blocks of 256 bytes: its splits."""
+    return corpus_build.split_rows(corpus_build.build_units(_files(spark, d), "near", 256))
+
+
+@query
+def corpus_build_sources(spark, d):
+    files_ = _files(spark, d)
+    rows = corpus_build.source_rows(files_, corpus_build.build_units(files_, "passages", 96))
+    return rows.select("name", "raw_bytes", "raw_sha256", *[F.get("contribution", F.lit(i)).alias(s) for i, s in enumerate(("train", "validation", "test"))])
+
+
+@query
+def corpus_build_guard(spark, d):
+    """No two splits of a built corpus share a 128-byte passage."""
+    shared = corpus_build.shared_passages(corpus_build.build_units(_files(spark, d), "near", 512))
+    return shared.agg(F.count(F.lit(1)).alias("sharing_splits"))
+
+
+@query
+def sampled_windows(spark, d):
+    return experiments.sampled_windows(once_sequences(spark, d), "seq_id", "n_bytes", [17, 29, 43], 2, 8, 2)
+
+
 def _doc_spans(spark, d):
     rows = t(spark, d, "documents").select("doc_id", "domain", F.octet_length("text").cast("bigint").alias("n")).where("n > 0")
     return running_sum(rows, ["doc_id"], "n", "end_byte").select((F.col("end_byte") - F.col("n")).alias("start_byte"), "end_byte", "domain")
@@ -651,16 +726,49 @@ def _lm(spark, d):
 
 
 def _packed_sequences(spark, d):
-    m = F.map_from_entries(F.collect_list(F.struct("global_id", F.struct(F.col("pack_id").alias("pack"), F.col("local_id").cast("bigint").alias("local")))))
-    table = t(spark, d, "id_map").agg(m.alias("m"))
-    rows = once_sequences(spark, d).where("not exists(tokens, x -> x < 0 or x >= 512)")
-    return rows.join(F.broadcast(table.withColumn("one", F.lit(1))), F.lit(1) == F.col("one")).select("seq_id", "split", F.transform("tokens", lambda x: F.element_at("m", x)).alias("tokens"), "n_bytes")
+    """Usable sequences with (pack, local) tokens, looked up by position in the id map."""
+    rows = mapping.bounded(t(spark, d, "id_map").select("global_id", "pack_id", "local_id"), mapping.MAX_IDS).orderBy("global_id").collect()
+    packs, locals_ = F.lit([r.pack_id for r in rows]), F.lit([r.local_id for r in rows])
+    tokens = F.transform("tokens", lambda x: F.struct(F.get(packs, x).alias("pack"), F.get(locals_, x).cast("bigint").alias("local")))
+    return once_sequences(spark, d).where("not exists(tokens, x -> x < 0 or x >= 512)").select("seq_id", "split", tokens.alias("tokens"), "n_bytes")
 
 
 @query
 def rnn_score(spark, d):
     model, _ = _lm(spark, d)
-    return lm.evaluation(lm.score(_packed_sequences(spark, d), model, "seq_id", "tokens"))
+    return lm.evaluation(lm.score(_packed_sequences(spark, d), model, "seq_id", "tokens"), len(model.packs))
+
+
+@query
+def rnn_split_score(spark, d):
+    """Metrics of every split on its own."""
+    model, _ = _lm(spark, d)
+    rows = _packed_sequences(spark, d).select(F.struct("seq_id", corpus.split_name(F.col("split")).alias("split")).alias("i"), "tokens")
+    scored = lm.score(rows, model, "i", "tokens").select(F.col("i.split").alias("split"), "nll", "right")
+    return scored.groupBy("split").agg(F.count(F.lit(1)).alias("targets"), (F.avg("nll") > 0).alias("scored"))
+
+
+@query
+def rnn_targets(spark, d):
+    """What of the scores doesn't depend on the weights: targets, head sizes, sums of heads and accuracies in bounds, by pack."""
+    model, _ = _lm(spark, d)
+    scored = lm.score(_packed_sequences(spark, d), model, "seq_id", "tokens")
+    sane = (F.col("pack_nll") > 0) & (F.col("token_nll") > 0) & (F.abs(F.col("nll") - F.col("pack_nll") - F.col("token_nll")) < 1e-9) & (F.col("right") == (F.col("pack_right") & F.col("local_right")))
+    return scored.groupBy("pack").agg(F.count(F.lit(1)).alias("targets"), F.max("active").alias("head_size"), F.bool_and(sane).alias("sane"))
+
+
+@query
+def rnn_active_head(spark, d):
+    """Mean size of the active head and the pack head's share of all logits."""
+    model, _ = _lm(spark, d)
+    got = lm.evaluation(lm.score(_packed_sequences(spark, d), model, "seq_id", "tokens"), len(model.packs))
+    return got.select("targets", F.round("active_head_mean", 6).alias("active_head_mean"), F.round("pack_logit_share", 9).alias("pack_logit_share"))
+
+
+@query
+def head_transitions(spark, d):
+    rows = _packed_sequences(spark, d)
+    return stats.head_transitions(rows, F.transform("tokens", lambda x: x["pack"])).withColumn("fallback_share", F.round("fallback_share", 9))
 
 
 @query

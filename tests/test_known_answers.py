@@ -13,6 +13,8 @@ from mergeloom import cli
 from mergeloom.artifact import Artifact, FlatModel, Pack, PackedModel, PackModel, Registry, Special, read_artifact, write_new
 from mergeloom.errors import ArtifactError, CorpusError, DecodeError, FlatModelError, LanguageModelError, MergeloomError, PackModelError, RegistryError, TrainingError
 from mergeloom.functions import values as V
+from mergeloom.functions.packed import PackedAutomaton
+from mergeloom.functions.routing import span_borders
 from mergeloom.operators import corpus, encode, lm, mapping, route, stats, train, windows
 from mergeloom.operators.ranking import distributed_rank, first_arrival, running_sum
 from mergeloom.sources import files
@@ -137,8 +139,9 @@ def test_model_rules():
             PackedModel(packs)
     fallback = Pack(65535, "BYTE_FALLBACK", 256)
     for packs, specials in (((), ()), ((fallback, fallback), ()), ((Pack(1, "", 1), fallback), ()), ((Pack(1, "a", 0), fallback), ()), ((Pack(1, "BYTE_FALLBACK", 1), fallback), ()), ((Pack(65535, "b", 255),), ()), ((fallback,), (Special(65535, 1, "s"),)), ((fallback,), (Special(7, 1, "s"),)), ((Pack(1, "a", 2), fallback), (Special(1, 2, "s"),)), ((Pack(1, "a", 2), fallback), (Special(1, 0, "s"), Special(1, 1, "s")))):
-        with pytest.raises(RegistryError):
+        with pytest.raises(RegistryError) as e:
             Registry(packs, 65535, specials)
+        assert e.value.kind in e.value.details["rules"]
 
 
 def test_encode_bytes_and_errors(spark):
@@ -331,10 +334,19 @@ def test_length_summary_edges(spark):
     assert stats.length_summary(df.limit(0), "n", []).where("cnt > 0").count() == 0
 
 
-def test_bootstrap_bounds():
-    assert stats.bootstrap_bounds(np.array([1.0]), np.array([8]), 1) is None
-    low, high = stats.bootstrap_bounds(np.array([2.0, 2.0]), np.array([8, 8]), 0)
-    assert low == high == 0.25 / np.log(2)
+def test_bootstrap_bounds(spark):
+    from mergeloom.functions.values import Xorshift
+
+    cells = [("one", 0, 2.0, 8), ("two", 0, 2.0, 8), ("two", 1, 2.0, 8), *[("many", i, float(i % 7), 8 + i % 5) for i in range(23)]]
+    grains = spark.createDataFrame([("block", d, b, 1, n, v) for d, b, v, n in cells], "grain string, domain string, block bigint, tokens bigint, bytes bigint, nll double")
+    got = {r.domain: r for r in stats.bootstrap(grains).collect()}
+    assert got["one"].ci95_low is None and got["one"].blocks == 1
+    assert got["two"].ci95_low == got["two"].ci95_high == 0.25 / np.log(2)
+    rng, values = Xorshift(stats.name_seed("many")), []
+    for _ in range(1000):
+        pick = [rng.below(23) for _ in range(23)]
+        values.append(sum(float(i % 7) for i in pick) / sum(8 + i % 5 for i in pick) / np.log(2))
+    assert [got["many"].ci95_low, got["many"].ci95_high] == pytest.approx([sorted(values)[25], sorted(values)[975]])
     assert stats.name_seed("ab") == (97 << 5) ^ 98
 
 
@@ -438,13 +450,12 @@ def test_experiment_plans(spark):
     from mergeloom.plans import experiments as E
 
     n_bytes = [3, 1, 4, 1, 5, 9, 2, 6]
-    rng, want = V.Xorshift(11), 0
-    for _ in range(6):
-        a = rng.below(5)
-        want += sum(n_bytes[a + 1 : a + 4])
-    assert E.sampled_bytes(n_bytes, 11, 3, 3, 2) == want
-    with pytest.raises(ValueError):
-        E.sampled_bytes([1, 2], 1, 1, 2, 1)
+    want = []
+    for seed in (11, 12):
+        rng = V.Xorshift(seed ^ E.SAMPLE_SALT)
+        want.append(sum(sum(n_bytes[a + 1 : a + 4]) for a in [rng.below(5) for _ in range(6)]))
+    df = spark.createDataFrame([(1, n_bytes), (2, [1, 2]), (3, None)], "i int, b array<int>")
+    assert [(r.i, r.seed, r.draws, r.target_bytes) for r in E.sampled_windows(df, "i", "b", [11, 12], 3, 3, 2).orderBy("seed").collect()] == [(1, 11, 6, want[0]), (1, 12, 6, want[1])]
     assert E.frozen_problems({"a": 1, "b": {"c": 2, "d": 3}}, {"a": 1, "b": {"c": 5}, "e": 0}) == ["b.c", "b.d", "e"]
     assert E.schedule_plan(spark, 1000, 2, 10, 5).head().positions == 100 and E.peak_memory() > 0 and "spark" in E.environment(spark)
     assert [r[0] for r in spark.createDataFrame([(1.0, 1.0005), (1.0, 1.1)], "a double, b double").select(E.close(F.col("a"), F.col("b"))).collect()] == [True, False]
@@ -462,15 +473,35 @@ def test_manifest_round_trip(spark, tmp_path):
     assert [tuple(r) for r in corpus.unit_spans(u, s, "train").collect()] == [(0, 5, "code")]
 
 
-def test_routers_are_registered_once():
-    assert route.router("lexical-v1") is route.routed
-    with pytest.raises(ValueError):
+def test_routers_are_registered_once_and_checked(spark):
+    from mergeloom.errors import EncodeError
+
+    assert route.router("lexical-v1") is span_borders
+    with pytest.raises(EncodeError):
         route.router("other")
     with pytest.raises(ValueError):
-        route.register_router("lexical-v1", route.routed)
-
-
-def test_parameter_counts_of_published_configurations(spark):
-    r = spark.range(1).select(V.transformer_parameters(*(F.lit(x) for x in (512, 384, 8, 1536, 256))), V.flat_parameters(*(F.lit(x) for x in (512, 16, 16)))).head()
-    assert tuple(r) == (14_681_984, 17_424)
-    assert 120 * 4 * (47 * 256 + 3 * 16 * 512 * 16) == 194_519_040
+        route.register_router("lexical-v1", span_borders)
+    with pytest.raises(EncodeError):
+        encode.encode_artifact(spark.createDataFrame([(1, "a")], "i int, v string"), "i", "v", Artifact.bytes_only())
+    with pytest.raises(EncodeError):
+        PackedAutomaton({65535: [(97, 98, 256)]})
+    data, offsets = np.frombuffer(b"abab", np.uint8), np.array([0, 2, 4])
+    for packs, border in (([0, 0, 0, 0], [1, 0, 0, 0]), ([0, 1, 1, 1], [1, 0, 1, 0]), ([0, 0, 65535, 0], [1, 1, 1, 1])):
+        with pytest.raises(EncodeError):
+            PackedAutomaton({0: [(97, 98, 256)]}, lambda d, o, p=packs, b=border: (np.array(p), np.array(b, bool))).tokens(data, offsets)
+
+
+def test_decoding_keeps_errors_to_their_rows(spark):
+    merges = [(97, 98, 256)]
+    df = spark.createDataFrame([(1, [256, 97]), (2, [97, 300, -1]), (3, [None]), (4, []), (5, None)], "i int, t array<int>")
+    got = {r.i: r.d for r in df.select("i", encode.decode_flat_or_error(spark.sparkContext, merges)(F.col("t")).alias("d")).collect()}
+    assert (bytes(got[1].bytes), got[1].error) == (b"aba", None) and (got[2].bytes, got[2].error_index) == (None, 1)
+    assert got[3].error_index == 0 and bytes(got[4].bytes) == bytes(got[5].bytes) == b""
+
+
+def test_adapter_checks_and_measures(spark):
+    merges = {0: [(97, 98, 256)], 1: [], 2: []}
+    mapping = spark.createDataFrame([(0, 0, 0)] + [(1 + b, 65535, b) for b in range(200)], "global_id int, pack_id int, local_id int")
+    rows = {r.i: r for r in encode.adapt(spark.createDataFrame([(1, "ab 1"), (2, ""), (3, None), (4, "ÿ")], "i int, v string"), "i", "v", merges, mapping).collect()}
+    assert rows[1].tokens == [0, 33, 50] and rows[1].n_bytes == [2, 1, 1] and rows[2].tokens == rows[3].tokens == []
+    assert rows[4].tokens == [196, 192] and all(r.same and r.covered for r in rows.values())
