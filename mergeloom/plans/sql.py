@@ -45,7 +45,7 @@ pairs AS (SELECT pack_id, b[i] AS left_id, b[i + 1] AS right_id, sum(mult)::BIGI
 SEQ_ONCE = """one AS (SELECT seq_id, any_value(corpus_id) AS corpus_id, any_value(split) AS split, any_value(tokens) AS tokens, any_value(n_bytes) AS n_bytes FROM sequences GROUP BY seq_id),
 seqs AS (SELECT * FROM one WHERE tokens IS NOT NULL AND n_bytes IS NOT NULL AND len(tokens) = len(n_bytes) AND NOT coalesce(list_bool_or(list_transform(tokens, lambda x: x IS NULL)), false) AND NOT coalesce(list_bool_or(list_transform(n_bytes, lambda x: x IS NULL)), false))"""
 TOKENS = "tk AS (SELECT seq_id, (generate_subscripts(tokens, 1) - 1)::INT AS pos, unnest(tokens) AS token FROM (SELECT seq_id, any_value(tokens) AS tokens FROM sequences GROUP BY seq_id))"
-UNITS = "un AS (SELECT * FROM (SELECT unit_id, any_value(corpus_id) AS corpus_id, any_value(source) AS source, any_value(start_byte) AS start_byte, any_value(end_byte) AS end_byte, any_value(lower(trim(proposed))) AS split, any_value(kept) AS kept, any_value(body) AS body FROM units GROUP BY unit_id) WHERE body IS NOT NULL AND split IN ('train', 'validation', 'test'))"
+UNITS = "un AS (SELECT * FROM (SELECT unit_id, any_value(corpus_id) AS corpus_id, any_value(source) AS source, any_value(start_byte) AS start_byte, any_value(end_byte) AS end_byte, any_value(CASE WHEN lower(trim(proposed)) = 'val' THEN 'validation' ELSE lower(trim(proposed)) END) AS split, any_value(kept) AS kept, any_value(body) AS body FROM units GROUP BY unit_id) WHERE body IS NOT NULL AND split IN ('train', 'validation', 'test'))"
 UNIT_GRAMS = UNITS + ", grams AS (SELECT DISTINCT unit_id, split, substr(h, 2 * i + 1, 2 * {0}) AS g FROM (SELECT unit_id, split, h, unnest(range(0, length(h) // 2 - {0} + 1)) AS i FROM (SELECT unit_id, split, hex(encode(body)) AS h FROM un)))"
 SUMMARIES = "su AS (SELECT summary_id, any_value(run_id) AS run_id, any_value(tokenizer) AS tokenizer, any_value(rec_date) AS rec_date, any_value(cnt) AS cnt, any_value(mean) AS mean FROM sequence_lengths GROUP BY summary_id)"
 METRICS_ONCE = "dm AS (SELECT metric_id, any_value(domain) AS domain, any_value(blocks) AS blocks, any_value(nll) AS nll, any_value(target_bytes) AS target_bytes FROM domain_metrics GROUP BY metric_id)"
@@ -60,6 +60,17 @@ STEPS = f"""x0 AS (SELECT seed, CASE WHEN s = 0 THEN 11400714819323198485::UHUGE
 x1 AS (SELECT seed, xor(x, (x * 8192::UHUGEINT) % {U64}) AS x FROM x0), x2 AS (SELECT seed, xor(x, x // 128::UHUGEINT) AS x FROM x1), x3 AS (SELECT seed, xor(x, (x * 131072::UHUGEINT) % {U64}) AS x FROM x2)"""
 SIGNED = "(CASE WHEN {0} >= 9223372036854775808::UHUGEINT THEN {0}::HUGEINT - 18446744073709551616::HUGEINT ELSE {0}::HUGEINT END)::BIGINT"
 
+#: Documents in blocks of 96 bytes or up to the next line feed, held-out ones with a 128-byte passage of another split dropped.
+BUILT = r"""bd AS (SELECT doc_id, text, decode_latin AS l FROM (SELECT doc_id, text, array_to_string(list_transform(range(1, length(hex(encode(text))), 2), lambda i: chr(256 + ('0x' || hex(encode(text))[i:i + 1])::INT)), '') AS decode_latin FROM documents WHERE text <> '')),
+bb AS (SELECT doc_id, unnest(regexp_extract_all(l, '(?s).{96}[^\x{10A}]*\x{10A}?|.{1,95}')) AS b, generate_subscripts(regexp_extract_all(l, '(?s).{96}[^\x{10A}]*\x{10A}?|.{1,95}'), 1) - 1 AS k FROM bd),
+bs AS (SELECT printf('%012d', doc_id) AS source, k, b, (sum(length(b)) OVER (PARTITION BY doc_id ORDER BY k))::BIGINT AS e, CASE k % 20 WHEN 18 THEN 'validation' WHEN 19 THEN 'test' ELSE 'train' END AS split FROM bb),
+bg AS (SELECT DISTINCT source, k, split, substr(b, (i + 1)::INT, 128) AS g FROM (SELECT source, k, split, b, unnest(range(0, length(b) - 127)) AS i FROM bs)),
+b1 AS (SELECT DISTINCT h.source, h.k FROM bg h JOIN bg t USING (g) WHERE t.split = 'train' AND h.split <> 'train'),
+b2 AS (SELECT DISTINCT h.source, h.k FROM bg h JOIN bg v USING (g) WHERE v.split = 'validation' AND h.split = 'test' AND (v.source, v.k) NOT IN (SELECT (source, k) FROM b1)),
+built AS (SELECT source, e - length(b) AS a, e, split, (source, k) NOT IN (SELECT (source, k) FROM b1) AND (source, k) NOT IN (SELECT (source, k) FROM b2) AS kept, array_to_string(list_transform(string_split(b, ''), lambda x: printf('%02X', unicode(x) - 256)), '') AS g FROM bs)"""
+#: Targets of usable sequences with their pack, and the sizes of heads.
+SCORED = f"WITH {SEQ_ONCE}, ok AS (SELECT seq_id, CASE WHEN lower(trim(split)) = 'val' THEN 'validation' ELSE lower(trim(split)) END AS split, tokens FROM seqs WHERE NOT coalesce(list_bool_or(list_transform(tokens, lambda x: x < 0 OR x >= 512)), false)), hs AS (SELECT pack_id, count(*) AS n FROM id_map GROUP BY pack_id), tg AS (SELECT split, pack_id FROM (SELECT split, unnest(tokens[2:]) AS g FROM ok) JOIN id_map ON g = global_id)"
+
 SQL = {
     "route_pack_stats": f"WITH {SPANS}, p AS (SELECT {pack('span')} AS pack_id, strlen(span) AS b FROM spans) SELECT pack_id, pack_name, count(b) AS spans, coalesce(sum(b), 0)::BIGINT AS routed_bytes FROM {NAMES} LEFT JOIN p USING (pack_id) GROUP BY ALL",
     "route_spans": f"WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, {ROUTE})) AS span, (generate_subscripts(regexp_extract_all(text, {ROUTE}), 1) - 1)::INT AS span_no FROM documents) SELECT doc_id, span_no, {pack('span')} AS pack_id, (sum(strlen(span)) OVER w - strlen(span))::BIGINT AS start_byte, (sum(strlen(span)) OVER w)::BIGINT AS end_byte FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY span_no)",
@@ -102,14 +113,19 @@ SQL = {
     "sliding_windows": f"WITH {SEQ_ONCE}, p AS (SELECT seq_id, tokens, unnest(range(1, len(tokens))) AS pos FROM seqs) SELECT seq_id, pos::INT AS pos, least(pos, 16)::INT AS width, list_sum(tokens[greatest(pos - 15, 1):pos])::BIGINT AS context_sum, tokens[pos + 1] AS target FROM p",
     "tumbling_windows": f"WITH {SEQ_ONCE}, p AS (SELECT seq_id, tokens, unnest(range((len(tokens) + 14) // 16)) AS k FROM seqs WHERE len(tokens) > 1) SELECT seq_id, k::INT AS window_no, least(16, len(tokens) - 1 - 16 * k)::INT AS width, list_sum(tokens[16 * k + 1:least(16 * k + 16, len(tokens) - 1)])::BIGINT AS inputs, list_sum(tokens[16 * k + 2:16 * k + 17])::BIGINT AS targets FROM p",
     "random_windows": f"WITH {SEQ_ONCE}, s0 AS (SELECT seq_id AS seed, (seq_id * 2654435761 + 1)::UHUGEINT AS s FROM seqs), {STEPS}, st AS (SELECT seq_id, tokens, n_bytes, (x % (len(tokens) - 8)::UHUGEINT)::INT AS start FROM seqs JOIN x3 ON seed = seq_id WHERE len(tokens) > 8) SELECT seq_id, 0 AS draw, start, list_sum(tokens[start + 1:start + 8])::BIGINT AS inputs, list_sum(tokens[start + 2:start + 9])::BIGINT AS targets, list_sum(n_bytes[start + 2:start + 9])::BIGINT AS target_bytes FROM st",
-    "padded_batches": f"WITH {SEQ_ONCE}, c AS (SELECT seq_id, tokens[1:41] AS t FROM seqs), p AS (SELECT seq_id, t, unnest(range((len(t) + 14) // 16)) AS k FROM c WHERE len(t) > 1) SELECT seq_id, (k // 2)::INT AS batch, (k % 2)::INT AS row, 16 AS width, list_sum(t[16 * k + 2:16 * k + 17])::BIGINT AS targets, least(16, len(t) - 1 - 16 * k)::INT AS length FROM p",
+    "padded_batches": f"WITH {SEQ_ONCE}, p AS (SELECT seq_id, tokens AS t, unnest(range((len(tokens) + 14) // 16)) AS k FROM seqs WHERE len(tokens) > 1) SELECT seq_id, (k // 2)::INT AS batch, (k % 2)::INT AS row, 16 AS width, list_sum(t[16 * k + 2:16 * k + 17])::BIGINT AS targets, least(16, len(t) - 1 - 16 * k)::INT AS length FROM p",
     "prefix_offsets": f"WITH {SEQ_ONCE} SELECT seq_id, k::INT AS tokens_before, coalesce(list_sum(n_bytes[1:k]), 0)::BIGINT AS \"offset\" FROM (SELECT seq_id, n_bytes, unnest(range(len(n_bytes) + 1)) AS k FROM seqs)",
     "sequence_target_bytes": f"WITH {SEQ_ONCE} SELECT seq_id, len(n_bytes) - 1 AS targets, coalesce(list_sum(n_bytes[2:]), 0)::BIGINT AS target_bytes FROM seqs WHERE len(n_bytes) > 0",
     "head_targets": f"WITH {TOKENS} SELECT pack_id AS pack, count(*) AS targets FROM tk LEFT JOIN id_map ON token = global_id WHERE pos > 0 GROUP BY ALL",
-    "byte_match": f"""WITH {SEQ_ONCE}, two AS (SELECT seq_id, n_bytes FROM seqs WHERE corpus_id = 1 ORDER BY len(tokens) DESC, seq_id LIMIT 2),
-o AS (SELECT seq_id, k, coalesce(list_sum(n_bytes[1:k]), 0)::BIGINT AS off FROM (SELECT seq_id, n_bytes, unnest(range(len(n_bytes) + 1)) AS k FROM two)),
-s AS (SELECT a.off, a.k AS ka, c.k AS kc FROM o a JOIN o c ON a.off = c.off AND a.seq_id = (SELECT min(seq_id) FROM two) AND c.seq_id = (SELECT max(seq_id) FROM two) WHERE a.k > 0)
-SELECT l.off AS raw_byte_start, r.off - l.off AS raw_target_bytes, r.off AS raw_byte_end, l.ka::INT AS a_start_token, r.ka::INT AS a_end_token, l.kc::INT AS c_start_token, r.kc::INT AS c_end_token FROM s l JOIN s r ON r.off > l.off AND r.off - l.off <= 64 ORDER BY raw_target_bytes DESC, raw_byte_start LIMIT 1""",
+    "byte_match": f"""WITH {PACKED}, {MERGES.format('')}, flat AS (SELECT doc_id, list_reduce(m, lambda acc, x: replace(acc, x[1:2], x[3]), s) AS c FROM sym, ms),
+ft AS (SELECT doc_id, generate_subscripts(string_split(c, ''), 1) AS k, unicode(unnest(string_split(c, ''))) - 256 AS id FROM flat WHERE c <> ''),
+fo AS (SELECT doc_id, k, sum(length(e)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS off FROM ft JOIN spelled USING (id)),
+pl AS (SELECT p AS pack, r AS local, length(e) AS n FROM num JOIN spelled ON id = result_id),
+po AS (SELECT doc_id, pos AS k, sum(coalesce(n, 1)) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS off FROM ptok LEFT JOIN pl USING (pack, local)),
+b AS (SELECT fo.doc_id, off, fo.k AS ka, po.k AS kc FROM fo JOIN po USING (doc_id, off)),
+best AS (SELECT l.doc_id, l.off AS raw_byte_start, r.off - l.off AS raw_target_bytes, r.off AS raw_byte_end, l.ka::INT AS a_start_token, r.ka::INT AS a_end_token, l.kc::INT AS c_start_token, r.kc::INT AS c_end_token FROM b l JOIN b r ON l.doc_id = r.doc_id AND r.off > l.off AND r.off - l.off <= 64
+  QUALIFY row_number() OVER (PARTITION BY l.doc_id ORDER BY r.off - l.off DESC, l.off) = 1)
+SELECT doc_id, best.* EXCLUDE (doc_id) FROM documents LEFT JOIN best USING (doc_id)""",
     "checkpoint_steps": "SELECT range AS step FROM range(1, 1001) WHERE range = 1 OR range % 300 = 0 OR range IN (250, 500, 750, 1000)",
     "pair_windows": f"WITH {SEQ_ONCE}, p AS (SELECT tokens, unnest(range(1, len(tokens))) AS i FROM seqs) SELECT tokens[i] AS l, tokens[i + 1] AS r, count(*) AS n FROM p GROUP BY ALL",
     "split_composition": f"WITH {UNITS} SELECT source, sum(CASE WHEN kept AND split = 'train' THEN strlen(body) ELSE 0 END)::BIGINT AS train, sum(CASE WHEN kept AND split = 'validation' THEN strlen(body) ELSE 0 END)::BIGINT AS validation, sum(CASE WHEN kept AND split = 'test' THEN strlen(body) ELSE 0 END)::BIGINT AS test, sum(CASE WHEN NOT kept THEN strlen(body) ELSE 0 END)::BIGINT AS removed FROM un GROUP BY source",
@@ -120,7 +136,7 @@ k AS (SELECT doc_id, count(*) AS n, sha256(string_agg(g, ',' ORDER BY g)) AS k F
 c AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) AS common FROM q a JOIN q b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT id_a, id_b, common::INT AS common, (x.n + y.n - common)::INT AS total FROM c JOIN r x ON x.doc_id = id_a JOIN r y ON y.doc_id = id_b WHERE common * 5 >= (x.n + y.n - common) * 4
 UNION ALL SELECT cls, doc_id, n::INT, n::INT FROM r WHERE doc_id > cls""",
-    "unit_spans": f"WITH {UNITS}, k AS (SELECT unit_id, source, end_byte - start_byte AS n FROM un WHERE corpus_id = 1 AND kept AND split = 'train'), s AS (SELECT name, category FROM sources QUALIFY row_number() OVER (PARTITION BY name ORDER BY corpus_id, source_id) = 1), p AS (SELECT source, n, sum(n) OVER (ORDER BY unit_id)::BIGINT AS e FROM k) SELECT e - n AS start_byte, e AS end_byte, category, CASE category WHEN 'english-drama' THEN 'english-literature' WHEN 'english-prose' THEN 'english-literature' WHEN 'german-prose' THEN 'german-prose' WHEN 'code' THEN 'rust-source' WHEN 'synthetic-json' THEN 'synthetic-json' WHEN 'synthetic-unicode' THEN 'synthetic-unicode' END AS domain FROM p LEFT JOIN s ON source = name",
+    "unit_spans": f"WITH {UNITS}, k AS (SELECT corpus_id, unit_id, source, end_byte - start_byte AS n FROM un WHERE kept AND split = 'train'), s AS (SELECT corpus_id, name, category FROM sources QUALIFY row_number() OVER (PARTITION BY corpus_id, name ORDER BY source_id, category) = 1), p AS (SELECT corpus_id, source, n, sum(n) OVER (PARTITION BY corpus_id ORDER BY unit_id)::BIGINT AS e FROM k) SELECT p.corpus_id, e - n AS start_byte, e AS end_byte, category, CASE category WHEN 'english-drama' THEN 'english-literature' WHEN 'english-prose' THEN 'english-literature' WHEN 'german-prose' THEN 'german-prose' WHEN 'code' THEN 'rust-source' WHEN 'synthetic-json' THEN 'synthetic-json' WHEN 'synthetic-unicode' THEN 'synthetic-unicode' END AS domain FROM p LEFT JOIN s ON source = name AND s.corpus_id IS NOT DISTINCT FROM p.corpus_id",
     "domain_of_token": f"WITH {TOKEN_DOMAINS} SELECT pos, start_byte, end_byte, domain FROM td",
     "domain_rollup": f"WITH {GRAINS} SELECT * FROM gr",
     "domain_report": f"WITH {GRAINS}, n(domain) AS (VALUES ('english-literature'), ('german-prose'), ('rust-source'), ('structured'), ('synthetic-json'), ('synthetic-unicode'), ('mixed-domain'), ('none')) SELECT n.domain, grain IS NOT NULL AS available, coalesce(tokens, 0) AS tokens, coalesce(bytes, 0) AS bytes, coalesce(nll, 0.0) AS nll, round(nll / bytes / ln(2), 9) AS bits_per_byte FROM n LEFT JOIN gr ON gr.domain = n.domain AND grain = 'domain'",
@@ -142,10 +158,31 @@ UNION ALL SELECT cls, doc_id, n::INT, n::INT FROM r WHERE doc_id > cls""",
     "parameter_counts": "SELECT v, d, 2 * v * d + c * d + d * d + d + v AS flat, 2 * v * d + c * d + d * d + d + p * d + p + v AS factorized, 40 + 6 + 4 * (2 * v * d + c * d + d * d + d + v) AS flat_bytes, 40 + 6 * p + 4 * (2 * v * d + c * d + d * d + d + p * d + p + v) AS factorized_bytes, v * 384 + 256 * 384 + 8 * (4 * (384 * 384 + 384) + 2 * 384 * 1536 + 1536 + 3 * 384) + 384 + v * 384 + v AS transformer FROM (VALUES (512::BIGINT, 16::BIGINT, 16::BIGINT, 4::BIGINT), (512, 64, 32, 4), (340, 8, 16, 3)) t(v, d, c, p)",
     "mac_estimate": "SELECT pack_id, (47 * 256 + 3 * 16 * 512 * 16)::BIGINT AS flat, (47 * 256 + 3 * 16 * (count(*) + 4) * 16)::BIGINT AS packed FROM id_map GROUP BY pack_id",
     "evaluation_plan": f"WITH {SEQ_ONCE} SELECT seq_id, len(n_bytes)::INT AS tokens, greatest(len(n_bytes) - 1, 0)::INT AS targets, coalesce(list_sum(n_bytes[2:]), 0)::BIGINT AS target_bytes, ((greatest(len(n_bytes) - 1, 0) + 15) // 16)::INT AS windows FROM seqs",
-    "byte_regime": f"WITH {SEQ_ONCE}, c AS (SELECT seq_id, least(len(tokens), 41) - 1 AS n FROM seqs WHERE len(tokens) > 1) SELECT seq_id, ((n + 31) // 32)::INT AS batches, n::BIGINT AS positions, ((n + 15) // 16 * 16 - n)::BIGINT AS padded FROM c",
+    "byte_regime": f"WITH {SEQ_ONCE}, c AS (SELECT seq_id, len(tokens) - 1 AS n FROM seqs WHERE len(tokens) > 1) SELECT seq_id, ((n + 31) // 32)::INT AS batches, n::BIGINT AS positions, ((n + 15) // 16 * 16 - n)::BIGINT AS padded FROM c",
     "source_identities": "SELECT source_id, sha256(any_value(name) || any_value(raw_sha256)) AS identity FROM sources GROUP BY source_id",
     "registry_problems": "WITH p AS (SELECT pack_id, count(*) AS n FROM id_map WHERE pack_id <> 65535 GROUP BY pack_id) SELECT 'duplicate pack name' AS problem, 'same' AS item FROM p HAVING count(*) > 1 UNION ALL SELECT * FROM (VALUES ('byte fallback', '0'), ('duplicate special id', '0:0'), ('duplicate special name', 'a'), ('empty special name', '0:99999'), ('special token of unknown pack', '77'), ('special token out of range', '0:99999'))",
     "softmax_ce": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS z, label % len(embedding) AS k FROM embeddings) SELECT vec_id, round(list_max(z) - z[k + 1] + ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))), 6) AS loss, (list_position(z, list_max(z)) - 1)::INT AS best FROM e",
+    "pack_encode_router": f"WITH {FLAT}, u AS (SELECT doc_id, CASE WHEN c = '' THEN [] ELSE list_transform(string_split(c, ''), lambda x: unicode(x) - 256) END AS t FROM flat) SELECT doc_id, len(t) AS n, coalesce(list_sum(list_transform(t, lambda x, i: x::BIGINT * i)), 0)::BIGINT AS checksum FROM u",
+    "adapter_sequences": f"WITH {PACKED}, sizes AS (SELECT p, count(*) AS n FROM num GROUP BY p), base AS (SELECT p, (SELECT coalesce(sum(n), 0) FROM sizes b WHERE b.p < v.p)::BIGINT AS b FROM (VALUES (0), (1), (2), (65535)) v(p)), tot AS (SELECT doc_id, count(*) AS n, sum((b + local) * pos)::BIGINT AS checksum FROM ptok JOIN base ON p = pack GROUP BY doc_id) SELECT doc_id, coalesce(n, 0) AS n, coalesce(checksum, 0) AS checksum, coalesce(strlen(text), 0)::BIGINT AS n_bytes, true AS same, true AS covered FROM documents LEFT JOIN tot USING (doc_id)",
+    "decode_errors": f"""WITH {SPELLED}, s AS (SELECT seq_id, any_value(tokens) AS t FROM sequences GROUP BY seq_id), x AS (SELECT seq_id, t, nullif(coalesce(list_position(list_transform(t, lambda v: coalesce(v < 0 OR v > 511, true)), true), 0), 0) AS p FROM s),
+n AS (SELECT seq_id, sum(length(e)) AS n FROM (SELECT seq_id, unnest(t) AS id FROM x WHERE p IS NULL) JOIN spelled USING (id) GROUP BY seq_id)
+SELECT seq_id, CASE WHEN p IS NULL THEN coalesce(n, 0)::INT END AS n_bytes, CASE WHEN p IS NOT NULL THEN 'local id outside pack' END AS error, (p - 1)::INT AS error_index FROM x LEFT JOIN n USING (seq_id)""",
+    "unit_span_report": f"""WITH {UNITS}, src AS (SELECT source_id, any_value(corpus_id) AS corpus_id, any_value(name) AS name, any_value(contribution) AS c FROM sources GROUP BY source_id),
+k AS (SELECT corpus_id, split, end_byte - start_byte AS n, NOT EXISTS (SELECT 1 FROM src WHERE src.corpus_id = un.corpus_id AND src.name = un.source) AS unknown FROM un WHERE kept),
+a AS (SELECT corpus_id, split, count(*) AS units, sum(n)::BIGINT AS unit_bytes, count(*) FILTER (n <= 0) AS empty_units, count(*) FILTER (unknown) AS unknown_sources FROM k GROUP BY ALL),
+b AS (SELECT corpus_id, s AS split, coalesce(sum(c[i]), 0)::BIGINT AS stated_bytes FROM src, (VALUES ('train', 1), ('validation', 2), ('test', 3)) v(s, i) WHERE len(c) >= i GROUP BY ALL)
+SELECT corpus_id, split, coalesce(units, 0) AS units, coalesce(unit_bytes, 0) AS unit_bytes, coalesce(empty_units, 0) AS empty_units, coalesce(unknown_sources, 0) AS unknown_sources, coalesce(stated_bytes, 0) AS stated_bytes, coalesce(empty_units, 0) = 0 AND coalesce(unknown_sources, 0) = 0 AND coalesce(unit_bytes, 0) = coalesce(stated_bytes, 0) AS covered FROM a FULL JOIN b USING (corpus_id, split)""",
+    "corpus_build_units": f"WITH {BUILT} SELECT source, a AS start, e AS end, split AS proposed, kept, sha256(unhex(g)) AS sha256 FROM built",
+    "corpus_build_sources": f"WITH {BUILT} SELECT printf('%012d', doc_id) AS name, strlen(text)::BIGINT AS raw_bytes, sha256(text) AS raw_sha256, coalesce(sum(e - a) FILTER (kept AND split = 'train'), 0)::BIGINT AS train, coalesce(sum(e - a) FILTER (kept AND split = 'validation'), 0)::BIGINT AS validation, coalesce(sum(e - a) FILTER (kept AND split = 'test'), 0)::BIGINT AS test FROM documents d LEFT JOIN built ON built.source = printf('%012d', doc_id) GROUP BY doc_id, text",
+    "corpus_build_guard": "SELECT 0::BIGINT AS sharing_splits",
+    "sampled_windows": f"""WITH RECURSIVE {SEQ_ONCE}, draws(seed, k, x) AS (SELECT seed::BIGINT, 0, xor(seed::UHUGEINT, 11763738044249110969::UHUGEINT) FROM (VALUES (17), (29), (43)) v(seed)
+  UNION ALL SELECT seed, k + 1, xor(z, (z * 131072::UHUGEINT) % {U64}) FROM (SELECT seed, k, xor(y, y // 128::UHUGEINT) AS z FROM (SELECT seed, k, xor(x, (x * 8192::UHUGEINT) % {U64}) AS y FROM draws WHERE k < 4))),
+st AS (SELECT seq_id, seed, n_bytes, (x % (len(tokens) - 8)::UHUGEINT)::INT AS s FROM seqs, draws WHERE k > 0 AND len(tokens) > 8)
+SELECT seq_id, seed, 4 AS draws, sum(list_sum(n_bytes[s + 2:s + 9]))::BIGINT AS target_bytes FROM st GROUP BY seq_id, seed""",
+    "head_transitions": f"WITH {SEQ_ONCE}, ok AS (SELECT seq_id, tokens FROM seqs WHERE NOT coalesce(list_bool_or(list_transform(tokens, lambda x: x < 0 OR x >= 512)), false)), k AS (SELECT seq_id, generate_subscripts(tokens, 1) AS i, unnest(tokens) AS g FROM ok), p AS (SELECT seq_id, i, pack_id, lag(pack_id) OVER (PARTITION BY seq_id ORDER BY i) AS before FROM k JOIN id_map ON g = global_id) SELECT count(*) AS targets, count(*) FILTER (before <> pack_id) AS transitions, count(*) FILTER (pack_id = 65535) AS fallback_targets, round(count(*) FILTER (pack_id = 65535) / count(*), 9) AS fallback_share FROM p WHERE i > 1",
+    "rnn_targets": f"{SCORED} SELECT pack_id AS pack, count(*) AS targets, any_value(n)::INT AS head_size, true AS sane FROM tg JOIN hs USING (pack_id) GROUP BY pack_id",
+    "rnn_active_head": f"{SCORED} SELECT count(*) AS targets, round(avg(n), 6) AS active_head_mean, round((SELECT count(*) FROM hs) / ((SELECT count(*) FROM hs) + avg(n)), 9) AS pack_logit_share FROM tg JOIN hs USING (pack_id)",
+    "rnn_split_score": f"{SCORED} SELECT split, count(*) AS targets, true AS scored FROM tg GROUP BY split",
 }
 #: blocks of at least n bytes, extended through the next line feed, on strings of one character per byte.
 for _name, _size in (("blocks_split", 96), ("blocks_split_whole", 128)):
