@@ -115,7 +115,8 @@ class Rewriter:
     """Rewrites a text to the representatives of its classes, longest pattern first at every place.
 
     The representative of a class is its most frequent member by `counts`, ties and the unknown to
-    the least ASCII member, else the least. Canonically equivalent spellings are one: the
+    the least ASCII member, else the least; a class with strings of several characters has its most
+    frequent string, written in the representatives of its characters. Canonically equivalent spellings are one: the
     text is decomposed, rewritten and composed again. `fold_case` also ignores case.
     """
 
@@ -123,8 +124,16 @@ class Rewriter:
         counts = counts or {}
         self.fold_case = fold_case
         self.to: dict[str, str] = dict.fromkeys(INVISIBLE, "")
+        order = lambda m: (-counts.get(m, 0), not m.isascii(), m != m.casefold() if fold_case else False, m)
+        strings = []
         for members in look_classes(fold_case):
-            best = min(members, key=lambda m: (-counts.get(m, 0), not m.isascii(), m != m.casefold() if fold_case else False, m))
+            if any(len(m) > 1 for m in members):
+                strings.append(members)
+                continue
+            best = min(members, key=order)
+            self.to |= {m: best for m in members if m != best}
+        for members in strings:  # one sign for several is written out, in representatives
+            best = "".join(self.to.get(c, c) for c in min((m for m in members if len(m) > 1), key=order))
             self.to |= {m: best for m in members if m != best}
         #: Whether texts of ASCII characters only are in their one form already.
         self.plain_ascii = not any(m.isascii() and not (fold_case and m != m.casefold()) for m in self.to)

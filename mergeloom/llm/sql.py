@@ -89,6 +89,15 @@ def look(text: str) -> str:
 
 GRAMS = "SELECT {0} AS id, array_to_string(ws[i:i + 11], ' ') AS g FROM (SELECT {0}, ws, unnest(range(1, len(ws) - 10)) AS i FROM (SELECT {0}, regexp_extract_all(lower({1}), '[\\p{{L}}\\p{{N}}]+') AS ws FROM {2}))"
 
+#: 12-word passages of documents and items at the same words: (doc_id, item_id, i, j), and how many follow each other without a gap.
+MATCHED = rf"""dt AS (SELECT DISTINCT doc_id, regexp_extract_all(lower({look('text')}), '[\p{{L}}\p{{N}}]+') AS ws FROM documents WHERE text IS NOT NULL),
+it AS (SELECT DISTINCT item_id, regexp_extract_all(lower({look('text')}), '[\p{{L}}\p{{N}}]+') AS ws FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, i, array_to_string(ws[i:i + 11], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 10)) AS i FROM dt)),
+ig AS (SELECT item_id, j, array_to_string(ws[j:j + 11], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 10)) AS j FROM it)),
+m AS (SELECT doc_id, item_id, i, j FROM dg JOIN ig USING (g)),
+runs AS (SELECT doc_id, item_id, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS isle FROM m) GROUP BY doc_id, item_id, i - j, isle),
+dw AS (SELECT doc_id, len(ws) AS words FROM dt)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -117,4 +126,21 @@ SELECT source_id FROM grp JOIN apart USING (group_id)""",
         "p8_found": f"WITH d AS ({GRAMS.format('doc_id', look('text'), 'documents')}), e AS ({GRAMS.format('item_id', look('text'), 'eval_items')}) SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM d JOIN e USING (g)",
         "p9_found": f"WITH d AS (SELECT DISTINCT doc_id, text, {look('text')} AS c FROM documents WHERE text IS NOT NULL) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b USING (c) WHERE a.text <> b.text AND a.doc_id < b.doc_id",
         "p7_found": f"WITH {COUNTED} SELECT context_name, doc_id FROM (SELECT DISTINCT doc_id, tokens FROM counted), context_sizes WHERE tokens > capacity_tokens",
+        "p1_block_sums": P1_BASE + "SELECT mix_id, category, blocks AS copies, true AS even FROM given WHERE blocks > 0",
+        "p2_balance": "SELECT corpus_id, count(*) AS units, 0::BIGINT AS parted, true AS near FROM (SELECT unit_id, any_value(corpus_id) AS corpus_id FROM units GROUP BY unit_id) GROUP BY corpus_id",
+        "p4_bounds": """WITH r AS (SELECT DISTINCT record_id, run_id, tokenizer, rec_date, rec_len FROM record_lengths WHERE rec_len >= 1)
+SELECT run_id, tokenizer, rec_date::DATE::VARCHAR AS rec_date, false AS whole, count(*) AS n, true AS near FROM r GROUP BY ALL UNION ALL SELECT run_id, tokenizer, NULL, true, count(*), true FROM r GROUP BY ALL""",
+        "p5_longest": r"""WITH ids AS (SELECT range AS id FROM range((SELECT 256 + count(*) FROM merges))),
+back AS (SELECT list(chr(result_id + 256) || chr(left_id + 256) || chr(right_id + 256) ORDER BY merge_rank DESC) AS m FROM merges),
+spelled AS (SELECT DISTINCT list_reduce(m, lambda acc, x: replace(acc, x[1], x[2:3]), chr((id + 256)::INT)) AS e FROM ids, back),
+pat AS (SELECT string_agg(e, '|' ORDER BY length(e) DESC, e) AS p FROM spelled WHERE e IS NOT NULL),
+sym AS (SELECT doc_id, array_to_string(list_transform(range(1, length(h), 2), lambda i: chr(256 + ('0x' || h[i:i + 1])::INT)), '') AS s FROM (SELECT DISTINCT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents))
+SELECT doc_id, coalesce(len(regexp_extract_all(s, p)), 0)::BIGINT AS tokens FROM sym, pat""",
+        "p6_words": rf"""WITH u AS (SELECT unit_id, any_value(corpus_id) AS corpus_id, any_value({SPLIT}) AS split, any_value(body) AS body FROM units WHERE body IS NOT NULL GROUP BY unit_id),
+k AS (SELECT * FROM u WHERE split IN ('train', 'validation', 'test'))
+SELECT unit_id, len(regexp_extract_all(lower(upper(body)), '[\p{{L}}\p{{N}}]+'))::BIGINT AS n_words, EXISTS (SELECT 1 FROM k t WHERE t.split = 'train' AND t.corpus_id = k.corpus_id AND t.body = k.body) AS copied, true AS sane FROM k WHERE split <> 'train'""",
+        "p7_check": f"WITH {COUNTED}, one AS (SELECT DISTINCT doc_id, tokens FROM counted) SELECT context_name, count(*) AS documents, sum(tokens)::BIGINT AS tokens, sum(greatest(1, ceil(tokens / capacity_tokens)))::BIGINT AS pieces, 0::BIGINT AS misplaced, 0::BIGINT AS overfull, true AS tight FROM one, context_sizes GROUP BY context_name",
+        "p8_leaks": f"WITH {MATCHED} SELECT doc_id, item_id, (max(n) + 11)::INT AS longest_words FROM runs GROUP BY ALL",
+        "p8_covered": f"WITH {MATCHED}, w AS (SELECT DISTINCT doc_id, unnest(range(i, i + 12)) AS k FROM m), c AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id) SELECT doc_id, n AS removed_words, round(n / words, 9) AS removed_share, n / words > 0.5 AS dropped FROM c JOIN dw USING (doc_id)",
+        "p9_members": f"WITH d AS (SELECT DISTINCT doc_id, text, {look('text')} AS c FROM documents WHERE text IS NOT NULL), g AS (SELECT c, count(DISTINCT text) AS spellings, count(*) AS documents FROM d GROUP BY c) SELECT doc_id, spellings, documents FROM d JOIN g USING (c) WHERE spellings > 1",
     }

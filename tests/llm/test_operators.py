@@ -9,12 +9,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from mergeloom.llm import frequency, leakage, lookalike, mixing, overlap, packing, quantiles, splits, token_budget
+from mergeloom.llm import frequency, leakage, lookalike, mixing, overlap, packing, quantiles, rolling, splits, token_budget
 from tests.llm.tables import frame
 
 # --- 1 mixing
@@ -65,6 +66,23 @@ def test_blocks_meet_the_quota_and_repeat_evenly(spark):
     assert sum(r.reached_share for r in shares.collect()) == pytest.approx(1)
 
 
+def test_short_by_seats_is_short_in_bytes(spark):
+    rng = random.Random(9)
+    sources, targets, want = [], [], set()
+    for mix in range(40):
+        cats = [f"c{i}" for i in range(rng.randint(1, 7))]
+        total, weights = rng.choice([7, 999, 10_001, 1_000_000, 123_456_789]), {c: rng.choice([0.0, rng.uniform(0.01, 5)]) for c in cats}
+        for c in cats:
+            repeats, share = rng.randint(0, 3), weights[c] / (sum(weights.values()) or 1)
+            have = max(0, int(share * total / max(repeats, 1)) + rng.choice([-1, 0, 1, rng.randint(-total, total)]))
+            sources.append(dict(source_id=len(sources), corpus_id=mix, category=c, contribution=[have, 0, 0]))
+            targets.append(dict(mix_id=mix, corpus_id=mix, category=c, weight=weights[c], max_repeats=repeats, total_bytes=total))
+            if sum(weights.values()) and have * repeats < share * total:
+                want.add((mix, c))
+    got = mixing.mix_shares(frame(spark, "sources", sources), frame(spark, "mix_targets", targets)).where("short").collect()
+    assert {(r.mix_id, r.category) for r in got} == want
+
+
 # --- 2 splits
 
 
@@ -193,6 +211,8 @@ def test_overlap_finds_every_pair(spark):
     units = frame(spark, "units", rows)
     got = [tuple(r) for r in overlap.overlap_pairs(units).collect()]
     assert set(got) == want and len(got) == len(want) and len(want) > 20
+    links = [{(r.ct, r.ch) for r in overlap.overlap_links(units, chunk=c)[0].collect()} for c in (1, 8, 1 << 40)]
+    assert links[0] == links[1] == links[2]  # what chunks leave open is completed
     parts = {r.unit_id: r for r in overlap.overlap_fractions(units).collect()}
     held = {r["unit_id"] for r in rows if side(r) == "h" and r["body"] is not None}
     assert set(parts) == held and all(0 <= r.shared_words <= r.n_words for r in parts.values())
@@ -200,6 +220,22 @@ def test_overlap_finds_every_pair(spark):
     assert all(parts[b].overlap == 1 for b in equal)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("aB1_ ,éİß漢²\n", max_size=30)), max_size=8))
+def test_words_are_split_and_hashed_alike(texts):
+    hashes, counts = rolling.word_hashes(pa.array(texts, pa.string()))
+    want = [rolling.caseless(t) if t else [] for t in texts]
+    assert counts.tolist() == [len(w) for w in want]
+    flat = [w for ws in want for w in ws]
+    assert len(hashes) == len(flat) and len({*zip(flat, hashes.tolist())}) == len(set(flat)) == len(set(hashes.tolist()))
+    rolled = rolling.Rolled(hashes, counts)
+    rec, h, n, once = rolled.distinct()
+    grams = [[tuple(w[i : i + 3]) for i in range(len(w) - 2)] for w in want]
+    assert n.tolist() == [len(set(g)) for g in grams] and once.tolist() == [g.count(x) == 1 for g in grams for x in g]
+    crec, digest, at, size = rolled.chunks(2)
+    assert size.sum() == len(rolled.h) and len(digest) == len(crec) == len(at)
+
+
 # --- 7 packing
 
 
@@ -235,6 +271,21 @@ def test_sum_of_squares_rule():
                 bins.append(cap - size)
 
 
+def test_packing_costs_no_more_with_a_large_capacity():
+    import time
+
+    rng = np.random.default_rng(2)
+    docs, tokens = np.arange(4000), (rng.pareto(1.2, 4000) * 200).astype(np.int64)
+    took = []
+    for capacity in (1024, 1 << 20):
+        began = time.perf_counter()
+        got = packing.pack_run(docs, tokens, capacity, 0)
+        took.append(time.perf_counter() - began)
+        fill = np.bincount(got["container_id"], got["n_tokens"])
+        assert fill.max() <= capacity and fill.sum() == tokens.sum()
+    assert took[1] < 5 * took[0] + 1
+
+
 def test_packing_places_all_and_wastes_little(spark):
     rng = random.Random(8)
     docs = frame(spark, "documents", [dict(doc_id=i, text="x" * int(rng.paretovariate(1.2) * 20)) for i in range(3000)] + [dict(doc_id=9000, text="y" * 5000)])
@@ -266,7 +317,24 @@ def test_automaton_finds_every_passage(items, words, least):
     assert covered == {j + k for j in range(len(words) - least + 1) if tuple(words[j : j + least]) in grams for k in range(least)}
 
 
-def test_leaks_are_removed(spark, monkeypatch):
+def test_many_item_blocks_find_the_same_as_one(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(5, 40)))) for i in range(40)]
+    docs = []
+    for i in range(60):
+        parts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(3)]
+        chosen = [w.split() for _, w in rng.sample(items, 2)]
+        docs.append((i, " ".join([parts[0], " ".join(chosen[0][rng.randint(0, 5) :]), parts[1], " ".join(chosen[1]), parts[2]])))
+    df, eval_items = frame(spark, "documents", [dict(doc_id=i, text=x) for i, x in docs]), frame(spark, "eval_items", [dict(item_id=i, text=x) for i, x in items])
+    whole = leakage.ItemAutomaton([(i, x.split()) for i, x in items], 12)
+    want = {(i, item, n) for i, x in docs for item, n in whole.leaks(x.split()).items()}
+    for size in (10, 100, leakage.BLOCK_WORDS):
+        got = [tuple(r) for r in leakage.find_leaks(df, eval_items, block_words=size).collect()]
+        assert set(got) == want and len(got) == len(want) > 50
+
+
+def test_leaks_are_removed(spark):
     passage = " ".join(f"word{i}" for i in range(14))
     docs = frame(spark, "documents", [dict(doc_id=1, text=f"Before it, {passage.upper()}. After  it " + "filler " * 40), dict(doc_id=2, text=passage), dict(doc_id=3, text="clean"), dict(doc_id=4)])
     items = frame(spark, "eval_items", [dict(item_id=1, text=passage), dict(item_id=2, text=passage[:60])])
@@ -274,8 +342,9 @@ def test_leaks_are_removed(spark, monkeypatch):
     assert got[1].text == "Before it, After  it " + "filler " * 40 and got[1].removed_words == 14 and not got[1].dropped
     assert got[2].dropped and got[2].text == "" and got[3].text == "clean" and got[4].text is None
     one = sorted(map(tuple, leakage.find_leaks(docs, items).collect()))
-    monkeypatch.setattr(leakage, "BLOCK_WORDS", 1)
-    assert sorted(map(tuple, leakage.find_leaks(docs, items).collect())) == one == [(1, 1, 14), (2, 1, 14)]
+    assert sorted(map(tuple, leakage.find_leaks(docs, items, block_words=1).collect())) == one == [(1, 1, 14), (2, 1, 14)]
+    again = {r.doc_id: r for r in leakage.remove_leaks(docs, items, block_words=1).collect()}
+    assert again == got
 
 
 # --- 9 look-alikes
@@ -291,12 +360,50 @@ def test_same_look_is_one_form():
     assert all(r(r(t)) == r(t) for t in [*SAME, "Ⅳ ŉ Å", "ำ"])
 
 
+ALIKE = [("ν", "v"), ("υ", "u"), ("Ꭺ", "A"), ("Ꮯ", "C"), ("ս", "u"), ("ո", "n"), ("հ", "h"), ("ꓮ", "A"), ("Ⲏ", "H"), ("ǃ", "!"), ("ǀ", "|"), ("ǁ", "||"), ("ѹ", "oy"), ("ﬃ", "ffi"), ("Ǆ", "DŽ"), ("‼", "!!"), ("…", "..."), ("ײ", "יי"), ("։", ":"), ("\u3164", " "), ("\u2800", " "), ("e\ufe00", "e"), ("d\u034f", "d")]
+APART = [("rn", "m"), ("ı", "i"), ("“", '"'), ("–", "-"), ("❤\ufe0f", "❤"), ("葛\ufe00", "葛"), ("ⅳ", "4"), ("½", "1/2"), ("ª", "a"), ("①", "1"), ("㎏", "k g"), ("ø", "o"), ("ł", "l"), ("б", "6")]
+
+
+def test_look_alikes_of_many_scripts_and_of_strings():
+    r = lookalike.Rewriter()
+    assert [p for p in ALIKE if r(p[0]) != r(p[1])] == [] and [p for p in APART if r(p[0]) == r(p[1])] == []
+    fold = lookalike.Rewriter(fold_case=True)
+    assert fold("ΝΕW") == fold("new") == fold("ＮＥＷ") and fold("v") != fold("n") and fold("u") != fold("y")
+
+
+def test_rewriting_is_leftmost_and_longest():
+    r = lookalike.Rewriter()
+    members = sorted(r.to, key=lambda m: (-len(m), m))
+
+    def slowly(t):
+        out, i = "", 0
+        while i < len(t):
+            m = next((m for m in members if t.startswith(m, i)), None)
+            out, i = out + (t[i] if m is None else r.to[m]), i + len(m or "x")
+        return lookalike.unicodedata.normalize("NFC", out)
+
+    rng = random.Random(4)
+    some = [m for m in members if len(m) > 1] + members[-200:] + list("ab!|.fi")
+    for _ in range(300):
+        t = lookalike.unicodedata.normalize("NFD", "".join(rng.choice(some) for _ in range(rng.randint(0, 12))))
+        t = "".join(c for c in t if c not in lookalike.JOINERS + lookalike.SELECTORS)
+        assert r(t) == slowly(t) or t.isascii()
+
+
+def test_members_count_spellings_without_pairs(spark):
+    docs = frame(spark, "documents", [dict(doc_id=i, text=t) for i, t in enumerate(["same", "sаme", "same", "other", None, ""])])
+    rows = {r.doc_id: (r.spellings, r.documents) for r in lookalike.look_members(docs).collect()}
+    assert rows == {0: (2, 3), 1: (2, 3), 2: (2, 3), 3: (1, 1), 5: (1, 1)}
+
+
 def test_representative_is_the_most_frequent(spark):
     docs = frame(spark, "documents", [dict(doc_id=1, text="ааа a"), dict(doc_id=2, text="aaa a")])
     few = lookalike.rewriter_of(docs, "text")
     assert few("а") == "a"
     many = lookalike.rewriter_of(frame(spark, "documents", [dict(doc_id=1, text="ааа a")]), "text")
     assert many("a") == "а" and many("ab") == many("аb")
+    odd = lookalike.Rewriter({"і": 9, "о": 9, "ﬁ": 99, "ѹ": 99})
+    assert odd("ﬁ") == odd("fi") == odd("fі") == "fі" and odd("ѹ") == odd("оу") == odd("oy")
 
 
 def test_classes_are_transitive():
