@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Relative error of a percentile.
 ALPHA = 0.01
+#: Asked buckets (some 50 bytes each) that are broadcast; more are joined by merging.
+BROADCAST_BUCKETS = 100_000
 #: Added to a bucket's number so that those of positive values are positive; doubles need less.
 SHIFT = 1 << 24
 
@@ -73,14 +75,16 @@ def percentiles(sketches: DataFrame, groups: Sequence[str], wanted: Mapping[str,
 def exact_in_buckets(df: DataFrame, places: DataFrame, groups: Sequence[str], value: str, alpha: float = ALPHA) -> DataFrame:
     """The exact values at given ranks: `places` has (groups, bucket, place), place counting from 1 within the bucket.
 
-    Returns (groups, bucket, place, exact). Only values of the asked buckets are counted again.
+    Returns (groups, bucket, place, exact). Only values of the asked buckets are counted again: up
+    to BROADCAST_BUCKETS of them leave the others behind where the rows are read.
     """
     keys = places.select(*[F.col(g).alias(f"__k{i}") for i, g in enumerate(groups)], F.col("bucket").alias("__kb")).distinct()
+    keys = F.broadcast(keys) if keys.limit(BROADCAST_BUCKETS + 1).count() <= BROADCAST_BUCKETS else keys.hint("merge")
     rows = df.select(*groups, F.col(value).alias("__v")).withColumn("bucket", bucket_of(F.col("__v"), alpha))
     same = F.col("bucket") == F.col("__kb")
     for i, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"__k{i}"))
-    counted = rows.groupBy(*groups, "bucket", "__v").agg(F.count(F.lit(1)).alias("n")).join(keys, same, "left_semi")
+    counted = rows.join(keys, same, "left_semi").groupBy(*groups, "bucket", "__v").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy(*groups, "bucket").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = counted.withColumn("upto", F.sum("n").over(upto))
     asked = places.select(*[F.col(g).alias(f"__k{i}") for i, g in enumerate(groups)], F.col("bucket").alias("__kb"), "place").distinct()

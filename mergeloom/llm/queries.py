@@ -12,7 +12,7 @@ from mergeloom.functions.merge_columns import load_automaton
 from mergeloom.llm import frequency, leakage, lookalike, mixing, overlap, packing, quantiles, splits, token_budget
 from mergeloom.operators import stats
 from mergeloom.operators.ranking import first_arrival
-from mergeloom.session import cut
+from mergeloom.session import cut, stored
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,7 +110,7 @@ def p4_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows that the sketch's bounds decide, and the others after an exact look into the buckets in question."""
-    records = cut(_records(spark, d))
+    records = stored(_records(spark, d))
     got = _percentiles(records)
     stated = first_arrival(_t(spark, d, "sequence_lengths"), ["summary_id"], ["run_id", "tokenizer", "rec_date", "median", "p95"], ["written_at"]).where("median is not null")
     stated = stated.select("summary_id", F.col("run_id").alias("r"), F.col("tokenizer").alias("t"), F.col("rec_date").alias("day"), F.col("median").alias("said_median"), F.col("p95").alias("said_p95"))
