@@ -14,8 +14,9 @@ from mergeloom.functions.values import MASK, anchored, anchors, rolling
 from mergeloom.operators.ranking import running_sum
 from mergeloom.session import cut
 
-# Fixed values of the filters: bytes of a leaked passage, of a shingle, and the stride of the shingles.
+# Fixed values of the filters: bytes of a leaked passage, of a shingle, the stride of the shingles, and the reasons.
 PASSAGE, SHINGLE, STRIDE = 128, 32, 16
+SHARED, NEAR = "shared-128-byte", "near-duplicate-jaccard80"
 HELD_OUT = ("validation", "test")
 
 
@@ -35,6 +36,7 @@ def marked_body(text: Column) -> Column:
 def synthetic_json(spark: SparkSession, n: int = 16_384) -> DataFrame:
     """Columns (i, line): deterministic JSON records."""
     i = F.col("id")
+    # fixed value: the line's format
     h = F.lower(F.hex(_wrapping_product(i, 0x9E3779B97F4A7C15)))
     line = F.format_string('{"id":%d,"voltage":%d.%d ,"range":[%d,%d],"enabled":%s,"route":"/probe/%s","note":"Grüße 東京 🦀"}\n', i, i % 241, i % 100, i * 31, i * 31 + 17, F.when(i % 2 == 0, "true").otherwise("false"), F.lpad(h, 16, "0"))
     return spark.range(n).select(i.alias("i"), line.alias("line"))
@@ -43,6 +45,7 @@ def synthetic_json(spark: SparkSession, n: int = 16_384) -> DataFrame:
 def synthetic_unicode(spark: SparkSession, n: int = 16_384) -> DataFrame:
     """Columns (i, line): deterministic lines of many scripts."""
     i = F.col("id")
+    # fixed value: the line's format
     h = F.lower(F.hex(_wrapping_product(i, 0xA341316C9E3779B9)))
     line = F.format_string("Probe %d: Straße, Häuser, Äpfel — 東京 漢字 🦀 🌍 👩🏽\u200d💻 e\u0301; %d ± %d = %d; checksum %s.\n", i, i * 31, i % 19, i * 31 + i % 19, F.lpad(h, 16, "0"))
     return spark.range(n).select(i.alias("i"), line.alias("line"))
@@ -176,7 +179,7 @@ def accept_blocks(blocks: DataFrame, ident: str, split: str, content: str, long:
     trained = classed.where("s = 'train'").select(F.col("cls").alias("k")).distinct()
     near_train = classed.where("s <> 'train'").join(links.join(trained, "k", "left_semi").select("cls").distinct(), "cls", "left_semi").select("id").distinct()
     state = b.where("s <> 'train'").select("id", "s").join(by_train.withColumn("p", F.lit(True)), "id", "left").join(near_train.withColumn("q", F.lit(True)), "id", "left")
-    state = cut(state.select("id", "s", "q", F.when(F.col("p"), "shared-128-byte").alias("reason")))
+    state = cut(state.select("id", "s", "q", F.when(F.col("p"), SHARED).alias("reason")))
 
     def seen(rows: DataFrame, key: str, least: DataFrame, name: str) -> DataFrame:
         before = lambda c: F.max((F.col(c).isNotNull() & ((F.col("s") == "test") | (F.col(c) < F.col("id")))))
@@ -189,7 +192,7 @@ def accept_blocks(blocks: DataFrame, ident: str, split: str, content: str, long:
         by_class = classed.join(val, F.col("id") == F.col("v")).select(F.col("cls").alias("k"), "v", "reason").join(links, "k").groupBy("cls").agg(*least)
         first, second = seen(passages, "h", by_passage, "0"), seen(classed.where("s <> 'train'"), "cls", by_class, "1")
         is_true = lambda c: F.coalesce(F.col(c), F.lit(False))
-        decided = F.when(is_true("a0"), "shared-128-byte").when(is_true("o0"), None).when(is_true("q") | is_true("a1"), "near-duplicate-jaccard80").when(~is_true("o1"), "accepted")
+        decided = F.when(is_true("a0"), SHARED).when(is_true("o0"), None).when(is_true("q") | is_true("a1"), NEAR).when(~is_true("o1"), "accepted")
         state = cut(state.join(first, "id", "left").join(second, "id", "left").select("id", "s", "q", F.coalesce("reason", decided).alias("reason")))
         if state.where("reason is null").isEmpty():
             break

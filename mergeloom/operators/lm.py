@@ -372,6 +372,50 @@ def training_runs(runs: DataFrame, model: RecurrentModel, train: np.ndarray, upd
     return runs.select("seed").distinct().groupBy("seed").applyInPandas(run, "seed bigint, step bigint, loss_per_token double, gradient_norm double, macs bigint")
 
 
+#: Rows of drawn windows that one plan may have; they are a plan's own, not the corpus's.
+MAX_DRAWN = 4_000_000
+
+
+def window_draws(spark, runs: Sequence[tuple[str, int, int]], positions: int, context: int, batch: int) -> DataFrame:
+    """Columns (run, step, slot, at, pos): the places of every window that runs (name, seed, updates) draw from `positions` tokens.
+
+    Starts are generator states modulo (positions - context); `at` counts 0 to context within the
+    window. More than MAX_DRAWN rows, or too few tokens, are an error.
+    """
+    if positions <= context:
+        raise LanguageModelError("training split too short", tokens=positions)
+    if sum(u for _, _, u in runs) * batch * (context + 1) > MAX_DRAWN:
+        raise LanguageModelError("too many windows in one plan", limit=MAX_DRAWN)
+    rows = []
+    for name, seed, updates in runs:
+        rng = Xorshift(seed)
+        rows += [(name, step, slot, rng.below(positions - context)) for step in range(1, updates + 1) for slot in range(batch)]
+    drawn = spark.createDataFrame(rows, "run string, step int, slot int, start bigint")
+    return drawn.select("run", "step", "slot", F.posexplode(F.sequence(F.col("start"), F.col("start") + context)).alias("at", "pos"))
+
+
+def train_drawn(draws: DataFrame, tokens: DataFrame, models: dict[str, RecurrentModel], opt: Optimizer = Optimizer()) -> DataFrame:
+    """Columns (run, step, loss_per_token, gradient_norm, macs): every run on its drawn windows, a task each.
+
+    `tokens` (pos, pack, local) are the joined training split, of any size: only the drawn places are
+    fetched from it. `models` are the runs' untrained models.
+    """
+    shared = draws.sparkSession.sparkContext.broadcast(models)
+    got = draws.join(tokens.hint("merge"), "pos").select("run", "step", "slot", "at", "pack", "local")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = pdf["run"].iloc[0]
+        base = shared.value[name]
+        m = replace(base, weights={}, moments=None, step=0)
+        pdf = pdf.sort_values(["step", "slot", "at"])
+        rows = m.row(pdf["pack"].to_numpy(), pdf["local"].to_numpy())
+        steps, slots, width = pdf["step"].nunique(), pdf["slot"].nunique(), pdf["at"].nunique()
+        rows = rows.reshape(steps, slots, width)
+        return pd.DataFrame([{"run": name, "step": k + 1} | m.train_batch(r[:, :-1], r[:, 1:], opt) for k, r in enumerate(rows)])
+
+    return got.groupBy("run").applyInPandas(run, "run string, step bigint, loss_per_token double, gradient_norm double, macs bigint")
+
+
 def generate(df: DataFrame, model: RecurrentModel, ident: str, prompt: str, count: int) -> DataFrame:
     """Columns (ident, tokens ARRAY<STRUCT<pack, local>>): greedy continuations of prompts.
 

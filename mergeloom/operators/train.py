@@ -168,6 +168,7 @@ def _learn_rounds(rows: DataFrame, cfg: TrainingConfig) -> list[tuple[int, int,
     state = cut(rows.select("pack_id", byte_ids(F.col("span")).alias("s"), "mult"))
     length: dict[int, list[int]] = {}
     out: list[tuple[int, int, int, int]] = []
+    held: list[DataFrame] = []
     while len(out) < cfg.max_merges:
         counts = pair_counts(state, "s", "mult", "pack_id").where(F.col("freq") >= cfg.min_pair_frequency)
         long = [(p, i) for p, ls in length.items() for i, n in enumerate(ls) if n > MAX_TOKEN_BYTES // 2]
@@ -176,6 +177,8 @@ def _learn_rounds(rows: DataFrame, cfg: TrainingConfig) -> list[tuple[int, int,
             for p, a in sizes.items():
                 counts = counts.where((F.col("pack_id") != p) | (F.element_at(a, F.col("left_id") + 1) + F.element_at(a, F.col("right_id") + 1) <= MAX_TOKEN_BYTES))
         top = best_pair(counts, cfg.min_pair_frequency).collect()
+        while len(held) > 1:  # the state just counted is kept, the one it came from is not needed again
+            held.pop(0).unpersist()
         if not top:
             break
         p, left, right = top[0].pack_id, top[0].left_id, top[0].right_id
@@ -184,7 +187,12 @@ def _learn_rounds(rows: DataFrame, cfg: TrainingConfig) -> list[tuple[int, int,
         own.append(own[left] + own[right])
         out.append((p, left, right, result))
         state = state.select("pack_id", F.when(F.col("pack_id") == p, _rewritten(left, right, result)(F.col("s"))).otherwise(F.col("s")).alias("s"), "mult")
-        state = cut(state) if len(out) % CUT_EVERY == 0 else state.persist()
+        if len(out) % CUT_EVERY:
+            held.append(state := state.persist())
+        else:
+            state = cut(state)
+    for df in held:
+        df.unpersist()
     return out
 
 

@@ -36,7 +36,7 @@ def build_units(files: DataFrame, mode: str = "near", size: int | None = None) -
     place = F.struct("name", "start_byte")
     rows = stored(rows.select(place.alias("ord"), F.col("name").alias("source"), F.col("start_byte").alias("start"), F.col("end_byte").alias("end"), F.col("split").alias("proposed"), F.sha2("content", 256).alias("sha256"), F.col("content").alias("body")))
     if mode == "passages":
-        decided = corpus.drop_leaky_blocks(rows, "ord", "proposed", "body").select(F.col("ord").alias("o"), "kept", F.when(F.col("kept"), "accepted").otherwise("shared-128-byte").alias("reason"))
+        decided = corpus.drop_leaky_blocks(rows, "ord", "proposed", "body").select(F.col("ord").alias("o"), "kept", F.when(F.col("kept"), "accepted").otherwise(corpus.SHARED).alias("reason"))
     else:
         decided = corpus.accept_blocks(rows, "ord", "proposed", "body").select(F.col("ord").alias("o"), "kept", "reason")
     return rows.join(decided, F.col("ord") == F.col("o")).select("ord", "source", "start", "end", "proposed", "kept", "reason", "sha256", "body")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mergeloom.artifact import NUMBER, STRUCTURE, TEXT
@@ -183,10 +184,22 @@ def bpe_train_packs(spark, d):
 
 @query
 def bpe_train_flat(spark, d):
-    model = train.train_flat(docs(spark, d), "text", train.TrainingConfig(512, 64, 2), "document")
+    model = train.train_flat(docs(spark, d), "text", train.TrainingConfig(512, 256, 2), "document")
     return spark.createDataFrame([(r, *m) for r, m in enumerate(model.merges)], "merge_rank int, left_id int, right_id int, result_id int")
 
 
+@query
+def bpe_first_merges(spark, d):
+    """The first 12 merges of flat training over all documents."""
+    return bpe_train_flat(spark, d).where("merge_rank < 12")
+
+
+@query
+def bpe_first_pack_merges(spark, d):
+    """The first 4 merges of every pack, of pack training over all documents."""
+    return bpe_train_packs(spark, d).where("merge_rank < 4")
+
+
 # --- encoding
 
 
@@ -543,30 +556,46 @@ def _doc_spans(spark, d):
     return running_sum(rows, ["doc_id"], "n", "end_byte").select((F.col("end_byte") - F.col("n")).alias("start_byte"), "end_byte", "domain")
 
 
+def _flat_places(spark, d):
+    """(pos, start_byte, end_byte, token) of the flat tokens of all documents joined in order of doc_id; pos is the start."""
+    merges = flat_merges(spark, d)
+    sizes = F.lit([len(x) for _, x in sorted(expansions(merges).items())])
+    tokens = token_ids(spark.sparkContext, load_automaton(t(spark, d, "merges")))(F.col("text"))
+    rows = docs(spark, d).where("octet_length(text) > 0").select("doc_id", F.octet_length("text").cast("bigint").alias("n"), tokens.alias("tokens"))
+    placed = running_sum(rows, ["doc_id"], "n", "upto").select("doc_id", (F.col("upto") - F.col("n")).alias("first"), "tokens", F.transform("tokens", lambda x: F.get(sizes, x)).alias("n_bytes"))
+    ends = windows.prefix_offsets(placed.select(F.struct("first", "tokens").alias("doc"), "n_bytes"), "doc", "n_bytes")
+    one = ends.where("tokens_before > 0").select((F.col("doc.first") + F.col("offset")).alias("end_byte"), F.get("doc.tokens", F.col("tokens_before") - 1).alias("token"))
+    size = F.get(sizes, F.col("token"))
+    return one.select((F.col("end_byte") - size).alias("pos"), (F.col("end_byte") - size).alias("start_byte"), "end_byte", "token")
+
+
 @query
 def domain_of_token(spark, d):
-    """Domains of 7-byte tokens over all documents joined."""
-    spans = cut(_doc_spans(spark, d))
-    total = spans.agg(F.max("end_byte")).head()[0] or 0
-    tokens = spark.range(total // 7).select(F.col("id").alias("pos"), (F.col("id") * 7).alias("start_byte"), (F.col("id") * 7 + 7).alias("end_byte"))
-    return corpus.token_domains(tokens, spans)
+    """Domains of the flat tokens of all documents joined."""
+    return corpus.token_domains(_flat_places(spark, d).select("pos", "start_byte", "end_byte"), cut(_doc_spans(spark, d)))
 
 
 def _grains(spark, d):
-    rows = domain_of_token(spark, d).select("domain", "start_byte", (F.col("end_byte") - F.col("start_byte")).alias("n_bytes"), ((F.col("pos") % 8 + 1) * 0.25).cast("double").alias("nll"))
+    """Scores of all flat tokens under their own frequencies."""
+    tokens = cut(_flat_places(spark, d))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    priced = mapping.vocabulary(counts.select("token", (-F.log(F.col("c") / F.sum("c").over(Window.partitionBy()))).alias("nll")))  # a row per id
+    scored = tokens.join(priced, "token").select("pos", "nll")
+    domains = corpus.require_mapped(corpus.token_domains(tokens.select("pos", "start_byte", "end_byte"), cut(_doc_spans(spark, d))))
+    rows = domains.join(scored, "pos").select("domain", "start_byte", (F.col("end_byte") - F.col("start_byte")).alias("n_bytes"), "nll")
     return stats.score_grains(rows)
 
 
 @query
 def domain_rollup(spark, d):
-    return _grains(spark, d)
+    return _grains(spark, d).withColumn("nll", F.round("nll", 4))
 
 
 @query
 def domain_report(spark, d):
-    names = [(x,) for x in ("english-literature", "german-prose", "rust-source", "structured", "synthetic-json", "synthetic-unicode", "mixed-domain", "none")]
+    names = [(x,) for x in sorted({*V.DOMAINS.values(), "structured", "mixed-domain", "none"})]
     rows = stats.domain_report(_grains(spark, d), spark.createDataFrame(names, "domain string"))
-    return rows.withColumn("bits_per_byte", F.round("bits_per_byte", 9))
+    return rows.withColumn("nll", F.round("nll", 4)).withColumn("bits_per_byte", F.round("bits_per_byte", 7))
 
 
 @query
@@ -579,6 +608,16 @@ def bootstrap_ci(spark, d):
     return stats.bootstrap(_grains(spark, d))
 
 
+@query
+def bootstrap_order(spark, d):
+    """Blocks of every domain, and whether its bounds hold the domain's own bits per byte."""
+    grains = cut(_grains(spark, d))
+    own = grains.where("grain = 'domain'").select(F.col("domain").alias("d"), V.bits_per_byte(F.col("nll"), F.col("bytes")).alias("bits"))
+    rows = stats.bootstrap(grains).join(own, F.col("domain") == F.col("d"))
+    inside = (F.col("ci95_low") <= F.col("bits")) & (F.col("bits") <= F.col("ci95_high"))
+    return rows.select("domain", "blocks", F.when(F.col("blocks") > 1, inside).alias("inside"))
+
+
 @query
 def capped_sources(spark, d):
     rows = first_arrival(t(spark, d, "sources"), ["source_id"], ["name", "raw_bytes"], ["registered_at"]).where("raw_bytes is not null")
@@ -787,6 +826,52 @@ def rnn_train_runs(spark, d):
     return lm.training_runs(spark.createDataFrame([(17,), (29,), (43,)], "seed bigint"), model, np.array(pairs)[tokens], 20)
 
 
+def _joined_tokens(coded: DataFrame) -> DataFrame:
+    """(pos, pack, local) of rows (doc_id, tokens ARRAY<STRUCT<pack, local>>), joined in order of doc_id."""
+    sized = coded.withColumn("n", F.size("tokens").cast("bigint"))
+    return running_sum(sized, ["doc_id"], "n", "upto").select((F.col("upto") - F.col("n")).alias("first"), F.posexplode("tokens").alias("k", "x")).select((F.col("first") + F.col("k")).alias("pos"), F.col("x.pack").alias("pack"), F.col("x.local").alias("local"))
+
+
+ABLATION_SEEDS, ABLATION_UPDATES = (17, 29, 43), 12
+
+
+@query
+def rnn_ablation(spark, d):
+    """Variants A to D over all documents, three seeds, two budgets: equal updates, and equal multiplications to A's.
+
+    A: flat tokens, flat head. B: flat tokens in balanced packs. C: pack tokens, flattened, flat head. D: pack tokens in their packs.
+    """
+    merges, packs = flat_merges(spark, d), packs_of(spark, d)
+    flat = docs(spark, d).select("doc_id", F.transform(token_ids(spark.sparkContext, load_automaton(t(spark, d, "merges")))(F.col("text")), lambda x: F.struct(F.lit(0).alias("pack"), x.cast("bigint").alias("local"))).alias("tokens"))
+    a = cut(_joined_tokens(flat))
+    own = cut(_joined_tokens(encode.encode_packed(docs(spark, d), "doc_id", "text", packs)))
+    spelled = spark.createDataFrame([(i, bytearray(x)) for i, x in expansions(merges).items()], "global_id int, expansion binary")
+    sizes = {p: len(m) for p, m in packs.items() if m} | {65535: 256}
+    flattened = mapping.flatten(spark.createDataFrame(list(sizes.items()), "pack_id int, local_token_count bigint"))
+    mapped = lambda rows, m, v: mapping.remap(rows, m, v).select("pos", F.col("mapped_pack").alias("pack"), F.col("mapped_local").cast("bigint").alias("local"))
+    v = 256 + len(merges)
+    balanced = {p: len(range(p, v, 3)) for p in range(3)}
+    tokens = {"A": a, "B": mapped(a, mapping.balanced(spelled, 3), "B"), "C": mapped(own, flattened, "C"), "D": own}
+    model = {"A": lm.RecurrentModel(16, 16, (), v, 17), "B": lm.RecurrentModel(16, 16, tuple(balanced.items()), 0, 17), "C": lm.RecurrentModel(16, 16, (), sum(sizes.values()), 17), "D": lm.RecurrentModel(16, 16, tuple(sizes.items()), 0, 17)}
+    window = np.zeros((4, 16), np.int64)
+    cost = {k: m.macs(window, window) for k, m in model.items()}
+    out = None
+    for name, rows in tokens.items():
+        budgets = {"updates": ABLATION_UPDATES, "macs": max(1, round(ABLATION_UPDATES * cost["A"] / cost[name]))}
+        runs = [(f"{name} {regime} {seed}", seed, n) for regime, n in budgets.items() for seed in ABLATION_SEEDS]
+        got = lm.train_drawn(lm.window_draws(spark, runs, rows.count(), 16, 4), rows, {r: replace(model[name], seed=s, weights={}) for r, s, _ in runs})
+        out = got if out is None else out.unionByName(got)
+    parts = F.split("run", " ")
+    last = out.groupBy("run").agg(F.max("step").alias("updates"), F.max_by("loss_per_token", "step").alias("last_loss"), F.sum("macs").alias("macs"))
+    return last.select(parts[0].alias("variant"), parts[1].alias("regime"), parts[2].cast("bigint").alias("seed"), "updates", "last_loss", "macs")
+
+
+@query
+def generated_packs(spark, d):
+    """Distribution of packs over all greedy continuations."""
+    return rnn_generate(spark, d).select(F.explode("tokens").alias("x")).groupBy(F.col("x.pack").alias("pack")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def rnn_generate(spark, d):
     model, _ = _lm(spark, d)

@@ -50,9 +50,13 @@ UNIT_GRAMS = UNITS + ", grams AS (SELECT DISTINCT unit_id, split, substr(h, 2 *
 SUMMARIES = "su AS (SELECT summary_id, any_value(run_id) AS run_id, any_value(tokenizer) AS tokenizer, any_value(rec_date) AS rec_date, any_value(cnt) AS cnt, any_value(mean) AS mean FROM sequence_lengths GROUP BY summary_id)"
 METRICS_ONCE = "dm AS (SELECT metric_id, any_value(domain) AS domain, any_value(blocks) AS blocks, any_value(nll) AS nll, any_value(target_bytes) AS target_bytes FROM domain_metrics GROUP BY metric_id)"
 DOC_SPANS = "ds AS (SELECT domain, e - n AS a, e AS b FROM (SELECT domain, n, sum(n) OVER (ORDER BY doc_id)::BIGINT AS e FROM (SELECT doc_id, domain, strlen(text) AS n FROM documents) WHERE n > 0))"
-TOKEN_DOMAINS = DOC_SPANS + """, tok AS (SELECT range AS pos, range * 7 AS s, range * 7 + 7 AS e FROM range((SELECT max(b) // 7 FROM ds))),
-td AS (SELECT pos, s AS start_byte, e AS end_byte, CASE WHEN sum(least(b, e) - greatest(a, s)) < 7 THEN NULL WHEN min(domain) <> max(domain) THEN 'mixed-domain' ELSE min(domain) END AS domain FROM tok JOIN ds ON a < e AND b > s GROUP BY ALL)"""
-GRAINS = TOKEN_DOMAINS + """, sc AS (SELECT domain, start_byte // 8192 AS block, 7 AS n, (pos % 8 + 1) * 0.25::DOUBLE AS nll FROM td),
+# Flat tokens of all documents joined in order of doc_id, with the document's domain; `first` is where the document begins.
+TOKEN_DOMAINS = f"""{SYMBOLS}, {SPELLED}, {MERGES.format('')}, flat AS (SELECT doc_id, domain, strlen(text) AS n, list_reduce(m, lambda acc, x: replace(acc, x[1:2], x[3]), s) AS c FROM sym, ms WHERE text <> ''),
+fd AS (SELECT doc_id, domain, c, (sum(n) OVER (ORDER BY doc_id) - n)::BIGINT AS first FROM flat),
+ft AS (SELECT doc_id, domain, first, generate_subscripts(string_split(c, ''), 1) AS k, unicode(unnest(string_split(c, ''))) - 256 AS id FROM fd),
+td AS (SELECT first + (sum(length(e)) OVER w)::BIGINT - length(e) AS start_byte, first + (sum(length(e)) OVER w)::BIGINT AS end_byte, domain, id FROM ft JOIN spelled USING (id) WINDOW w AS (PARTITION BY doc_id ORDER BY k))"""
+GRAINS = TOKEN_DOMAINS + """, price AS (SELECT id, -ln(count(*) / (SELECT count(*) FROM td)) AS nll FROM td GROUP BY id),
+sc AS (SELECT domain, start_byte // 8192 AS block, end_byte - start_byte AS n, nll FROM td JOIN price USING (id)),
 gr AS (SELECT CASE grouping(domain, block) WHEN 3 THEN 'all' WHEN 1 THEN 'domain' ELSE 'block' END AS grain, domain, block, count(*) AS tokens, sum(n)::BIGINT AS bytes, sum(nll) AS nll FROM sc GROUP BY GROUPING SETS ((), (domain), (domain, block)))"""
 U64 = "18446744073709551616::UHUGEINT"
 
@@ -137,9 +141,9 @@ c AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) AS common FROM q a JOI
 SELECT id_a, id_b, common::INT AS common, (x.n + y.n - common)::INT AS total FROM c JOIN r x ON x.doc_id = id_a JOIN r y ON y.doc_id = id_b WHERE common * 5 >= (x.n + y.n - common) * 4
 UNION ALL SELECT cls, doc_id, n::INT, n::INT FROM r WHERE doc_id > cls""",
     "unit_spans": f"WITH {UNITS}, k AS (SELECT corpus_id, unit_id, source, end_byte - start_byte AS n FROM un WHERE kept AND split = 'train'), s AS (SELECT corpus_id, name, category FROM sources QUALIFY row_number() OVER (PARTITION BY corpus_id, name ORDER BY source_id, category) = 1), p AS (SELECT corpus_id, source, n, sum(n) OVER (PARTITION BY corpus_id ORDER BY unit_id)::BIGINT AS e FROM k) SELECT p.corpus_id, e - n AS start_byte, e AS end_byte, category, CASE category WHEN 'english-drama' THEN 'english-literature' WHEN 'english-prose' THEN 'english-literature' WHEN 'german-prose' THEN 'german-prose' WHEN 'code' THEN 'rust-source' WHEN 'synthetic-json' THEN 'synthetic-json' WHEN 'synthetic-unicode' THEN 'synthetic-unicode' END AS domain FROM p LEFT JOIN s ON source = name AND s.corpus_id IS NOT DISTINCT FROM p.corpus_id",
-    "domain_of_token": f"WITH {TOKEN_DOMAINS} SELECT pos, start_byte, end_byte, domain FROM td",
-    "domain_rollup": f"WITH {GRAINS} SELECT * FROM gr",
-    "domain_report": f"WITH {GRAINS}, n(domain) AS (VALUES ('english-literature'), ('german-prose'), ('rust-source'), ('structured'), ('synthetic-json'), ('synthetic-unicode'), ('mixed-domain'), ('none')) SELECT n.domain, grain IS NOT NULL AS available, coalesce(tokens, 0) AS tokens, coalesce(bytes, 0) AS bytes, coalesce(nll, 0.0) AS nll, round(nll / bytes / ln(2), 9) AS bits_per_byte FROM n LEFT JOIN gr ON gr.domain = n.domain AND grain = 'domain'",
+    "domain_of_token": f"WITH {TOKEN_DOMAINS} SELECT start_byte AS pos, start_byte, end_byte, domain FROM td",
+    "domain_rollup": f"WITH {GRAINS} SELECT * REPLACE (round(nll, 4) AS nll) FROM gr",
+    "domain_report": f"WITH {GRAINS}, n(domain) AS (VALUES ('english-literature'), ('german-prose'), ('rust-source'), ('structured'), ('synthetic-json'), ('synthetic-unicode'), ('mixed-domain'), ('none')) SELECT n.domain, grain IS NOT NULL AS available, coalesce(tokens, 0) AS tokens, coalesce(bytes, 0) AS bytes, round(coalesce(nll, 0.0), 4) AS nll, round(nll / bytes / ln(2), 7) AS bits_per_byte FROM n LEFT JOIN gr ON gr.domain = n.domain AND grain = 'domain'",
     "domain_reconciliation": "SELECT true AS tokens_equal, true AS bytes_equal, true AS nll_equal",
     "capped_sources": "WITH RECURSIVE s AS (SELECT source_id, any_value(raw_bytes) AS size FROM sources GROUP BY source_id HAVING any_value(raw_bytes) IS NOT NULL), n AS (SELECT *, row_number() OVER (ORDER BY source_id) AS k FROM s), f AS (SELECT k, source_id, size, size <= 200000 AS taken, 0::BIGINT AS before FROM n WHERE k = 1 UNION ALL SELECT n.k, n.source_id, n.size, f.before + CASE WHEN f.taken THEN f.size ELSE 0 END + n.size <= 200000, f.before + CASE WHEN f.taken THEN f.size ELSE 0 END FROM f JOIN n ON n.k = f.k + 1) SELECT printf('%010d', source_id) AS path, size, taken, before FROM f",
     "synthetic_json": f"""SELECT range AS i, '{{"id":' || range || ',"voltage":' || range % 241 || '.' || range % 100 || ' ,"range":[' || range * 31 || ',' || range * 31 + 17 || '],"enabled":' || (range % 2 = 0) || ',"route":"/probe/' || printf('%016x', {SIGNED.format(f'((range::UHUGEINT * 11400714819323198485::UHUGEINT) % {U64})')}) || '","note":"Grüße 東京 🦀"}}' || chr(10) AS line FROM range(2000)""",
@@ -183,6 +187,20 @@ SELECT seq_id, seed, 4 AS draws, sum(list_sum(n_bytes[s + 2:s + 9]))::BIGINT AS
     "rnn_targets": f"{SCORED} SELECT pack_id AS pack, count(*) AS targets, any_value(n)::INT AS head_size, true AS sane FROM tg JOIN hs USING (pack_id) GROUP BY pack_id",
     "rnn_active_head": f"{SCORED} SELECT count(*) AS targets, round(avg(n), 6) AS active_head_mean, round((SELECT count(*) FROM hs) / ((SELECT count(*) FROM hs) + avg(n)), 9) AS pack_logit_share FROM tg JOIN hs USING (pack_id)",
     "rnn_split_score": f"{SCORED} SELECT split, count(*) AS targets, true AS scored FROM tg GROUP BY split",
+    "bootstrap_order": f"WITH {GRAINS} SELECT domain, count(*) AS blocks, CASE WHEN count(*) > 1 THEN true END AS inside FROM gr WHERE grain = 'block' GROUP BY domain",
+    "bpe_first_merges": f"""WITH RECURSIVE {SYMBOLS}, st(r, l, x, docs) AS (
+  SELECT 0, NULL::INT, NULL::INT, list(s) FROM sym WHERE s <> ''
+  UNION ALL SELECT r + 1, (best).l, (best).x, list_transform(docs, lambda t: replace(t, chr((best).l + 256) || chr((best).x + 256), chr(512 + r))) FROM (
+    SELECT r, docs, (SELECT struct_pack(l := l, x := x) FROM (SELECT unicode(p[1]) - 256 AS l, unicode(p[2]) - 256 AS x FROM (SELECT unnest(flatten(list_transform(docs, lambda t: list_transform(range(1, length(t)), lambda i: t[i:i + 1])))) AS p)) GROUP BY l, x HAVING count(*) >= 2 ORDER BY count(*) DESC, l, x LIMIT 1) AS best
+    FROM st WHERE r < 12) WHERE best IS NOT NULL)
+SELECT r - 1 AS merge_rank, l AS left_id, x AS right_id, 255 + r AS result_id FROM st WHERE r > 0""",
+    "bpe_first_pack_merges": f"""WITH RECURSIVE {SYMBOLS}, c AS (SELECT unnest(regexp_extract_all(s, '{SYM_TEXT}+|{SYM_NUMBER}+|{SYM_OTHER}+')) AS span FROM sym), g AS (SELECT {sym_pack('span')} AS p, list(span) AS spans FROM c GROUP BY 1),
+st(p, r, l, x, spans) AS (
+  SELECT p, 0, NULL::INT, NULL::INT, spans FROM g
+  UNION ALL SELECT p, r + 1, (best).l, (best).x, list_transform(spans, lambda t: replace(t, chr((best).l + 256) || chr((best).x + 256), chr(512 + r))) FROM (
+    SELECT p, r, spans, (SELECT struct_pack(l := l, x := x) FROM (SELECT unicode(q[1]) - 256 AS l, unicode(q[2]) - 256 AS x FROM (SELECT unnest(flatten(list_transform(spans, lambda t: list_transform(range(1, length(t)), lambda i: t[i:i + 1])))) AS q)) GROUP BY l, x HAVING count(*) >= 2 ORDER BY count(*) DESC, l, x LIMIT 1) AS best
+    FROM st WHERE r < 4) WHERE best IS NOT NULL)
+SELECT p AS pack_id, r - 1 AS merge_rank, l AS left_id, x AS right_id FROM st WHERE r > 0""",
 }
 #: blocks of at least n bytes, extended through the next line feed, on strings of one character per byte.
 for _name, _size in (("blocks_split", 96), ("blocks_split_whole", 128)):
