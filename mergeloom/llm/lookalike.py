@@ -41,6 +41,10 @@ VARIANTS = "ſϐϑϒϓϔϕϖϰϱϲϴϵϹ"
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<compat>")
 
 
+#: Characters of a piece whose form is remembered, and how many are: a few MB in a worker.
+PIECE, PIECES = 32, 1 << 16
+
+
 class Classes:
     """Union-find over strings of one or more code points; transitive by construction."""
 
@@ -137,10 +141,12 @@ class Rewriter:
             self.to |= {m: best for m in members if m != best}
         #: Whether texts of ASCII characters only are in their one form already.
         self.plain_ascii = not any(m.isascii() and not (fold_case and m != m.casefold()) for m in self.to)
-        self._machine = None
+        #: What blanks between pieces become; None if a string of several characters holds one, and texts are no pieces then.
+        self.blank = None if any(" " in m and len(m) > 1 for m in self.to) else self.to.get(" ", " ")
+        self._machine, self._pieces = None, {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_machine": None}
+        return self.__dict__ | {"_machine": None, "_pieces": {}}
 
     def machine(self) -> ahocorasick.Automaton:
         """The automaton of all members that are rewritten; made once per process, some thousand patterns."""
@@ -154,6 +160,20 @@ class Rewriter:
     def __call__(self, text: str) -> str:
         if text.isascii() and self.plain_ascii:
             return text.casefold() if self.fold_case else text
+        if self.blank is None:
+            return self._rewritten(text)
+        # nothing is composed or rewritten across a blank, and pieces between blanks recur
+        known, out = self._pieces, []
+        for piece in text.split(" "):
+            new = known.get(piece)
+            if new is None:
+                new = self._rewritten(piece)
+                if len(piece) <= PIECE and len(known) < PIECES:
+                    known[piece] = new
+            out.append(new)
+        return self.blank.join(out)
+
+    def _rewritten(self, text: str) -> str:
         if self.fold_case:
             text = text.casefold()
         t = unicodedata.normalize("NFD", text)

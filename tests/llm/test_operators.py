@@ -388,6 +388,9 @@ def test_rewriting_is_leftmost_and_longest():
         t = lookalike.unicodedata.normalize("NFD", "".join(rng.choice(some) for _ in range(rng.randint(0, 12))))
         t = "".join(c for c in t if c not in lookalike.JOINERS + lookalike.SELECTORS)
         assert r(t) == slowly(t) or t.isascii()
+    for _ in range(300):
+        t = "".join(rng.choice([*"aé \u0301\u200d\u200c\ufe0f👩💻नक् ", "ﬁ", "ｘ ", "\u3000", " \u0308"]) for _ in range(rng.randint(0, 14)))
+        assert r(t) == r._rewritten(t) or t.isascii()
 
 
 def test_members_count_spellings_without_pairs(spark):
