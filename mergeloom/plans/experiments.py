@@ -34,6 +34,12 @@ def schedule_plan(spark: SparkSession, tokens: int, steps: int, context: int = A
     return spark.range(1).select(F.lit(steps).cast("bigint").alias("steps"), F.lit(steps * rows * context).cast("bigint").alias("positions"), F.lit(steps * rows * context / max(tokens, 1)).alias("passes"))
 
 
+def schedules(totals: DataFrame, split: str, tokens: str, steps: int, context: int = ARCHITECTURE["context"], rows: int = ROWS) -> DataFrame:
+    """Columns (split, steps, positions, passes): the same for every row of a table of splits and their tokens."""
+    positions = steps * rows * context
+    return totals.select(split, F.lit(steps).cast("bigint").alias("steps"), F.lit(positions).cast("bigint").alias("positions"), (F.lit(positions) / F.greatest(F.col(tokens), F.lit(1))).alias("passes"))
+
+
 def byte_regime(sequences: DataFrame, ident: str, tokens: str, first: int | Column = 1, targets: int | Column | None = None, width: int = ARCHITECTURE["context"], rows: int = ROWS) -> DataFrame:
     """Columns (batches, positions, padded): size of the padded batches over a range of targets, as in padded_batches."""
     b = padded_batches(sequences, ident, tokens, first, targets, width, rows)

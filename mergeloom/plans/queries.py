@@ -265,6 +265,19 @@ def decode_errors(spark, d):
     return got.select("seq_id", F.octet_length("r.bytes").alias("n_bytes"), "r.error", "r.error_index")
 
 
+@query
+def pack_invalid_bytes(spark, d):
+    """Documents with a byte that is no UTF-8 put after them: byte tokens throughout."""
+    broken = docs(spark, d).select("doc_id", F.concat(F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.lit(b"\xff")).alias("raw"))
+    coded = encode.encode_packed(broken, "doc_id", "raw", packs_of(spark, d))
+    return coded.select("doc_id", F.size("tokens").cast("bigint").alias("n"), F.forall("tokens", lambda x: x["pack"] == 65535).alias("bytes_only"), _sum(F.transform("tokens", lambda x: x["local"])).alias("total"))
+
+
+@query
+def bytes_hex_docs(spark, d):
+    return docs(spark, d).select("doc_id", F.sha2(V.bytes_hex(F.col("text")), 256).alias("sha"))
+
+
 @query
 def pack_decode_roundtrip(spark, d):
     return encode.roundtrip_failures(docs(spark, d), "doc_id", "text", packs_of(spark, d)).groupBy().agg(F.count(F.lit(1)).alias("failures"))
@@ -354,6 +367,21 @@ def remap_variant_b(spark, d):
     return there.groupBy("mapped_pack").agg(F.count(F.lit(1)).alias("n"), F.sum("mapped_local").alias("locals")).join(back.groupBy(F.col("pack").alias("zero")).agg(F.sum("local").alias("globals")), F.col("zero") == 0).select("mapped_pack", "n", "locals", "globals")
 
 
+@query
+def remap_variants(spark, d):
+    """Ids of all variants there and back: A and D stay, C turns packs into flat ids."""
+    m = t(spark, d, "id_map")
+    flat = _tokens(spark, d).where("token between 0 and 511").select(F.lit(0).alias("pack"), F.col("token").alias("local"))
+    own = mapping.to_packed(_tokens(spark, d).where("token between 0 and 511"), m).select(F.col("pack_id").alias("pack"), F.col("local_id").alias("local"))
+    out = None
+    for v, rows in (("A", flat), ("C", own), ("D", own)):
+        there = mapping.remap(rows, m, v)
+        back = mapping.unmap(there, m, v)
+        one = there.agg(F.lit(v).alias("variant"), F.count(F.lit(1)).alias("n"), F.sum("mapped_pack").alias("packs"), F.sum("mapped_local").alias("locals")).crossJoin(back.agg(F.sum("pack").alias("back_packs"), F.sum("local").alias("back_locals")))  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def tokens_formatted(spark, d):
     rows = t(spark, d, "id_map").select("global_id", V.format_token(F.col("pack_id"), F.col("local_id")).alias("shown"))
@@ -643,6 +671,31 @@ def split_token_sets(spark, d):
     return one(a.intersect(b), "both").unionByName(one(a.union(b).distinct(), "either")).unionByName(one(a.subtract(b), "train only"))
 
 
+@query
+def shared_passages_128(spark, d):
+    return corpus.splits_share_passage(once_units(spark, d), "split", "body", corpus.PASSAGE)
+
+
+@query
+def unit_hash_problems(spark, d):
+    """Units whose body hasn't the stated hash; upper case makes no difference."""
+    rows = first_arrival(t(spark, d, "units"), ["unit_id"], ["sha256", "body"], ["ingested_at"]).where("body is not null and sha256 is not null").select(F.col("unit_id").cast("string").alias("path"), "sha256", F.col("body").cast("binary").alias("content"))
+    return files.verify_hashes(rows.select("path", "content"), rows.select("path", "sha256", F.length("content").alias("size")))
+
+
+@query
+def near_neighbours(spark, d):
+    """Whether every document is a near-duplicate of the one with the next id."""
+    sets = corpus.shingle_sets(docs(spark, d), "doc_id", "text")
+    after = sets.select((F.col("doc_id") - 1).alias("before"), F.col("shingles").alias("next"))
+    return sets.join(after.hint("merge"), F.col("doc_id") == F.col("before")).select("doc_id", V.near(F.col("shingles"), F.col("next")).alias("near"))
+
+
+@query
+def train_paths(spark, d):
+    return t(spark, d, "sources").select(V.train_path(F.col("name")).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- numbers of experiments
 
 
@@ -658,6 +711,35 @@ def metric_bits(spark, d):
     return rows.select("metric_id", F.round(V.bits_per_byte(F.col("nll"), F.col("target_bytes")), 9).alias("bits"), F.round(V.nll_per_byte(F.col("nll"), F.col("target_bytes")), 9).alias("nats"))
 
 
+@query
+def throughputs(spark, d):
+    """MiB a second if every block took a second."""
+    rows = first_arrival(t(spark, d, "domain_metrics"), ["metric_id"], ["target_bytes", "blocks"], ["reported_at"])
+    return rows.select("metric_id", F.round(V.mib_per_second(F.col("target_bytes"), F.col("blocks")), 9).alias("mib_per_second"))
+
+
+@query
+def close_metrics(spark, d):
+    """Which stated bits per byte are those of the stated losses, within the tolerance."""
+    rows = first_arrival(t(spark, d, "domain_metrics"), ["metric_id"], ["nll", "target_bytes", "bits_per_byte"], ["reported_at"])
+    return rows.select("metric_id", experiments.close(F.col("bits_per_byte"), V.bits_per_byte(F.col("nll"), F.col("target_bytes"))).alias("close"))
+
+
+@query
+def metrics_progress(spark, d):
+    """Where a run's log ends, by run of the summaries as log lines."""
+    rows = first_arrival(t(spark, d, "sequence_lengths"), ["summary_id"], ["cnt"], ["written_at"])
+    lines = rows.select(F.col("summary_id").alias("ord"), F.format_string('{"stage":"train","step":%d,"wall_seconds":%d.5,"peak_vram_mib":%d}', F.col("summary_id"), F.coalesce("cnt", F.lit(0)), F.col("summary_id") % 13).alias("value"))
+    return files.progress(files.metrics_log(lines)).select("step", "wall_seconds", "peak_vram_mib")
+
+
+@query
+def schedule_plan(spark, d):
+    """What 100 batches cover of every split's tokens."""
+    rows = once_sequences(spark, d).select(corpus.split_name(F.col("split")).alias("split"), F.size("tokens").alias("n")).groupBy("split").agg(F.sum("n").alias("tokens"))
+    return experiments.schedules(rows, "split", "tokens", 100, 16, 4).withColumn("passes", F.round("passes", 9))
+
+
 @query
 def weighted_loss(spark, d):
     rows = first_arrival(t(spark, d, "sequence_lengths"), ["summary_id"], ["tokenizer", "mean", "cnt"], ["written_at"]).where("mean is not null and cnt is not null")
@@ -866,6 +948,23 @@ def rnn_ablation(spark, d):
     return last.select(parts[0].alias("variant"), parts[1].alias("regime"), parts[2].cast("bigint").alias("seed"), "updates", "last_loss", "macs")
 
 
+@query
+def rnn_ablation_plan(spark, d):
+    """Updates of every run of the ablation, and the multiplications of flat heads, which don't depend on what is drawn."""
+    rows = rnn_ablation(spark, d)
+    return rows.select("variant", "regime", "seed", "updates", F.when(F.col("variant").isin("A", "C"), F.col("macs")).alias("macs"), (F.col("last_loss") > 0).alias("scored"))
+
+
+@query
+def train_run_steps(spark, d):
+    return rnn_train_runs(spark, d).groupBy("seed").agg(F.max("step").alias("steps"), F.bool_and((F.col("loss_per_token") > 0) & (F.col("gradient_norm") > 0)).alias("finite"))
+
+
+@query
+def generated_lengths(spark, d):
+    return rnn_generate(spark, d).select("seq_id", F.size("tokens").alias("n"))
+
+
 @query
 def generated_packs(spark, d):
     """Distribution of packs over all greedy continuations."""

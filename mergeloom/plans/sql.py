@@ -201,6 +201,35 @@ st(p, r, l, x, spans) AS (
     SELECT p, r, spans, (SELECT struct_pack(l := l, x := x) FROM (SELECT unicode(q[1]) - 256 AS l, unicode(q[2]) - 256 AS x FROM (SELECT unnest(flatten(list_transform(spans, lambda t: list_transform(range(1, length(t)), lambda i: t[i:i + 1])))) AS q)) GROUP BY l, x HAVING count(*) >= 2 ORDER BY count(*) DESC, l, x LIMIT 1) AS best
     FROM st WHERE r < 4) WHERE best IS NOT NULL)
 SELECT p AS pack_id, r - 1 AS merge_rank, l AS left_id, x AS right_id FROM st WHERE r > 0""",
+    "shared_passages_128": f"WITH {UNIT_GRAMS.format(128)}, g AS (SELECT DISTINCT split, g FROM grams) SELECT a.split AS split_a, b.split AS split_b, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.split < b.split GROUP BY ALL",
+    "unit_hash_problems": "SELECT unit_id::VARCHAR AS path, 'hash differs' AS problem FROM (SELECT unit_id, any_value(sha256) AS h, any_value(body) AS body FROM units GROUP BY unit_id) WHERE body IS NOT NULL AND lower(h) <> sha256(body)",
+    "near_neighbours": f"WITH {HEXED}, s AS (SELECT doc_id, list_distinct(list_transform(range(CASE WHEN length(h) >= 64 THEN (length(h) // 2 - 32) // 16 + 1 ELSE 0 END), lambda i: substr(h, 32 * i + 1, 64))) AS g FROM hexed) SELECT a.doc_id, len(list_concat(a.g, b.g)) > 0 AND len(list_intersect(a.g, b.g)) * 5 >= len(list_distinct(list_concat(a.g, b.g))) * 4 AS near FROM s a JOIN s b ON b.doc_id = a.doc_id + 1",
+    "train_paths": r"SELECT replace(name, '\\', '/') || '/train.txt' AS path, count(*) AS n FROM sources GROUP BY 1",
+    "throughputs": "SELECT metric_id, round(CASE WHEN any_value(blocks) > 0 THEN any_value(target_bytes) / 1048576.0 / any_value(blocks) END, 9) AS mib_per_second FROM domain_metrics GROUP BY metric_id",
+    "close_metrics": f"WITH m AS (SELECT metric_id, any_value(bits_per_byte) AS a, any_value(nll) AS nll, any_value(target_bytes) AS n FROM domain_metrics GROUP BY metric_id), b AS (SELECT metric_id, a, CASE WHEN n > 0 AND nll >= 0 AND NOT isnan(nll) AND NOT isinf(nll) THEN nll / n / ln(2) END AS b FROM m) SELECT metric_id, abs(a - b) <= 1e-5 + 1e-3 * abs(b) AS close FROM b",
+    "metrics_progress": f"WITH {SUMMARIES} SELECT max(summary_id) AS step, coalesce(arg_max(coalesce(cnt, 0), summary_id), 0) + 0.5::DOUBLE AS wall_seconds, max(summary_id % 13) AS peak_vram_mib FROM su",
+    "schedule_plan": f"WITH {SEQ_ONCE} SELECT CASE WHEN lower(trim(split)) = 'val' THEN 'validation' ELSE lower(trim(split)) END AS split, 100::BIGINT AS steps, 6400::BIGINT AS positions, round(6400 / greatest(sum(len(tokens)), 1), 9) AS passes FROM seqs GROUP BY 1",
+    "remap_variants": f"WITH {TOKENS}, k AS (SELECT token, pack_id, local_id FROM tk JOIN id_map ON token = global_id WHERE token BETWEEN 0 AND 511), s AS (SELECT count(*) AS n, sum(token)::BIGINT AS g, sum(pack_id)::BIGINT AS p, sum(local_id)::BIGINT AS l FROM k) SELECT 'A' AS variant, n, 0::BIGINT AS packs, g AS locals, 0::BIGINT AS back_packs, g AS back_locals FROM s UNION ALL SELECT 'C', n, 0, g, p, l FROM s UNION ALL SELECT 'D', n, p, l, p, l FROM s",
+    "pack_invalid_bytes": f"WITH {SYMBOLS} SELECT doc_id, len(b) + 1 AS n, true AS bytes_only, (coalesce(list_sum(b), 0) + 255)::BIGINT AS total FROM sym",
+    "bytes_hex_docs": "SELECT doc_id, sha256(lower(hex(encode(text)))) AS sha FROM documents",
+    "rnn_ablation_plan": f"""WITH {PACKED}, sizes AS (SELECT count(*) AS n, count(*) FILTER (p = 0) AS first, count(DISTINCT p) AS packs FROM num),
+rows AS (SELECT * FROM sizes, (SELECT count(*) AS merges FROM merges)), cost AS (SELECT v, 4 * 47 * 256 + 3 * 64 * 16 * x AS macs FROM (SELECT 'A' AS v, 256 + merges AS x FROM rows UNION ALL SELECT 'B', 3 + (256 + merges + 2) // 3 FROM rows UNION ALL SELECT 'C', 256 + n FROM rows UNION ALL SELECT 'D', packs + 1 + first FROM rows)),
+u AS (SELECT v, macs, 'updates' AS regime, 12 AS n FROM cost UNION ALL SELECT v, macs, 'macs', greatest(1, round_even(12 * (SELECT macs FROM cost WHERE v = 'A') / macs, 0)) FROM cost)
+SELECT v AS variant, regime, seed::BIGINT AS seed, n::BIGINT AS updates, CASE WHEN v IN ('A', 'C') THEN (macs * n)::BIGINT END AS macs, true AS scored FROM u, (VALUES (17), (29), (43)) s(seed)""",
+    "train_run_steps": "SELECT seed::BIGINT AS seed, 20::BIGINT AS steps, true AS finite FROM (VALUES (17), (29), (43)) s(seed)",
+    "generated_lengths": f"WITH {SEQ_ONCE} SELECT seq_id, 4 AS n FROM seqs WHERE len(tokens) > 0 AND NOT coalesce(list_bool_or(list_transform(tokens, lambda x: x < 0 OR x >= 512)), false)",
+    "accept_blocks": f"""WITH RECURSIVE {UNIT_GRAMS.format(128)}, hx AS (SELECT unit_id, split, hex(encode(body)) AS h FROM un),
+sg AS (SELECT DISTINCT unit_id, substr(h, 32 * i + 1, 64) AS g FROM (SELECT unit_id, h, unnest(range((length(h) // 2 - 32) // 16 + 1)) AS i FROM hx WHERE length(h) >= 64)), sn AS (SELECT unit_id, count(*) AS n FROM sg GROUP BY unit_id),
+nr AS (SELECT a, b FROM (SELECT x.unit_id AS a, y.unit_id AS b, count(*) AS c FROM sg x JOIN sg y USING (g) WHERE x.unit_id <> y.unit_id GROUP BY ALL) JOIN sn p ON p.unit_id = a JOIN sn q ON q.unit_id = b WHERE c * 5 >= (p.n + q.n - c) * 4),
+ps AS (SELECT DISTINCT x.unit_id AS a, y.unit_id AS b FROM grams x JOIN grams y USING (g) WHERE x.split <> 'train' AND y.split <> 'test' AND x.unit_id <> y.unit_id),
+held AS (SELECT unit_id AS id, split FROM un WHERE split <> 'train'),
+link AS (SELECT id, held.split, bool_or(kind = 0 AND o.split = 'train') AS pt, bool_or(kind = 1 AND o.split = 'train') AS nt, list(b) FILTER (kind = 0 AND o.split = 'validation' AND (held.split = 'test' OR b < id)) AS pv, list(b) FILTER (kind = 1 AND o.split = 'validation' AND (held.split = 'test' OR b < id)) AS nv
+  FROM held LEFT JOIN (SELECT a, b, 0 AS kind FROM ps UNION ALL SELECT a, b, 1 FROM nr) e ON e.a = id LEFT JOIN un o ON o.unit_id = b GROUP BY ALL),
+ord AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM link WHERE split = 'validation'),
+walk(k, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.k, CASE WHEN coalesce(pt, false) OR coalesce(nt, false) OR len(list_intersect(kept, coalesce(pv, []))) > 0 OR len(list_intersect(kept, coalesce(nv, []))) > 0 THEN kept ELSE list_append(kept, id) END FROM walk JOIN ord o ON o.k = walk.k + 1),
+fin AS (SELECT kept FROM walk ORDER BY k DESC LIMIT 1),
+said AS (SELECT id, split, CASE WHEN coalesce(pt, false) OR len(list_intersect(kept, coalesce(pv, []))) > 0 THEN 'shared-128-byte' WHEN coalesce(nt, false) OR len(list_intersect(kept, coalesce(nv, []))) > 0 THEN 'near-duplicate-jaccard80' ELSE 'accepted' END AS reason FROM link, fin)
+SELECT unit_id, split, true AS kept, 'accepted' AS reason FROM un WHERE split = 'train' UNION ALL SELECT id, split, reason = 'accepted', reason FROM said""",
 }
 #: blocks of at least n bytes, extended through the next line feed, on strings of one character per byte.
 for _name, _size in (("blocks_split", 96), ("blocks_split_whole", 128)):
