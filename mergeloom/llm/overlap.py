@@ -20,10 +20,12 @@ from mergeloom.session import cut, stored
 SHARE = Fraction(60, 100)
 #: One window in so many begins a chunk.
 CHUNK = 8
-#: Counters of the window sketch are 2^SKETCH_BITS for each side, sent as levels of one byte: 4 MB, whatever the input; ranges of 2^RANGE_BITS are summed by one task.
-SKETCH_BITS, RANGE_BITS = 22, 18
-#: Chunks all of whose windows are in counters so many times above the mean level are left to the completion.
-HOT_CHUNK = 16
+#: Records of a batch whose windows are packed together, and windows of one range of hashes (about 20 bytes each in a task).
+BATCH, RANGE_WINDOWS = 10_000, 1_000_000
+#: A window that so many records of a batch hold is sent once for all of them, with its counts.
+AGGREGATED = 16
+#: Chunks in more train-held-out pairs are left to the completion.
+CHUNK_PAIRS = 4096
 #: Candidate records up to this number (8 bytes each) are broadcast to fetch their bodies; beyond it the bodies are joined by merging.
 BROADCAST_IDS = 100_000
 
@@ -56,76 +58,189 @@ def _classes(units: DataFrame, members: DataFrame) -> DataFrame:
     return one.join(bodies.hint("merge"), F.col("key") == F.col("bkey")).select("key", "cls", "has_train", "has_held", "corpus", "body")
 
 
-def _sketch(classes: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
-    """For every counter, the level of train windows times held-out windows that fall into it, 8 levels to a doubling: the order in which records are cut.
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of one length, byte plane by byte plane, compressed."""
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
+    return zlib.compress(len(columns[0]).to_bytes(4, "little") + b"".join(planes), 1)
 
-    Tasks count into arrays of fixed size and send them in packed ranges; ranges are summed apart.
-    """
-    span = 1 << min(RANGE_BITS, bits)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << bits), np.int32)
-        for b in batches:
-            rolled = _rolled(b.column("body"), b.column("corpus"))
-            rec, h, _, _ = rolled.distinct()
-            for side, name in enumerate(("has_train", "has_held")):
-                total[side] += np.bincount((h[np.asarray(b.column(name).to_numpy(zero_copy_only=False), bool)[rec]] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
-        parts = [(i // span, zlib.compress(total[:, i : i + span].tobytes(), 1)) for i in range(0, 1 << bits, span) if total[:, i : i + span].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["part", "packed"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sums[p] = sums.get(p, 0) + np.frombuffer(zlib.decompress(x), np.int32).reshape(2, span).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_levels(s).tobytes() for s in sums.values()], pa.binary())], names=["part", "packed"])
+def _unpacked(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = zlib.decompress(raw)
+    n, at, out = int.from_bytes(raw[:4], "little"), 4, []
+    for k in map(np.dtype, kinds):
+        planes = np.frombuffer(raw, np.uint8, n * k.itemsize, at).reshape(k.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(k).reshape(n))
+        at += n * k.itemsize
+    return out
 
-    levels = np.zeros(1 << bits, np.uint8)
-    packed = classes.select("body", "corpus", "has_train", "has_held").mapInArrow(count, "part int, packed binary")
-    for r in packed.repartition((1 << bits) // span, "part").mapInArrow(add, "part int, packed binary").collect():
-        levels[r.part * span : (r.part + 1) * span] = np.frombuffer(r.packed, np.uint8)
-    return levels
 
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """Rows sorted by `key`, group by group."""
+    now, held = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            if held and r[key] != now:
+                yield now, held
+                held = []
+            now = r[key]
+            held.append(r)
+    if held:
+        yield now, held
 
-def _levels(sums: np.ndarray) -> np.ndarray:
-    return np.minimum(np.ceil(8 * np.log2(1.0 + sums[0].astype(np.float64) * sums[1])), 255).astype(np.uint8)
 
+TRAIN, HELD, CHUNK_BITS = 128, 64, 63
+#: In place of a record of the batch: the window is sent with its counts.
+FREQUENT = 65_535
+PACKED = "dest bigint, batch bigint, payload binary"
 
-CUTS = "x bigint, cls bigint, n int, place int, low int"
 
+def _entries(classes: DataFrame, bits: int, chunk: int) -> DataFrame:
+    """Packed windows and chunk digests of the records, a block for every batch of records and range of hashes; and for every batch what its records are.
 
-def _cuts(classes: DataFrame, shared, share: Fraction, chunk: int) -> DataFrame:
-    """Columns (x, cls, n, place, low): where records may meet. n counts a record's distinct windows.
+    dest >= 0: one of 2^bits ranges of the hash; entries (step of the hash's next 32 bits, record in
+    the batch, kind: side bits and 0 for a window or the windows of a chunk that occur once), then
+    windows that AGGREGATED or more records of the batch hold, as one entry with their counts.
+    dest < 0: (record's class, number of windows, side bits) and, of those frequent windows, who holds them.
+    """
+    down = np.uint64(32 - bits)
 
-    Chunks have place 0 and `low`, the number of their windows that the record holds only once. The
-    first n - ceil(share n) + 1 windows in the sketch's order have their place, from 1, and low 0.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, len(whole), BATCH):
+                b = whole.slice(first, BATCH)
+                cls = np.asarray(b.column("cls"), np.int64)
+                side = np.asarray(b.column("has_train")).astype(np.uint8) * TRAIN + np.asarray(b.column("has_held")).astype(np.uint8) * HELD
+                rolled = _rolled(b.column("body"), b.column("corpus"))
+                rec, h, n, once = rolled.distinct()
+                crec, digest, at, _ = rolled.chunks(chunk)
+                low = np.minimum(np.add.reduceat(once.astype(np.int64), at), CHUNK_BITS) if len(at) else at
+                crec, digest, low = crec[low > 0], digest[low > 0], low[low > 0]
+                w = np.concatenate((h, digest)) >> down
+                rec, kind = np.concatenate((rec, crec)), np.concatenate((np.zeros(len(h), np.uint8), low.astype(np.uint8)))
+                order = np.argsort(w)
+                w, rec, kind = w[order], rec[order].astype(np.uint16), kind[order]
+                begin = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, np.int64)
+                size = np.diff(np.append(begin, len(w)))
+                often = np.repeat(size >= AGGREGATED, size)
+                held_by = often & (kind == 0)  # frequent chunks are left to the completion
+                kind |= side[rec]
+                fw, fbegin = np.unique(w[held_by], return_index=True)
+                train = np.add.reduceat((kind[held_by] >= TRAIN).astype(np.int64), fbegin) if len(fw) else fbegin
+                held = np.add.reduceat((kind[held_by] & HELD > 0).astype(np.int64), fbegin) if len(fw) else fbegin
+                dest, payload = [-1 - int(cls[0])], [_joined(_packed(cls, n.astype(np.uint32), side), _packed(w[held_by], rec[held_by]))]
+                w, rec, kind = w[~often], rec[~often], kind[~often]
+                edges, fedges = np.searchsorted(w >> np.uint64(32), np.arange((1 << bits) + 1)), np.searchsorted(fw >> np.uint64(32), np.arange((1 << bits) + 1))
+                for p in range(1 << bits):
+                    i, j, k, m = edges[p], edges[p + 1], fedges[p], fedges[p + 1]
+                    if i < j or k < m:
+                        dest.append(p)
+                        payload.append(_joined(_packed(_steps(w[i:j]), rec[i:j], kind[i:j]), _packed(_steps(fw[k:m]), train[k:m].astype(np.uint32), held[k:m].astype(np.uint32))))
+                yield pa.RecordBatch.from_arrays([pa.array(dest, pa.int64()), pa.array([int(cls[0])] * len(dest), pa.int64()), pa.array(payload, pa.binary())], names=["dest", "batch", "payload"])
+
+    return classes.select("cls", "has_train", "has_held", "corpus", "body").mapInArrow(run, PACKED)
+
+
+def _steps(w: np.ndarray) -> np.ndarray:
+    """Sorted hashes of one range as differences of their low 32 bits, which repeat less and pack better."""
+    return np.diff(w.astype(np.uint32), prepend=np.uint32(0))
+
+
+def _joined(a: bytes, b: bytes) -> bytes:
+    return len(a).to_bytes(4, "little") + a + b
+
+
+def _parted(raw: bytes) -> tuple[bytes, bytes]:
+    n = int.from_bytes(raw[:4], "little")
+    return raw[4 : 4 + n], raw[4 + n :]
+
+
+def _levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every range of hashes, the windows and chunks that both splits have, sent back to their batches with the level of their train-held-out pairs."""
+    for p, rows in _groups(batches, "dest"):
+        if p < 0:
+            dest, batch, payload = [p] * len(rows), [r["batch"] for r in rows], [r["payload"] for r in rows]
+        else:
+            dest, batch, payload, parts = [], [], [], []
+            for i, r in enumerate(rows):
+                one, many = _parted(r["payload"])
+                step, rec, kind = _unpacked(one, "<u4", "<u2", "u1")
+                parts.append((np.cumsum(step, dtype=np.uint32), rec, kind, (kind >= TRAIN).astype(np.int64), (kind & HELD > 0).astype(np.int64), np.full(len(rec), i)))
+                step, train, held = _unpacked(many, "<u4", "<u4", "<u4")
+                parts.append((np.cumsum(step, dtype=np.uint32), np.full(len(step), FREQUENT, np.uint16), np.zeros(len(step), np.uint8), train.astype(np.int64), held.astype(np.int64), np.full(len(step), i)))
+            w, rec, kind, train, held, block = (np.concatenate(x) for x in zip(*parts))
+            key = w.astype(np.uint64) << np.uint64(1) | (kind & CHUNK_BITS > 0)
+            order = np.argsort(key)
+            begin = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else order
+            pairs = np.add.reduceat(train[order], begin).astype(np.float64) * np.add.reduceat(held[order], begin) if len(key) else np.zeros(0)
+            every = np.empty(len(key))
+            every[order] = np.repeat(pairs, np.diff(np.append(begin, len(key))))
+            kept = np.flatnonzero((every > 0) & ((kind & CHUNK_BITS == 0) | (every <= CHUNK_PAIRS)))
+            kept = kept[np.argsort(block[kept], kind="stable")]
+            level = np.minimum(np.ceil(8 * np.log2(every[kept])), 255).astype(np.uint8)
+            edges = np.searchsorted(block[kept], np.arange(len(rows) + 1))
+            for i, r in enumerate(rows):
+                a, b = edges[i], edges[i + 1]
+                if a < b:
+                    at = kept[a:b]
+                    by = np.argsort(rec[at], kind="stable")
+                    dest.append(p)
+                    batch.append(r["batch"])
+                    payload.append(_packed(rec[at][by], w[at][by], level[a:b][by], kind[at][by]))
+        yield pa.RecordBatch.from_arrays([pa.array(dest, pa.int64()), pa.array(batch, pa.int64()), pa.array(payload, pa.binary())], names=["dest", "batch", "payload"])
+
+
+CUTS = "x bigint, cls bigint, n int, place int, low int, has_train boolean, has_held boolean"
+
+
+def _cuts(classes: DataFrame, share: Fraction, chunk: int) -> DataFrame:
+    """Columns (x, cls, n, place, low, has_train, has_held): where records may meet. n counts a record's distinct windows.
+
+    Chunks have place 0 and `low`, the number of their windows that the record holds only once. Of
+    the windows, those that one split lacks take the first places, the others follow by the number
+    of train-held-out pairs that hold them; the first n - ceil(share n) + 1 places are kept. The
+    numbers are exact: hashes travel to ranges, packed, and levels travel back.
     """
+    size = classes.agg(F.sum(F.octet_length("body"))).head()[0] or 0
+    bits = min(16, max(0, (size // (6 * RANGE_WINDOWS)).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = shared.value
-        down = np.uint64(65 - len(levels).bit_length())
-        limit = np.log2(HOT_CHUNK) * 8 + max(float(levels.mean()), 16.0)
-        for b in batches:
-            cls = np.asarray(b.column("cls"), np.int64)
-            rolled = _rolled(b.column("body"), b.column("corpus"))
-            rec, h, n, once = rolled.distinct()
-            order = by_record(rec, h, levels[(h >> down).astype(np.int64)])
-            place = np.arange(len(order)) - (np.cumsum(n) - n)[rec] + 1
+        for _, rows in _groups(batches, "batch"):
+            meta, frequent = _parted(next(r["payload"] for r in rows if r["dest"] < 0))
+            cls, n, side = _unpacked(meta, "<i8", "<u4", "u1")
+            fw, frec = _unpacked(frequent, "<u8", "<u2")
+            parts = []
+            for r in rows:
+                if r["dest"] >= 0:
+                    rec, w, level, kind = _unpacked(r["payload"], "<u2", "<u4", "u1", "u1")
+                    parts.append((rec, np.uint64(r["dest"]) << np.uint64(32) | w.astype(np.uint64), level, kind))
+            if not parts:
+                continue
+            rec, w, level, kind = (np.concatenate(x) for x in zip(*parts))
+            whole = rec == FREQUENT  # frequent windows: an entry for each record that holds them
+            if whole.any():
+                by = np.argsort(w[whole])
+                at = np.minimum(np.searchsorted(w[whole][by], fw), int(whole.sum()) - 1)
+                hit = w[whole][by][at] == fw
+                rec, level = np.concatenate((rec[~whole], frec[hit])), np.concatenate((level[~whole], level[whole][by][at[hit]]))
+                w, kind = np.concatenate((w[~whole], fw[hit])), np.concatenate((kind[~whole], np.zeros(int(hit.sum()), np.uint8)))
+            low = (kind & CHUNK_BITS).astype(np.int32)
+            own = np.flatnonzero(low == 0)
+            own = own[by_record(rec[own], w[own] << np.uint64(32 - bits), level[own])]
+            many = np.bincount(rec[own], minlength=len(cls))
+            n = n.astype(np.int64)
+            place = np.arange(len(own)) - (np.cumsum(many) - many)[rec[own]] + 1 + (n - many)[rec[own]]
             few = n - -(-n * share.numerator // share.denominator) + 1
-            kept = order[place <= few[rec]]  # rec is in order, so places hold for the sorted windows too
-            place = place[place <= few[rec]]
-            crec, digest, at, size = rolled.chunks(chunk)
-            low = np.add.reduceat(once.astype(np.int64), at) if len(at) else at
-            least = np.minimum.reduceat(levels[(rolled.h >> down).astype(np.int64)], at) if len(at) else at
-            good = (low > 0) & (least > 0) & (least <= limit)  # a chunk is in no more pairs than its rarest window
-            crec, digest, low = crec[good], digest[good], low[good]
-            r = np.concatenate((crec, rec[kept]))
+            kept = place <= few[rec[own]]
+            chunks = np.flatnonzero(low)
+            r = np.concatenate((rec[chunks], rec[own[kept]]))
+            x = np.concatenate((w[chunks] | np.uint64(1 << 62), w[own[kept]]))
             yield pa.RecordBatch.from_arrays(
-                [_signed(np.concatenate((digest, h[kept]))), pa.array(cls[r]), pa.array(n[r].astype(np.int32)), pa.array(np.concatenate((np.zeros(len(crec), np.int32), place.astype(np.int32)))), pa.array(np.concatenate((low, np.zeros(len(kept), np.int64))).astype(np.int32))],
-                names=["x", "cls", "n", "place", "low"],
+                [_signed(x), pa.array(cls[r]), pa.array(n[r].astype(np.int32)), pa.array(np.concatenate((np.zeros(len(chunks), np.int32), place[kept].astype(np.int32)))), pa.array(np.concatenate((low[chunks], np.zeros(int(kept.sum()), np.int32)))), pa.array(side[r] >= TRAIN), pa.array(side[r] & HELD > 0)],
+                names=["x", "cls", "n", "place", "low", "has_train", "has_held"],
             )
 
-    return classes.select("cls", "corpus", "body").mapInArrow(run, CUTS)
+    sent = _entries(classes, bits, chunk).repartition("dest").sortWithinPartitions("dest").mapInArrow(_levelled, PACKED)
+    return sent.repartition("batch").sortWithinPartitions("batch").mapInArrow(run, CUTS)
 
 
 def _exact(pairs: DataFrame, share: Fraction) -> DataFrame:
@@ -158,13 +273,12 @@ def class_pairs(classes: DataFrame, share: Fraction = SHARE, chunk: int = CHUNK)
     one of these in common, so no pair is lost that chunks leave open; of those that can still reach
     it by the places at which they meet, the bodies are compared too (`by` = windows).
 
-    The order takes windows first that are in few train-held-out pairs, by a sketch of fixed size;
-    any order is exact. Chunks in crowded counters are not joined; the windows find their pairs.
+    The order takes windows first that are in few train-held-out pairs. Chunks in more than
+    CHUNK_PAIRS pairs are not joined; the windows find their pairs.
     """
-    spark = classes.sparkSession
-    levels = spark.sparkContext.broadcast(_sketch(classes))
-    train = _cuts(classes.where("has_train"), levels, share, chunk).select("x", F.col("cls").alias("ct"), F.col("n").alias("nt"), F.col("place").alias("pt"), F.col("low").alias("lt"))
-    held = _cuts(classes.where("has_held"), levels, share, chunk).select("x", F.col("cls").alias("ch"), F.col("n").alias("nh"), F.col("place").alias("ph"), F.col("low").alias("lh"))
+    cuts = stored(_cuts(classes, share, chunk))
+    train = cuts.where("has_train").select("x", F.col("cls").alias("ct"), F.col("n").alias("nt"), F.col("place").alias("pt"), F.col("low").alias("lt"))
+    held = cuts.where("has_held").select("x", F.col("cls").alias("ch"), F.col("n").alias("nh"), F.col("place").alias("ph"), F.col("low").alias("lh"))
     fits = F.least("nt", "nh") * share.denominator >= F.greatest("nt", "nh") * share.numerator
     met = train.join(held.hint("merge"), "x").where((F.col("ct") != F.col("ch")) & fits & ((F.col("pt") > 0) == (F.col("ph") > 0)))
     sums = met.groupBy("ct", "ch", "nt", "nh").agg(F.greatest(F.sum("lt"), F.sum("lh")).alias("low"), F.sum((F.col("pt") > 0).cast("bigint")).alias("seen"), F.max("pt").alias("pt"), F.max("ph").alias("ph"))

@@ -184,6 +184,23 @@ def test_longest_match(words, text):
 # --- 6 overlap
 
 
+def test_windows_in_many_ranges_and_batches_find_the_same(spark, monkeypatch):
+    rng = random.Random(11)
+    common = [" ".join(rng.choice("abcdefg") + rng.choice("xyz") for _ in range(25)) for _ in range(4)]
+    rows = []
+    for i in range(120):
+        ws = rng.choice(common).split()
+        ws[rng.randrange(25)] = f"own{i}"
+        rows.append(dict(unit_id=i, corpus_id=1, proposed=["train", "test"][i % 2], body=" ".join(ws)))
+    units = frame(spark, "units", rows)
+    want = sorted(map(tuple, overlap.overlap_pairs(units).collect()))
+    assert len(want) > 200
+    monkeypatch.setattr(overlap, "AGGREGATED", 3)
+    monkeypatch.setattr(overlap, "BATCH", 16)
+    monkeypatch.setattr(overlap, "RANGE_WINDOWS", 50)
+    assert sorted(map(tuple, overlap.overlap_pairs(units).collect())) == want
+
+
 def test_overlap_finds_every_pair(spark):
     rng = random.Random(6)
     base = [[rng.choice("abcdefghij") + rng.choice("xyz") for _ in range(rng.randint(0, 40))] for _ in range(15)]
