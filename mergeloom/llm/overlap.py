@@ -60,7 +60,7 @@ def _classes(units: DataFrame, members: DataFrame) -> DataFrame:
 
 def _packed(*columns: np.ndarray) -> bytes:
     """Columns of one length, byte plane by byte plane, compressed."""
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns]
     return zlib.compress(len(columns[0]).to_bytes(4, "little") + b"".join(planes), 1)
 
 
