@@ -8,8 +8,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mergeloom.session import cut
+
 #: Relative error of a percentile.
 ALPHA = 0.01
+#: Groups with more than one row in HOT are dealt to SALTS places.
+HOT, SALTS = 200, 64
 #: Asked buckets (some 50 bytes each) that are broadcast; more are joined by merging.
 BROADCAST_BUCKETS = 100_000
 #: Added to a bucket's number so that those of positive values are positive; doubles need less.
@@ -44,6 +48,25 @@ def sketch(df: DataFrame, groups: Sequence[str], value: str, alpha: float = ALPH
     return rows.groupBy(*groups, "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("least"), F.max("__v").alias("most"))
 
 
+def distinct_by_group(df: DataFrame, groups: Sequence[str], ident: str) -> DataFrame:
+    """Distinct rows, those of a group lying together, so that a group's buckets are counted before they are shuffled.
+
+    A group that holds more than one row in HOT, of which there are fewer than HOT, is dealt to
+    SALTS places by a hash of `ident`.
+    """
+    counts = cut(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n")))
+    total = counts.agg(F.sum("__n")).head()[0] or 0
+    hot = counts.where(F.col("__n") * HOT > total)
+    same = None
+    for i, g in enumerate(groups):
+        one = F.col(g).eqNullSafe(F.col(f"__g{i}"))
+        same = one if same is None else same & one
+    marked = F.broadcast(hot.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.lit(True).alias("__hot")))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(ident), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))
+    rows = df.join(marked, same, "left").select(*df.columns, salt.alias("__salt"))
+    return rows.repartition(*groups, "__salt").dropDuplicates([*df.columns, "__salt"]).select(*df.columns)
+
+
 def merge(sketches: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Sketches put together: counts of the same bucket are added."""
     return sketches.groupBy(*groups, "bucket").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))

@@ -77,7 +77,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
     """Records with a length of at least 1, every id once."""
-    return _t(spark, d, "record_lengths").where("rec_len >= 1").select("record_id", "run_id", "tokenizer", "rec_date", "rec_len").distinct()
+    rows = _t(spark, d, "record_lengths").where("rec_len >= 1").select("record_id", "run_id", "tokenizer", "rec_date", "rec_len")
+    return quantiles.distinct_by_group(rows, ["run_id", "tokenizer"], "record_id")
 
 
 WANTED = {"median": 50, "p95": 95}
@@ -89,7 +90,7 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _percentiles(records: DataFrame) -> DataFrame:
-    days = cut(quantiles.sketch(records, ["run_id", "tokenizer", "rec_date"], "rec_len"))
+    days = stored(quantiles.sketch(records, ["run_id", "tokenizer", "rec_date"], "rec_len"))
     whole = quantiles.merge(days, ["run_id", "tokenizer"]).withColumn("rec_date", F.lit(None).cast("date"))
     by_day = quantiles.percentiles(days, ["run_id", "tokenizer", "rec_date"], WANTED).withColumn("whole", F.lit(False))
     return by_day.unionByName(quantiles.percentiles(whole, ["run_id", "tokenizer", "rec_date"], WANTED).withColumn("whole", F.lit(True)))

@@ -181,6 +181,19 @@ def test_longest_match(words, text):
     assert token_budget.LongestMatch(words).count(text) == n
 
 
+# --- 4 percentiles
+
+
+def test_rows_of_hot_groups_are_dealt_out_and_stay_distinct(spark):
+    rows = [(i % 500, "hot", 1) for i in range(1200)] + [(i, f"g{i % 300}", None) for i in range(600)] + [(None, None, 2)] * 2
+    df = spark.createDataFrame(rows, "i int, g string, v int").repartition(3)
+    got = quantiles.distinct_by_group(df, ["g"], "i")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, set(rows)))
+    places = {r.p for r in got.where("g = 'hot'").select(F.spark_partition_id().alias("p")).distinct().collect()}
+    cold = got.where("g <> 'hot'").groupBy("g").agg(F.countDistinct(F.spark_partition_id()).alias("n")).agg(F.max("n")).head()[0]
+    assert len(places) > 1 and cold == 1
+
+
 # --- 6 overlap
 
 
