@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,11 +63,21 @@ def shared_passages(units: DataFrame) -> DataFrame:
     return corpus.splits_share_passage(units.where("kept"), "proposed", "body", corpus.PASSAGE, "ord")
 
 
+def _write_new(df: DataFrame, path: str, *by: str) -> None:
+    """A new Parquet folder; CorpusError if it is there."""
+    try:
+        df.write.mode("errorifexists").partitionBy(*by).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+        raise CorpusError("folder exists", path=path) from None
+
+
 def write_corpus(files: DataFrame, folder: str, mode: str = "near", size: int | None = None) -> dict:
     """Build into a new folder: `units` (Parquet, by split), `sources`, and manifest.json with the splits' sizes. Returns the manifest."""
     units = stored(build_units(files, mode, size))
-    units.write.mode("errorifexists").partitionBy("proposed").parquet(f"{folder}/units")
-    source_rows(files, units).write.mode("errorifexists").parquet(f"{folder}/sources")
+    _write_new(units, f"{folder}/units", "proposed")
+    _write_new(source_rows(files, units), f"{folder}/sources")
     splits = {r.split: {"blocks": r.blocks, "dropped": r.dropped, "bytes": r.size} for r in split_rows(units).collect()}  # three rows
     manifest = {"mode": mode, "block_bytes": size or BLOCKS[mode], "splits": splits, "shared_passages": shared_passages(units).count()}
     write_report(f"{folder}/manifest.json", manifest)
@@ -86,7 +97,7 @@ def prepare(spark: SparkSession, folder: str, artifact) -> DataFrame:
     if bad:
         raise CorpusError("block isn't covered by its tokens", source=bad[0].source, start=bad[0].start)
     rows = done.select(F.col("__u.proposed").alias("split"), "__u.source", "__u.start", "__u.sha256", "tokens", "n_bytes")
-    rows.write.mode("errorifexists").parquet(f"{folder}/prepared")
+    _write_new(rows, f"{folder}/prepared")
     return rows
 
 

@@ -898,22 +898,23 @@ def rnn_pack_accuracy(spark, d):
     return lm.pack_accuracy(lm.score(_packed_sequences(spark, d), model, "seq_id", "tokens"))
 
 
-@query
-def rnn_train_runs(spark, d):
-    """The factorized model over all tokens of the train split, sequences joined in order of seq_id."""
-    model, pairs = _lm(spark, d)
-    rows = once_sequences(spark, d).where("not exists(tokens, x -> x < 0 or x >= 512)").where(corpus.split_name(F.col("split")) == "train")
-    ids = rows.select("seq_id", "tokens").toPandas().sort_values("seq_id")["tokens"]
-    tokens = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64)
-    return lm.training_runs(spark.createDataFrame([(17,), (29,), (43,)], "seed bigint"), model, np.array(pairs)[tokens], 20)
-
-
 def _joined_tokens(coded: DataFrame) -> DataFrame:
     """(pos, pack, local) of rows (doc_id, tokens ARRAY<STRUCT<pack, local>>), joined in order of doc_id."""
     sized = coded.withColumn("n", F.size("tokens").cast("bigint"))
     return running_sum(sized, ["doc_id"], "n", "upto").select((F.col("upto") - F.col("n")).alias("first"), F.posexplode("tokens").alias("k", "x")).select((F.col("first") + F.col("k")).alias("pos"), F.col("x.pack").alias("pack"), F.col("x.local").alias("local"))
 
 
+@query
+def rnn_train_runs(spark, d):
+    """The factorized model on windows drawn from all tokens of the train split, sequences joined in order of seq_id."""
+    model, _ = _lm(spark, d)
+    rows = _packed_sequences(spark, d).where(corpus.split_name(F.col("split")) == "train").select(F.col("seq_id").alias("doc_id"), "tokens")
+    tokens, seeds = cut(_joined_tokens(rows)), (17, 29, 43)
+    draws = lm.window_draws(spark, [(str(s), s, 20) for s in seeds], tokens.count(), model.context, 4)
+    got = lm.train_drawn(draws, tokens, {str(s): replace(model, seed=s, weights={}) for s in seeds})
+    return got.select(F.col("run").cast("bigint").alias("seed"), "step", "loss_per_token", "gradient_norm", "macs")
+
+
 ABLATION_SEEDS, ABLATION_UPDATES = (17, 29, 43), 12
 
 
