@@ -98,8 +98,8 @@ def _entries(classes: DataFrame, bits: int, chunk: int) -> DataFrame:
     """Packed windows and chunk digests of the records, a block for every batch of records and range of hashes; and for every batch what its records are.
 
     dest >= 0: one of 2^bits ranges of the hash; entries (step of the hash's next 32 bits, record in
-    the batch, kind: side bits and 0 for a window or the windows of a chunk that occur once), then
-    windows that AGGREGATED or more records of the batch hold, as one entry with their counts.
+    the batch, kind: side bits and 0 for a window or the windows of a chunk that occur once), the
+    rest of the chunks' digests, then windows that AGGREGATED or more records of the batch hold, as one entry with their counts.
     dest < 0: (record's class, number of windows, side bits) and, of those frequent windows, who holds them.
     """
     down = np.uint64(32 - bits)
@@ -118,7 +118,8 @@ def _entries(classes: DataFrame, bits: int, chunk: int) -> DataFrame:
                 w = np.concatenate((h, digest)) >> down
                 rec, kind = np.concatenate((rec, crec)), np.concatenate((np.zeros(len(h), np.uint8), low.astype(np.uint8)))
                 order = np.argsort(w)
-                w, rec, kind = w[order], rec[order].astype(np.uint16), kind[order]
+                rest = (np.concatenate((np.zeros(len(h), np.uint64), digest)) & ((np.uint64(1) << down) - np.uint64(1))).astype(np.uint32)
+                w, rec, kind, rest = w[order], rec[order].astype(np.uint16), kind[order], rest[order]
                 begin = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, np.int64)
                 size = np.diff(np.append(begin, len(w)))
                 often = np.repeat(size >= AGGREGATED, size)
@@ -128,13 +129,14 @@ def _entries(classes: DataFrame, bits: int, chunk: int) -> DataFrame:
                 train = np.add.reduceat((kind[held_by] >= TRAIN).astype(np.int64), fbegin) if len(fw) else fbegin
                 held = np.add.reduceat((kind[held_by] & HELD > 0).astype(np.int64), fbegin) if len(fw) else fbegin
                 dest, payload = [-1 - int(cls[0])], [_joined(_packed(cls, n.astype(np.uint32), side), _packed(w[held_by], rec[held_by]))]
-                w, rec, kind = w[~often], rec[~often], kind[~often]
+                w, rec, kind, rest = w[~often], rec[~often], kind[~often], rest[~often]
                 edges, fedges = np.searchsorted(w >> np.uint64(32), np.arange((1 << bits) + 1)), np.searchsorted(fw >> np.uint64(32), np.arange((1 << bits) + 1))
                 for p in range(1 << bits):
                     i, j, k, m = edges[p], edges[p + 1], fedges[p], fedges[p + 1]
                     if i < j or k < m:
                         dest.append(p)
-                        payload.append(_joined(_packed(_steps(w[i:j]), rec[i:j], kind[i:j]), _packed(_steps(fw[k:m]), train[k:m].astype(np.uint32), held[k:m].astype(np.uint32))))
+                        single = _joined(_packed(_steps(w[i:j]), rec[i:j], kind[i:j]), _packed(rest[i:j][kind[i:j] & CHUNK_BITS > 0]))
+                        payload.append(_joined(single, _packed(_steps(fw[k:m]), train[k:m].astype(np.uint32), held[k:m].astype(np.uint32))))
                 yield pa.RecordBatch.from_arrays([pa.array(dest, pa.int64()), pa.array([int(cls[0])] * len(dest), pa.int64()), pa.array(payload, pa.binary())], names=["dest", "batch", "payload"])
 
     return classes.select("cls", "has_train", "has_held", "corpus", "body").mapInArrow(run, PACKED)
@@ -154,6 +156,13 @@ def _parted(raw: bytes) -> tuple[bytes, bytes]:
     return raw[4 : 4 + n], raw[4 + n :]
 
 
+def _rests(raw: bytes, kind: np.ndarray) -> np.ndarray:
+    """The rest of the digests of those entries that are chunks, 0 for windows."""
+    out = np.zeros(len(kind), np.uint32)
+    out[kind & CHUNK_BITS > 0] = _unpacked(raw, "<u4")[0]
+    return out
+
+
 def _levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of every range of hashes, the windows and chunks that both splits have, sent back to their batches with the level of their train-held-out pairs."""
     for p, rows in _groups(batches, "dest"):
@@ -163,11 +172,12 @@ def _levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dest, batch, payload, parts = [], [], [], []
             for i, r in enumerate(rows):
                 one, many = _parted(r["payload"])
+                one, rest = _parted(one)
                 step, rec, kind = _unpacked(one, "<u4", "<u2", "u1")
-                parts.append((np.cumsum(step, dtype=np.uint32), rec, kind, (kind >= TRAIN).astype(np.int64), (kind & HELD > 0).astype(np.int64), np.full(len(rec), i)))
+                parts.append((np.cumsum(step, dtype=np.uint32), rec, kind, _rests(rest, kind), (kind >= TRAIN).astype(np.int64), (kind & HELD > 0).astype(np.int64), np.full(len(rec), i)))
                 step, train, held = _unpacked(many, "<u4", "<u4", "<u4")
-                parts.append((np.cumsum(step, dtype=np.uint32), np.full(len(step), FREQUENT, np.uint16), np.zeros(len(step), np.uint8), train.astype(np.int64), held.astype(np.int64), np.full(len(step), i)))
-            w, rec, kind, train, held, block = (np.concatenate(x) for x in zip(*parts))
+                parts.append((np.cumsum(step, dtype=np.uint32), np.full(len(step), FREQUENT, np.uint16), np.zeros(len(step), np.uint8), np.zeros(len(step), np.uint32), train.astype(np.int64), held.astype(np.int64), np.full(len(step), i)))
+            w, rec, kind, rest, train, held, block = (np.concatenate(x) for x in zip(*parts))
             key = w.astype(np.uint64) << np.uint64(1) | (kind & CHUNK_BITS > 0)
             order = np.argsort(key)
             begin = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else order
@@ -185,7 +195,7 @@ def _levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     by = np.argsort(rec[at], kind="stable")
                     dest.append(p)
                     batch.append(r["batch"])
-                    payload.append(_packed(rec[at][by], w[at][by], level[a:b][by], kind[at][by]))
+                    payload.append(_joined(_packed(rec[at][by], w[at][by], level[a:b][by], kind[at][by]), _packed(rest[at][by][kind[at][by] & CHUNK_BITS > 0])))
         yield pa.RecordBatch.from_arrays([pa.array(dest, pa.int64()), pa.array(batch, pa.int64()), pa.array(payload, pa.binary())], names=["dest", "batch", "payload"])
 
 
@@ -211,11 +221,12 @@ def _cuts(classes: DataFrame, share: Fraction, chunk: int) -> DataFrame:
             parts = []
             for r in rows:
                 if r["dest"] >= 0:
-                    rec, w, level, kind = _unpacked(r["payload"], "<u2", "<u4", "u1", "u1")
-                    parts.append((rec, np.uint64(r["dest"]) << np.uint64(32) | w.astype(np.uint64), level, kind))
+                    one, rest = _parted(r["payload"])
+                    rec, w, level, kind = _unpacked(one, "<u2", "<u4", "u1", "u1")
+                    parts.append((rec, np.uint64(r["dest"]) << np.uint64(32) | w.astype(np.uint64), level, kind, _rests(rest, kind)))
             if not parts:
                 continue
-            rec, w, level, kind = (np.concatenate(x) for x in zip(*parts))
+            rec, w, level, kind, rest = (np.concatenate(x) for x in zip(*parts))
             whole = rec == FREQUENT  # frequent windows: an entry for each record that holds them
             if whole.any():
                 by = np.argsort(w[whole])
@@ -223,6 +234,7 @@ def _cuts(classes: DataFrame, share: Fraction, chunk: int) -> DataFrame:
                 hit = w[whole][by][at] == fw
                 rec, level = np.concatenate((rec[~whole], frec[hit])), np.concatenate((level[~whole], level[whole][by][at[hit]]))
                 w, kind = np.concatenate((w[~whole], fw[hit])), np.concatenate((kind[~whole], np.zeros(int(hit.sum()), np.uint8)))
+                rest = np.concatenate((rest[~whole], np.zeros(int(hit.sum()), np.uint32)))
             low = (kind & CHUNK_BITS).astype(np.int32)
             own = np.flatnonzero(low == 0)
             own = own[by_record(rec[own], w[own] << np.uint64(32 - bits), level[own])]
@@ -233,7 +245,7 @@ def _cuts(classes: DataFrame, share: Fraction, chunk: int) -> DataFrame:
             kept = place <= few[rec[own]]
             chunks = np.flatnonzero(low)
             r = np.concatenate((rec[chunks], rec[own[kept]]))
-            x = np.concatenate((w[chunks] | np.uint64(1 << 62), w[own[kept]]))
+            x = np.concatenate((w[chunks] << np.uint64(32 - bits) | rest[chunks], w[own[kept]]))  # a chunk's whole digest, since it can decide
             yield pa.RecordBatch.from_arrays(
                 [_signed(x), pa.array(cls[r]), pa.array(n[r].astype(np.int32)), pa.array(np.concatenate((np.zeros(len(chunks), np.int32), place[kept].astype(np.int32)))), pa.array(np.concatenate((low[chunks], np.zeros(int(kept.sum()), np.int32)))), pa.array(side[r] >= TRAIN), pa.array(side[r] & HELD > 0)],
                 names=["x", "cls", "n", "place", "low", "has_train", "has_held"],
