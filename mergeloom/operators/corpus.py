@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from decimal import Decimal
 
 import pyarrow as pa
@@ -255,17 +255,27 @@ def require_mapped(domains: DataFrame) -> DataFrame:
     return domains.withColumn("domain", F.coalesce("domain", gap.cast("string")))
 
 
-def token_domains(tokens: DataFrame, spans: DataFrame, width: int = 8192) -> DataFrame:
-    """Columns (pos, start_byte, end_byte, domain): the domain of every token's byte range; mixed-domain across two, NULL with a gap.
+def token_domains(tokens: DataFrame, spans: DataFrame, width: int = 8192, carry: Sequence[str] = ()) -> DataFrame:
+    """Columns (pos, start_byte, end_byte, domain, carry): the domain of every token's byte range; mixed-domain across two, NULL with a gap.
 
-    `tokens` has (pos, start_byte, end_byte), `spans` (start_byte, end_byte, domain) without overlap.
+    `tokens` has (pos, start_byte, end_byte) and the columns to carry, `spans` (start_byte, end_byte, domain) without overlap.
     Both sides are cut into ranges of `width` bytes and joined on the range's number, so the join
-    is hashed; a token belongs to the spans it meets.
+    is hashed; a range's spans, `width` at most, are one row, and only tokens across two ranges are
+    put together again. A `width` of about a span's length is fastest.
     """
     cells = lambda: F.explode(F.sequence(F.floor(F.col("start_byte") / width), F.floor((F.col("end_byte") - 1) / width)))
-    s = spans.where("end_byte > start_byte").select("start_byte", "end_byte", "domain", cells().alias("cell")).select("cell", "domain", F.col("start_byte").alias("a"), F.col("end_byte").alias("b"))
-    t = tokens.where("end_byte > start_byte").select("pos", "start_byte", "end_byte", cells().alias("cell"))
-    low, high = F.greatest("a", "start_byte", F.col("cell") * width), F.least("b", "end_byte", (F.col("cell") + 1) * width)
-    met = t.join(s, "cell", "left").withColumn("part", F.when(high > low, high - low).otherwise(0))
-    got = met.groupBy("pos", "start_byte", "end_byte").agg(F.sum("part").alias("covered"), F.min(F.when(F.col("part") > 0, F.col("domain"))).alias("d1"), F.max(F.when(F.col("part") > 0, F.col("domain"))).alias("d2"))
-    return got.select("pos", "start_byte", "end_byte", F.when(F.col("covered") < F.col("end_byte") - F.col("start_byte"), None).when(F.col("d1") != F.col("d2"), "mixed-domain").otherwise(F.col("d1")).alias("domain"))
+    s = spans.where("end_byte > start_byte").select("start_byte", "end_byte", "domain", cells().alias("cell")).groupBy("cell").agg(F.collect_list(F.struct(F.col("start_byte").alias("a"), F.col("end_byte").alias("b"), "domain")).alias("spans"))
+    t = tokens.where("end_byte > start_byte").select("pos", "start_byte", "end_byte", *carry)
+    inside = F.floor(F.col("start_byte") / width) == F.floor((F.col("end_byte") - 1) / width)
+    here = F.filter("spans", lambda x: (x["a"] < F.least(F.col("end_byte"), (F.col("cell") + 1) * width)) & (x["b"] > F.greatest(F.col("start_byte"), F.col("cell") * width)))
+    part = lambda x: F.least(x["b"], F.col("end_byte"), (F.col("cell") + 1) * width) - F.greatest(x["a"], F.col("start_byte"), F.col("cell") * width)
+
+    def met(rows: DataFrame) -> DataFrame:
+        both = rows.join(s, "cell", "left").withColumn("here", F.coalesce(here, F.array().cast("array<struct<a:bigint,b:bigint,domain:string>>")))
+        names = F.transform("here", lambda x: x["domain"])
+        return both.select("pos", "start_byte", "end_byte", *carry, F.aggregate("here", F.lit(0).cast("bigint"), lambda acc, x: acc + part(x)).alias("covered"), F.array_min(names).alias("d1"), F.array_max(names).alias("d2"))
+
+    one = met(t.where(inside).withColumn("cell", F.floor(F.col("start_byte") / width)))
+    several = met(t.where(~inside).select("*", cells().alias("cell"))).groupBy("pos", "start_byte", "end_byte").agg(*[F.first(c).alias(c) for c in carry], F.sum("covered").alias("covered"), F.min("d1").alias("d1"), F.max("d2").alias("d2"))
+    got = one.unionByName(several)
+    return got.select("pos", "start_byte", "end_byte", *carry, F.when(F.col("covered") < F.col("end_byte") - F.col("start_byte"), None).when(F.col("d1") != F.col("d2"), "mixed-domain").otherwise(F.col("d1")).alias("domain"))

@@ -52,7 +52,7 @@ def random_windows(df: DataFrame, ident: str, tokens: str, n_bytes: str, seeds:
 
 
 @F.arrow_udf(ArrayType(LongType()))
-def _borders(lengths: pa.Array) -> pa.Array:
+def borders(lengths: pa.Array) -> pa.Array:
     """0 and the running sums of every array; NULL counts as empty."""
     out = [np.concatenate(([0], np.cumsum(np.asarray(x.values, np.int64)))) if x.is_valid else np.zeros(1, np.int64) for x in lengths]
     return lists_of(out)
@@ -63,7 +63,7 @@ def prefix_offsets(df: DataFrame, ident: str, n_bytes: str) -> DataFrame:
 
     Sums run inside each row's array, without a shuffle.
     """
-    return df.select(F.col(ident), F.posexplode(_borders(F.col(n_bytes))).alias("tokens_before", "offset"))
+    return df.select(F.col(ident), F.posexplode(borders(F.col(n_bytes))).alias("tokens_before", "offset"))
 
 
 def blocks(value: Column, size: int = 4096) -> Column:
@@ -84,7 +84,7 @@ def block_rows(df: DataFrame, ident: str, content: str, size: int = 4096, whole_
     sources before are summed over one row per source.
     """
     cuts = blocks(F.col(content).cast("binary"), size)
-    sums = df.select(F.col(ident), cuts.alias("__b")).withColumn("__e", _borders(F.transform("__b", lambda b: F.length(b))))
+    sums = df.select(F.col(ident), cuts.alias("__b")).withColumn("__e", borders(F.transform("__b", lambda b: F.length(b))))
     rows = sums.select(ident, "__e", F.posexplode("__b").alias("block_no", "b"))
     rows = rows.select(ident, "block_no", "b", F.get("__e", F.col("block_no")).alias("start_byte"), F.get("__e", F.col("block_no") + 1).alias("end_byte"))
     index = F.col("block_no")

@@ -584,6 +584,10 @@ def _doc_spans(spark, d):
     return running_sum(rows, ["doc_id"], "n", "end_byte").select((F.col("end_byte") - F.col("n")).alias("start_byte"), "end_byte", "domain")
 
 
+#: Cells in which tokens meet spans: about as long as a document, so that few spans share one.
+SPAN_CELL = 512
+
+
 def _flat_places(spark, d):
     """(pos, start_byte, end_byte, token) of the flat tokens of all documents joined in order of doc_id; pos is the start."""
     merges = flat_merges(spark, d)
@@ -591,26 +595,26 @@ def _flat_places(spark, d):
     tokens = token_ids(spark.sparkContext, load_automaton(t(spark, d, "merges")))(F.col("text"))
     rows = docs(spark, d).where("octet_length(text) > 0").select("doc_id", F.octet_length("text").cast("bigint").alias("n"), tokens.alias("tokens"))
     placed = running_sum(rows, ["doc_id"], "n", "upto").select("doc_id", (F.col("upto") - F.col("n")).alias("first"), "tokens", F.transform("tokens", lambda x: F.get(sizes, x)).alias("n_bytes"))
-    ends = windows.prefix_offsets(placed.select(F.struct("first", "tokens").alias("doc"), "n_bytes"), "doc", "n_bytes")
-    one = ends.where("tokens_before > 0").select((F.col("doc.first") + F.col("offset")).alias("end_byte"), F.get("doc.tokens", F.col("tokens_before") - 1).alias("token"))
-    size = F.get(sizes, F.col("token"))
-    return one.select((F.col("end_byte") - size).alias("pos"), (F.col("end_byte") - size).alias("start_byte"), "end_byte", "token")
+    ends = F.slice(windows.borders(F.col("n_bytes")), 2, F.size("tokens"))
+    one = placed.select("first", F.explode(F.arrays_zip(ends.alias("end"), F.col("tokens").alias("token"), F.col("n_bytes").alias("size"))).alias("x"))
+    start = F.col("first") + F.col("x.end") - F.col("x.size")
+    return one.select(start.alias("pos"), start.alias("start_byte"), (F.col("first") + F.col("x.end")).alias("end_byte"), F.col("x.token").alias("token"))
 
 
 @query
 def domain_of_token(spark, d):
     """Domains of the flat tokens of all documents joined."""
-    return corpus.token_domains(_flat_places(spark, d).select("pos", "start_byte", "end_byte"), cut(_doc_spans(spark, d)))
+    return corpus.token_domains(_flat_places(spark, d).select("pos", "start_byte", "end_byte"), cut(_doc_spans(spark, d)), SPAN_CELL)
 
 
 def _grains(spark, d):
     """Scores of all flat tokens under their own frequencies."""
-    tokens = cut(_flat_places(spark, d))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    priced = mapping.vocabulary(counts.select("token", (-F.log(F.col("c") / F.sum("c").over(Window.partitionBy()))).alias("nll")))  # a row per id
-    scored = tokens.join(priced, "token").select("pos", "nll")
-    domains = corpus.require_mapped(corpus.token_domains(tokens.select("pos", "start_byte", "end_byte"), cut(_doc_spans(spark, d))))
-    rows = domains.join(scored, "pos").select("domain", "start_byte", (F.col("end_byte") - F.col("start_byte")).alias("n_bytes"), "nll")
+    tokens = _flat_places(spark, d)
+    counts = encode.encode_flat(docs(spark, d), "doc_id", "text", t(spark, d, "merges")).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    priced = cut(counts.select("token", (-F.log(F.col("c") / F.sum("c").over(Window.partitionBy()))).alias("nll")))  # a row per id
+    scored = tokens.join(mapping.vocabulary(priced), "token").select("pos", "start_byte", "end_byte", "nll")
+    domains = corpus.require_mapped(corpus.token_domains(scored, cut(_doc_spans(spark, d)), SPAN_CELL, ["nll"]))
+    rows = domains.select("domain", "start_byte", (F.col("end_byte") - F.col("start_byte")).alias("n_bytes"), "nll")
     return stats.score_grains(rows)
 
 
