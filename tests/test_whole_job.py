@@ -7,10 +7,8 @@ import random
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
-from mergeloom.llm import splits
 from mergeloom.operators import lm, windows
-
-from tests.llm.tables import NOW, frame
+from tests.tables import NOW, frame
 
 
 def run(spark, folder, name, **tables):
@@ -44,21 +42,6 @@ def test_unit_spans_of_every_corpus(spark, tmp_path):
     assert set(got) == {(1, 0, 5, *one), (1, 5, 8, *one), (2, 0, 7, *two), (2, 7, 9, *two), (2, 9, 15, *two), (None, 0, 4, None, None)} and len(got) == 6
 
 
-def test_large_split_totals_are_exact(monkeypatch):
-    total = lambda taken: sum(s * k for s, k in taken.items())
-    assert total(splits._nearest([(4, 150_000)], 30_000)) == 30_000  # 600,000 units
-    assert total(splits._nearest([(3, 170_000)], 51_000)) == 51_000
-    assert total(splits._nearest([(5, 2), (7, 60_000)], 42_003)) == 42_003 and total(splits._nearest([(1000, 600)], 60_499)) == 60_000
-    rng = random.Random(5)
-    for _ in range(200):
-        sizes = [(s, rng.randint(1, 6)) for s in sorted(rng.sample(range(1, 60), rng.randint(1, 9)))]
-        goal = rng.randint(0, total(dict(sizes)))
-        whole = splits._nearest(sizes, goal)
-        with monkeypatch.context() as m:
-            m.setattr(splits, "SUM_BITS", 1)
-            assert splits._nearest(sizes, goal) == whole
-
-
 def test_generation_continues_the_whole_sequence(spark, tmp_path):
     spark.createDataFrame([(i, i % 3, i // 3, 1) for i in range(512)], "global_id int, pack_id int, local_id int, n_bytes int").write.parquet(f"{tmp_path}/id_map.parquet")
     rng = random.Random(7)
