@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from mergeloom.llm.queries import queries
-from tests.llm.tables import NOW, SCHEMAS, write
+from tests.tables import NOW, SCHEMAS, write
 
 MERGES = [dict(merge_rank=0, left_id=97, right_id=98, result_id=256), dict(merge_rank=1, left_id=256, right_id=99, result_id=257)]
 LONG = " ".join(f"word{i % 997} abc" for i in range(60_000))
