@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import base64
+import pickle
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import BarrierTaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mergeloom.artifact import BYTE_COUNT, BYTE_FALLBACK, MAX_TOKEN_BYTES, PACK_NAMES, ROUTER, Artifact, FlatModel, PackedModel, PackModel
 from mergeloom.errors import TrainingError
 from mergeloom.operators.encode import byte_ids
 from mergeloom.operators.route import pack_of, spans
-from mergeloom.session import cut
+from mergeloom.session import cut, stored
 
-#: Bytes of distinct sequences up to which the rounds run in one task; beyond, every round is a distributed job.
+#: Bytes of distinct sequences up to which the rounds run in one task.
 LOCAL_BYTES = 64 << 20
+#: Bytes a task up to which tasks that run at once hold larger ones, and the most such tasks; beyond, every round is a distributed job.
+TASK_BYTES, MOST_TASKS = 192 << 20, 64
+#: Symbols of a block, which are gone through together.
+BLOCK = 1 << 18
 #: Rounds between lineage cuts of the distributed loop.
 CUT_EVERY = 16
 
 
+#: Pair codes and their counts, by pack.
+Counts = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
 @dataclass(frozen=True)
 class TrainingConfig:
     """Defaults: 512 ids in all, 256 of them learned, from pairs seen twice."""
@@ -70,44 +83,113 @@ def distinct_spans(df: DataFrame, text: str) -> DataFrame:
     return rows.groupBy("s").agg(F.count(F.lit(1)).alias("mult")).select(pack_of(F.col("s")).alias("pack_id"), F.col("s").cast("binary").alias("span"), "mult")
 
 
+def _tally(parts: list[tuple[np.ndarray, np.ndarray]], v: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending codes below v * v with the sums of their weights, without those that sum to 0."""
+    codes, weights = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in parts)]) for i in (0, 1))
+    if v <= 1024:
+        total = np.bincount(codes, weights=weights.astype(np.float64), minlength=1)  # exact below 2^53
+        at = np.flatnonzero(total)
+        return at, total[at].astype(np.int64)
+    at, inverse = np.unique(codes, return_inverse=True)
+    total = np.zeros(len(at), np.int64)
+    np.add.at(total, inverse, weights)
+    return at[total != 0], total[total != 0]
+
+
 class Sequences:
-    """Symbol sequences of one pack, one after another, with multiplicities."""
+    """Symbol sequences of one pack with multiplicities, in blocks.
+
+    In a block the greatest number, a mark, lies before, between and after its sequences; the number
+    below it is a hole that a replaced pair left. Holes are passed over, and closed when there are many.
+    """
 
-    def __init__(self, values: np.ndarray, begin: np.ndarray, mult: np.ndarray):
-        self.s = values.astype(np.int32)
-        self.seq = np.repeat(np.arange(len(mult), dtype=np.int32), np.diff(begin))
-        self.mult = mult.astype(np.int64)
+    def __init__(self, values: np.ndarray = np.zeros(0, np.uint8), begin: np.ndarray = np.zeros(1, np.int64), mult: np.ndarray = np.zeros(0, np.int64)):
+        self.blocks: list[tuple[np.ndarray, np.ndarray | None, int]] = []
+        self.add(values, begin, mult)
+
+    def add(self, values: np.ndarray, begin: np.ndarray, mult: np.ndarray) -> None:
+        """More sequences, one after another in `values`; `begin` has their borders."""
+        begin = begin.astype(np.int64) - begin[0]
+        cuts = np.unique([0, *np.searchsorted(begin, np.arange(BLOCK, begin[-1], BLOCK)), len(mult)])
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            own, size = values[begin[i] : begin[j]], np.diff(begin[i : j + 1])
+            kind = np.uint16 if not len(own) or own.max() < 0xFFFE else np.uint32
+            s = np.full(len(own) + len(size) + 1, _mark(kind), kind)
+            symbol = np.ones(len(s), bool)
+            symbol[np.concatenate(([0], np.cumsum(size + 1)))] = False
+            s[symbol] = own
+            self.blocks.append((s, None if (mult[i:j] == 1).all() else np.repeat(np.append(0, mult[i:j].astype(np.int64)), np.append(1, size + 1)), 0))
 
     def counts(self, v: int) -> tuple[np.ndarray, np.ndarray]:
         """Codes left * v + right and their weighted overlapping counts."""
-        same = self.seq[:-1] == self.seq[1:]
-        code = (self.s[:-1].astype(np.int64) * v + self.s[1:])[same]
-        weight = self.mult[self.seq[:-1][same]]
-        if v <= 2048:
-            total = np.bincount(code, weights=weight.astype(np.float64), minlength=1)  # exact below 2^53
-            at = np.flatnonzero(total)
-            return at, total[at].astype(np.int64)
-        codes, inverse = np.unique(code, return_inverse=True)
-        total = np.zeros(len(codes), np.int64)
-        np.add.at(total, inverse, weight)
-        return codes, total
-
-    def replace(self, left: int, right: int, result: int) -> None:
-        """Left to right without overlap, inside each sequence."""
-        hit = np.flatnonzero((self.s[:-1] == left) & (self.s[1:] == right) & (self.seq[:-1] == self.seq[1:]))
-        if not len(hit):
-            return
-        if left == right:
-            run = np.concatenate(([0], np.flatnonzero(np.diff(hit) != 1) + 1))
-            first = np.repeat(hit[run], np.diff(np.append(run, len(hit))))
-            hit = hit[(hit - first) % 2 == 0]
-        self.s[hit] = result
-        keep = np.ones(len(self.s), bool)
-        keep[hit + 1] = False
-        self.s, self.seq = self.s[keep], self.seq[keep]
+        self.blocks = [_closed(*b) for b in self.blocks]
+        return _tally([_tally([_coded(s, w, slice(None, -1), slice(1, None), v, 1)], v) for s, w, _ in self.blocks], v)
+
+    def replace(self, left: int, right: int, result: int, v: int = 0) -> tuple[np.ndarray, np.ndarray] | None:
+        """Left to right without overlap, inside each sequence. With `v`, the changes of counts(v): only pairs at the places replaced are counted."""
+        changes = []
+        for b, (s, w, holes) in enumerate(self.blocks):
+            hit = np.flatnonzero(s == left)
+            second = _passed(s, hit, 1)  # a mark comes last, so each has a successor
+            here = s[second] == right
+            hit, second = hit[here], second[here]
+            if not len(hit):
+                continue
+            if left == right:
+                run = np.concatenate(([0], np.flatnonzero(second[:-1] != hit[1:]) + 1))
+                first = np.repeat(run, np.diff(np.append(run, len(hit))))
+                here = (np.arange(len(hit)) - first) % 2 == 0
+                hit, second = hit[here], second[here]
+            if result >= _mark(s.dtype) - 1:
+                gone = _mark(np.uint32) - _mark(s.dtype)
+                s = np.where(s >= _mark(s.dtype) - 1, s + np.uint32(gone), s).astype(np.uint32)
+            if v:
+                after = _passed(s, second, 1)
+                lone = np.append(True, after[:-1] != hit[1:])  # the pair before another hit is that of the last hit's end
+                start = hit[lone]
+                before = _passed(s, start, -1)
+                changes += [_coded(s, w, hit, second, v, -1), _coded(s, w, second, after, v, -1), _coded(s, w, before, start, v, -1)]
+            s[hit], s[second] = result, _mark(s.dtype) - 1
+            if v:
+                changes += [_coded(s, w, hit, after, v, 1), _coded(s, w, before, start, v, 1)]
+            holes += len(hit)
+            self.blocks[b] = _closed(s, w, holes) if holes * 8 > len(s) else (s, w, holes)
+        return _tally(changes, v) if v else None
 
     def lists(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.s, np.searchsorted(self.seq, np.arange(len(self.mult) + 1))
+        own = [_closed(*b)[0] for b in self.blocks]
+        marks = [s == _mark(s.dtype) for s in own]
+        values = np.concatenate([np.zeros(0, np.int32), *(s[~m].astype(np.int32) for m, s in zip(marks, own))])
+        return values, np.cumsum(np.concatenate([np.zeros(1, np.int64), *(np.diff(np.flatnonzero(m)) - 1 for m in marks)]))
+
+
+def _mark(kind: type) -> int:
+    return int(np.iinfo(kind).max)
+
+
+def _closed(s: np.ndarray, w: np.ndarray | None, holes: int) -> tuple[np.ndarray, np.ndarray | None, int]:
+    """A block without holes."""
+    if not holes:
+        return s, w, 0
+    keep = s != _mark(s.dtype) - 1
+    return s[keep], None if w is None else w[keep], 0
+
+
+def _passed(s: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+    """The places next to `at` in the direction of `step` that are no holes."""
+    out, hole = at + step, _mark(s.dtype) - 1
+    rest = np.flatnonzero(s[out] == hole)
+    while len(rest):
+        out[rest] += step
+        rest = rest[s[out[rest]] == hole]
+    return out
+
+
+def _coded(s: np.ndarray, w: np.ndarray | None, at, after, v: int, sign: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the pairs (s[at], s[after]) without marks, and their weights."""
+    a, b, end = s[at], s[after], _mark(s.dtype)
+    real = (a != end) & (b != end)
+    return a[real].astype(np.int64) * v + b[real], np.full(int(real.sum()), sign, np.int64) if w is None else w[at][real] * sign
 
 
 def _choose(codes: np.ndarray, counts: np.ndarray, v: int, length: list[int], least: int) -> tuple[int, int, int] | None:
@@ -122,14 +204,16 @@ def _choose(codes: np.ndarray, counts: np.ndarray, v: int, length: list[int], le
     return int(top), code // v, code % v
 
 
-def learn(packs: dict[int, Sequences], cfg: TrainingConfig) -> list[tuple[int, int, int, int]]:
+def learn(packs: dict[int, Sequences], cfg: TrainingConfig, share: Callable[[Counts, int], Counts] = lambda own, v: own) -> list[tuple[int, int, int, int]]:
     """Merges (pack, left, right, result) in the order learned; one budget for all packs.
 
-    Only the pack that was changed is counted again.
+    Pairs are counted once, then every round adds what its replacement changed. `share` sums counts
+    over all tasks that hold a part of the sequences.
     """
     v = BYTE_COUNT + cfg.max_merges + 1
-    length = {p: [1] * BYTE_COUNT for p in packs}
-    best = {p: _choose(*s.counts(v), v, length[p], cfg.min_pair_frequency) for p, s in packs.items()}
+    total = share({p: s.counts(v) for p, s in packs.items()}, v)
+    length = {p: [1] * BYTE_COUNT for p in total}
+    best = {p: _choose(*c, v, length[p], cfg.min_pair_frequency) for p, c in total.items()}
     out: list[tuple[int, int, int, int]] = []
     while len(out) < cfg.max_merges:
         known = [(-b[0], p, b[1], b[2]) for p, b in best.items() if b]
@@ -137,30 +221,68 @@ def learn(packs: dict[int, Sequences], cfg: TrainingConfig) -> list[tuple[int, i
             break
         _, p, left, right = min(known)
         result = len(length[p])
-        packs[p].replace(left, right, result)
         length[p].append(length[p][left] + length[p][right])
         out.append((p, left, right, result))
-        best[p] = _choose(*packs[p].counts(v), v, length[p], cfg.min_pair_frequency)
+        changed = share({p: packs[p].replace(left, right, result, v)} if p in packs else {}, v)
+        total[p] = _tally([total[p], changed[p]], v)
+        best[p] = _choose(*total[p], v, length[p], cfg.min_pair_frequency)
     return out
 
 
-def _learn_local(rows: DataFrame, cfg: TrainingConfig) -> list[tuple[int, int, int, int]]:
-    """The rounds in one executor task; for distinct sequences of LOCAL_BYTES at most, which the caller checks."""
+def _held(batches: Iterator[pa.RecordBatch]) -> dict[int, Sequences]:
+    """Sequences by pack of (pack_id, span, mult)."""
+    packs: dict[int, Sequences] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some, packs = list(batches), {}
-        if not some:
-            return
+    def put(some: list[pa.RecordBatch]) -> None:
         table = pa.Table.from_batches(some)
-        for p in sorted(set(table["pack_id"].to_pylist())):
-            part = table.filter(pa.compute.equal(table["pack_id"], p))
-            values = part["span"].to_pylist()
-            packs[p] = Sequences(np.frombuffer(b"".join(values), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in values]))), np.asarray(part["mult"]))
-        got = learn(packs, cfg)
-        yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int32()) for i in range(4)], names=["p", "l", "r", "x"])
+        for p in pc.unique(table["pack_id"]).to_pylist():
+            part = table.filter(pc.equal(table["pack_id"], p)).combine_chunks()
+            for spans, mult in zip(part["span"].chunks, part["mult"].chunks):
+                begin = np.frombuffer(spans.buffers()[1], np.int32)[spans.offset : spans.offset + len(spans) + 1]
+                data = spans.buffers()[2]
+                packs.setdefault(p, Sequences()).add(np.frombuffer(data, np.uint8)[begin[0] : begin[-1]] if data else np.zeros(0, np.uint8), begin, np.asarray(mult))
+
+    some, size = [], 0
+    for batch in batches:
+        some, size = [*some, batch], size + batch.nbytes
+        if size >= BLOCK:
+            put(some)
+            some, size = [], 0
+    if some:
+        put(some)
+    return packs
+
+
+def _learn_held(rows: DataFrame, cfg: TrainingConfig, tasks: int) -> list[tuple[int, int, int, int]]:
+    """The rounds in executor tasks that hold the sequences; several run at once and sum their counts after each round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs, first = _held(batches), True
+        if tasks == 1:
+            got = learn(packs, cfg)
+        else:
+            task = BarrierTaskContext.get()
+            first = task.partitionId() == 0
+
+            def share(own: Counts, v: int) -> Counts:
+                parts = [pickle.loads(zlib.decompress(base64.b64decode(x))) for x in task.allGather(base64.b64encode(zlib.compress(pickle.dumps(own), 1)).decode())]
+                return {p: _tally([x[p] for x in parts if p in x], v) for p in sorted({p for x in parts for p in x})}
+
+            got = learn(packs, cfg, share)
+        if first:
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int32()) for i in range(4)], names=["p", "l", "r", "x"])
+
+    own = rows.select("pack_id", "span", "mult")
+    own = own.coalesce(1) if tasks == 1 else own.repartition(tasks)
+    return [tuple(r) for r in own.mapInArrow(run, "p int, l int, r int, x int", barrier=tasks > 1).collect()]
+
 
-    one = rows.select("pack_id", "span", "mult").coalesce(1)
-    return [tuple(r) for r in one.mapInArrow(run, "p int, l int, r int, x int").collect()]
+def _slots(spark: SparkSession) -> int:
+    """Tasks that can run at once; 0 where executors come and go, so that tasks can't wait for each other."""
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return 0
+    sc = spark.sparkContext._jsc.sc()
+    return sc.maxNumConcurrentTasks(sc.resourceProfileManager().defaultResourceProfile())
 
 
 def _learn_rounds(rows: DataFrame, cfg: TrainingConfig) -> list[tuple[int, int, int, int]]:
@@ -210,9 +332,12 @@ def _rewritten(left: int, right: int, result: int):
 
 
 def _learn(rows: DataFrame, cfg: TrainingConfig, local_bytes: int) -> list[tuple[int, int, int, int]]:
-    rows = cut(rows)
+    rows = stored(rows)
     size = rows.agg(F.sum(F.length("span"))).head()[0] or 0
-    return _learn_local(rows, cfg) if size <= local_bytes else _learn_rounds(rows, cfg)
+    if size <= local_bytes:
+        return _learn_held(rows, cfg, 1)
+    slots = min(_slots(rows.sparkSession), MOST_TASKS)
+    return _learn_held(rows, cfg, slots) if size <= slots * TASK_BYTES else _learn_rounds(rows, cfg)
 
 
 def train_packs(df: DataFrame, text: str, cfg: TrainingConfig = TrainingConfig(), local_bytes: int = LOCAL_BYTES) -> PackedModel:
