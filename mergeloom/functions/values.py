@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, ArrayType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from mergeloom.artifact import PACK_NAMES
 
@@ -134,17 +134,29 @@ def bytes_hex(value: Column) -> Column:
     return F.lower(F.hex(value.cast("binary")))
 
 
-def escape_bytes(value: Column) -> Column:
-    r"""Bytes as text: \\ \" \n \r \t, printable ASCII as it is, others as \xHH."""
-    digits = F.hex(value.cast("binary"))
+def _escape_table() -> tuple[np.ndarray, np.ndarray]:
+    """Of every byte, its text padded to four bytes, and the length of the text."""
+    named = {0x5C: b"\\\\", 0x22: b'\\"', 0x0A: b"\\n", 0x0D: b"\\r", 0x09: b"\\t"}
+    texts = [named.get(b, bytes([b]) if 32 <= b <= 126 else b"\\x%02X" % b) for b in range(256)]
+    return np.array([list(x.ljust(4)) for x in texts], np.uint8), np.array([len(x) for x in texts], np.int64)
+
+
+ESCAPED, ESCAPED_SIZE = _escape_table()
 
-    def one(i: Column) -> Column:
-        h = F.substring(digits, i, F.lit(2))
-        code = F.conv(h, 16, 10).cast("int")
-        named = F.when(h == "5C", "\\\\").when(h == "22", '\\"').when(h == "0A", "\\n").when(h == "0D", "\\r").when(h == "09", "\\t")
-        return named.when((code >= 32) & (code <= 126), F.char(code)).otherwise(F.concat(F.lit("\\x"), h))
 
-    return F.when(F.length(digits) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(2)) - 1, F.lit(2)), one), "")).otherwise(F.when(value.isNotNull(), ""))
+@F.arrow_udf(StringType())
+def _escaped(values: pa.Array) -> pa.Array:
+    out = []
+    for v in values.to_pylist():
+        own = np.frombuffer(v or b"", np.uint8)
+        parts = [own[i : i + (1 << 20)] for i in range(0, len(own), 1 << 20)]
+        out.append(None if v is None else b"".join(ESCAPED[x][np.arange(4) < ESCAPED_SIZE[x][:, None]].tobytes() for x in parts))
+    return pa.array(out, pa.binary()).cast(pa.string())
+
+
+def escape_bytes(value: Column) -> Column:
+    r"""Bytes as text: \\ \" \n \r \t, printable ASCII as it is, others as \xHH; NULL stays NULL."""
+    return _escaped(value.cast("binary"))
 
 
 def format_symbol(symbol: Column) -> Column:

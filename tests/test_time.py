@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
+import time
 from functools import partial
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from mergeloom.functions import values
 from mergeloom.operators import train
 
 
@@ -60,3 +63,17 @@ def test_ids_beyond_16_bits():
     s.replace(97, 98, 256)
     s.replace(256, 256, 70_000)
     assert [x.tolist() for x in s.lists()] == [[70_000, 99], [0, 1, 2]]
+
+
+def seconds(f):
+    began = time.time()
+    return f(), time.time() - began
+
+
+def test_escaping_one_long_text(spark):
+    data = bytes(range(256)) * 1600
+    df = spark.createDataFrame([(bytearray(data),), (bytearray(b""),), (None,)], "v binary")
+    got, took = seconds(lambda: [r[0] for r in df.select(values.escape_bytes(F.col("v"))).collect()])
+    named = {92: "\\\\", 34: '\\"', 10: "\\n", 13: "\\r", 9: "\\t"}
+    assert got == ["".join(named.get(b) or (chr(b) if 32 <= b <= 126 else f"\\x{b:02X}") for b in data), "", None]
+    assert took < 30
