@@ -6,8 +6,10 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from mergeloom.artifact import BYTE_FALLBACK, ROUTER, Artifact
 from mergeloom.errors import DecodeError, EncodeError
@@ -22,17 +24,34 @@ STATS = ("routed_bytes", "spans", "tokens", "token_bytes")
 PackMerges = Mapping[int, list[tuple[int, int, int]]]
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _byte_ids(values: pa.Array) -> pa.Array:
+    rows = values.to_pylist()
+    begin = np.concatenate(([0], np.cumsum([len(v or b"") for v in rows]))).astype(np.int32)
+    ids = np.frombuffer(b"".join(v or b"" for v in rows), np.uint8).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(begin), pa.array(ids), mask=pa.array([v is None for v in rows], pa.bool_()))
+
+
 def byte_ids(value: Column) -> Column:
-    """Bytes of a STRING or BINARY as ARRAY<INT>, the local ids of the byte-fallback pack; NULL stays NULL. JVM only."""
-    digits = F.hex(value.cast("binary"))
-    return F.when(digits.isNull(), None).when(F.length(digits) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(2)) - 1, F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("int")))
+    """Bytes of a STRING or BINARY as ARRAY<INT>, the local ids of the byte-fallback pack; NULL stays NULL."""
+    return _byte_ids(value.cast("binary"))
+
+
+@F.arrow_udf(BinaryType())
+def _bytes_of(lists: pa.Array) -> pa.Array:
+    flat = lists.flatten()
+    bad = pc.indices_nonzero(pc.fill_null(pc.or_(pc.less(flat, 0), pc.greater(flat, 255)), True))
+    if len(bad):
+        raise ValueError(f"byte id out of range: {'NULL' if (x := flat[bad[0].as_py()].as_py()) is None else x}")
+    data = np.asarray(flat).astype(np.uint8).tobytes()
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+    begin = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+    return pa.array([data[i:j] if there else None for i, j, there in zip(begin[:-1], begin[1:], pc.is_valid(lists).to_pylist())], pa.binary())
 
 
 def bytes_of(ids: Column) -> Column:
-    """BINARY of byte ids; an id outside 0-255 raises an error that names it."""
-    bad = F.filter(ids, lambda x: x.isNull() | (x < 0) | (x > 255))
-    checked = F.when(F.size(bad) > 0, F.raise_error(F.concat(F.lit("byte id out of range: "), F.coalesce(F.element_at(bad, 1).cast("string"), F.lit("NULL"))))).otherwise(F.array_join(F.transform(ids, lambda x: F.lpad(F.hex(x.cast("bigint")), 2, "0")), ""))
-    return F.unhex(checked)
+    """BINARY of byte ids; an id outside 0-255 raises an error that names it; NULL stays NULL."""
+    return _bytes_of(ids)
 
 
 def decode_text(value: Column) -> Column:

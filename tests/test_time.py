@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from mergeloom.functions import values
-from mergeloom.operators import train
+from mergeloom.operators import encode, train
 
 
 def jobs_of(spark, f):
@@ -77,3 +77,14 @@ def test_escaping_one_long_text(spark):
     named = {92: "\\\\", 34: '\\"', 10: "\\n", 13: "\\r", 9: "\\t"}
     assert got == ["".join(named.get(b) or (chr(b) if 32 <= b <= 126 else f"\\x{b:02X}") for b in data), "", None]
     assert took < 30
+
+
+def test_bytes_of_one_long_text(spark):
+    data = bytes(range(256)) * 1600
+    rows = [data, b"", None, "ä\0".encode()]
+    df = spark.createDataFrame([(None if x is None else bytearray(x),) for x in rows], "v binary")
+    ids = encode.byte_ids(F.col("v"))
+    got, took = seconds(lambda: df.select(ids.alias("ids"), encode.bytes_of(ids).alias("back")).collect())
+    assert [r.ids for r in got] == [None if x is None else list(x) for x in rows]
+    assert [None if r.back is None else bytes(r.back) for r in got] == rows
+    assert took < 30
