@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from mergeloom.functions import values
 from mergeloom.operators import encode, train
+from mergeloom.plans.queries import QUERIES
+from tests.tables import NOW, frame
 
 
 def jobs_of(spark, f):
@@ -88,3 +90,12 @@ def test_bytes_of_one_long_text(spark):
     assert [r.ids for r in got] == [None if x is None else list(x) for x in rows]
     assert [None if r.back is None else bytes(r.back) for r in got] == rows
     assert took < 30
+
+
+def test_first_merges_of_many_tasks_are_a_few_jobs(spark, tmp_path, monkeypatch):
+    frame(spark, "documents", [dict(doc_id=i, text=x, corpus_id=1, added_at=NOW) for i, x in enumerate([*texts(20), None])]).write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda: [tuple(r) for r in QUERIES["bpe_first_merges"](spark, str(tmp_path)).collect()]
+    want = run()
+    monkeypatch.setattr(train, "train_flat", partial(train.train_flat, local_bytes=0))
+    got, jobs = jobs_of(spark, run)
+    assert got == want and len(got) == 12 and jobs <= 15
