@@ -117,7 +117,8 @@ class Sequences:
             symbol = np.ones(len(s), bool)
             symbol[np.concatenate(([0], np.cumsum(size + 1)))] = False
             s[symbol] = own
-            self.blocks.append((s, None if (mult[i:j] == 1).all() else np.repeat(np.append(0, mult[i:j].astype(np.int64)), np.append(1, size + 1)), 0))
+            m = mult[i:j].astype(np.min_scalar_type(int(mult[i:j].max())))  # a byte a symbol where multiplicities are small
+            self.blocks.append((s, None if (m == 1).all() else np.repeat(np.concatenate((m[:1], m)), np.append(1, size + 1)), 0))
 
     def counts(self, v: int) -> tuple[np.ndarray, np.ndarray]:
         """Codes left * v + right and their weighted overlapping counts."""
@@ -188,7 +189,7 @@ def _coded(s: np.ndarray, w: np.ndarray | None, at, after, v: int, sign: int) ->
     """Codes of the pairs (s[at], s[after]) without marks, and their weights."""
     a, b, end = s[at], s[after], _mark(s.dtype)
     real = (a != end) & (b != end)
-    return a[real].astype(np.int64) * v + b[real], np.full(int(real.sum()), sign, np.int64) if w is None else w[at][real] * sign
+    return a[real].astype(np.int64) * v + b[real], np.full(int(real.sum()), sign, np.int64) if w is None else w[at][real].astype(np.int64) * sign
 
 
 def _choose(codes: np.ndarray, counts: np.ndarray, v: int, length: list[int], least: int) -> tuple[int, int, int] | None:
